@@ -117,12 +117,21 @@ def duplicate_rows(df: DataFrame, features, y: str) -> DataFrame:
     return lookup_join(rows, duplicate_groups(df, features, y), "hash", weight="n", how="inner")
 
 
-def joined_text(df: DataFrame, group: str, item: str, keep, empty: str = "None") -> DataFrame:
-    """Kept items of a group as one sorted text, ``empty`` when none is kept.
+TEXT_ITEMS = 10_000
 
-    Items are distinct per group before they are gathered, so a hot group holds one entry per item only.
+
+def joined_text(df: DataFrame, group: str, item: str, keep, empty: str = "None",
+                max_items: int = TEXT_ITEMS) -> DataFrame:
+    """Kept items of a group, each once, as sorted text; ``empty`` when none is kept.
+
+    A group with more than ``max_items`` kept items is spread over several rows (``piece`` 0, 1, ...) by a
+    hash of the item, so no list grows with the data and no item is lost.
     """
     flagged = df.select(group, F.when(keep, F.col(item)).alias("__i")).groupBy(group, "__i").agg(F.lit(1).alias("__1"))
+    big = flagged.groupBy(group).agg(F.count("__i").alias("__m")).filter(F.col("__m") > max_items)
+    flagged = lookup_join(flagged, big, group, weight="__m")
+    piece = F.when(F.col("__m").isNotNull() & F.col("__i").isNotNull(), F.pmod(
+        F.xxhash64("__i"), F.ceil(2 * F.col("__m") / F.lit(max_items)))).otherwise(0).cast("int")
     text = F.array_join(F.transform(F.array_sort(F.collect_list("__i")), lambda v: v.cast("string")), " ")
-    return flagged.groupBy(group).agg(text.alias("items")).withColumn(
+    return flagged.groupBy(group, piece.alias("piece")).agg(text.alias("items")).withColumn(
         "items", F.when(F.col("items") == "", empty).otherwise(F.col("items")))

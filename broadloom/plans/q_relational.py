@@ -85,7 +85,7 @@ def pred_dir_pivot(spark, sf):
     return out.select("ID", *[F.round(m, 4).alias(m) for m in MODELS])
 
 
-@query("SRC-6", with_wide("""SELECT z, j, count(*) AS n, sum(CAST(X14 = 1 AS BIGINT)) AS big, round(avg(y), 4) AS mean_y
+@query("SRC-6", with_wide("""SELECT z, j, count(*) AS n, sum(CAST(X14 = 1 AS BIGINT))::BIGINT AS big, round(avg(y), 4) AS mean_y
     FROM wide, (SELECT unnest([1, 2, 3, 4]) AS z), (SELECT unnest([2, 4, 6]) AS j)
     WHERE X22 >= z AND X22 <= z + j GROUP BY z, j"""))
 def param_grid(spark, sf):
@@ -276,7 +276,7 @@ def one_hot(spark, sf):
     FROM (SELECT DISTINCT l_orderkey, CASE WHEN l_discount > 0.05::DOUBLE THEN l_partkey END AS p FROM lineitem)
     GROUP BY l_orderkey""")
 def group_concat_none(spark, sf):
-    return E.joined_text(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey", F.col("l_discount") > 0.05)
+    return E.joined_text(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey", F.col("l_discount") > 0.05).drop("piece")
 
 
 @query("AGG-14 SCL-5 ENC-8", with_wide(f"""SELECT ID, CAST({' + '.join(FLAGS)} AS INTEGER) AS flag_sum,
