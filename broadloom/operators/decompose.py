@@ -124,6 +124,7 @@ def fast_ica(train: DataFrame, features: str, width: int, k: int, max_iter: int
         e, v = np.linalg.eigh(w @ w.T)
         return (v / np.sqrt(np.maximum(e, 1e-12))) @ v.T @ w
 
+    slices = z.rdd.getNumPartitions()
     w = decorrelate(np.random.default_rng(seed).normal(size=(k, k)))
     steps = 0
     try:
@@ -133,7 +134,7 @@ def fast_ica(train: DataFrame, features: str, width: int, k: int, max_iter: int
                 t = np.tanh(x @ w.T)
                 return np.concatenate([(t.T @ x).ravel(), (1 - t * t).sum(axis=0)])
 
-            v = sum_batches(z, step, ["z"]) / n
+            v = sum_batches(z, step, ["z"], slices) / n
             new = decorrelate(v[:k * k].reshape(k, k) - v[k * k:, None] * w)
             gap = float(np.max(np.abs(np.abs(np.sum(new * w, axis=1)) - 1)))
             w = new
@@ -178,6 +179,7 @@ def nmf(train: DataFrame, features: str, width: int, k: int, max_iter: int = 250
     the k x k and k x p sums behind and no lineage builds up."""
     x = train.select(F.transform(F.col(features).cast("array<double>"), F.abs).alias("x")) \
              .persist(StorageLevel.MEMORY_AND_DISK)
+    slices = x.rdd.getNumPartitions()
     rng = np.random.default_rng(seed)
     n, s, g = gram_array(x, "x", width).sums()
     h = np.abs(rng.normal(size=(k, width))) * np.sqrt(max(s.mean() / n, 1e-12) / k)
@@ -189,7 +191,7 @@ def nmf(train: DataFrame, features: str, width: int, k: int, max_iter: int = 250
                 w = _nonneg_rows(m, h, sweeps)
                 return np.concatenate([(w.T @ w).ravel(), (w.T @ m).ravel()])
 
-            v = sum_batches(x, step, ["x"])
+            v = sum_batches(x, step, ["x"], slices)
             a, b = v[:k * k].reshape(k, k), v[k * k:].reshape(k, width)
             losses.append(total - 2 * float(np.sum(b * h)) + float(np.sum(a * (h @ h.T))))
             for _ in range(sweeps):

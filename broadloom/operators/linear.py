@@ -10,13 +10,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
-from broadloom.functions.columns import hash52, linear_score
-from broadloom.operators.gram import Gram, Moments, gram
-from broadloom.operators.ordering import exact_quantiles, smallest
+from broadloom.functions.columns import linear_score
+from broadloom.operators.gram import Gram, Moments, batch_matrix, gram, sum_batches
+from broadloom.operators.ordering import exact_quantiles, hash_sample
 
 RIDGE_GRID = (0.1, 1.0, 10.0)
 
@@ -189,33 +191,39 @@ def pcr_solve(m: Moments, comps: int, scale: bool = False) -> np.ndarray:
 
 # ---- choices by k-fold, without another look at the rows -----------------------------------------------------
 
-def cv_curve(g: Gram, fits) -> np.ndarray:
-    """Mean squared error over folds for each ``fit(moments) -> coef`` in ``fits``."""
-    total = np.zeros(len(fits))
+def cv_curve(g: Gram, path) -> np.ndarray:
+    """Mean squared error over folds of every coefficient vector of ``path(moments)``."""
+    total = 0.0
     for k in g.folds:
         m = g.moments(without=k)
-        n = g.folds[k][0]
-        for i, fit in enumerate(fits):
-            coef, b0 = _with_intercept(m, fit(m))
-            total[i] += g.sse(k, coef, b0) / n
+        total = total + np.array([g.sse(k, *_with_intercept(m, w)) for w in path(m)]) / g.folds[k][0]
     return total / len(g.folds)
 
 
-def _choose(g: Gram, grid, make, label: str) -> Linear:
-    mse = cv_curve(g, [make(a) for a in grid])
+def _choose(g: Gram, grid, path, label: str) -> Linear:
+    mse = cv_curve(g, path)
     best = int(np.argmin(mse))
     m = g.moments()
-    coef, b0 = _with_intercept(m, make(grid[best])(m))
+    coef, b0 = _with_intercept(m, path(m)[best])
     return Linear(g.names[:-1], coef, b0, {label: float(grid[best]), "mse": float(mse[best])})
 
 
 def ridge_cv(g: Gram, grid=RIDGE_GRID) -> Linear:
-    return _choose(g, list(grid), lambda a: lambda m: ridge_solve(m, a), "alpha")
+    return _choose(g, grid, lambda m: [ridge_solve(m, a) for a in grid], "alpha")
+
+
+def enet_path(m: Moments, grid, l1_ratio: float) -> list[np.ndarray]:
+    """Falling penalties, each started from the solution before it."""
+    out, w = [], None
+    for a in grid:
+        w = enet_solve(m, a, l1_ratio, tol=1e-7, sweeps=1000, start=w)
+        out.append(w)
+    return out
 
 
 def lasso_cv(g: Gram, points: int = 100, l1_ratio: float = 1.0) -> Linear:
     grid = alpha_grid(g.moments(), l1_ratio, points)
-    return _choose(g, list(grid), lambda a: lambda m: enet_solve(m, a, l1_ratio, tol=1e-6, sweeps=1000), "alpha")
+    return _choose(g, grid, lambda m: enet_path(m, grid, l1_ratio), "alpha")
 
 
 def enet_cv(g: Gram, points: int = 100, l1_ratio: float = 0.5) -> Linear:
@@ -224,34 +232,29 @@ def enet_cv(g: Gram, points: int = 100, l1_ratio: float = 0.5) -> Linear:
 
 def lars_cv(g: Gram) -> Linear:
     """Alpha among the knots of the full path, each fold following its own path."""
-    knots = lasso_path(g.moments())
-    paths: dict[tuple, list] = {}
+    alphas = [a for a, _ in lasso_path(g.moments())]
 
-    def make(a):
-        def fit(m):
-            key = (m.n, float(m.syy))
-            if key not in paths:
-                paths[key] = lasso_path(m)
-            return path_at(paths[key], a)
-        return fit
+    def path(m):
+        knots = lasso_path(m)
+        return [path_at(knots, a) for a in alphas]
 
-    return _choose(g, [a for a, _ in knots], make, "alpha")
+    return _choose(g, alphas, path, "alpha")
 
 
 def omp_cv(g: Gram, max_atoms: int | None = None) -> Linear:
     p = len(g.names) - 1
-    top = max_atoms or min(max(p // 10, 5), p)
-    return _choose(g, list(range(1, top + 1)), lambda k: lambda m: omp_solve(m, int(k)), "atoms")
+    sizes = range(1, (max_atoms or min(max(p // 10, 5), p)) + 1)
+    return _choose(g, sizes, lambda m: [omp_solve(m, k) for k in sizes], "atoms")
 
 
 def pls_cv(g: Gram, max_comps: int = 20) -> Linear:
-    top = min(max_comps, len(g.names) - 1)
-    return _choose(g, list(range(1, top + 1)), lambda k: lambda m: pls_solve(m, int(k)), "comps")
+    sizes = range(1, min(max_comps, len(g.names) - 1) + 1)
+    return _choose(g, sizes, lambda m: [pls_solve(m, k) for k in sizes], "comps")
 
 
 def pcr_cv(g: Gram, max_comps: int = 40) -> Linear:
-    top = min(max_comps, len(g.names) - 1)
-    return _choose(g, list(range(1, top + 1)), lambda k: lambda m: pcr_solve(m, int(k)), "comps")
+    sizes = range(1, min(max_comps, len(g.names) - 1) + 1)
+    return _choose(g, sizes, lambda m: [pcr_solve(m, k) for k in sizes], "comps")
 
 
 # ---- single models from the Gram pass ------------------------------------------------------------------------
@@ -339,7 +342,7 @@ def ml_linear(df: DataFrame, cols: list[str], y: str, alpha: float = 0.0, l1_rat
     or Huber loss. Spark scales the squared penalty by the label's spread; that is undone here."""
     data = assemble(df, cols, y).select("features", "label")
     l1, l2 = alpha * l1_ratio, alpha * (1 - l1_ratio)
-    sd = data.agg(F.stddev_pop("label")).first()[0] or 1.0 if l2 and loss == "squaredError" else 1.0
+    sd = data.agg(F.stddev_samp("label")).first()[0] or 1.0 if l2 and loss == "squaredError" else 1.0
     reg = l1 + sd * l2
     lr = LinearRegression(
         regParam=reg, elasticNetParam=(l1 / reg if reg else 0.0), standardization=False, loss=loss,
@@ -349,6 +352,30 @@ def ml_linear(df: DataFrame, cols: list[str], y: str, alpha: float = 0.0, l1_rat
     return Linear(list(cols), model.coefficients.toArray(), float(model.intercept))
 
 
+def mean_model(models: list[Linear]) -> Linear:
+    """The average of linear models is linear."""
+    names = sorted({n for m in models for n in m.names})
+    coef = np.mean([[dict(zip(m.names, m.coef)).get(n, 0.0) for n in names] for m in models], axis=0)
+    return Linear(names, coef, float(np.mean([m.intercept for m in models])))
+
+
+def score_many(df: DataFrame, models: list[Linear], out: str) -> DataFrame:
+    """Array of the predictions of many linear models: one matrix product per Arrow batch."""
+    names = sorted({n for m in models for n in m.names})
+    maps = [dict(zip(m.names, m.coef)) for m in models]
+    matrix = np.array([[b.get(n, 0.0) for b in maps] for n in names], dtype=float)
+    base = np.array([m.intercept for m in models], dtype=float)
+    p, k = matrix.shape
+
+    @F.arrow_udf("array<double>")
+    def score(x: pa.Array) -> pa.Array:
+        z = batch_matrix(x, p) @ matrix + base
+        offsets = pa.array(np.arange(0, (len(z) + 1) * k, k, dtype=np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(z.ravel(), from_pandas=True))
+
+    return df.withColumn(out, score(F.array(*[F.col(n).cast("double") for n in names])))
+
+
 def glm_terms(df: DataFrame, cols: list[str], y: str, max_p: float = 0.05) -> DataFrame:
     """Terms of a Gaussian GLM with their p-values, those at or below ``max_p`` only."""
     model = GeneralizedLinearRegression(family="gaussian", regParam=0.0).fit(assemble(df, cols, y))
@@ -366,13 +393,20 @@ def ransac(df: DataFrame, cols: list[str], y: str, key: str, trials: int = 100,
     """Robust fit: minimal samples by hash, one pass counting the inliers of all candidates, refit on the
     inliers of the best. The threshold defaults to the median absolute deviation of the target."""
     need = len(cols) + 1
-    data = df.select(key, y, *cols).na.drop()
+    data = df.select(key, y, *cols).na.drop().persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _ransac(data, cols, y, key, trials, need, seed, threshold)
+    finally:
+        data.unpersist()
+
+
+def _ransac(data: DataFrame, cols: list[str], y: str, key: str, trials: int, need: int, seed: int, threshold) -> Linear:
     if threshold is None:
         med = exact_quantiles(data, {y: [0.5]})[y][0.5]
         dev = data.select(F.abs(F.col(y) - F.lit(med)).alias("d"))
         threshold = exact_quantiles(dev, {"d": [0.5]})["d"][0.5]
-    drawn = smallest(data.withColumn("__h", hash52(key, seed=seed)), "__h", key, trials * need * 2).drop("__h")
-    rows = drawn.orderBy(hash52(key, seed=seed)).toPandas()
+    rows = hash_sample(data, key, trials * need * 2, seed).toPandas().sort_values(key)
+    rows = rows.sample(frac=1.0, random_state=seed)
     models = []
     size = need * 2
     for t in range(0, len(rows) - need + 1, size):
@@ -386,20 +420,18 @@ def ransac(df: DataFrame, cols: list[str], y: str, key: str, trials: int = 100,
                 break
     if not models:
         raise ValueError("no sample of rows determines a model")
-    miss = [F.abs(F.col(y) - linear_score(cols, w, b)) for w, b in models]
-    counts = data.agg(*[F.sum((e <= F.lit(float(threshold))).cast("bigint")).alias(f"m{i}") for i, e in enumerate(miss)]).first()
-    best = max(range(len(models)), key=lambda i: counts[f"m{i}"])
-    inliers = data.filter(miss[best] <= F.lit(float(threshold)))
+    slopes = np.array([w for w, _ in models]).T
+    bases = np.array([b for _, b in models])
+
+    def hits(b):
+        x = batch_matrix(b.column("x"), len(cols))
+        e = b.column("y").to_numpy(zero_copy_only=False)[:, None] - x @ slopes - bases
+        return (np.abs(e) <= threshold).sum(axis=0).astype(float)
+
+    pairs = data.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("x"), F.col(y).cast("double").alias("y"))
+    counts = sum_batches(pairs, hits, ["x", "y"])
+    best = int(np.argmax(counts))
+    inliers = data.filter(F.abs(F.col(y) - linear_score(cols, *models[best])) <= F.lit(float(threshold)))
     out = from_gram(gram(inliers, cols, y), ols_solve)
-    out.info = {"threshold": float(threshold), "inliers": int(counts[f"m{best}"])}
+    out.info = {"threshold": float(threshold), "inliers": int(counts[best])}
     return out
-
-
-def linear_by_fold(models: dict[int, Linear], fold: str = "fold"):
-    """Score column that picks the model of each row's fold."""
-    out = None
-    for k, m in models.items():
-        cond = F.col(fold) == k
-        out = F.when(cond, m.score()) if out is None else out.when(cond, m.score())
-    return out
-

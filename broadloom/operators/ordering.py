@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from broadloom.functions.columns import as_col
+from broadloom.functions.columns import HASH_SPAN, hash52
 
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 4096
@@ -223,6 +223,27 @@ def smallest(df: DataFrame, score: str, tie: str, n: int, rows_per_bucket: int =
     return df.filter(F.col(score).cast("double") <= cut)
 
 
+SAMPLE_IN_ONE_TASK = 10_000
+
+
+def hash_sample(df: DataFrame, key: str, n: int, seed: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """n rows without replacement: those with the smallest seeded hash of the key.
+
+    A hash bound expected to let slightly more than n rows through thins the table in the map; only the few
+    that pass are ordered. Should chance let too few through, the exact cut takes over.
+    """
+    hashed = df.withColumn("__h", hash52(key, seed=seed))
+    total = df.select(key).count()
+    if total <= n:
+        return df
+    if n <= SAMPLE_IN_ONE_TASK:
+        frac = (n + 6 * math.sqrt(n) + 20) / total
+        near = hashed.filter(F.col("__h") < F.lit(int(frac * HASH_SPAN))) if frac < 1 else hashed
+        if frac >= 1 or near.select("__h").count() >= n:
+            return near.orderBy("__h", key).limit(n).drop("__h")
+    return smallest(hashed, "__h", key, n, rows_per_bucket).drop("__h")
+
+
 def group_index(df: DataFrame, group: str, key: str, seed: int, name: str = "idx",
                 parts: int = 64) -> DataFrame:
     """0-based position inside each group in the order of a seeded hash of the key, plus the group size.
@@ -230,8 +251,6 @@ def group_index(df: DataFrame, group: str, key: str, seed: int, name: str = "idx
     Hash order is uniform, so each group falls into equal hash slices and one group holding a third of the
     table still spreads over ``parts`` windows.
     """
-    from broadloom.functions.columns import HASH_SPAN, hash52
-
     step = HASH_SPAN // parts
     out = df.withColumn("__h", hash52(key, seed=seed)) \
             .withColumn("__s", F.expr(f"cast(__h div {step} as int)"))

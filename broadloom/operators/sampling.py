@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from broadloom.functions.columns import HASH_SPAN, hash52, hash_fraction_below
 from broadloom.operators.lookup import lookup_join
-from broadloom.operators.ordering import exact_quantiles, group_index, ordered_index, smallest
+from broadloom.operators.ordering import exact_quantiles, group_index, hash_sample, ordered_index
 
 
 def modulo_folds(df: DataFrame, key: str, k: int, name: str = "fold", by_position: bool = False) -> DataFrame:
@@ -32,7 +32,7 @@ def seeded_holdouts(df: DataFrame, key: str, frac: float, seeds) -> DataFrame:
 
 def fixed_size(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows without replacement."""
-    return smallest(df.withColumn("__h", hash52(key, seed=seed)), "__h", key, n).drop("__h")
+    return hash_sample(df, key, n, seed)
 
 
 def stratified_resample(train: DataFrame, test: DataFrame, level: str, key: str, seed: int) -> DataFrame:

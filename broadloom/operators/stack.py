@@ -10,7 +10,6 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from broadloom.operators import linear as L, trees as T
-from broadloom.operators.evaluate import fold_report
 from broadloom.operators.gram import Gram, gram
 
 # Learners read off the fold sums of one pass: name -> (gram of the training folds) -> linear model.
@@ -56,34 +55,71 @@ def fit_folds(train: DataFrame, cols, y: str, key: str, k: int, learner: str, fo
     return [ROW_LEARNERS[learner](train.filter(F.col(fold) != f), list(cols), y, key) for f in range(k)]
 
 
+def _mean(names):
+    return reduce(lambda a, b: a + b, map(F.col, names)) / F.lit(float(len(names)))
+
+
 def score_folds(df: DataFrame, models, fold: str | None = None) -> DataFrame:
     """All fold models in one map: ``preds`` array, their mean, and the held-out one where folds are known."""
-    for i, m in enumerate(models):
-        df = m.transform(df, f"__p{i}")
-    names = [f"__p{i}" for i in range(len(models))]
-    df = df.withColumn("preds", F.array(*names)).withColumn(
-        "mean_pred", reduce(lambda a, b: a + b, map(F.col, names)) / F.lit(float(len(names))))
-    if fold:
-        df = df.withColumn("oof_pred", F.element_at("preds", F.col(fold) + 1))
-    return df.drop(*names)
+    if all(isinstance(m, L.Linear) for m in models):
+        df = L.score_many(df, [*models, L.mean_model(models)], "__all")
+        df = df.withColumn("preds", F.slice("__all", 1, len(models))) \
+               .withColumn("mean_pred", F.element_at("__all", -1)).drop("__all")
+    else:
+        names = [f"__p{i}" for i in range(len(models))]
+        for n, m in zip(names, models):
+            df = m.transform(df, n)
+        df = df.withColumn("preds", F.array(*names)).withColumn("mean_pred", _mean(names)).drop(*names)
+    return df.withColumn("oof_pred", F.element_at("preds", F.col(fold) + 1)) if fold else df
 
 
 def score_all(df: DataFrame, fitted: dict, keep, fold: str | None = None) -> DataFrame:
-    """Every fold model of every learner over one scan, unfolded to one row per learner."""
-    fields = (["oof_pred"] if fold else []) + ["mean_pred", "preds"]
-    for n, models in fitted.items():
-        df = score_folds(df, models, fold)
-        df = df.withColumn(f"__{n}", F.struct(F.lit(n).alias("model"), *fields)).drop(*fields)
-    return df.select(*keep, F.explode(F.array(*[F.col(f"__{n}") for n in fitted])).alias("__s")).select(*keep, "__s.*")
-
-
-def infold_r2(scored: DataFrame, y: str, fold: str = "fold", by=("model",)) -> DataFrame:
-    """Mean over the fold models of R2 on the rows each was fitted on."""
-    long = scored.select(*by, F.col(y).alias("__y"), F.col(fold).alias("__f"), F.posexplode("preds").alias("__m", "__p"))
+    """Every fold model of every learner over one scan, unfolded to one row per learner.
+
+    The linear models of all learners are one matrix product per batch."""
+    linear = {n: ms for n, ms in fitted.items() if all(isinstance(m, L.Linear) for m in ms)}
+    parts, at = [], 1
+    if linear:
+        df = L.score_many(df, [m for ms in linear.values() for m in (*ms, L.mean_model(ms))], "__all")
+        for n, ms in linear.items():
+            parts.append(F.struct(F.lit(n).alias("model"), F.slice("__all", at, len(ms)).alias("preds"),
+                                  F.element_at("__all", at + len(ms)).alias("mean_pred")))
+            at += len(ms) + 1
+    for n, ms in fitted.items():
+        if n not in linear:
+            df = score_folds(df, ms).withColumn(f"__{n}", F.struct(F.lit(n).alias("model"), "preds", "mean_pred")) \
+                                    .drop("preds", "mean_pred")
+            parts.append(F.col(f"__{n}"))
+    out = df.select(*keep, F.explode(F.array(*parts)).alias("__s"))
+    out = out.select(*out.columns[:-1], "__s.*")
+    return out.withColumn("oof_pred", F.element_at("preds", F.col(fold) + 1)) if fold else out
+
+
+def fold_scores(scored: DataFrame, y: str = "y", fold: str = "fold", by: str = "model") -> DataFrame:
+    """Per learner: mean held-out R2 of the folds, pooled out-of-fold R2, and mean R2 on the rows each fold
+    model was fitted on. One pass sums (fold x fold model) cells; the rest works on those few rows."""
+    long = scored.select(by, F.col(y).cast("double").alias("__y"), F.col(fold).alias("__f"),
+                         F.posexplode("preds").alias("__m", "__p"))
     e = F.col("__y") - F.col("__p")
-    per = long.filter(F.col("__m") != F.col("__f")).groupBy(*by, "__m").agg(
-        (1 - F.try_divide(F.sum(e * e), F.var_pop("__y") * F.count(F.lit(1)))).alias("r2"))
-    return per.groupBy(*by).agg(F.avg("r2").alias("infold_r2"))
+    cells = long.groupBy(by, "__f", "__m").agg(
+        F.count(e).alias("n"), F.sum(e * e).alias("sse"), F.avg("__y").alias("a"), F.var_pop("__y").alias("v"))
+
+    def r2(cond):
+        n = F.sum(F.when(cond, F.col("n")))
+        mean = F.sum(F.when(cond, F.col("n") * F.col("a"))) / n
+        sst = F.sum(F.when(cond, F.col("n") * (F.col("v") + F.col("a") * F.col("a")))) - n * mean * mean
+        return 1 - F.try_divide(F.sum(F.when(cond, F.col("sse"))), sst)
+
+    own = F.col("__m") == F.col("__f")
+    per = cells.groupBy(by, "__m").agg(
+        r2(~own).alias("infold"), r2(own).alias("held"),
+        *[F.max(F.when(own, F.col(c))).alias(c) for c in ("n", "sse", "a", "v")])
+    total = F.sum("n")
+    mean = F.sum(F.col("n") * F.col("a")) / total
+    sst = F.sum(F.col("n") * (F.col("v") + F.col("a") * F.col("a"))) - total * mean * mean
+    return per.groupBy(by).agg(
+        F.avg("held").alias("fold_r2"), (1 - F.try_divide(F.sum("sse"), sst)).alias("oof_r2"),
+        F.avg("infold").alias("infold_r2"), total.alias("n"))
 
 
 def run_registry(train: DataFrame, test: DataFrame, cols, y: str, key: str, k: int, learners, fold: str = "fold"):
@@ -95,8 +131,7 @@ def run_registry(train: DataFrame, test: DataFrame, cols, y: str, key: str, k: i
     fitted = fit_registry(train, cols, y, key, k, learners, fold)
     scored = score_all(train, fitted, [key, fold, F.col(y).alias("y")], fold)
     test_scored = score_all(test, fitted, [key]).select(key, "model", F.col("mean_pred").alias("pred"))
-    metrics = fold_report(scored, "y", "oof_pred", fold, by=("model",)).join(infold_r2(scored, "y", fold), "model")
-    return scored.drop("preds"), test_scored, metrics
+    return scored.drop("preds"), test_scored, fold_scores(scored, "y", fold)
 
 
 def fit_registry(train: DataFrame, cols, y: str, key: str, k: int, learners, fold: str = "fold") -> dict:

@@ -59,10 +59,9 @@ def boosted(df, cols, y, rounds: int = 50, step: float = 0.1, max_depth: int = 4
     data = assemble(df, cols, y)
     base = data.agg(F.avg("label")).first()[0]
     data = data.withColumn("label", F.col("label") - F.lit(base))
-    est = GBTRegressor(maxIter=rounds, stepSize=step, maxDepth=max_depth, subsamplingRate=subsample, lossType=loss, seed=seed)
-    if validation:
-        est.setValidationIndicatorCol(validation)
-        est.setValidationTol(tol)
+    stop = {"validationIndicatorCol": validation, "validationTol": tol} if validation else {}
+    est = GBTRegressor(maxIter=rounds, stepSize=step, maxDepth=max_depth, subsamplingRate=subsample, lossType=loss,
+                       seed=seed, **stop)
     model = est.fit(data)
     return TreeModel(model, list(cols), base, {"rounds": model.getNumTrees})
 

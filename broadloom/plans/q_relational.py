@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from broadloom.functions import columns as C
 from broadloom.operators import encode as E
 from broadloom.operators.lookup import Levels, lookup_join
-from broadloom.operators.ordering import rank_slice, smallest
+from broadloom.operators.ordering import hash_sample, rank_slice
 from broadloom.plans.fixtures import FLAGS, dup_source, table, wide, with_wide
 from broadloom.plans.registry import query
 from broadloom.session import new_path
@@ -178,21 +178,17 @@ SAMPLE_SQL = """(SELECT o_orderkey FROM orders
     ORDER BY ('0x' || substr(md5(o_orderkey || '|11'), 1, 13))::BIGINT, o_orderkey LIMIT 400)"""
 
 
-def fixed_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    return smallest(df.select(key).withColumn("__h", C.hash52(key, seed=seed)), "__h", key, n).select(key)
-
-
 @query("FLT-5 SMP-3 JN-4", f"""SELECT o_orderkey, o_orderpriority FROM orders
     WHERE o_orderkey NOT IN {SAMPLE_SQL}""")
 def anti_sample(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
-    return orders.join(fixed_sample(orders, "o_orderkey", 400, 11), "o_orderkey", "left_anti")
+    return orders.join(hash_sample(orders.select("o_orderkey"), "o_orderkey", 400, 11), "o_orderkey", "left_anti")
 
 
 @query("SMP-3", f"SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN {SAMPLE_SQL}")
 def fixed_size_sample(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    return orders.join(fixed_sample(orders, "o_orderkey", 400, 11), "o_orderkey", "left_semi")
+    return orders.join(hash_sample(orders.select("o_orderkey"), "o_orderkey", 400, 11), "o_orderkey", "left_semi")
 
 
 @query("JN-1 AGG-11", with_wide("""SELECT ID, X0_code, X3_code FROM wide
