@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import DataFrame, functions as F
 
 from broadloom.functions.columns import (
@@ -64,9 +65,23 @@ def na_level(df: DataFrame, cols) -> DataFrame:
     return df.fillna(NA_LEVEL, list(cols))
 
 
-def one_hot(df: DataFrame, column: str, levels: list[str]) -> DataFrame:
-    """One 0/1 column per given level; the list must come from a bounded level table."""
-    return df.withColumns({f"{column}_{v}": is_value(column, v) for v in levels})
+MAX_DUMMIES = 1_000
+
+
+def one_hot(df: DataFrame, column: str) -> DataFrame:
+    """One 0/1 column per level, in sorted order."""
+    levels = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.lit(1).alias("__1")).limit(MAX_DUMMIES + 1).collect()
+    if len(levels) > MAX_DUMMIES:
+        raise ValueError(f"{column} has more than {MAX_DUMMIES} levels: use one_hot_vector")
+    return df.withColumns({f"{column}_{r[0]}": is_value(column, r[0]) for r in sorted(levels)})
+
+
+def one_hot_vector(df: DataFrame, column: str, out: str) -> DataFrame:
+    """The same as one sparse vector column, for many levels."""
+    indexed = StringIndexer(inputCol=column, outputCol="__i", handleInvalid="keep", stringOrderType="alphabetAsc").fit(df)
+    encoded = OneHotEncoder(inputCol="__i", outputCol=out, dropLast=False)
+    x = indexed.transform(df)
+    return encoded.fit(x).transform(x).drop("__i")
 
 
 def crossed(df: DataFrame, name: str, cols, sep: str = "") -> DataFrame:

@@ -10,13 +10,15 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from broadloom.functions.columns import HASH_SPAN, hash52
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 16_384
+SAMPLE_PER_BUCKET = 64
 
 
 def _bucket_count(n: int, rows_per_bucket: int) -> int:
@@ -24,21 +26,30 @@ def _bucket_count(n: int, rows_per_bucket: int) -> int:
 
 
 def _bounds(df: DataFrame, cols: list[str], rows_per_bucket: int):
-    """Row counts and bucket bounds of every column, two aggregates for any number of columns."""
+    """Row counts and bucket bounds of every column, two jobs for any number of columns.
+
+    Bounds are quantiles of a hash sample of the distinct values: about ``SAMPLE_PER_BUCKET`` values per
+    bucket, gathered as one row each however often they occur. They need not be exact; all later steps are.
+    """
     n_row = df.agg(*[F.count(c).alias(f"n_{i}") for i, c in enumerate(cols)]).first()
     counts = {c: n_row[f"n_{i}"] for i, c in enumerate(cols)}
     buckets = {c: _bucket_count(counts[c], rows_per_bucket) for c in cols}
-    todo = [c for c in cols if buckets[c] > 1]
     bounds: dict[str, list[float]] = {c: [] for c in cols}
+    todo = [c for c in cols if buckets[c] > 1]
     if todo:
-        aggs = []
+        picks = []
         for c in todo:
-            b = buckets[c]
-            fr = [k / b for k in range(1, b)]
-            aggs.append(F.percentile_approx(F.col(c).cast("double"), fr, max(10_000, 20 * b)).alias(c))
-        row = df.agg(*aggs).first()
+            v = F.col(c).cast("double")
+            thin = max(1, counts[c] // (SAMPLE_PER_BUCKET * buckets[c]))
+            picks.append(F.when(F.pmod(F.xxhash64(v), F.lit(thin)) == 0,
+                                F.struct(F.lit(cols.index(c)).alias("c"), v.alias("v"))))
+        sample = df.select(F.explode(F.array_compact(F.array(*picks))).alias("s")).select("s.*") \
+                   .filter(F.col("v").isNotNull()).distinct().toArrow()
+        which, values = sample.column("c").to_numpy(), sample.column("v").to_numpy()
         for c in todo:
-            bounds[c] = sorted(set(row[c]))
+            v = np.sort(values[which == cols.index(c)])
+            at = np.linspace(0, len(v), buckets[c] + 1)[1:-1].astype(int) if len(v) else []
+            bounds[c] = sorted(set(float(v[i]) for i in at))
     return counts, bounds
 
 
@@ -174,13 +185,14 @@ def ordered_index(df: DataFrame, key: str, name: str = "idx",
     if not bounds[key]:
         return out.withColumn(name, F.row_number().over(W.partitionBy(b).orderBy(key)).cast("bigint") - 1).drop(b)
     sizes = {r[b]: r["count"] for r in out.groupBy(b).count().collect()}
-    offsets, acc = [], 0
+    rows, acc = [], 0
     for i in range(len(bounds[key]) + 1):
-        offsets.append(acc)
+        rows.append((i, acc))
         acc += sizes.get(i, 0)
-    shift = F.element_at(F.lit(offsets), F.col(b) + 1).cast("bigint")
+    offsets = df.sparkSession.createDataFrame(rows, f"{b} int, __o bigint")
     inside = F.row_number().over(W.partitionBy(b).orderBy(key)).cast("bigint") - 1
-    return out.withColumn(name, inside + shift).drop(b)
+    return out.withColumn(name, inside).join(F.broadcast(offsets), b).withColumn(
+        name, F.col(name) + F.col("__o")).drop(b, "__o")
 
 
 def running(df: DataFrame, key: str, value: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
@@ -245,12 +257,13 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: int, rows_per_bucket: int
 
 
 def group_index(df: DataFrame, group: str, key: str, seed: int, name: str = "idx",
-                parts: int = 64) -> DataFrame:
+                rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """0-based position inside each group in the order of a seeded hash of the key, plus the group size.
 
     Hash order is uniform, so each group falls into equal hash slices and one group holding a third of the
-    table still spreads over ``parts`` windows.
+    table still spreads over many windows.
     """
+    parts = max(16, _bucket_count(df.select(key).count(), rows_per_bucket))
     step = HASH_SPAN // parts
     out = df.withColumn("__h", hash52(key, seed=seed)) \
             .withColumn("__s", F.expr(f"cast(__h div {step} as int)"))

@@ -77,18 +77,20 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
 
 
-def association_residuals(df: DataFrame, a: str, b: str, max_levels: int = 2_000) -> DataFrame:
-    """Pearson residual (observed - expected) / sqrt(expected) of every cell, empty cells included."""
+def association_residuals(df: DataFrame, a: str, b: str, per_chunk: int = 1_000) -> DataFrame:
+    """Pearson residual (observed - expected) / sqrt(expected) of every cell, empty cells included.
+
+    Levels of ``b`` travel in chunks of about ``per_chunk``, so neither side needs to fit in one place.
+    """
     cells = contingency(df, a, b).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     rows = cells.groupBy(a).agg(F.sum("n").alias("na"))
-    cols = cells.groupBy(b).agg(F.sum("n").alias("nb")).limit(max_levels + 1).collect()
-    if len(cols) > max_levels:
-        raise ValueError(f"{b} has more than {max_levels} levels; swap the columns or collapse levels first")
-    total = sum(r["nb"] for r in cols)
-    grid = rows.withColumn("__c", F.explode(F.array(*[
-        F.struct(F.lit(r[b]).alias(b), F.lit(r["nb"]).alias("nb")) for r in cols]))).select(a, "na", "__c.*")
-    expected = F.col("na").cast("double") * F.col("nb") / F.lit(float(total))
+    cols = cells.groupBy(b).agg(F.sum("n").alias("nb"))
+    size = cols.agg(F.count(F.lit(1)).alias("k"), F.sum("nb").alias("t")).first()
+    chunks = max(1, -(-size["k"] // per_chunk))
+    packs = cols.groupBy(F.pmod(F.xxhash64(b), F.lit(chunks)).alias("__h")).agg(F.collect_list(F.struct(b, "nb")).alias("__c"))
+    grid = rows.withColumn("__h", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint")))) \
+               .join(packs, "__h").select(a, "na", F.explode("__c").alias("__c")).select(a, "na", "__c.*")
+    expected = F.col("na").cast("double") * F.col("nb") / F.lit(float(size["t"] or 1))
     return grid.join(cells, [a, b], "left").select(
         a, b, F.coalesce("n", F.lit(0)).alias("n"), expected.alias("expected"),
         ((F.coalesce("n", F.lit(0)) - expected) / F.sqrt(expected)).alias("residual"))
-

@@ -11,6 +11,9 @@ from broadloom.operators.lookup import lookup_join
 from broadloom.operators.ordering import exact_quantiles, group_index, hash_sample, ordered_index
 
 
+THIN_LEVEL = 1_000
+
+
 def modulo_folds(df: DataFrame, key: str, k: int, name: str = "fold", by_position: bool = False) -> DataFrame:
     """Fold = key mod k, or position in key order mod k."""
     if not by_position:
@@ -42,11 +45,15 @@ def stratified_resample(train: DataFrame, test: DataFrame, level: str, key: str,
     is unknown in train are made up for by train rows drawn without replacement. Adds ``draw``, the test
     key behind a row (NULL for the make-up rows).
     """
-    pool = group_index(train, level, key, seed)
+    pool = group_index(train, level, key, seed).withColumn("__k", F.struct(level, "idx"))
     sizes = train.groupBy(level).agg(F.count(F.lit(1)).alias("__n"))
     draws = lookup_join(test.select(F.col(key).alias("draw"), level), sizes, level, weight="__n", how="inner")
-    draws = draws.select("draw", level, F.pmod(hash52("draw", seed=seed + 1), F.col("__n")).alias("idx"))
-    drawn = draws.join(pool, [level, "idx"]).select("draw", *train.columns)
+    draws = draws.select("draw", "__n", F.struct(
+        level, F.pmod(hash52("draw", seed=seed + 1), F.col("__n")).alias("idx")).alias("__k"))
+    # A level with few train rows may be drawn very often: its rows are looked up as a small dictionary.
+    few = lookup_join(draws.filter(F.col("__n") <= THIN_LEVEL), pool.filter(F.col("group_n") <= THIN_LEVEL), "__k", how="inner")
+    rest = draws.filter(F.col("__n") > THIN_LEVEL).join(pool.filter(F.col("group_n") > THIN_LEVEL), "__k")
+    drawn = few.select("draw", *train.columns).unionByName(rest.select("draw", *train.columns))
     missing = test.count() - draws.count()
     if missing <= 0:
         return drawn

@@ -11,6 +11,7 @@ from broadloom.operators import linear as L, trees as T
 from broadloom.operators.evaluate import R2Evaluator
 from broadloom.operators.gram import Gram
 from broadloom.operators.linear import assemble
+from broadloom.session import side_by_side
 
 
 def pooled_r2(g: Gram, fit) -> float:
@@ -63,11 +64,11 @@ def resampled_trials(grams: dict[int, Gram], grid, make):
 
 def round_curve(df: DataFrame, cols, y: str, fold: str, k: int, rounds: int, **params) -> DataFrame:
     """(fold, round, rmse) of boosting fitted on the other folds."""
-    rows = []
-    for f in range(k):
+    def curve(f):
         model = T.boosted(df.filter(F.col(fold) != f), cols, y, rounds=rounds, **params)
-        curve = T.boosting_curve(model, df.filter(F.col(fold) == f), y)
-        rows += [(f, r, float(v)) for r, v in enumerate(curve)]
+        return [(f, r, float(v)) for r, v in enumerate(T.boosting_curve(model, df.filter(F.col(fold) == f), y))]
+
+    rows = sum(side_by_side([lambda f=f: curve(f) for f in range(k)]), [])
     return df.sparkSession.createDataFrame(rows, "fold int, round int, rmse double")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from broadloom.operators import linear as L, trees as T
 from broadloom.operators.gram import Gram, gram
+from broadloom.session import side_by_side
 
 # Learners read off the fold sums of one pass: name -> (gram of the training folds) -> linear model.
 GRAM_LEARNERS = {
@@ -52,7 +53,8 @@ def fit_folds(train: DataFrame, cols, y: str, key: str, k: int, learner: str, fo
     if learner in GRAM_LEARNERS:
         g = g or gram(train, list(cols), y, fold)
         return [GRAM_LEARNERS[learner](without_fold(g, f)) for f in range(k)]
-    return [ROW_LEARNERS[learner](train.filter(F.col(fold) != f), list(cols), y, key) for f in range(k)]
+    return side_by_side([
+        lambda f=f: ROW_LEARNERS[learner](train.filter(F.col(fold) != f), list(cols), y, key) for f in range(k)])
 
 
 def _mean(names):

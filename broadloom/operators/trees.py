@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from broadloom.operators.linear import assemble
 from broadloom.operators.ordering import exact_quantiles
 from broadloom.operators.sampling import poisson_weight
-from broadloom.session import durable
+from broadloom.session import durable, side_by_side
 
 
 @dataclass
@@ -99,9 +99,9 @@ class AdaBoostModel:
 
 def adaboost_r2(df, cols, y, key: str, rounds: int = 300, learning_rate: float = 0.01, max_depth: int = 5,
                 seed: int = 1337, cut_every: int = 5) -> AdaBoostModel:
-    """AdaBoost.R2 with linear loss and weighted tree fits. Row weights are cut loose from their lineage
-    every few rounds on the checkpoint folder."""
-    work = df.select(key, F.col(y).cast("double").alias(y), *cols).withColumn("w", F.lit(1.0))
+    """AdaBoost.R2 with linear loss and weighted tree fits. Table and row weights are
+    written to the scratch folder at the start and every few rounds, which keeps the plan short."""
+    work = durable(df.select(key, F.col(y).cast("double").alias(y), *cols).withColumn("w", F.lit(1.0)))
     models, weights = [], []
     for r in range(rounds):
         m = tree(work, cols, y, max_depth, weight="w", seed=seed + r)
@@ -138,11 +138,11 @@ class BaggedModel:
 
 def bagged_trees(df, cols, y, key: str, bags: int = 10, max_depth: int = 4, seed: int = 1) -> BaggedModel:
     """Trees on Poisson bootstrap weights that depend on the key only."""
-    out = []
-    for b in range(bags):
+    def bag(b):
         weighted = df.withColumn("w", poisson_weight(key, b, seed)).filter("w > 0")
-        out.append(tree(weighted, cols, y, max_depth, weight="w", seed=seed + b))
-    return BaggedModel(out)
+        return tree(weighted, cols, y, max_depth, weight="w", seed=seed + b)
+
+    return BaggedModel(side_by_side([lambda b=b: bag(b) for b in range(bags)]))
 
 
 # ---- isolation forest ---------------------------------------------------------------------------------------

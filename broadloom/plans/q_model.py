@@ -17,7 +17,7 @@ from broadloom.operators.profile import constant_columns
 from broadloom.plans.fixtures import FLAGS, table, wide, with_wide
 from broadloom.plans.q_relational import MODELS, PREDS_WIDE_CTE, predictions_long
 from broadloom.plans.registry import query
-from broadloom.session import new_path
+from broadloom.session import durable, new_path
 from broadloom.sources import writers as Wr
 
 X = ["X10", "X11", "X12", "X13", "X14", "X15", "X16", "X17", "X22"]
@@ -453,6 +453,7 @@ def gated_predictions(spark, sf):
     levels = Levels(df, names, "ID", F.col("tc") == 1).number()
     df = E.label_encode(df, names, "ID", levels=levels)
     df = E.frequency_encode(df, names, "ID", levels=levels).drop(*names)
+    df = durable(df)
     feats = [c for c in df.columns if c not in ("ID", "tc", "y_lin")]
     flat = constant_columns(df.filter("tc = 1"), feats)
     feats = [c for c in feats if c not in flat]

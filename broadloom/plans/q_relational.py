@@ -55,7 +55,7 @@ def json_flatten(spark, sf):
     return R.flatten_json(table(spark, sf, "events").select("event_id", "props"), "props", "k int")
 
 
-def predictions_long(df: DataFrame) -> DataFrame:
+def predictions_long(df: DataFrame, *keep: str) -> DataFrame:
     """Three closed-form predictors of y: mean by X0, mean by X1, straight line in X22."""
     line = df.agg(F.regr_slope("y", "X22").alias("b"), F.regr_intercept("y", "X22").alias("a")).first()
     slope, base = line["b"] or 0.0, line["a"] if line["a"] is not None else 0.0
@@ -63,11 +63,11 @@ def predictions_long(df: DataFrame) -> DataFrame:
     for c in ("X0", "X1"):
         means = df.groupBy(c).agg(F.avg("y").alias(f"mean_{c}"), F.count(F.lit(1)).alias("w"))
         out = lookup_join(out, means, c, weight="w").drop("w")
-    return out.select("ID", F.explode(F.array(
+    return out.select("ID", *keep, F.explode(F.array(
         F.struct(F.lit("mean_X0").alias("model"), F.col("mean_X0").alias("pred")),
         F.struct(F.lit("mean_X1").alias("model"), F.col("mean_X1").alias("pred")),
         F.struct(F.lit("line_X22").alias("model"), (F.lit(base) + F.lit(slope) * F.col("X22")).alias("pred")),
-    )).alias("s")).select("ID", "s.*")
+    )).alias("s")).select("ID", *keep, "s.*")
 
 
 MODELS = ["mean_X0", "mean_X1", "line_X22"]
@@ -249,10 +249,10 @@ def collapse_levels(spark, sf):
     UNION ALL SELECT DISTINCT X4, 'test_only' FROM wide WHERE X4 NOT IN (SELECT X4 FROM wide WHERE tc = 1))"""))
 def level_sets(spark, sf):
     df = wide(spark, sf, "tc", "X4").withColumnRenamed("X4", "level")
-    train, test = df.filter("tc = 1").select("level"), df.filter("tc = 0").select("level")
+    train, test = (df.filter(f"tc = {t}").select("level").distinct() for t in (1, 0))
     return (train.intersect(test).withColumn("side", F.lit("both"))
             .unionByName(train.subtract(test).withColumn("side", F.lit("train_only")))
-            .unionByName(test.distinct().join(train, "level", "left_anti").withColumn("side", F.lit("test_only"))))
+            .unionByName(test.join(train, "level", "left_anti").withColumn("side", F.lit("test_only"))))
 
 
 @query("ENC-5 SCL-6", with_wide("SELECT ID, coalesce(X6, '__NA__') AS X6 FROM wide"))
@@ -263,9 +263,7 @@ def na_level(spark, sf):
 @query("ENC-6", with_wide("""SELECT ID, CAST(X2 = 'F' AS INTEGER) AS "X2_F", CAST(X2 = 'O' AS INTEGER) AS "X2_O",
     CAST(X2 = 'P' AS INTEGER) AS "X2_P" FROM wide"""))
 def one_hot(spark, sf):
-    df = wide(spark, sf, "ID", "X2")
-    levels = sorted(r["level"] for r in Levels(df, ["X2"], "ID").frame.collect())
-    return E.one_hot(df, "X2", levels).drop("X2")
+    return E.one_hot(wide(spark, sf, "ID", "X2"), "X2").drop("X2")
 
 
 @query("AGG-12", """SELECT l_orderkey, coalesce(nullif(string_agg(CAST(p AS VARCHAR), ' ' ORDER BY p), ''), 'None') AS items

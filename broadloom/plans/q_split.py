@@ -192,6 +192,6 @@ def model_compare(spark, sf):
     from broadloom.operators.search import compare_models
 
     df = wide(spark, sf, "ID", "y", "X0", "X1", "X22")
-    long = predictions_long(df).join(df.select("ID", "y"), "ID").withColumn("fold", (F.col("ID") % 5).cast("int"))
+    long = predictions_long(df, "y").withColumn("fold", (F.col("ID") % 5).cast("int"))
     scores = V.regression_metrics(long, "y", "pred", by=("fold", "model")).select("fold", "model", F.round("r2", 6).alias("r2"))
     return compare_models(scores, MODELS)

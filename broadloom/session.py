@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,8 +35,21 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise on reliable storage and drop the lineage, so a lost executor costs a re-read only."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(scratch_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write once to the shared scratch folder and go on from the written table.
+
+    This drops the lineage, survives lost executors (a re-read, not a recomputation) and, being Parquet,
+    still lets later steps read single columns."""
+    path = new_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def side_by_side(jobs, width: int = 4) -> list:
+    """Run independent driver functions that start Spark jobs, a few at a time, results in order.
+
+    Single fits leave a cluster idle between their stages; several at once fill it."""
+    jobs = list(jobs)
+    if len(jobs) < 2:
+        return [j() for j in jobs]
+    with ThreadPool(min(width, len(jobs))) as pool:
+        return pool.map(lambda j: j(), [inheritable_thread_target(j) for j in jobs])
