@@ -51,5 +51,6 @@ def side_by_side(jobs, width: int = 4) -> list:
     jobs = list(jobs)
     if len(jobs) < 2:
         return [j() for j in jobs]
+    inherit = inheritable_thread_target(SparkSession.active())
     with ThreadPool(min(width, len(jobs))) as pool:
-        return pool.map(lambda j: j(), [inheritable_thread_target(j) for j in jobs])
+        return pool.map(lambda j: j(), [inherit(j) for j in jobs])
