@@ -24,9 +24,10 @@ def fingerprint(cols) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
-def hash52(*cols, seed: int = 0) -> Column:
-    """Reproducible 52-bit integer of the values and a seed."""
-    parts = [as_col(c).cast("string") for c in cols] + [F.lit(str(seed))]
+def hash52(*cols, seed=0) -> Column:
+    """Reproducible 52-bit integer of the values and a seed (a number or an integer column)."""
+    parts = [as_col(c).cast("string") for c in cols]
+    parts.append(seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed)))
     digest = F.md5(F.concat_ws("|", *parts))
     return F.conv(F.substring(digest, 1, HASH_HEX), 16, 10).cast("bigint")
 

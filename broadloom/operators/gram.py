@@ -38,6 +38,14 @@ class Gram:
         self.names = names
         self.folds = folds
 
+    def merge(self, fold_of) -> "Gram":
+        """Add folds up under new numbers: ``fold_of(old) -> new``."""
+        out: dict[int, tuple] = {}
+        for k, (n, s, g) in self.folds.items():
+            a = out.get(fold_of(k), (0.0, 0.0, 0.0))
+            out[fold_of(k)] = (a[0] + n, a[1] + s, a[2] + g)
+        return Gram(self.names, out)
+
     def sums(self, without: int | None = None, only: int | None = None):
         parts = [v for k, v in self.folds.items() if (only is None or k == only) and k != without]
         if not parts:

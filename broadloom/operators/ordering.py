@@ -256,7 +256,7 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: int, rows_per_bucket: int
     return smallest(hashed, "__h", key, n, rows_per_bucket).drop("__h")
 
 
-def group_index(df: DataFrame, group: str, key: str, seed: int, name: str = "idx",
+def group_index(df: DataFrame, group: str, key: str, seed, name: str = "idx",
                 rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """0-based position inside each group in the order of a seeded hash of the key, plus the group size.
 

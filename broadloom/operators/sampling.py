@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from broadloom.functions.columns import HASH_SPAN, hash52, hash_fraction_below
 from broadloom.operators.lookup import lookup_join
 from broadloom.operators.ordering import exact_quantiles, group_index, hash_sample, ordered_index
+from broadloom.session import durable
 
 
 THIN_LEVEL = 1_000
@@ -72,20 +73,28 @@ def target_bins(df: DataFrame, y: str, bins: int = 5, name: str = "bin") -> Data
 
 
 def stratified_folds(df: DataFrame, key: str, y: str, k: int, times: int, seed: int, bins: int = 5) -> DataFrame:
-    """Repeated folds balanced over target bins: columns ``fold_1`` .. ``fold_<times>``."""
-    out = target_bins(df, y, bins)
-    for t in range(1, times + 1):
-        out = group_index(out, "bin", key, seed + t, "__i").withColumn(
-            f"fold_{t}", (F.col("__i") % k).cast("int")).drop("__i", "group_n")
-    return out
-
-
-def poisson_weight(key: str, bag: int, seed: int = 0) -> Column:
-    """Bootstrap count of a row in a bag: Poisson(1) by inversion of a seeded hash."""
-    u = hash52(key, seed=seed * 1_000_003 + bag)
-    out, cdf, p = F.lit(0.0), 0.0, math.exp(-1.0)
+    """Repeated folds balanced over target bins: columns ``fold_1`` .. ``fold_<times>``.
+
+    All repetitions are ranked together on a narrow (key, bin, repetition) table, so their number adds rows
+    but no further shuffles.
+    """
+    binned = target_bins(df, y, bins)
+    long = durable(binned.select(key, "bin", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("rep")))
+    long = group_index(long.withColumn("__rep_bin", F.struct("rep", "bin")), "__rep_bin", key, F.lit(seed) + F.col("rep"), "__i")
+    fold = (F.col("__i") % k).cast("int")
+    wide = long.groupBy(key).agg(*[F.max(F.when(F.col("rep") == t, fold)).alias(f"fold_{t}") for t in range(1, times + 1)])
+    return binned.join(wide, key)
+
+
+def with_poisson_weight(df: DataFrame, key: str, bag, seed: int = 0, name: str = "w") -> DataFrame:
+    """Bootstrap count of each row in a bag: Poisson(1) by inversion of one seeded hash.
+
+    ``bag`` is a number or a column."""
+    bag = F.lit(bag) if isinstance(bag, int) else bag
+    u = hash52(key, seed=F.lit(seed * 1_000_003) + bag)
+    steps, cdf, p = F.lit(0.0), 0.0, math.exp(-1.0)
     for j in range(0, 12):
         cdf += p
-        out = out + F.when(u >= F.lit(int(cdf * HASH_SPAN)), 1.0).otherwise(0.0)
+        steps = steps + F.when(F.col("__u") >= F.lit(int(cdf * HASH_SPAN)), 1.0).otherwise(0.0)
         p /= j + 1
-    return out
+    return df.withColumn("__u", u).withColumn(name, steps).drop("__u")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from broadloom.operators.linear import assemble
 from broadloom.operators.ordering import exact_quantiles
-from broadloom.operators.sampling import poisson_weight
+from broadloom.operators.sampling import with_poisson_weight
 from broadloom.session import durable, side_by_side
 
 
@@ -139,7 +139,7 @@ class BaggedModel:
 def bagged_trees(df, cols, y, key: str, bags: int = 10, max_depth: int = 4, seed: int = 1) -> BaggedModel:
     """Trees on Poisson bootstrap weights that depend on the key only."""
     def bag(b):
-        weighted = df.withColumn("w", poisson_weight(key, b, seed)).filter("w > 0")
+        weighted = with_poisson_weight(df, key, b, seed).filter("w > 0")
         return tree(weighted, cols, y, max_depth, weight="w", seed=seed + b)
 
     return BaggedModel(side_by_side([lambda b=b: bag(b) for b in range(bags)]))
@@ -220,8 +220,12 @@ def isolation_forest(df: DataFrame, cols, key: str, trees: int = 100, sample: in
     frac = min(1.0, (sample + 6 * math.sqrt(sample)) / max(n, 1))
     span = 1 << 40
     h = lambda t: F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(span))
-    picked = data.withColumn("__t", F.explode(F.filter(
-        F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: h(t) < F.lit(int(frac * span)))))
+    if trees * frac <= 1:      # large table: one hash decides whether a row is drawn at all, another for which tree
+        picked = data.filter(h(F.lit(-1)) < F.lit(int(trees * frac * span))) \
+                     .withColumn("__t", F.pmod(h(F.lit(-2)), F.lit(trees)).cast("int"))
+    else:
+        picked = data.withColumn("__t", F.explode(F.filter(
+            F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: h(t) < F.lit(int(frac * span)))))
     picked = picked.withColumn("__h", h(F.col("__t")))
     names = list(cols)
 
@@ -241,7 +245,7 @@ def isolation_forest(df: DataFrame, cols, key: str, trees: int = 100, sample: in
 
 def outlier_flags(model: IsolationModel, df: DataFrame, contamination: float = 0.1) -> DataFrame:
     """Score and -1 / 1 label; the cut is the exact (1 - contamination) quantile of the scores."""
-    scored = model.transform(df, "score")
+    scored = durable(model.transform(df, "score"))
     cut = exact_quantiles(scored, {"score": [1 - contamination]})["score"][1 - contamination]
     return scored.withColumn("flag", F.when(F.col("score") > F.lit(cut), -1).otherwise(1))
 

@@ -85,8 +85,7 @@ POISSON_STEPS = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.
        "FROM orders, (SELECT unnest([0, 1, 2]) AS bag))) WHERE w > 0 GROUP BY bag")
 def bootstrap_bags(spark, sf):
     df = orders_xy(spark, sf)
-    bags = df.select("y", F.explode(F.array(*[
-        F.struct(F.lit(b).alias("bag"), S.poisson_weight("ID", b).alias("w")) for b in range(3)])).alias("s")).select("y", "s.*")
+    bags = S.with_poisson_weight(df.withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(2)))), "ID", F.col("bag"))
     return bags.filter("w > 0").groupBy("bag").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 4).alias("drawn"),
         F.round(F.sum(F.col("w") * F.col("y")) / F.sum("w"), 4).alias("bag_mean"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from broadloom.session import new_path, side_by_side
+
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
@@ -15,9 +17,12 @@ def write_table(df: DataFrame, path: str, partition_by=()) -> None:
 
 
 def write_predictions(long: DataFrame, path: str, models: list[str], key: str = "ID") -> None:
-    """One ``<model>.csv`` table per model."""
-    for m in models:
-        write_csv(long.filter(F.col("model") == m).select(key, "pred"), f"{path}/{m}.csv")
+    """One ``<model>.csv`` table per model. The predictions are computed once and split by model on disk."""
+    stage = new_path(long.sparkSession, "predictions")
+    long.select(key, "model", "pred").write.partitionBy("model").parquet(stage)
+    split = long.sparkSession.read.schema(f"{key} bigint, pred double, model string").parquet(stage)
+    side_by_side([lambda m=m: write_csv(split.filter(F.col("model") == m).select(key, "pred"), f"{path}/{m}.csv")
+                  for m in models])
 
 
 def gate(predictions: DataFrame, metrics: DataFrame, threshold: float,

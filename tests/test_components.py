@@ -136,7 +136,7 @@ def test_folds_and_bags(spark):
         sizes = f.groupby(["bin", c]).size()
         assert sizes.max() - sizes.min() <= 1
     assert not (f["fold_1"] == f["fold_2"]).all()
-    w = df.select(S.poisson_weight("id", 3).alias("w")).toPandas()["w"]
+    w = S.with_poisson_weight(df, "id", 3).toPandas()["w"]
     assert abs(w.mean() - 1) < 0.15 and abs(w.var() - 1) < 0.3
     h = S.seeded_holdouts(df, "id", 0.2, range(4)).groupBy("seed").count().collect()
     assert len(h) == 4 and all(60 < r["count"] < 145 for r in h)
