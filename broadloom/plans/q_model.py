@@ -167,6 +167,51 @@ def gram_vectors(spark, sf):
     return spark.createDataFrame(rows, "i int, j int, value double").withColumn("value", F.round("value", 4))
 
 
+FOLD_RIDGE = """r AS (SELECT al AS alpha FROM (SELECT unnest([0.1::DOUBLE, 1, 10]) AS al)),
+tr AS (SELECT k, count(*)::DOUBLE AS n, avg(X22) AS mx, avg(y_lin) AS my, covar_pop(y_lin, X22) * count(*) AS sxy, var_pop(X22) * count(*) AS sxx
+    FROM wide, (SELECT unnest([0, 1, 2, 3, 4]) AS k) WHERE ID % 5 <> k GROUP BY k),
+mse AS (SELECT alpha, avg(e) AS e FROM (SELECT alpha, k, avg(pow(y_lin - my - sxy / (sxx + alpha) * (X22 - mx), 2)) AS e
+    FROM wide JOIN tr ON ID % 5 = k, r GROUP BY alpha, k) GROUP BY alpha)"""
+
+
+@query("REG-2", with_wide("""SELECT arg_min(alpha, e) AS alpha, round(min(e), 6) AS mse,
+    round((SELECT sxy / (sxx + (SELECT arg_min(alpha, e) FROM mse)) FROM m), 6) AS coef FROM mse""", SUMS, FOLD_RIDGE))
+def ridge_cv_simple(spark, sf):
+    df = wide(spark, sf, "ID", "X22", "y_lin").withColumn("fold", (F.col("ID") % 5).cast("int"))
+    m = L.ridge_cv(G.gram(df, ["X22"], "y_lin", "fold"))
+    return rounded(spark.createDataFrame([(m.info["alpha"], m.info["mse"], float(m.coef[0]))], "alpha double, mse double, coef double"))
+
+
+@query("REG-13", with_wide("""SELECT term, round(coef, 6) AS coef, round(se, 6) AS std_error FROM (
+    SELECT 'X22' AS term, sxy / sxx AS coef, sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx) AS se FROM m
+    UNION ALL SELECT '(intercept)', my - sxy / sxx * mx, sqrt((syy - sxy * sxy / sxx) / (n - 2) * (1 / n + mx * mx / sxx)) FROM m)""", SUMS))
+def glm_simple(spark, sf):
+    return rounded(L.glm_terms(wide(spark, sf, "X22", "y_lin"), ["X22"], "y_lin", 0.05).drop("p_value"), "term")
+
+
+def elimination_sql(cell: str, diagonal: str = "0", intercept: bool = True) -> str:
+    """Normal equations of all of X solved by Gauss-Jordan steps, one materialised table per pivot."""
+    p = len(X)
+    cols = [*X, "y_lin"]
+    pick = lambda i, j: cell.format(a=cols[i], b=cols[j])
+    ctes = ["s0 AS MATERIALIZED (" + " UNION ALL ".join(
+        f"SELECT {i} AS i, {j} AS j, {pick(i, j)}{f' + {diagonal}' if i == j else ''} AS v FROM wide"
+        for i in range(p) for j in range(p + 1)) + ")"]
+    for k in range(p):
+        ctes.append(f"""s{k + 1} AS MATERIALIZED (SELECT t.i, t.j, CASE WHEN t.i = {k} THEN t.v / p.v ELSE t.v - c.v * r.v / p.v END AS v
+            FROM s{k} t JOIN s{k} c ON c.i = t.i AND c.j = {k} JOIN s{k} r ON r.i = {k} AND r.j = t.j JOIN s{k} p ON p.i = {k} AND p.j = {k})""")
+    coef = " UNION ALL ".join(
+        f"SELECT '{c}' AS term, v AS coef FROM s{p} WHERE i = {i} AND j = {p}" for i, c in enumerate(X))
+    ctes.append(f"coef AS MATERIALIZED ({coef})")
+    base = "(SELECT avg(y_lin) FROM wide) - (" + " + ".join(
+        f"(SELECT coef FROM coef WHERE term = '{c}') * (SELECT avg({c}) FROM wide)" for c in X) + ")" if intercept else "0::DOUBLE"
+    return with_wide(f"SELECT term, round(coef, 6) AS coef FROM coef UNION ALL SELECT '(intercept)', round({base}, 6)", *ctes)
+
+
+CENTRED = "covar_pop({a}, {b}) * count(*)"
+RAW = "sum({a} * {b})::DOUBLE"
+
+
 # ---- linear fits on the planted target ----------------------------------------------------------------------
 
 def _fit(name):
@@ -179,11 +224,13 @@ def _fit(name):
 
 for _name, _ids in [("bayes_ridge", "REG-8"), ("enet", "REG-4"), ("enet_cv", "REG-4"), ("lasso", "REG-3"), ("lasso_cv", "REG-3"),
                     ("lasso_lars", "REG-6"), ("lasso_lars_cv", "REG-6"), ("lasso_lars_ic", "REG-6"), ("omp", "REG-7"),
-                    ("omp_cv", "REG-7"), ("ridge_cv", "REG-2"), ("kernel_ridge", "REG-10")]:
+                    ("omp_cv", "REG-7"), ("ridge_cv", "REG-2")]:
     query(_ids)(_fit(_name))
+query("REG-10", elimination_sql(RAW, "0.6::DOUBLE", intercept=False))(_fit("kernel_ridge"))
+query("REG-2", elimination_sql(CENTRED, "1"))(_fit("ridge"))
 
 
-@query("REG-1 PRJ-2")
+@query("REG-1 PRJ-2", elimination_sql(CENTRED))
 def ols_multi(spark, sf):
     return rounded(L.ml_linear(planted(spark, sf), X, "y_lin").table(spark), "term")
 
@@ -263,14 +310,61 @@ def ica(spark, sf):
     return _components(D.fast_ica(df.filter("train"), "x", WIDTH, 12, max_iter=100), df, 12)
 
 
-@query("LA-6")
+def _dots(make, prefix: str) -> str:
+    m = make(WIDTH, 12).matrix
+    cols = ", ".join(f"round(list_dot_product(e, [{', '.join(f'{v!r}::DOUBLE' for v in map(float, m[:, j]))}]), 6) AS {prefix}_{j + 1}"
+                     for j in range(12))
+    return f"SELECT vec_id, {cols} FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
+
+
+@query("LA-6 LA-9", _dots(D.gaussian_projection, "c"))
 def grp(spark, sf):
-    return _components(D.gaussian_projection(WIDTH, 12), vectors(spark, sf), 12)
+    return rounded(_components(D.gaussian_projection(WIDTH, 12), vectors(spark, sf), 12), "vec_id")
 
 
-@query("LA-7")
+@query("LA-7 LA-9", _dots(D.sparse_projection, "c"))
 def srp(spark, sf):
-    return _components(D.sparse_projection(WIDTH, 12), vectors(spark, sf), 12)
+    return rounded(_components(D.sparse_projection(WIDTH, 12), vectors(spark, sf), 12), "vec_id")
+
+
+# Components of two columns have a closed form: the eigenvectors of a symmetric 2 x 2 matrix (a, b; b, d).
+EIGEN_2 = """(SELECT *, b / l1 AS u1, (e1 - a) / l1 AS w1, -((e1 - a) / l1) AS u2, b / l1 AS w2 FROM (
+    SELECT *, sqrt(b * b + (e1 - a) * (e1 - a)) AS l1 FROM (
+      SELECT *, (a + d) / 2 + sqrt((a - d) * (a - d) / 4 + b * b) AS e1 FROM {src})))"""
+
+
+def two_components_sql(src: str, x: str, w: str) -> str:
+    sign = "CASE WHEN abs({u}) >= abs({w}) THEN sign({u}) ELSE sign({w}) END"
+    score = lambda u, v: f"round(({u} * {x} + {v} * {w}) * {sign.format(u=u, w=v)}, 6)"
+    return with_wide(f"SELECT ID, {score('u1', 'w1')} AS c_1, {score('u2', 'w2')} AS c_2 FROM wide, {EIGEN_2.format(src=src)}")
+
+
+def two_columns(spark, sf):
+    return wide(spark, sf, "ID", "tc", *TWO).withColumn("x", D.feature_array(TWO))
+
+
+@query("LA-2", two_components_sql("(SELECT avg(X14) AS ma, avg(X22) AS mb, var_pop(X14) AS a, var_pop(X22) AS d, covar_pop(X14, X22) AS b FROM wide WHERE tc = 1)",
+                                  "(X14 - ma)", "(X22 - mb)"))
+def pca_two(spark, sf):
+    df = two_columns(spark, sf)
+    return rounded(_components(D.pca(df.filter("tc = 1"), "x", 2), df, 2, ("ID",)), "ID")
+
+
+@query("LA-4", two_components_sql("(SELECT sum(X14 * X14)::DOUBLE AS a, sum(X22 * X22)::DOUBLE AS d, sum(X14 * X22)::DOUBLE AS b FROM wide WHERE tc = 1)",
+                                  "X14", "X22"))
+def svd_two(spark, sf):
+    df = two_columns(spark, sf)
+    return rounded(_components(D.truncated_svd(df.filter("tc = 1"), "x", 2), df, 2, ("ID",)), "ID")
+
+
+@query("LA-3", with_wide("""SELECT ID, round(abs((X14 - ma) / sa + (X22 - mb) / sb) / sqrt(2), 6) AS size_1, keep FROM wide,
+    (SELECT avg(X14) AS ma, avg(X22) AS mb, stddev_samp(X14) AS sa, stddev_samp(X22) AS sb,
+     CASE WHEN sqrt((1 - corr(X14, X22)) / (1 + corr(X14, X22))) > 0.25 THEN 2 ELSE 1 END AS keep FROM wide WHERE tc = 1)"""))
+def prcomp_two(spark, sf):
+    df = two_columns(spark, sf)
+    fitted, keep = D.pca_cut(df.filter("tc = 1"), "x", 2)
+    out = _components(fitted, df, 2, ("ID",))
+    return out.select("ID", F.round(F.abs("c_1"), 6).alias("size_1"), F.lit(keep).alias("keep"))
 
 
 @query("LA-8 PRJ-14")
@@ -312,6 +406,27 @@ def tree(spark, sf):
     return _scored(T.tree(a, X, "y_lin"), b)
 
 
+STUMP = with_wide("SELECT ID, round(m, 6) AS pred FROM wide JOIN (SELECT X14 AS g, avg(y_lin) AS m FROM wide WHERE tc = 1 GROUP BY X14) ON X14 = g WHERE tc = 0")
+
+
+def _stump(fit):
+    """One 0/1 column: every sound tree method predicts the training mean of its value."""
+    def run(spark, sf):
+        df = wide(spark, sf, "ID", "tc", "X14", "y_lin")
+        return fit(df.filter("tc = 1")).transform(df.filter("tc = 0")).select("ID", F.round("pred", 6).alias("pred"))
+    return run
+
+
+for _name, _ids, _one in [
+        ("tree_stump", "REG-15", lambda d: T.tree(d, ["X14"], "y_lin", 1)),
+        ("forest_stump", "REG-16 REG-17", lambda d: T.forest(d, ["X14"], "y_lin", trees=3, max_depth=1, mtry="all", bootstrap=False)),
+        ("gbt_stump", "REG-18", lambda d: T.boosted(d, ["X14"], "y_lin", rounds=2, max_depth=1)),
+        ("adaboost_stump", "REG-21", lambda d: T.adaboost_r2(d, ["X14"], "y_lin", "ID", rounds=1, max_depth=1))]:
+    _run = _stump(_one)
+    _run.__name__ = _name
+    query(_ids, STUMP)(_run)
+
+
 @query("REG-16")
 def forest(spark, sf):
     a, b = halves(spark, sf)
