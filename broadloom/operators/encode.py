@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 from broadloom.functions.columns import (
     case_map, extract_number, fingerprint, is_value, longest_run, row_mean, row_sum, safe_log)
 from broadloom.operators.lookup import Levels, lookup_join
+from broadloom.operators.profile import constant_columns
+from broadloom.session import durable
 
 NA_LEVEL = "__NA__"
 
@@ -44,6 +46,17 @@ def frequency_encode(df: DataFrame, cols, key: str, train=None, scope: str = "un
     return reduce(lambda d, c: levels.attach(d, c, **{f"{c}_freq": source}), cols, df)
 
 
+def prepare(df: DataFrame, strings, numbers, key: str, train) -> tuple[DataFrame, list[str]]:
+    """Layer-1 preparation over train and test together: label and frequency codes replace the string columns,
+    and features constant in train go. Returns the written table and the feature names."""
+    levels = Levels(df, strings, key, train).number()
+    out = label_encode(df, strings, key, levels=levels)
+    out = durable(frequency_encode(out, strings, key, levels=levels).drop(*strings))
+    features = [*numbers, *[f"{c}_code" for c in strings], *[f"{c}_freq" for c in strings]]
+    flat = constant_columns(out.filter(train), features)
+    return out.drop(*flat), [c for c in features if c not in flat]
+
+
 def first_seen_encode(df: DataFrame, cols, key: str, drop: bool = True) -> DataFrame:
     """1-based code by first appearance in key order; the source columns can be dropped."""
     levels = Levels(df, cols, key).number(by="first_key", start=1)

@@ -26,11 +26,11 @@ def pooled_r2(g: Gram, fit) -> float:
 
 
 def grid_trials(g: Gram, y: str, columns, fit, z_values, j_values, stop_above: float | None = None):
-    """Trial per (z, j): ``columns(z, j)`` names the features. One pass over the rows served them all;
-    the loop ends early once a trial beats ``stop_above``."""
+    """Trial per (z, j): ``columns(z, j)`` names the features, ``fit(moments, z, j)`` the coefficients. One pass
+    over the rows served them all; the loop ends early once a trial beats ``stop_above``."""
     rows = []
     for trial, (z, j) in enumerate(product(z_values, j_values)):
-        r2 = pooled_r2(g.pick(columns(z, j), y), fit)
+        r2 = pooled_r2(g.pick(columns(z, j), y), lambda m: fit(m, z, j))
         rows.append((trial, z, j, float(r2)))
         if stop_above is not None and r2 > stop_above:
             break

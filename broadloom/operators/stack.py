@@ -69,8 +69,11 @@ def score_folds(df: DataFrame, models, fold: str | None = None) -> DataFrame:
                .withColumn("mean_pred", F.element_at("__all", -1)).drop("__all")
     else:
         names = [f"__p{i}" for i in range(len(models))]
-        for n, m in zip(names, models):
-            df = m.transform(df, n)
+        if all(isinstance(m, T.TreeModel) and m.cols == models[0].cols for m in models):
+            df = T.predict_many(models, df, names)
+        else:
+            for n, m in zip(names, models):
+                df = m.transform(df, n)
         df = df.withColumn("preds", F.array(*names)).withColumn("mean_pred", _mean(names)).drop(*names)
     return df.withColumn("oof_pred", F.element_at("preds", F.col(fold) + 1)) if fold else df
 

@@ -26,16 +26,21 @@ class TreeModel:
     info: dict = field(default_factory=dict)
 
     def transform(self, df: DataFrame, out: str = "pred") -> DataFrame:
-        x = VectorAssembler(inputCols=self.cols, outputCol="__features", handleInvalid="keep").transform(df)
-        model = self.model.copy()
-        model.setFeaturesCol("__features").setPredictionCol("__pred")
-        return model.transform(x).withColumn(out, F.col("__pred") + F.lit(self.base)).drop("__features", "__pred")
+        return predict_many([self], df, [out])
 
     def importances(self, spark) -> DataFrame:
         v = self.model.featureImportances.toArray()
         return spark.createDataFrame([(c, float(x)) for c, x in zip(self.cols, v)], "feature string, importance double")
 
 
+def predict_many(models: list[TreeModel], df: DataFrame, names: list[str]) -> DataFrame:
+    """One prediction column per model, over one assembled vector."""
+    out = VectorAssembler(inputCols=models[0].cols, outputCol="__features", handleInvalid="keep").transform(df)
+    for m, name in zip(models, names):
+        out = m.model.copy().setFeaturesCol("__features").setPredictionCol(name).transform(out)
+    return out.withColumns({n: F.col(n) + F.lit(m.base) for m, n in zip(models, names) if m.base}).drop("__features")
+
+
 def tree(df, cols, y, max_depth: int = 5, weight: str | None = None, seed: int = 1) -> TreeModel:
     data = assemble(df, cols, y)
     est = DecisionTreeRegressor(maxDepth=max_depth, seed=seed)
@@ -81,8 +86,7 @@ class AdaBoostModel:
 
     def transform(self, df: DataFrame, out: str = "pred") -> DataFrame:
         """Weighted median of the trees, all inside one projection over the tree predictions."""
-        for i, m in enumerate(self.models):
-            df = m.transform(df, f"__t{i}")
+        df = predict_many(self.models, df, [f"__t{i}" for i in range(len(self.models))])
         pairs = F.array_sort(F.array(*[
             F.struct(F.col(f"__t{i}").alias("p"), F.lit(float(w)).alias("w")) for i, w in enumerate(self.weights)]))
         half = 0.5 * sum(self.weights)
@@ -101,11 +105,12 @@ def adaboost_r2(df, cols, y, key: str, rounds: int = 300, learning_rate: float =
                 seed: int = 1337, cut_every: int = 5) -> AdaBoostModel:
     """AdaBoost.R2 with linear loss and weighted tree fits. Table and row weights are
     written to the scratch folder at the start and every few rounds, which keeps the plan short."""
-    work = durable(df.select(key, F.col(y).cast("double").alias(y), *cols).withColumn("w", F.lit(1.0)))
+    work = durable(assemble(df, cols, y).select(key, "label", "features").withColumn("w", F.lit(1.0)))
     models, weights = [], []
     for r in range(rounds):
-        m = tree(work, cols, y, max_depth, weight="w", seed=seed + r)
-        scored = m.transform(work, "__p").withColumn("__e", F.abs(F.col(y) - F.col("__p")))
+        fitted = DecisionTreeRegressor(maxDepth=max_depth, seed=seed + r, weightCol="w", predictionCol="__p").fit(work)
+        m = TreeModel(fitted, list(cols))
+        scored = fitted.transform(work).withColumn("__e", F.abs(F.col("label") - F.col("__p")))
         row = scored.agg(F.max("__e").alias("top"), F.sum(F.col("w") * F.col("__e")).alias("we"), F.sum("w").alias("w")).first()
         if not row["top"]:
             models.append(m), weights.append(1.0)
@@ -129,9 +134,8 @@ class BaggedModel:
     models: list[TreeModel]
 
     def transform(self, df: DataFrame, out: str = "pred") -> DataFrame:
-        for i, m in enumerate(self.models):
-            df = m.transform(df, f"__t{i}")
         names = [f"__t{i}" for i in range(len(self.models))]
+        df = predict_many(self.models, df, names)
         total = sum((F.col(c) for c in names[1:]), F.col(names[0]))
         return df.withColumn(out, total / F.lit(float(len(names)))).drop(*names)
 

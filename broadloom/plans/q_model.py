@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import RFormula
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
 from broadloom.operators import (
     decompose as D, encode as E, evaluate as V, gram as G, linear as L, sampling as S, search as H, stack as K, trees as T)
-from broadloom.operators.lookup import Levels
 from broadloom.operators.ordering import contiguous_folds
-from broadloom.operators.profile import constant_columns
 from broadloom.plans.fixtures import FLAGS, table, wide, with_wide
 from broadloom.plans.q_relational import MODELS, PREDS_WIDE_CTE, predictions_long
+from broadloom.plans.q_split import POISSON_STEPS as POISSON_CDF
 from broadloom.plans.registry import query
 from broadloom.session import durable, new_path
 from broadloom.sources import writers as Wr
@@ -396,7 +395,7 @@ def _scored(model, df, y="y_lin") -> DataFrame:
 
 
 def halves(spark, sf, y: str = "y_lin"):
-    df = planted(spark, sf, y)
+    df = durable(planted(spark, sf, y))
     return df.filter("tc = 1"), df.filter("tc = 0")
 
 
@@ -447,7 +446,7 @@ def gbt(spark, sf):
 
 @query("REG-19")
 def gbt_early(spark, sf):
-    df = planted(spark, sf)
+    df = durable(planted(spark, sf))
     a = S.holdout(df.filter("tc = 1"), "ID", 0.2, 0)
     return _scored(T.boosted(a, X, "y_lin", rounds=20, step=0.3, validation="holdout"), df.filter("tc = 0"))
 
@@ -472,7 +471,7 @@ def bagging(spark, sf):
 
 @query("REG-23")
 def iforest_flag(spark, sf):
-    df = planted(spark, sf, "y_out").drop("fold")
+    df = durable(planted(spark, sf, "y_out").drop("fold"))
     model = T.isolation_forest(df, ["y_out", "X22", "X14"], "ID")
     return T.outlier_flags(model, df).select("ID", F.round("score", 6).alias("score"), "flag")
 
@@ -565,13 +564,7 @@ def gated_predictions(spark, sf):
     pass, keep the test predictions of the models that pass the gate."""
     names = ["X0", "X1", "X2", "X5"]
     df = wide(spark, sf, "ID", "tc", *names, *X, "X18", "y_lin")
-    levels = Levels(df, names, "ID", F.col("tc") == 1).number()
-    df = E.label_encode(df, names, "ID", levels=levels)
-    df = E.frequency_encode(df, names, "ID", levels=levels).drop(*names)
-    df = durable(df)
-    feats = [c for c in df.columns if c not in ("ID", "tc", "y_lin")]
-    flat = constant_columns(df.filter("tc = 1"), feats)
-    feats = [c for c in feats if c not in flat]
+    df, feats = E.prepare(df, names, [*X, "X18"], "ID", F.col("tc") == 1)
     train = contiguous_folds(df.filter("tc = 1"), "ID", 5)
     test = df.filter("tc = 0")
     _, preds, metrics = K.run_registry(train, test, feats, "y_lin", "ID", 5, list(K.GRAM_LEARNERS))
@@ -596,7 +589,7 @@ def grid_search(spark, sf):
     df = D.append_components(D.sparse_projection(WIDTH, 8).transform(df, "x"), "srp", 8)
     names = [f"pca_{i}" for i in range(1, 9)] + [f"srp_{i}" for i in range(1, 9)]
     g = G.gram(df, names, "label", "fold")
-    rows = H.grid_trials(g, "label", lambda z, j: names[:z] + names[8:8 + j], lambda m: L.ridge_solve(m, 1.0),
+    rows = H.grid_trials(g, "label", lambda z, j: names[:z] + names[8:8 + j], lambda m, z, j: L.ridge_solve(m, 1.0),
                          range(1, 9), range(1, 9), stop_above=0.99)
     path = new_path(spark, "grid")
     Wr.log_trials(H.trial_frame(spark, rows), path)
@@ -606,7 +599,7 @@ def grid_search(spark, sf):
 @query("SRH-2 SMP-6")
 def cv_one_se(spark, sf):
     """Ridge penalties on repeated target-stratified folds; the strongest penalty within one standard error wins."""
-    df = S.stratified_folds(planted(spark, sf).drop("fold"), "ID", "y_lin", 5, 3, 17)
+    df = S.stratified_folds(durable(planted(spark, sf).drop("fold")), "ID", "y_lin", 5, 3, 17)
     cells = G.gram(df.withColumn("cell", F.expr("fold_1 * 25 + fold_2 * 5 + fold_3")), X, "y_lin", "cell")
     grams = {t: cells.merge(lambda c, t=t: c // 5 ** (3 - t) % 5) for t in (1, 2, 3)}
     alphas = [0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0]
@@ -617,7 +610,7 @@ def cv_one_se(spark, sf):
 
 @query("SRH-2 UDF-1 REG-16")
 def tune_forest(spark, sf):
-    df = planted(spark, sf).withColumn("fold", (F.col("ID") % 3).cast("int"))
+    df = durable(planted(spark, sf)).withColumn("fold", (F.col("ID") % 3).cast("int"))
     est = RandomForestRegressor(numTrees=8, maxDepth=5, seed=1)
     grid = ParamGridBuilder().addGrid(est.featureSubsetStrategy, ["2", "4", "all"]).build()
     model = H.tuned(df, X, "y_lin", est, grid, "fold")
@@ -627,8 +620,109 @@ def tune_forest(spark, sf):
 
 @query("EVL-7 WIN-7 REG-18")
 def cv_curve(spark, sf):
-    df = planted(spark, sf).withColumn("fold", (F.col("ID") % 3).cast("int"))
+    df = durable(planted(spark, sf)).withColumn("fold", (F.col("ID") % 3).cast("int"))
     curve = H.round_curve(df, X, "y_lin", "fold", 3, rounds=10, step=0.3, max_depth=3)
     mean = curve.groupBy("round").agg(F.avg("rmse").alias("rmse")).withColumn("fold", F.lit(0))
     best = V.early_stop(mean, "rmse", 3).select("stop_round", "best_round", F.round("best_metric", 4).alias("best_metric"))
     return best
+
+
+# ---- small cases of the searches and ensembles that SQL can follow ----------------------------------------------
+
+PREP = ["X0", "X2", "X5"]
+
+
+@query("UDF-5 ENC-1 ENC-2 PRF-1", with_wide("SELECT w.ID, w.tc, w.X14, " + ", ".join(
+    f"{c}_code, count(*) OVER (PARTITION BY w.{c}) AS {c}_freq" for c in PREP) + " FROM wide w" + "".join(
+    f""" JOIN (SELECT {c} AS v, CAST(row_number() OVER (ORDER BY {c}) - 1 AS INTEGER) AS {c}_code FROM wide GROUP BY {c}) d{c} ON d{c}.v = w.{c}"""
+    for c in PREP)))
+def prepared_table(spark, sf):
+    out, _ = E.prepare(wide(spark, sf, "ID", "tc", "X14", "X18", *PREP), PREP, ["X14", "X18"], "ID", F.col("tc") == 1)
+    return out
+
+
+@query("LA-10 PRJ-5", two_components_sql("(SELECT avg(X14) AS ma, avg(X22) AS mb, var_pop(X14) AS a, var_pop(X22) AS d, covar_pop(X14, X22) AS b FROM wide WHERE tc = 1)",
+                                         "(X14 - ma)", "(X22 - mb)").replace("SELECT ID, round", "SELECT ID, tc, round", 1))
+def comps_two(spark, sf):
+    df = two_columns(spark, sf)
+    return rounded(_components(D.pca(df.filter("tc = 1"), "x", 2), df, 2, df.columns[0:2]), "ID", "tc")
+
+
+@query("REG-24", with_wide("""SELECT feature, CAST(gain = max(gain) OVER () AS INTEGER)::DOUBLE AS importance FROM (
+    SELECT 'X14' AS feature, pow(corr(X14, y_lin), 2) AS gain FROM wide WHERE tc = 1
+    UNION ALL SELECT 'X15', pow(corr(X15, y_lin), 2) FROM wide WHERE tc = 1
+    UNION ALL SELECT 'X16', pow(corr(X16, y_lin), 2) FROM wide WHERE tc = 1)"""))
+def importance_stump(spark, sf):
+    a, _ = halves(spark, sf)
+    return T.tree(a, ["X14", "X15", "X16"], "y_lin", 1).importances(spark)
+
+
+@query("REG-19", with_wide(f"""SELECT ID, round(m, 6) AS pred FROM wide JOIN (SELECT X14 AS g, avg(y_lin) AS m FROM wide
+    WHERE tc = 1 AND ('0x' || substr(md5(ID || '|0'), 1, 13))::BIGINT >= {int(round(0.2 * (1 << 52)))} GROUP BY X14) ON X14 = g WHERE tc = 0"""))
+def gbt_early_stump(spark, sf):
+    a, b = halves(spark, sf)
+    model = T.boosted(S.holdout(a, "ID", 0.2, 0), ["X14"], "y_lin", rounds=5, max_depth=1, validation="holdout")
+    return model.transform(b).select("ID", F.round("pred", 6).alias("pred"))
+
+
+BAG_STEPS = " + ".join(f"CAST(h >= {int(c * (1 << 52))} AS INTEGER)" for c in POISSON_CDF)
+
+
+@query("REG-22 SMP-8", with_wide(f"""SELECT ID, round(m, 6) AS pred FROM wide JOIN (SELECT g, avg(m) AS m FROM (
+      SELECT bag, X14 AS g, sum(w * y_lin) / sum(w) AS m FROM (SELECT bag, X14, y_lin, {BAG_STEPS} AS w FROM (
+        SELECT bag, X14, y_lin, ('0x' || substr(md5(ID || '|' || (1000003 + bag)), 1, 13))::BIGINT AS h
+        FROM wide, (SELECT unnest([0, 1, 2]) AS bag) WHERE tc = 1)) GROUP BY bag, X14) GROUP BY g) ON X14 = g WHERE tc = 0"""))
+def bagging_stump(spark, sf):
+    a, b = halves(spark, sf)
+    return T.bagged_trees(a, ["X14"], "y_lin", "ID", bags=3, max_depth=1).transform(b).select("ID", F.round("pred", 6).alias("pred"))
+
+
+@query("ENS-4 UDF-4", STUMP.replace("round(m, 6)", "round(m, 3)"))
+def stack_stump(spark, sf):
+    """A tree's prediction put in front of the features of a linear fit."""
+    a, b = (L.assemble(d, ["X14"], "y_lin") for d in halves(spark, sf))
+    chain = Pipeline(stages=[K.PredictionFeature(DecisionTreeRegressor(maxDepth=1)),
+                             LinearRegression(solver="l-bfgs", tol=1e-12, maxIter=500)])
+    return chain.fit(a).transform(b).select("ID", F.round("prediction", 3).alias("pred"))
+
+
+@query("ENS-5 SRH-3 UDF-6", with_wide("""SELECT ID, round(mb + mc * ((SELECT avg(a) FROM f) + (SELECT avg(b) FROM f) * X22), 4) AS pred FROM wide,
+    (SELECT regr_slope(y, o) AS mc, regr_intercept(y, o) AS mb FROM (SELECT y_lin AS y, a + b * X22 AS o FROM wide JOIN f ON ID // 2 % 5 = k WHERE tc = 1))
+    WHERE tc = 0""", FOLD_LINE))
+def super_learner_line(spark, sf):
+    df = wide(spark, sf, "ID", "tc", "X22", "y_lin").withColumn("fold", F.expr("cast(ID div 2 % 5 as int)"))
+    _, test, _ = K.super_learner(df.filter("tc = 1"), df.filter("tc = 0"), ["X22"], "y_lin", "ID", 5, ["ols"], "ols")
+    return test.select("ID", F.round("pred", 4).alias("pred"))
+
+
+GRID_COLS = ["X14", "X16", "X22"]
+GRID_SQL = with_wide("""SELECT CAST(z * 2 + CAST(j > 0 AS INTEGER) AS INTEGER) AS trial, z, j, round(1 - sum(e) / any_value(sst), 6) AS metric FROM (
+      SELECT xs.z AS z, j, pow(y_lin - my - sxy / (sxx + j) * (x - mx), 2) AS e, (SELECT var_pop(y_lin) * count(*) FROM wide) AS sst
+      FROM xs JOIN tr ON xs.z = tr.z AND xs.fold = tr.k, (SELECT unnest([0, 1000])::INTEGER AS j)) GROUP BY z, j""",
+    "xs AS (" + " UNION ALL ".join(f"SELECT {i}::INTEGER AS z, ID % 5 AS fold, {c} AS x, y_lin FROM wide" for i, c in enumerate(GRID_COLS)) + ")",
+    """tr AS (SELECT z, k, avg(x) AS mx, avg(y_lin) AS my, covar_pop(y_lin, x) * count(*) AS sxy, var_pop(x) * count(*) AS sxx
+       FROM xs, (SELECT unnest([0, 1, 2, 3, 4]) AS k) WHERE fold <> k GROUP BY z, k)""")
+
+
+@query("SRH-1", GRID_SQL)
+def grid_lines(spark, sf):
+    df = wide(spark, sf, "ID", *GRID_COLS, "y_lin").withColumn("fold", (F.col("ID") % 5).cast("int"))
+    rows = H.grid_trials(G.gram(df, GRID_COLS, "y_lin", "fold"), "y_lin", lambda z, j: [GRID_COLS[z]],
+                         lambda m, z, j: L.ridge_solve(m, float(j)), range(3), (0, 1000))
+    return rounded(H.trial_frame(spark, rows), "trial", "z", "j")
+
+
+ONE_SE_ALPHAS = [1.0, 1000.0, 10000.0, 100000.0, 1000000.0]
+
+
+@query("SRH-2 SMP-6", with_wide(f"""SELECT alpha, round(m, 6) AS mean_r2, round(se, 6) AS se FROM (
+      SELECT alpha, avg(r2) AS m, stddev_samp(r2) / sqrt(count(*)) AS se FROM (
+        SELECT alpha, k, 1 - sum(pow(y_lin - my - sxy / (sxx + alpha) * (X22 - mx), 2)) / (var_pop(y_lin) * count(*)) AS r2
+        FROM wide JOIN tr ON ID % 5 = k, (SELECT unnest([{', '.join(f'{a}::DOUBLE' for a in ONE_SE_ALPHAS)}]) AS alpha) GROUP BY alpha, k) GROUP BY alpha)
+    QUALIFY m >= max_by(m - se, m) OVER () ORDER BY alpha DESC LIMIT 1""", FOLD_RIDGE))
+def one_se_line(spark, sf):
+    df = wide(spark, sf, "ID", "X22", "y_lin").withColumn("fold", (F.col("ID") % 5).cast("int"))
+    rows = H.resampled_trials({0: G.gram(df, ["X22"], "y_lin", "fold")}, ONE_SE_ALPHAS, lambda a: lambda m: L.ridge_solve(m, a))
+    log = spark.createDataFrame(rows, "config int, alpha double, rep int, fold int, r2 double")
+    best = V.one_se_choice(log.withColumn("simple", -F.col("alpha")), "config", "r2", "simple")
+    return best.select((-F.col("complexity")).alias("alpha"), F.round("mean_metric", 6).alias("mean_r2"), F.round("se", 6).alias("se"))

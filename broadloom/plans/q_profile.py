@@ -12,6 +12,7 @@ from broadloom.operators.lookup import Levels
 from broadloom.plans.fixtures import FLAGS, LEVELS, wide, with_wide
 from broadloom.plans.q_relational import MODELS, PREDS_WIDE_CTE, predictions_long
 from broadloom.plans.registry import query
+from broadloom.session import durable
 
 NUMBERS = ["y", *FLAGS, "X18", "X21", "X22", "X23"]
 
@@ -125,7 +126,7 @@ def standardize(spark, sf):
     coalesce(part, (SELECT median(part) FROM (SELECT CASE WHEN ID % 11 <> 0 THEN y END AS part FROM wide WHERE tc = 1))) AS part
     FROM (SELECT *, CASE WHEN ID % 11 <> 0 THEN y END AS part FROM wide)"""))
 def impute_median(spark, sf):
-    df = wide(spark, sf, "ID", "tc", "y", "X23").withColumn("part", F.when(F.col("ID") % 11 != 0, F.col("y")))
+    df = durable(wide(spark, sf, "ID", "tc", "y", "X23").withColumn("part", F.when(F.col("ID") % 11 != 0, F.col("y"))))
     return P.impute_median(df, ["X23", "part"], df.filter("tc = 1")).select("ID", "X23", "part")
 
 

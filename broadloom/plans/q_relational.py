@@ -10,7 +10,7 @@ from broadloom.operators.lookup import Levels, lookup_join
 from broadloom.operators.ordering import hash_sample, rank_slice
 from broadloom.plans.fixtures import FLAGS, dup_source, table, wide, with_wide
 from broadloom.plans.registry import query
-from broadloom.session import new_path
+from broadloom.session import durable, new_path
 from broadloom.sources import readers as R, writers as Wr
 
 DUP_FEATURES = ["l_returnflag", "l_linestatus", "l_linenumber", "qty"]
@@ -57,6 +57,7 @@ def json_flatten(spark, sf):
 
 def predictions_long(df: DataFrame, *keep: str) -> DataFrame:
     """Three closed-form predictors of y: mean by X0, mean by X1, straight line in X22."""
+    df = durable(df)
     line = df.agg(F.regr_slope("y", "X22").alias("b"), F.regr_intercept("y", "X22").alias("a")).first()
     slope, base = line["b"] or 0.0, line["a"] if line["a"] is not None else 0.0
     out = df

@@ -188,7 +188,7 @@ def test_blend_checks_weights(spark):
 
 def test_grid_stops_early(data):
     *_, g = data
-    rows = H.grid_trials(g, "y", lambda z, j: COLS[:z], L.ols_solve, [1, 6], [1, 2], stop_above=0.9)
+    rows = H.grid_trials(g, "y", lambda z, j: COLS[:z], lambda m, z, j: L.ols_solve(m), [1, 6], [1, 2], stop_above=0.9)
     assert len(rows) == 3 and rows[-1][3] > 0.9
 
 
