@@ -94,7 +94,9 @@ def one_se_choice(trials: DataFrame, config: str, metric: str, complexity: str)
     per = trials.groupBy(config).agg(
         F.avg(metric).alias("mean_metric"), F.first(complexity).alias("complexity"),
         (F.stddev_samp(metric) / F.sqrt(F.count(metric))).alias("se"))
-    best = per.agg(F.max_by(F.struct("mean_metric", "se"), "mean_metric").alias("b"))
-    ok = per.join(F.broadcast(best), F.col("mean_metric") >= F.col("b.mean_metric") - F.coalesce("b.se", F.lit(0.0)))
+    best = per.agg(F.max_by(F.struct("mean_metric", "se"), "mean_metric").alias("b")).first()["b"]
+    if best is None:
+        return per.select(config, "complexity", "mean_metric", "se").limit(0)
+    ok = per.filter(F.col("mean_metric") >= F.lit(best["mean_metric"] - (best["se"] or 0.0)))
     return ok.orderBy("complexity", F.desc("mean_metric"), config).limit(1).select(
         config, "complexity", "mean_metric", "se")

@@ -79,16 +79,20 @@ def identical_columns(df: DataFrame, cols, key: str) -> list[tuple[str, str]]:
     """
     cols = list(cols)
     as_text = {c: F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in cols}
-    sums = df.agg(*[F.bit_xor(F.xxhash64(F.lit(s), F.col(key), as_text[c])).alias(f"s{s}_{i}")
-                    for i, c in enumerate(cols) for s in (1, 2)]).first()
+    cells = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), *[F.xxhash64(F.lit(s), F.col(key), as_text[c]).alias(f"s{s}") for s in (1, 2)])
+        for i, c in enumerate(cols)])).alias("s")).select("s.*")
+    sums = cells.groupBy("i").agg(F.bit_xor("s1").alias("s1"), F.bit_xor("s2").alias("s2")).collect()
     groups: dict[tuple, list[str]] = {}
-    for i, c in enumerate(cols):
-        groups.setdefault((sums[f"s1_{i}"], sums[f"s2_{i}"]), []).append(c)
+    for r in sorted(sums, key=lambda r: r["i"]):
+        groups.setdefault((r["s1"], r["s2"]), []).append(cols[r["i"]])
     pairs = [(g[0], d) for g in groups.values() for d in g[1:]]
     if not pairs:
         return []
-    ok = df.agg(*[F.bool_and(as_text[a] == as_text[b]).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
-    return [p for i, p in enumerate(pairs) if ok[f"p{i}"]]
+    equal = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), (as_text[a] == as_text[b]).alias("e")) for i, (a, b) in enumerate(pairs)])).alias("s"))
+    ok = {r["i"] for r in equal.groupBy("s.i").agg(F.bool_and("s.e").alias("e")).filter("e").collect()}
+    return [p for i, p in enumerate(pairs) if i in ok]
 
 
 def correlated_columns(corr, cols, cut: float = 0.95) -> list[str]:

@@ -6,6 +6,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, functions as F
 
 from broadloom.operators.gram import gram
+from broadloom.session import durable
 
 
 def transactions(df: DataFrame, flags, key: str) -> DataFrame:
@@ -82,7 +83,7 @@ def association_residuals(df: DataFrame, a: str, b: str, per_chunk: int = 1_000)
 
     Levels of ``b`` travel in chunks of about ``per_chunk``, so neither side needs to fit in one place.
     """
-    cells = contingency(df, a, b).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    cells = durable(contingency(df, a, b).filter(F.col(a).isNotNull() & F.col(b).isNotNull()))
     rows = cells.groupBy(a).agg(F.sum("n").alias("na"))
     cols = cells.groupBy(b).agg(F.sum("n").alias("nb"))
     size = cols.agg(F.count(F.lit(1)).alias("k"), F.sum("nb").alias("t")).first()

@@ -7,10 +7,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
+from broadloom.operators.gram import batch_matrix
 from broadloom.operators.linear import assemble
 from broadloom.operators.ordering import exact_quantiles
 from broadloom.operators.sampling import with_poisson_weight
@@ -197,9 +199,9 @@ class IsolationModel:
         norm = max(_average_path(self.psi), 1e-12)
         width = len(self.cols)
 
-        @F.pandas_udf("double")
-        def score(x: pd.Series) -> pd.Series:
-            m = np.vstack(x.to_numpy()).reshape(-1, width) if len(x) else np.zeros((0, width))
+        @F.arrow_udf("double")
+        def score(x: pa.Array) -> pa.Array:
+            m = batch_matrix(x, width)
             total = np.zeros(len(m))
             for f, t, l, r, d in trees:
                 at = np.zeros(len(m), dtype=np.int64)
@@ -210,7 +212,7 @@ class IsolationModel:
                     a = at[inner]
                     at[inner] = np.where(m[inner, f[a]] <= t[a], l[a], r[a])
                 total += d[at]
-            return pd.Series(np.power(2.0, -total / len(trees) / norm))
+            return pa.array(np.power(2.0, -total / len(trees) / norm))
 
         return df.withColumn(out, score(F.array(*[F.col(c).cast("double") for c in self.cols])))
 

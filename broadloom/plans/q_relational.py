@@ -249,8 +249,8 @@ def collapse_levels(spark, sf):
     UNION ALL SELECT DISTINCT X4, 'train_only' FROM wide WHERE X4 NOT IN (SELECT X4 FROM wide WHERE tc = 0)
     UNION ALL SELECT DISTINCT X4, 'test_only' FROM wide WHERE X4 NOT IN (SELECT X4 FROM wide WHERE tc = 1))"""))
 def level_sets(spark, sf):
-    df = wide(spark, sf, "tc", "X4").withColumnRenamed("X4", "level")
-    train, test = (df.filter(f"tc = {t}").select("level").distinct() for t in (1, 0))
+    levels = durable(wide(spark, sf, "tc", "X4").withColumnRenamed("X4", "level").distinct())
+    train, test = (levels.filter(f"tc = {t}").select("level") for t in (1, 0))
     return (train.intersect(test).withColumn("side", F.lit("both"))
             .unionByName(train.subtract(test).withColumn("side", F.lit("train_only")))
             .unionByName(test.join(train, "level", "left_anti").withColumn("side", F.lit("test_only"))))
