@@ -102,13 +102,14 @@ def correlated_columns(corr, cols, cut: float = 0.95) -> list[str]:
 
 
 def greedy_correlation_filter(corr, cols, cut: float = 0.9) -> list[str]:
-    """Visit pairs above |cut| from the column with the largest mean |r| down; drop that column."""
+    """Visit pairs above |cut| from the column with the largest mean |r| down; drop the one of the pair with the
+    larger mean |r|, the later column when the means are equal up to rounding noise."""
     import numpy as np
 
     a = np.abs(np.nan_to_num(np.array(corr, dtype=float)))
     np.fill_diagonal(a, np.nan)
     alive = np.ones(len(cols), bool)
-    order = np.argsort(-np.nanmean(a, axis=1), kind="stable")
+    order = np.argsort(-np.round(np.nanmean(a, axis=1), 9), kind="stable")
     dropped = []
     for pos, i in enumerate(order):
         for j in order[pos + 1:]:
@@ -118,7 +119,7 @@ def greedy_correlation_filter(corr, cols, cut: float = 0.9) -> list[str]:
                 live = alive.copy()
                 mean_i = np.nanmean(a[i][live])
                 mean_j = np.nanmean(a[j][live])
-                lose = i if mean_i > mean_j else j
+                lose = max(i, j) if abs(mean_i - mean_j) < 1e-9 else i if mean_i > mean_j else j
                 alive[lose] = False
                 dropped.append(cols[lose])
     return dropped
