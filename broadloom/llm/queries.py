@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from broadloom.llm import decontaminate, url_filter
+from broadloom.llm import decontaminate, near_dup, url_filter
 from broadloom.llm.common import table
 from broadloom.llm.registry import TEXT_QUERIES, text_query  # noqa: F401
 
@@ -45,3 +45,8 @@ def op3_decontamination(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return decontaminate.mark_contaminated(docs, table(spark, sf, "benchmark")).select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@text_query()
+def op7_near_dup(spark, sf):
+    return near_dup.group_near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
