@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from broadloom.llm import decontaminate, near_dup, url_filter
-from broadloom.llm.common import table
+from broadloom.llm import decontaminate, near_dup, toxicity, url_filter
+from broadloom.llm.common import crc_mod, table
 from broadloom.llm.registry import TEXT_QUERIES, text_query  # noqa: F401
 
 #: Fixed by the contract of the query.
@@ -50,3 +50,20 @@ def op3_decontamination(spark, sf):
 @text_query()
 def op7_near_dup(spark, sf):
     return near_dup.group_near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+#: Fixed by the contract: the score from which a document counts as toxic, and the held-out quarter.
+TOXIC_FROM = 0.3
+
+
+def toxicity_model(spark, docs, sf):
+    """The machine, fitted on the labelled rows outside the held-out quarter."""
+    return toxicity.fit_toxicity(docs, table(spark, sf, "labels"), crc_mod(F.col("doc_id"), 4) != 2)
+
+
+@text_query()
+def op6_toxicity(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = toxicity.score_toxicity(docs, toxicity_model(spark, docs, sf), name="score")
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
+                         (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
