@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
-from broadloom.llm import decontaminate, near_dup, toxicity, url_filter
+from broadloom.llm import decontaminate, near_dup, packing, toxicity, url_filter
 from broadloom.llm.common import crc_mod, table
 from broadloom.llm.registry import TEXT_QUERIES, text_query  # noqa: F401
 
+#: Folder of the public vocabularies; each executor has it.
+TOKENIZERS = os.environ.get("BROADLOOM_TOKENIZERS", "/opt/tokenizers")
+
 #: Fixed by the contract of the query.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -67,3 +72,9 @@ def op6_toxicity(spark, sf):
     scored = toxicity.score_toxicity(docs, toxicity_model(spark, docs, sf), name="score")
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
                          (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
+@text_query()
+def op5_packing(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
