@@ -6,8 +6,9 @@ import os
 
 from pyspark.sql import functions as F
 
-from broadloom.llm import decontaminate, near_dup, packing, toxicity, url_filter
+from broadloom.llm import decontaminate, html_text, near_dup, packing, reshard, toxicity, url_filter
 from broadloom.llm.common import crc_mod, table
+from broadloom.session import new_path
 from broadloom.llm.registry import TEXT_QUERIES, text_query  # noqa: F401
 
 #: Folder of the public vocabularies; each executor has it.
@@ -78,3 +79,22 @@ def op6_toxicity(spark, sf):
 def op5_packing(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return packing.pack_documents(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
+@text_query()
+def op10_html_text(spark, sf):
+    return html_text.extract_main_text(table(spark, sf, "pages").select("page_id", "url", "html"))
+
+
+#: The layout to leave: one of 20 shards for each source, so that a hot source makes a hot shard.
+OLD_SHARDS, NEW_SHARDS = 20, 24
+
+
+@text_query()
+def op9_reshard(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    old = F.pmod(F.xxhash64("source"), F.lit(OLD_SHARDS))
+    out = reshard.reshard(docs, old, OLD_SHARDS, NEW_SHARDS, new_path(spark, "shards"))
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return out.rows.select("doc_id", (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"),
+                           F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
