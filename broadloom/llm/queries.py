@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from broadloom.llm import decontaminate, html_text, near_dup, packing, reshard, toxicity, url_filter
+from broadloom.llm import decontaminate, html_text, lattice_lm, near_dup, packing, reshard, toxicity, url_filter
 from broadloom.llm.common import crc_mod, table
 from broadloom.session import new_path
 from broadloom.llm.registry import TEXT_QUERIES, text_query  # noqa: F401
@@ -98,3 +98,9 @@ def op9_reshard(spark, sf):
     text = F.coalesce("text", F.lit("")).cast("binary")
     return out.rows.select("doc_id", (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"),
                            F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@text_query()
+def op8_lattice_lm(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return lattice_lm.score_documents(docs, crc_mod(F.col("doc_id"), 10) != 0, f"{TOKENIZERS}/piece_bpe_32k.model", group="lang")
