@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from broadloom.llm import decontaminate, html_text, lattice_lm, near_dup, packing, reshard, toxicity, url_filter
+from broadloom.llm import decontaminate, html_text, lattice_lm, near_dup, packing, reshard, toxicity, url_filter, warc
 from broadloom.llm.common import crc_mod, table
 from broadloom.session import new_path
 from broadloom.llm.registry import TEXT_QUERIES, text_query  # noqa: F401
@@ -104,3 +104,13 @@ def op9_reshard(spark, sf):
 def op8_lattice_lm(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     return lattice_lm.score_documents(docs, crc_mod(F.col("doc_id"), 10) != 0, f"{TOKENIZERS}/piece_bpe_32k.model", group="lang")
+
+
+@text_query("""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to FROM p LEFT JOIN f USING (payload_digest)
+""")
+def op2_warc(spark, sf):
+    return warc.archive_round_trip(table(spark, sf, "pages").select("page_id", "url", "html"))
