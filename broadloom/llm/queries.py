@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from broadloom.llm import decontaminate, html_text, lattice_lm, near_dup, packing, reshard, toxicity, url_filter, warc
+from broadloom.llm import ann, decontaminate, html_text, lattice_lm, near_dup, packing, reshard, toxicity, url_filter, warc
 from broadloom.llm.common import crc_mod, table
 from broadloom.session import new_path
 from broadloom.llm.registry import TEXT_QUERIES, text_query  # noqa: F401
@@ -114,3 +114,9 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN '
 """)
 def op2_warc(spark, sf):
     return warc.archive_round_trip(table(spark, sf, "pages").select("page_id", "url", "html"))
+
+
+@text_query()
+def op4_ann(spark, sf):
+    index = ann.build_index(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+    return ann.search(index, F.col("vec_id") % 20 == 0)
