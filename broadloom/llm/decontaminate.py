@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from broadloom.llm.common import ascii_lower
 from broadloom.operators.lookup import settle
+from broadloom.session import durable
 
 #: Everything that is not a letter or digit of ASCII or beyond ASCII; splitting there is several times as fast as
 #: matching the words.
@@ -93,7 +94,8 @@ def mark_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     covered = F.flatten(F.transform(spans, lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1)))
     hits = hits.groupBy("k_id", "k_text").agg(F.size(F.array_distinct(covered)).cast("bigint").alias("n_hit"),
                                               F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    return _judge(counted, hits, keep, share)
+    # Few rows as a rule; written, so that Spark knows and need not move the documents to join them.
+    return _judge(counted, durable(hits), keep, share)
 
 
 def _judge(counted: DataFrame, hits: DataFrame, keep: list[str], share: int) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from broadloom.llm.bpe import Encoder
-from broadloom.llm.common import worker_state
+from broadloom.llm.common import slices, worker_state
 from broadloom.session import durable
 
 K1, B = 1.2, 0.75
@@ -47,7 +47,7 @@ def _sketch(ids: np.ndarray) -> int:
 
 def _encode(path: str, end: int, window: int, with_ids: bool, batches):
     encoder = worker_state("bpe:" + path, lambda: Encoder(path))
-    for batch in batches:
+    for batch in slices(batches):
         out = {"total": [], "crcs": [], "ids": [], "term": [], "sketch": []}
         for text in batch.column("text").to_pylist():
             ids = np.frombuffer(encoder.encode(text or b"") + np.array([end], "<u2").tobytes(), "<u2")
@@ -129,21 +129,23 @@ def _pack(window: int, with_ids: bool, batches):
         wholes.append(whole)
         tails.append(ids[whole:] if with_ids else ids)
         for i, crc in enumerate(d["crcs"]):
-            rows.append((d["doc_id"], i * window, window, crc, d["total"], number, 0,
-                         *([ids[i * window:(i + 1) * window].tolist()] if with_ids else [])))
+            rows.append((d["doc_id"], i * window, window, crc, d["total"], number, 0, ids[i * window:(i + 1) * window]))
             number += 1
     for sequence in fill_windows(tails, window):
         offset = 0
         for k, start, length in sequence:
             ids = tails[k][start:start + length]
-            rows.append((docs[k]["doc_id"], wholes[k] + start, length, crc_of(ids), docs[k]["total"], number, offset,
-                         *([ids.tolist()] if with_ids else [])))
+            rows.append((docs[k]["doc_id"], wholes[k] + start, length, crc_of(ids), docs[k]["total"], number, offset, ids))
             offset += length
         number += 1
-    kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
-    for i in range(0, len(rows), 4096):
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows[i:i + 4096]), kinds)], names=names[:len(kinds)])
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    for i in range(0, len(rows), 1024):
+        *columns, ids = zip(*rows[i:i + 1024])
+        columns = [pa.array(c, pa.int64()) for c in columns]
+        if with_ids:
+            ends = np.cumsum([0, *map(len, ids)])
+            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32))))
+        yield pa.record_batch(columns, names=names + ["ids"] * with_ids)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", window: int = 1024, end: int = 0,
