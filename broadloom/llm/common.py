@@ -30,3 +30,10 @@ def worker_state(name: str, make):
     if not hasattr(home, name):
         setattr(home, name, make())
     return getattr(home, name)
+
+
+def slices(batches, rows: int = 256):
+    """Record batches in slices of few rows: what a task unpacks and hands back at a time stays small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)

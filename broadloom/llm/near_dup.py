@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from broadloom.llm.common import worker_state
+from broadloom.llm.common import slices, worker_state
 from broadloom.llm.components import connected_components
 from broadloom.session import durable
 
@@ -30,8 +30,8 @@ BANDS = HASHES // ROWS
 FIRST_BANDS = 6
 #: Signatures that agree in fewer places belong to pairs more than six standard deviations below similarity 0.75.
 LEAST_AGREEMENT = 66
-BLOCK, CHUNK = 128, 512
-WORDS_KEPT = 300_000
+BLOCK, CHUNK = 64, 256
+WORDS_KEPT = 150_000
 MULTIPLIERS = np.random.default_rng(20_240_517).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SEED_BY_LENGTH, STEP, SPREAD = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFF51AFD7ED558CCD)
 
@@ -68,11 +68,15 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     low = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(shingles), 512):
         np.minimum(low, (MULTIPLIERS[:, None] * shingles[None, i:i + 512]).min(axis=1), out=low)
-    return (low >> np.uint64(32)).astype("<u4")
+    return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _digest(shingles: np.ndarray) -> tuple[int, int]:
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), "<i8").tolist())
 
 
 def _profiles(batches):
-    for batch in batches:
+    for batch in slices(batches):
         out = {"n": [], "d1": [], "d2": [], "sig": []}
         for text in batch.column("text").to_pylist():
             s = shingle_set(text)
@@ -80,54 +84,28 @@ def _profiles(batches):
             out["n"].append(len(s))
             out["d1"].append(d[0])
             out["d2"].append(d[1])
-            out["sig"].append(signature(s).tobytes() if len(s) else None)
+            out["sig"].append(signature(s) if len(s) else None)
         yield pa.record_batch([batch.column("id"), pa.array(out["n"], pa.int64()), pa.array(out["d1"], pa.int64()),
-                               pa.array(out["d2"], pa.int64()), pa.array(out["sig"], pa.binary())],
+                               pa.array(out["d2"], pa.int64()), pa.array(out["sig"], pa.list_(pa.int32()))],
                               names=["id", "n", "d1", "d2", "sig"])
 
 
-def _digest(shingles: np.ndarray) -> tuple[int, int]:
-    return tuple(np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), "<i8").tolist())
-
-
 def _sets(batches):
-    for batch in batches:
+    for batch in slices(batches):
         sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
         marks = [_digest(s) for s in sets]
         yield pa.record_batch([batch.column("id"), pa.array([m[0] for m in marks], pa.int64()), pa.array(
-            [m[1] for m in marks], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+            [m[1] for m in marks], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
             names=["id", "d1", "d2", "shingles"])
 
 
-def _shared(a: np.ndarray, b: np.ndarray) -> int:
-    both = np.concatenate((a, b))
-    both.sort(kind="stable")
-    return int((both[1:] == both[:-1]).sum())
-
-
-def _linked(percent: int):
-    def confirm(batches):
-        for batch in batches:
-            u, v = batch.column("u").to_pylist(), batch.column("v").to_pylist()
-            keep = []
-            for i, (su, sv, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("sig_u", "sig_v", "set_u", "set_v")))):
-                if (np.frombuffer(su, "<u4") == np.frombuffer(sv, "<u4")).sum() < LEAST_AGREEMENT:
-                    continue
-                n = _shared(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"))
-                if 100 * n >= percent * ((len(a) + len(b)) // 8 - n):
-                    keep.append(i)
-            yield pa.record_batch([pa.array([u[i] for i in keep], pa.int64()), pa.array([v[i] for i in keep], pa.int64())],
-                                  names=["u", "v"])
-    return confirm
-
-
 def _block_links(percent: int):
     """Links between the block (side 0) and the chunk (side 1) of a group that join different components."""
     def compare(pdf):
         left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
         found_u, found_v = [], []
         if len(left) and len(right):
-            sets = [np.frombuffer(s, "<u8") for s in [*left.shingles, *right.shingles]]
+            sets = [np.asarray(s) for s in [*left.shingles, *right.shingles]]
             sizes = np.array([len(s) for s in sets])
             values, place = np.unique(np.concatenate(sets), return_inverse=True)
             owner = np.repeat(np.arange(len(sets)), sizes)
@@ -173,7 +151,10 @@ def _pairs(buckets: DataFrame, of: Column, percent: int) -> DataFrame:
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     u = sets.select(F.col("id").alias("u"), F.col("shingles").alias("set_u"), F.col("sig").alias("sig_u"))
     v = sets.select(F.col("id").alias("v"), F.col("shingles").alias("set_v"), F.col("sig").alias("sig_v"))
-    return pairs.join(u, "u").join(v, "v").mapInArrow(_linked(percent), "u bigint, v bigint")
+    alike = F.size(F.filter(F.zip_with("sig_u", "sig_v", lambda a, b: a == b), lambda same: same))
+    shared = F.size(F.array_intersect("set_u", "set_v"))
+    return pairs.join(u, "u").join(v, "v").filter(alike >= LEAST_AGREEMENT).filter(
+        100 * shared >= percent * (F.size("set_u") + F.size("set_v") - shared)).select("u", "v")
 
 
 def _labelled(buckets: DataFrame, links: DataFrame) -> DataFrame:
@@ -194,7 +175,7 @@ def group_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     end is 600 bytes. Everything reused is written to the shared folder.
     """
     base = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("binary").alias("text"))
-    profiles = durable(base.mapInArrow(_profiles, "id bigint, n bigint, d1 bigint, d2 bigint, sig binary"))
+    profiles = durable(base.mapInArrow(_profiles, "id bigint, n bigint, d1 bigint, d2 bigint, sig array<int>"))
     real = profiles.filter("n > 0 and id is not null")
     one_text = real.groupBy("id").agg(F.min(F.struct("d1", "d2")).alias("d")).select("id", "d.d1", "d.d2")
     first = one_text.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
@@ -202,7 +183,7 @@ def group_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     copies = one_text.join(first, ["d1", "d2"]).filter("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
 
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(
-        b.alias("band"), F.xxhash64(F.substring("sig", b * (4 * ROWS) + 1, F.lit(4 * ROWS))).alias("key")))).alias("b")
+        b.alias("band"), F.xxhash64(F.slice("sig", b * ROWS + 1, F.lit(ROWS))).alias("key")))).alias("b")
     rows = classes.select(F.col("rep").alias("id"), "n", band).select("b.band", "b.key", "id", "n").distinct()
     several = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     buckets = durable(rows.join(several, ["band", "key"]))
@@ -210,7 +191,7 @@ def group_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     wanted = buckets.select("id").distinct()
     texts = base.join(durable(wanted), "id", "left_semi")
     source = classes.select(F.col("rep").alias("id"), "d1", "d2", "sig")
-    sets = durable(texts.mapInArrow(_sets, "id bigint, d1 bigint, d2 bigint, shingles binary").join(
+    sets = durable(texts.mapInArrow(_sets, "id bigint, d1 bigint, d2 bigint, shingles array<bigint>").join(
         source, ["id", "d1", "d2"]).select("id", "shingles", "sig").dropDuplicates(["id"]))
 
     links = durable(_confirm(_pairs(buckets, F.col("band") < FIRST_BANDS, percent), sets, percent))
