@@ -42,8 +42,16 @@ def longest_run(flag_cols) -> Column:
     return F.array_max(F.transform(F.split(bits, "0"), F.length)).cast("int")
 
 
+def balanced_sum(terms) -> Column:
+    """Sum as a balanced tree: hundreds of terms nest a few levels deep, not one level each."""
+    terms = list(terms)
+    while len(terms) > 1:
+        terms = [reduce(add, terms[i:i + 2]) for i in range(0, len(terms), 2)]
+    return terms[0]
+
+
 def row_sum(cols) -> Column:
-    return reduce(add, map(as_col, cols))
+    return balanced_sum(map(as_col, cols))
 
 
 def row_mean(cols) -> Column:
@@ -97,4 +105,4 @@ def other_columns(df: DataFrame, *drop: str) -> list[str]:
 
 def linear_score(cols, coef, intercept: float = 0.0) -> Column:
     terms = [as_col(c).cast("double") * F.lit(float(b)) for c, b in zip(cols, coef) if b != 0.0]
-    return reduce(add, terms, F.lit(float(intercept)))
+    return balanced_sum([F.lit(float(intercept)), *terms])

@@ -82,7 +82,7 @@ def pca(train: DataFrame, features: str, k: int, scale: bool = False, prefix: st
 
 def pca_cut(train: DataFrame, features: str, width: int, tol: float = 0.25, keep: int = 5):
     """Scaled components whose deviation is at least ``tol`` of the first one's, at most ``keep``."""
-    fitted = pca(train, features, min(width, 64), scale=True)
+    fitted = pca(train, features, width, scale=True)
     sd = np.sqrt(fitted.ratio)
     k = int(min(keep, np.sum(sd > tol * sd[0])))
     return fitted, k

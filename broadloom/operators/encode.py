@@ -50,8 +50,8 @@ def prepare(df: DataFrame, strings, numbers, key: str, train) -> tuple[DataFrame
     """Layer-1 preparation over train and test together: label and frequency codes replace the string columns,
     and features constant in train go. Returns the written table and the feature names."""
     levels = Levels(df, strings, key, train).number()
-    out = label_encode(df, strings, key, levels=levels)
-    out = durable(frequency_encode(out, strings, key, levels=levels).drop(*strings))
+    both = reduce(lambda d, c: levels.attach(d, c, **{f"{c}_code": "code", f"{c}_freq": "n"}), strings, df)
+    out = durable(both.drop(*strings))
     features = [*numbers, *[f"{c}_code" for c in strings], *[f"{c}_freq" for c in strings]]
     flat = constant_columns(out.filter(train), features)
     return out.drop(*flat), [c for c in features if c not in flat]
@@ -142,24 +142,13 @@ def duplicate_groups(df: DataFrame, features, y: str) -> DataFrame:
 def duplicate_rows(df: DataFrame, features, y: str) -> DataFrame:
     """Every row that has a twin, beside its group's statistics."""
     rows = df.select(fingerprint(features).alias("hash"), F.col(y).alias("y"))
-    return lookup_join(rows, duplicate_groups(df, features, y), "hash", weight="n", how="inner")
+    return lookup_join(rows, duplicate_groups(df, features, y), "hash", how="inner")
 
 
-TEXT_ITEMS = 10_000
-
-
-def joined_text(df: DataFrame, group: str, item: str, keep, empty: str = "None",
-                max_items: int = TEXT_ITEMS) -> DataFrame:
-    """Kept items of a group, each once, as sorted text; ``empty`` when none is kept.
-
-    A group with more than ``max_items`` kept items is spread over several rows (``piece`` 0, 1, ...) by a
-    hash of the item, so no list grows with the data and no item is lost.
-    """
+def joined_text(df: DataFrame, group: str, item: str, keep, empty: str = "None") -> DataFrame:
+    """Kept items of a group, each once, as sorted text; ``empty`` when none is kept. One row per group, however long
+    its text: items are made distinct before the shuffle, so a group holds its distinct items only."""
     flagged = df.select(group, F.when(keep, F.col(item)).alias("__i")).groupBy(group, "__i").agg(F.lit(1).alias("__1"))
-    big = flagged.groupBy(group).agg(F.count("__i").alias("__m")).filter(F.col("__m") > max_items)
-    flagged = lookup_join(flagged, big, group, weight="__m")
-    piece = F.when(F.col("__m").isNotNull() & F.col("__i").isNotNull(), F.pmod(
-        F.xxhash64("__i"), F.ceil(2 * F.col("__m") / F.lit(max_items)))).otherwise(0).cast("int")
     text = F.array_join(F.transform(F.array_sort(F.collect_list("__i")), lambda v: v.cast("string")), " ")
-    return flagged.groupBy(group, piece.alias("piece")).agg(text.alias("items")).withColumn(
+    return flagged.groupBy(group).agg(text.alias("items")).withColumn(
         "items", F.when(F.col("items") == "", empty).otherwise(F.col("items")))

@@ -32,11 +32,16 @@ class Moments:
 
 
 class Gram:
-    """Raw sums per fold; folds can be added up or left out without touching the data again."""
+    """Sums per fold of the columns less ``shift``; folds can be added up or left out without touching the data again.
 
-    def __init__(self, names: list[str], folds: dict[int, tuple[float, np.ndarray, np.ndarray]]):
+    The shift is a value in the midst of each column, so that nothing is lost where a spread is small beside the
+    values themselves.
+    """
+
+    def __init__(self, names: list[str], folds: dict[int, tuple[float, np.ndarray, np.ndarray]], shift: np.ndarray | None = None):
         self.names = names
         self.folds = folds
+        self.shift = np.zeros(len(names)) if shift is None else shift
 
     def merge(self, fold_of) -> "Gram":
         """Add folds up under new numbers: ``fold_of(old) -> new``."""
@@ -44,29 +49,39 @@ class Gram:
         for k, (n, s, g) in self.folds.items():
             a = out.get(fold_of(k), (0.0, 0.0, 0.0))
             out[fold_of(k)] = (a[0] + n, a[1] + s, a[2] + g)
-        return Gram(self.names, out)
+        return Gram(self.names, out, self.shift)
 
-    def sums(self, without: int | None = None, only: int | None = None):
+    def without_fold(self, fold: int) -> "Gram":
+        return Gram(self.names, {k: v for k, v in self.folds.items() if k != fold}, self.shift)
+
+    def _sums(self, without: int | None = None, only: int | None = None):
         parts = [v for k, v in self.folds.items() if (only is None or k == only) and k != without]
         if not parts:
             q = len(self.names)
             return 0.0, np.zeros(q), np.zeros((q, q))
         return sum(p[0] for p in parts), sum(p[1] for p in parts), sum(p[2] for p in parts)
 
+    def sums(self, without: int | None = None, only: int | None = None):
+        """n, sums and cross products of the columns as they are."""
+        n, s, g = self._sums(without, only)
+        c = self.shift
+        return n, s + n * c, g + np.outer(s, c) + np.outer(c, s) + n * np.outer(c, c)
+
     def pick(self, cols: list[str], y: str) -> "Gram":
         """The same sums for fewer columns; ``y`` becomes the target."""
         at = [self.names.index(c) for c in [*cols, y]]
-        return Gram([*cols, y], {k: (n, s[at], g[np.ix_(at, at)]) for k, (n, s, g) in self.folds.items()})
+        return Gram([*cols, y], {k: (n, s[at], g[np.ix_(at, at)]) for k, (n, s, g) in self.folds.items()}, self.shift[at])
 
     def moments(self, without: int | None = None, only: int | None = None) -> Moments:
-        n, s, g = self.sums(without, only)
+        n, s, g = self._sums(without, only)
         c = g - np.outer(s, s) / n
-        m = s / n
-        return Moments(n, m[:-1], m[-1], c[:-1, :-1], c[:-1, -1], c[-1, -1], g[:-1, :-1], g[:-1, -1])
+        m = s / n + self.shift
+        raw = self.sums(without, only)[2]
+        return Moments(n, m[:-1], m[-1], c[:-1, :-1], c[:-1, -1], c[-1, -1], raw[:-1, :-1], raw[:-1, -1])
 
     def correlation(self) -> np.ndarray:
         """Pearson matrix over all columns; NaN for constant ones."""
-        n, s, g = self.sums()
+        n, s, g = self._sums()
         c = g / n - np.outer(s / n, s / n)
         d = np.diag(c).copy()
         d[d <= 1e-12 * np.maximum(np.diag(g) / n, 1e-300)] = np.nan
@@ -74,8 +89,9 @@ class Gram:
 
     def sse(self, fold: int, coef: np.ndarray, intercept: float) -> float:
         """Squared error of a linear model on one fold, from its sums."""
-        n, s, g = self.sums(only=fold)
+        n, s, g = self._sums(only=fold)
         b = np.append(-np.asarray(coef, float), 1.0)
+        intercept = intercept - float(b @ self.shift)
         return float(b @ g @ b - 2 * intercept * (b @ s) + n * intercept * intercept)
 
 
@@ -83,10 +99,22 @@ def _pack(q: int):
     return np.triu_indices(q)
 
 
-def gram_frame(df: DataFrame, cols: list[str], fold: str | None = None) -> DataFrame:
-    """(fold, i, j, value) for i <= j, plus (fold, -1, j, sum) and (fold, -1, -1, n), all through SQL sums."""
+SHIFT_ROWS = 1_000
+
+
+def midst(rows: DataFrame, width: int) -> np.ndarray:
+    """Means of a few rows' array ``x``: any value amid the data will do."""
+    few = rows.select("x").limit(SHIFT_ROWS).toArrow().column("x").combine_chunks()
+    m = batch_matrix(few, width).mean(axis=0) if len(few) else np.zeros(width)
+    return np.where(np.isfinite(m), m, 0.0)
+
+
+def gram_frame(df: DataFrame, cols: list[str], fold: str | None = None, shift=None) -> DataFrame:
+    """(fold, i, j, value) for i <= j, plus (fold, -1, j, sum) and (fold, -1, -1, n), all through SQL sums of the columns
+    less ``shift``; rows with a NULL are left out."""
     f = F.col(fold).cast("int") if fold else F.lit(0)
-    x = [F.col(c).cast("double") for c in cols]
+    shift = np.zeros(len(cols)) if shift is None else shift
+    x = [F.col(c).cast("double") - F.lit(float(m)) for c, m in zip(cols, shift)]
     cells = [(-1, -1, F.sum(F.lit(1.0)))]
     cells += [(-1, j, F.sum(x[j])) for j in range(len(x))]
     cells += [(i, j, F.sum(x[i] * x[j])) for i in range(len(x)) for j in range(i, len(x))]
@@ -97,14 +125,17 @@ def gram_frame(df: DataFrame, cols: list[str], fold: str | None = None) -> DataF
 
 
 def gram(df: DataFrame, cols: list[str], y: str | None = None, fold: str | None = None) -> Gram:
-    """Cross products of scalar columns, per fold."""
+    """Cross products of scalar columns, per fold; rows with a NULL in one of them are left out."""
     names = list(cols) + ([y] if y else [])
+    clean = df.na.drop(subset=names)
+    array = F.array(*[F.col(c).cast("double") for c in names]).alias("x")
     if len(names) > MAX_FEATURES:
         raise ValueError(f"{len(names)} columns: a p x p matrix of that size does not belong on one machine")
     if len(names) <= SQL_FEATURES:
         q = len(names)
+        shift = midst(clean.select(array), q)
         folds: dict[int, tuple] = {}
-        for r in gram_frame(df, names, fold).collect():
+        for r in gram_frame(df, names, fold, shift).collect():
             n, s, g = folds.setdefault(r["fold"], [0.0, np.zeros(q), np.zeros((q, q))])
             if r["j"] < 0:
                 folds[r["fold"]][0] = r["value"]
@@ -112,27 +143,27 @@ def gram(df: DataFrame, cols: list[str], y: str | None = None, fold: str | None
                 s[r["j"]] = r["value"]
             else:
                 g[r["i"], r["j"]] = g[r["j"], r["i"]] = r["value"]
-        return Gram(names, {k: tuple(v) for k, v in folds.items()})
-    clean = df.na.drop(subset=names)
-    return gram_array(clean.select(F.array(*[F.col(c).cast("double") for c in names]).alias("x"),
-                                   *( [F.col(fold).cast("int").alias("fold")] if fold else [])),
+        return Gram(names, {k: tuple(v) for k, v in folds.items()}, shift)
+    return gram_array(clean.select(array, *([F.col(fold).cast("int").alias("fold")] if fold else [])),
                       "x", len(names), "fold" if fold else None, names)
 
 
 def gram_array(df: DataFrame, features: str, width: int, fold: str | None = None,
                names: list[str] | None = None) -> Gram:
     """Cross products of one array column: a matrix product per Arrow batch, one row per task and fold,
-    added up on the JVM side in two steps."""
+    added up on the JVM side in two steps. NULL arrays, arrays of another width and those that hold a NULL are left out."""
     iu = _pack(width)
     f = F.col(fold).cast("int") if fold else F.lit(0)
-    data = df.select(f.alias("fold"), F.col(features).cast("array<double>").alias("x"))
+    data = df.select(f.alias("fold"), F.col(features).cast("array<double>").alias("x")).filter(
+        F.col("x").isNotNull() & (F.size("x") == width) & F.forall("x", lambda v: v.isNotNull()))
+    shift = midst(data, width)
 
     def partial(batches):
         acc: dict[int, list] = {}
         for b in batches:
             if b.num_rows == 0:
                 continue
-            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, width)
+            x = batch_matrix(b.column("x"), width) - shift
             fo = b.column("fold").to_numpy(zero_copy_only=False)
             for k in np.unique(fo):
                 z = x[fo == k]
@@ -152,7 +183,7 @@ def gram_array(df: DataFrame, features: str, width: int, fold: str | None = None
         g[iu] = v[1 + width:]
         g = g + g.T - np.diag(np.diag(g))
         out[r["fold"]] = (float(v[0]), v[1:1 + width].copy(), g)
-    return Gram(names or [f"x{i}" for i in range(width)], out)
+    return Gram(names or [f"x{i}" for i in range(width)], out, shift)
 
 
 def sum_packed(parts: DataFrame, by: list[str], fan: int = 32) -> DataFrame:
@@ -187,7 +218,13 @@ def sum_batches(df: DataFrame, fn, schema_in: list[str], partitions: int | None
 
 
 def batch_matrix(column, width: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
+    """Rows of an array column; a NULL array or a NULL in one is NaN, an array of another width an error."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+    if not column.null_count:
+        return flat.reshape(len(column), width)
+    out = np.full((len(column), width), np.nan)
+    out[~np.asarray(column.is_null())] = flat.reshape(-1, width)
+    return out
 
 
 def correlation_frame(df: DataFrame, cols: list[str]) -> DataFrame:

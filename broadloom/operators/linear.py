@@ -7,6 +7,7 @@ one aggregate, the rest is p x p.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -60,21 +61,36 @@ def ridge_solve(m: Moments, alpha: float) -> np.ndarray:
 def enet_solve(m: Moments, alpha: float, l1_ratio: float, tol: float = 1e-10, sweeps: int = 5_000,
                start: np.ndarray | None = None) -> np.ndarray:
     """Minimise SSE / 2n + alpha (l1_ratio |w|_1 + (1 - l1_ratio) |w|^2 / 2) by cyclic descent."""
-    q, c, p = m.sxx / m.n, m.sxy / m.n, len(m.sxy)
+    return _descend(m.sxx / m.n, m.sxy / m.n, np.sqrt(m.syy / m.n), alpha * l1_ratio, alpha * (1 - l1_ratio), tol, sweeps, start)[0]
+
+
+def _descend(q, c, scale, l1, l2, tol, sweeps, start=None) -> tuple[np.ndarray, bool]:
+    """Coordinate descent with the gradient kept up to date, on the active columns until they settle and then once over
+    all whose optimality condition fails. Returns the weights and whether they converged."""
+    p = len(c)
     w = np.zeros(p) if start is None else start.copy()
-    l1, l2 = alpha * l1_ratio, alpha * (1 - l1_ratio)
+    diag = np.diag(q).copy()
+    usable = diag > 0
+    grad = c - q @ w
+    root, bound = np.sqrt(np.maximum(diag, 0)), tol * max(1.0, scale)
+    active = np.flatnonzero(w).tolist()
     for _ in range(sweeps):
         shift = 0.0
-        for j in range(p):
-            if q[j, j] <= 0:
-                continue
-            rho = c[j] - q[j] @ w + q[j, j] * w[j]
-            new = np.sign(rho) * max(abs(rho) - l1, 0.0) / (q[j, j] + l2)
-            shift = max(shift, abs(new - w[j]) * np.sqrt(q[j, j]))
-            w[j] = new
-        if shift <= tol * max(1.0, np.sqrt(m.syy / m.n)):
-            break
-    return w
+        for j in active:
+            old = w[j]
+            rho = grad[j] + diag[j] * old
+            new = (rho - l1 if rho > l1 else rho + l1 if rho < -l1 else 0.0) / (diag[j] + l2)
+            if new != old:
+                grad -= q[j] * (new - old)
+                w[j] = new
+                shift = max(shift, abs(new - old) * root[j])
+        if shift > bound:
+            continue
+        wrong = np.flatnonzero(usable & (w == 0) & (np.abs(grad) > l1 + bound * np.maximum(root, 1e-300)))
+        active = sorted(set(np.flatnonzero(w).tolist()) | set(wrong.tolist()))
+        if not len(wrong):
+            return w, True
+    return w, False
 
 
 def alpha_grid(m: Moments, l1_ratio: float, points: int, eps: float = 1e-3) -> np.ndarray:
@@ -213,10 +229,12 @@ def ridge_cv(g: Gram, grid=RIDGE_GRID) -> Linear:
 
 
 def enet_path(m: Moments, grid, l1_ratio: float) -> list[np.ndarray]:
-    """Falling penalties, each started from the solution before it."""
-    out, w = [], None
+    """Falling penalties, each started from the solution before it. Warns if one of them did not converge."""
+    out, w, q, c, scale = [], None, m.sxx / m.n, m.sxy / m.n, np.sqrt(m.syy / m.n)
     for a in grid:
-        w = enet_solve(m, a, l1_ratio, tol=1e-7, sweeps=1000, start=w)
+        w, settled = _descend(q, c, scale, a * l1_ratio, a * (1 - l1_ratio), 1e-7, 10_000, w)
+        if not settled:
+            warnings.warn(f"no convergence at penalty {a:.3g}", RuntimeWarning, stacklevel=2)
         out.append(w)
     return out
 
@@ -319,13 +337,15 @@ def press(df: DataFrame, g: Gram, y: str) -> DataFrame:
     """Leave-one-out prediction of OLS for every row: y - e / (1 - h), no refit and no shuffle."""
     m = g.moments()
     model = from_gram(g, ols_solve)
-    inv = np.linalg.pinv(m.sxx)
-    d = [F.col(c).cast("double") - F.lit(float(mu)) for c, mu in zip(model.names, m.mean)]
-    h = F.lit(1.0 / m.n)
-    for i in range(len(d)):
-        for j in range(i, len(d)):
-            h = h + F.lit(float(inv[i, j] * (1 if i == j else 2))) * d[i] * d[j]
+    inv, mean, p, n = np.linalg.pinv(m.sxx), m.mean, len(model.names), m.n
+
+    @F.arrow_udf("double")
+    def leverage(x: pa.Array) -> pa.Array:
+        d = batch_matrix(x, p) - mean
+        return pa.array(1.0 / n + np.einsum("ij,ij->i", d @ inv, d), from_pandas=True)
+
     e = F.col(y) - model.score()
+    h = leverage(F.array(*[F.col(c).cast("double") for c in model.names]))
     return df.withColumn("leverage", h).withColumn("loo_pred", F.col(y) - F.try_divide(e, 1 - F.col("leverage")))
 
 

@@ -10,11 +10,10 @@ from broadloom.session import durable
 
 SMALL_ROWS = 20_000
 SMALL_BYTES = 32 << 20
-HOT_KEYS = 1_000
 
 
 def settle(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES):
-    """Evaluate a dictionary once. Returns (frame, is_small).
+    """Evaluate a dictionary. Returns (frame, is_small).
 
     At most ``max_rows`` + 1 rows reach the driver. A dictionary within both bounds comes back as a local
     relation, fit for broadcasting; a larger one is written to the checkpoint folder and stays distributed.
@@ -25,31 +24,14 @@ def settle(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYT
     return durable(df), False
 
 
-def lookup_join(df: DataFrame, dictionary: DataFrame, on: str, weight: str | None = None,
-                how: str = "left", max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Join a unique-key dictionary to a table that may be badly skewed on the key.
+def lookup_join(df: DataFrame, dictionary: DataFrame, on: str, how: str = "left", max_rows: int = SMALL_ROWS) -> DataFrame:
+    """Join a unique-key dictionary to a table that may be badly skewed on the key; the table is read once.
 
-    Small dictionaries are broadcast. For larger ones the ``HOT_KEYS`` heaviest keys (by ``weight``) are
-    broadcast on their own, so their rows never move, and only the thin remainder is shuffled.
+    Small dictionaries are broadcast. A larger one is an ordinary join: adaptive execution splits the partitions of hot
+    and of NULL keys on the table's side, as the dictionary has one row per key.
     """
     d, small = settle(dictionary, max_rows)
-    if small:
-        return df.join(F.broadcast(d), on, how)
-    added = [c for c in d.columns if c != on]
-    hot = d.orderBy(F.desc(weight), on).limit(HOT_KEYS) if weight else None
-    pieces = []
-    rest = df.filter(F.col(on).isNotNull())
-    if hot is not None:
-        hot, _ = settle(hot, HOT_KEYS)
-        keys = F.broadcast(hot.select(on))
-        pieces.append(rest.join(F.broadcast(hot), on, "inner"))
-        rest = rest.join(keys, on, "left_anti")
-        d = d.join(keys, on, "left_anti")
-    pieces.append(rest.join(d, on, how))
-    if how == "left":
-        pieces.append(df.filter(F.col(on).isNull()).withColumns(
-            {c: F.lit(None).cast(d.schema[c].dataType) for c in added}))
-    return reduce(DataFrame.unionByName, pieces)
+    return df.join(F.broadcast(d) if small else d, on, how)
 
 
 def level_table(df: DataFrame, cols, key: str, train=None) -> DataFrame:
@@ -72,18 +54,28 @@ def dense_codes(levels: DataFrame, by: str = "level", name: str = "code", start:
     """Number the levels of each column in sorted order.
 
     The window runs over distinct levels only. A column with more than ``max_window`` of them is cut into
-    value ranges first and numbered range by range.
+    value ranges of about that many first and numbered range by range.
     """
-    biggest = levels.groupBy("column").count().agg(F.max("count")).first()[0] or 0
-    if biggest <= max_window:
+    sizes = {r["column"]: r["count"] for r in levels.groupBy("column").count().collect()}
+    if max(sizes.values(), default=0) <= max_window:
         w = W.partitionBy("column").orderBy(by, "level")
         return levels.withColumn(name, (F.row_number().over(w) - 1 + start).cast("int"))
-    cuts = [r[0] for r in levels.select(by).orderBy(F.xxhash64("column", "level")).limit(63).collect()]
-    levels = levels.withColumn("__b", _tree(F.col(by), sorted(set(cuts))))
+    # As many value ranges per column as it needs, cut at quantiles of a hash sample of about 64 levels per range.
+    cuts = {}
+    for c, n in sizes.items():
+        ranges = -(-n // max_window)
+        if ranges > 1:
+            thin = max(1, n // (64 * ranges))
+            v = sorted(r[0] for r in levels.filter((F.col("column") == c) & (F.pmod(F.xxhash64("level"), F.lit(thin)) == 0)).select(by).collect())
+            cuts[c] = sorted({v[len(v) * i // ranges] for i in range(1, ranges)}) if v else []
+    bucket = F.lit(0)
+    for c, at in cuts.items():
+        bucket = F.when(F.col("column") == c, _tree(F.col(by), at)).otherwise(bucket)
+    levels = levels.withColumn("__b", bucket)
     sizes = levels.groupBy("column", "__b").count()
     sizes = sizes.withColumn("__o", F.sum("count").over(W.partitionBy("column").orderBy("__b")) - F.col("count"))
     w = W.partitionBy("column", "__b").orderBy(by, "level")
-    return levels.join(F.broadcast(sizes.drop("count")), ["column", "__b"]).withColumn(
+    return levels.join(sizes.drop("count"), ["column", "__b"]).withColumn(
         name, (F.row_number().over(w) - 1 + F.col("__o") + start).cast("int")).drop("__b", "__o")
 
 
@@ -114,9 +106,4 @@ class Levels:
         """Left-join the named level attributes of one column: ``attach(df, "X0", X0_code="code")``."""
         d = self.frame.filter(F.col("column") == column).select(
             F.col("level").alias(column), *[F.col(v).alias(k) for k, v in values.items()])
-        if self.small:
-            return df.join(F.broadcast(d), column, "left")
-        d = self.frame.filter(F.col("column") == column).select(
-            F.col("level").alias(column), F.col("n").alias("__n"),
-            *[F.col(v).alias(k) for k, v in values.items()])
-        return lookup_join(df, d, column, weight="__n", max_rows=self.max_rows).drop("__n")
+        return df.join(F.broadcast(d) if self.small else d, column, "left")

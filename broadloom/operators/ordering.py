@@ -12,13 +12,28 @@ from functools import reduce
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from broadloom.functions.columns import HASH_SPAN, hash52
 
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 16_384
 SAMPLE_PER_BUCKET = 64
+SAMPLE_VALUES = 2_000_000
+
+
+def place(c: Column, kind: T.DataType) -> Column:
+    """A double that never falls while the value rises: fit to cut ranges, not to tell values apart. Exact work is done
+    on the values themselves, inside a range."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("double")
+    return c.cast("double")
+
+
+def _kind(df: DataFrame, c: str) -> T.DataType:
+    return df.schema[c].dataType
 
 
 def _bucket_count(n: int, rows_per_bucket: int) -> int:
@@ -39,8 +54,10 @@ def _bounds(df: DataFrame, cols: list[str], rows_per_bucket: int):
     if todo:
         picks = []
         for c in todo:
-            v = F.col(c).cast("double")
-            thin = max(1, counts[c] // (SAMPLE_PER_BUCKET * buckets[c]))
+            v = place(F.col(c), _kind(df, c))
+            # All columns together stay within a bound: with many columns each gives fewer values.
+            per_bucket = max(4, min(SAMPLE_PER_BUCKET, SAMPLE_VALUES // sum(buckets[k] for k in todo)))
+            thin = max(1, counts[c] // (per_bucket * buckets[c]))
             picks.append(F.when(F.pmod(F.xxhash64(v), F.lit(thin)) == 0,
                                 F.struct(F.lit(cols.index(c)).alias("c"), v.alias("v"))))
         sample = df.select(F.explode(F.array_compact(F.array(*picks))).alias("s")).select("s.*") \
@@ -59,7 +76,7 @@ def with_bucket(df: DataFrame, bounds: dict[str, list[float]], suffix: str = "__
     out = df.withColumns({c + suffix: F.lit(0) for c in bounds if not bounds[c]})
     if cut:
         tmp = {c: f"{c}__d" for c in cut}
-        out = out.withColumns({tmp[c]: F.col(c).cast("double") for c in cut})
+        out = out.withColumns({tmp[c]: place(F.col(c), _kind(df, c)) for c in cut})
         out = Bucketizer(
             splitsArray=[[-math.inf, *bounds[c], math.inf] for c in cut],
             inputCols=[tmp[c] for c in cut], outputCols=[c + suffix for c in cut], handleInvalid="keep",
@@ -69,7 +86,8 @@ def with_bucket(df: DataFrame, bounds: dict[str, list[float]], suffix: str = "__
 
 
 def order_statistics(df: DataFrame, ranks: dict[str, list], rows_per_bucket: int = ROWS_PER_BUCKET):
-    """Exact values at 0-based ranks of numeric columns, NULLs left out.
+    """Exact values at 0-based ranks of ordered columns, NULLs left out. Columns of one type keep it; of several types,
+    all are compared as doubles.
 
     ``ranks`` maps a column to a list of ranks or to a function of its row count. Returns
     ``{column: {rank: value}}`` and the row counts. Ties are folded into counts before any ordering, so a
@@ -77,6 +95,7 @@ def order_statistics(df: DataFrame, ranks: dict[str, list], rows_per_bucket: int
     """
     cols = list(ranks)
     data = df.select(*cols)
+    same = len({_kind(data, c) for c in cols}) == 1
     counts, bounds = _bounds(data, cols, rows_per_bucket)
     want = {c: sorted({r for r in (ranks[c](counts[c]) if callable(ranks[c]) else ranks[c])
                        if 0 <= r < counts[c]}) for c in cols}
@@ -86,7 +105,7 @@ def order_statistics(df: DataFrame, ranks: dict[str, list], rows_per_bucket: int
 
     long = with_bucket(data, bounds).select(
         F.explode(F.array(*[
-            F.struct(F.lit(i).alias("c"), F.col(c + "__b").alias("b"), F.col(c).cast("double").alias("v"))
+            F.struct(F.lit(i).alias("c"), F.col(c + "__b").alias("b"), (F.col(c) if same else F.col(c).cast("double")).alias("v"))
             for i, c in enumerate(cols)])).alias("s")).select("s.*").filter(F.col("v").isNotNull())
 
     start: dict[tuple[int, int], int] = {}
@@ -138,7 +157,7 @@ def exact_quantiles(df: DataFrame, probs: dict[str, list[float]], rows_per_bucke
                 out[c][p] = None
                 continue
             h = (counts[c] - 1) * p
-            lo, hi = stats[c][math.floor(h)], stats[c][math.ceil(h)]
+            lo, hi = float(stats[c][math.floor(h)]), float(stats[c][math.ceil(h)])
             out[c][p] = lo + (hi - lo) * (h - math.floor(h))
     return out
 
@@ -155,19 +174,19 @@ def contiguous_folds(df: DataFrame, key: str, k: int, name: str = "fold",
 
     stats, counts = order_statistics(df, {key: starts}, rows_per_bucket)
     cuts = [stats[key][r] for r in starts(counts[key]) if r in stats[key]]
-    return df.withColumn(name, _count_at_or_below(F.col(key), cuts))
+    return df.withColumn(name, _count_at_or_below(F.col(key), cuts, _kind(df, key)))
 
 
-def _count_at_or_below(c: Column, cuts) -> Column:
-    c = c.cast("double")
-    return reduce(lambda a, v: a + F.when(c >= F.lit(float(v)), 1).otherwise(0), cuts, F.lit(0)).cast("int")
+def _count_at_or_below(c: Column, cuts, kind: T.DataType) -> Column:
+    """Compared in the key's own type, NULL keys before all cuts."""
+    return reduce(lambda a, v: a + F.when(c >= F.lit(v).cast(kind), 1).otherwise(0), cuts, F.lit(0)).cast("int")
 
 
 def rank_slice(df: DataFrame, key: str, first: int, last: int,
                rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Rows whose 0-based rank by the unique key lies in [first, last): two cut keys and a pushed filter."""
     stats, counts = order_statistics(
-        df, {key: lambda n: [r for r in (first, last - 1) if r < n] + [n - 1]}, rows_per_bucket)
+        df, {key: lambda n: [first, min(last, n) - 1]}, rows_per_bucket)
     n = counts[key]
     if first >= n or last <= first:
         return df.filter(F.lit(False))
@@ -178,7 +197,7 @@ def rank_slice(df: DataFrame, key: str, first: int, last: int,
 
 def ordered_index(df: DataFrame, key: str, name: str = "idx",
                   rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """0-based global position by a unique numeric key."""
+    """0-based global position by a unique key."""
     _, bounds = _bounds(df.select(key), [key], rows_per_bucket)
     b = key + "__b"
     out = with_bucket(df, bounds)
@@ -226,13 +245,14 @@ def smallest(df: DataFrame, score: str, tie: str, n: int, rows_per_bucket: int =
     if counts[score] <= n:
         return df.filter(F.col(score).isNotNull())
     cut = F.lit(stats[score][n - 1])
-    below = df.filter(F.col(score).cast("double") < cut)
-    at = df.filter(F.col(score).cast("double") == cut)
+    cut = cut.cast(_kind(df, score))
+    below = df.filter(F.col(score) < cut)
+    at = df.filter(F.col(score) == cut)
     missing = n - below.count()
     if at.limit(missing + 1).count() > missing:
         tied = smallest(at, tie, tie, missing, rows_per_bucket) if score != tie else at.limit(missing)
         return below.unionByName(tied)
-    return df.filter(F.col(score).cast("double") <= cut)
+    return df.filter(F.col(score) <= cut)
 
 
 SAMPLE_IN_ONE_TASK = 10_000

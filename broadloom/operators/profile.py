@@ -39,6 +39,14 @@ def column_stats(df: DataFrame, cols, stats=("n", "nulls", "min", "max", "sum",
     return long.groupBy("column").agg(*[_STATS[s](F.col("v")).alias(s) for s in stats])
 
 
+def column_quartiles(df: DataFrame, cols) -> DataFrame:
+    """(column, q25, q50, q75): exact linearly interpolated quartiles, NULL for a column without values."""
+    cols = list(cols)
+    q = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in cols})
+    rows = [(c, *(None if v is None else float(v) for v in q[c].values())) for c in cols]
+    return df.sparkSession.createDataFrame(rows, "column string, q25 double, q50 double, q75 double")
+
+
 def stats_long(stats: DataFrame) -> DataFrame:
     names = [c for c in stats.columns if c != "column"]
     return stats.select("column", F.explode(F.array(*[
@@ -46,10 +54,12 @@ def stats_long(stats: DataFrame) -> DataFrame:
 
 
 def constant_columns(train: DataFrame, cols) -> list[str]:
-    rows = column_stats(train, cols, ("min", "max", "nulls", "n")).collect()
-    hit = {r["column"] for r in rows
-           if r["n"] == 0 or (r["min"] == r["max"] and r["nulls"] == 0)}
-    return [c for c in cols if c in hit]
+    """Columns of one value without NULLs, or of NULLs alone; compared as text, so that no two keys look the same."""
+    long = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in cols])).alias("s"))
+    rows = long.groupBy("s.column").agg(F.min("s.v").alias("lo"), F.max("s.v").alias("hi"), F.count(F.lit(1)).alias("n"),
+                                        F.count("s.v").alias("k")).collect()
+    hit = {r["column"] for r in rows if r["k"] == 0 or (r["lo"] == r["hi"] and r["k"] == r["n"])}
+    return [c for c in cols if c in hit or not rows]
 
 
 def rare_flags(train: DataFrame, cols, least: float = 20) -> list[str]:

@@ -6,15 +6,12 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from broadloom.functions.columns import HASH_SPAN, hash52, hash_fraction_below
+from broadloom.functions.columns import HASH_SPAN, balanced_sum, hash52, hash_fraction_below
 from broadloom.operators.lookup import lookup_join
 from broadloom.operators.ordering import exact_quantiles, group_index, hash_sample, ordered_index
 from broadloom.session import durable
 
 
-THIN_LEVEL = 1_000
-
-
 def modulo_folds(df: DataFrame, key: str, k: int, name: str = "fold", by_position: bool = False) -> DataFrame:
     """Fold = key mod k, or position in key order mod k."""
     if not by_position:
@@ -48,13 +45,11 @@ def stratified_resample(train: DataFrame, test: DataFrame, level: str, key: str,
     """
     pool = group_index(train, level, key, seed).withColumn("__k", F.struct(level, "idx"))
     sizes = train.groupBy(level).agg(F.count(F.lit(1)).alias("__n"))
-    draws = lookup_join(test.select(F.col(key).alias("draw"), level), sizes, level, weight="__n", how="inner")
-    draws = draws.select("draw", "__n", F.struct(
+    draws = lookup_join(test.select(F.col(key).alias("draw"), level), sizes, level, how="inner")
+    draws = draws.select("draw", F.struct(
         level, F.pmod(hash52("draw", seed=seed + 1), F.col("__n")).alias("idx")).alias("__k"))
-    # A level with few train rows may be drawn very often: its rows are looked up as a small dictionary.
-    few = lookup_join(draws.filter(F.col("__n") <= THIN_LEVEL), pool.filter(F.col("group_n") <= THIN_LEVEL), "__k", how="inner")
-    rest = draws.filter(F.col("__n") > THIN_LEVEL).join(pool.filter(F.col("group_n") > THIN_LEVEL), "__k")
-    drawn = few.select("draw", *train.columns).unionByName(rest.select("draw", *train.columns))
+    # A train row drawn very often is a hot key on the side of the draws, which adaptive execution splits.
+    drawn = draws.join(pool, "__k").select("draw", *train.columns)
     missing = test.count() - draws.count()
     if missing <= 0:
         return drawn
@@ -92,9 +87,12 @@ def with_poisson_weight(df: DataFrame, key: str, bag, seed: int = 0, name: str =
     ``bag`` is a number or a column."""
     bag = F.lit(bag) if isinstance(bag, int) else bag
     u = hash52(key, seed=F.lit(seed * 1_000_003) + bag)
-    steps, cdf, p = F.lit(0.0), 0.0, math.exp(-1.0)
-    for j in range(0, 12):
+    cuts, cdf, p, j = [], 0.0, math.exp(-1.0), 0
+    while p * HASH_SPAN >= 0.5:  # down to the resolution of the hash
         cdf += p
-        steps = steps + F.when(F.col("__u") >= F.lit(int(cdf * HASH_SPAN)), 1.0).otherwise(0.0)
-        p /= j + 1
-    return df.withColumn("__u", u).withColumn(name, steps).drop("__u")
+        j += 1
+        p /= j
+        cuts.append(min(int(cdf * HASH_SPAN), HASH_SPAN))
+    # The lambda's variable keeps the hash from being worked out once for every cut.
+    steps = F.transform(F.array(u), lambda x: balanced_sum([F.when(x >= F.lit(c), 1.0).otherwise(0.0) for c in cuts]))
+    return df.withColumn(name, F.element_at(steps, 1))

@@ -45,7 +45,7 @@ ROW_LEARNERS = {
 
 
 def without_fold(g: Gram, fold: int) -> Gram:
-    return Gram(g.names, {k: v for k, v in g.folds.items() if k != fold})
+    return g.without_fold(fold)
 
 
 def fit_folds(train: DataFrame, cols, y: str, key: str, k: int, learner: str, fold: str = "fold", g: Gram | None = None):

@@ -32,6 +32,17 @@ def profile_columns(spark, sf):
     return P.stats_long(s)
 
 
+QUARTERS = ["y", "X14", "X22", "X23"]
+
+
+@query("AGG-6", with_wide(f"""SELECT "column", round(quantile_cont(v, 0.25), 6) AS q25, round(quantile_cont(v, 0.5), 6) AS q50,
+    round(quantile_cont(v, 0.75), 6) AS q75
+    FROM ({_union(QUARTERS, "SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS v FROM wide")}) GROUP BY "column" """))
+def profile_quartiles(spark, sf):
+    out = P.column_quartiles(wide(spark, sf, *QUARTERS), QUARTERS)
+    return out.select("column", *[F.round(c, 6).alias(c) for c in ("q25", "q50", "q75")])
+
+
 @query("AGG-3 AGG-11", with_wide(f"""SELECT "column", level, count(*) AS n, sum(tc)::BIGINT AS n_train,
     sum(1 - tc)::BIGINT AS n_test, min(ID) AS first_key
     FROM ({_union(LEVELS, "SELECT '{c}' AS \"column\", {c} AS level, tc, ID FROM wide")}) GROUP BY ALL"""))
@@ -56,12 +67,14 @@ def drop_constant(spark, sf):
     return train.drop(*P.constant_columns(train, ["tc", "X10", "X14", "X18", "X21", "X22"]))
 
 
-@query("PRF-2", with_wide("SELECT ID, X10, X14, X18 FROM wide WHERE tc = 1"))
+# The SQL counts by itself which columns have too few positives.
+@query("PRF-2", with_wide(f"""SELECT "column", v FROM ({_union(["X10", "X14", "X18", "X21"],
+    "SELECT ID, '{c}' AS \"column\", {c} AS v FROM wide WHERE tc = 1")}) QUALIFY sum(v) OVER (PARTITION BY "column") >= 20"""))
 def drop_rare(spark, sf):
-    train = wide(spark, sf, "ID", "tc", "X10", "X14", "X18", "X21").filter("tc = 1").drop("tc")
-    n = train.count()
-    least = max(20, n // 250)
-    return train.drop(*P.rare_flags(train, ["X10", "X14", "X18", "X21"], least))
+    cols = ["X10", "X14", "X18", "X21"]
+    train = wide(spark, sf, "ID", "tc", *cols).filter("tc = 1").drop("tc")
+    kept = [c for c in cols if c not in P.rare_flags(train, cols, 20)]
+    return train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in kept])).alias("s")).select("s.*")
 
 
 @query("PRF-3", with_wide("SELECT ID, X10, X11, X12, X20 FROM wide"))
@@ -154,12 +167,10 @@ def kde_sql(source: str, by: str = "", bw: str = "(SELECT stddev_samp(v) * pow(c
     part = f"{by}, " if by else ""
     return f"""src AS ({source}),
 lim AS (SELECT min(v) AS lo, max(v) AS hi, {bw} AS h FROM src),
-cnt AS (SELECT {part}least(floor((v - lo) / ((hi - lo) / 512)), 511) AS b, count(*) AS c, any_value(lo) AS lo,
-        any_value(hi) AS hi, any_value(h) AS h FROM src, lim GROUP BY ALL),
-dens AS (SELECT {part}g, any_value(lo) + g * (any_value(hi) - any_value(lo)) / 199 AS x,
-        sum(c * exp(-0.5 * pow((lo + g * (hi - lo) / 199 - (lo + (b + 0.5) * (hi - lo) / 512)) / h, 2)))
-          / (sum(c) * any_value(h) * sqrt(2 * pi())) AS d
-        FROM cnt, (SELECT unnest(range(200))::INTEGER AS g) GROUP BY {part}g)"""
+size AS (SELECT {part}count(v) AS m FROM src {f"GROUP BY {by}" if by else ""}),
+grid AS (SELECT {part}m, g, lo + g * (hi - lo) / 199 AS x, h FROM size, lim, (SELECT unnest(range(200))::INTEGER AS g)),
+dens AS (SELECT {part}g, any_value(x) AS x, coalesce(sum(exp(-0.5 * pow((x - v) / h, 2))), 0) / (any_value(m) * any_value(h) * sqrt(2 * pi())) AS d
+        FROM grid {f"JOIN src USING ({by})" if by else ", src"} GROUP BY {part}g)"""
 
 
 @query("AGG-15", with_wide("SELECT g, round(x, 3) AS x, round(d * 1e6, 6) AS density FROM dens",

@@ -55,6 +55,14 @@ def json_flatten(spark, sf):
     return R.flatten_json(table(spark, sf, "events").select("event_id", "props"), "props", "k int")
 
 
+@query("SRC-2", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey IS NOT NULL")
+def json_nested_records(spark, sf):
+    path = new_path(spark, "answers")
+    answers = F.collect_list(F.struct("o_orderkey", "o_totalprice")).alias("answers")
+    table(spark, sf, "orders").filter("o_custkey is not null").groupBy("o_custkey").agg(answers).write.json(path)
+    return R.read_json(spark, path, "answers array<struct<o_orderkey: bigint, o_totalprice: double>>", "answers", lines=True)
+
+
 def predictions_long(df: DataFrame, *keep: str) -> DataFrame:
     """Three closed-form predictors of y: mean by X0, mean by X1, straight line in X22."""
     df = durable(df)
@@ -63,7 +71,7 @@ def predictions_long(df: DataFrame, *keep: str) -> DataFrame:
     out = df
     for c in ("X0", "X1"):
         means = df.groupBy(c).agg(F.avg("y").alias(f"mean_{c}"), F.count(F.lit(1)).alias("w"))
-        out = lookup_join(out, means, c, weight="w").drop("w")
+        out = lookup_join(out, means, c).drop("w")
     return out.select("ID", *keep, F.explode(F.array(
         F.struct(F.lit("mean_X0").alias("model"), F.col("mean_X0").alias("pred")),
         F.struct(F.lit("mean_X1").alias("model"), F.col("mean_X1").alias("pred")),
@@ -271,7 +279,7 @@ def one_hot(spark, sf):
     FROM (SELECT DISTINCT l_orderkey, CASE WHEN l_discount > 0.05::DOUBLE THEN l_partkey END AS p FROM lineitem)
     GROUP BY l_orderkey""")
 def group_concat_none(spark, sf):
-    return E.joined_text(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey", F.col("l_discount") > 0.05).drop("piece")
+    return E.joined_text(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey", F.col("l_discount") > 0.05)
 
 
 @query("AGG-14 SCL-5 ENC-8", with_wide(f"""SELECT ID, CAST({' + '.join(FLAGS)} AS INTEGER) AS flag_sum,

@@ -16,9 +16,10 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | str, records: str) -> DataFrame:
-    """One row per record of the nested list ``records``, its fields as columns."""
-    return spark.read.schema(schema).option("multiLine", True).json(path) \
+def read_json(spark: SparkSession, path: str, schema: T.StructType | str, records: str, lines: bool = False) -> DataFrame:
+    """One row per record of the nested list ``records``, its fields as columns. A file is one document, or with ``lines``
+    one document per line, which can be read in splits."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path) \
         .select(F.explode(records).alias("s")).select("s.*")
 
 

@@ -109,13 +109,11 @@ def test_density_integrates_to_one(spark):
     rows = sorted(kernel_density(df, "v", 200, 0.05).collect())
     x, d = np.array([r["x"] for r in rows]), np.array([r["density"] for r in rows])
     exact = np.exp(-0.5 * ((x[:, None] - np.sin(np.arange(5000))) / 0.05) ** 2).mean(axis=1) / (0.05 * math.sqrt(2 * math.pi))
-    assert np.allclose(d, exact, rtol=2e-2, atol=1e-3)
+    assert np.allclose(d, exact, rtol=1e-9)
     assert kernel_density(df.filter("v > 5"), "v").count() == 0
 
 
-@pytest.mark.parametrize("thin", [1000, 0])
-def test_resample_follows_test_levels(spark, thin, monkeypatch):
-    monkeypatch.setattr(S, "THIN_LEVEL", thin)
+def test_resample_follows_test_levels(spark):
     level = lambda c: F.concat(F.lit("l"), c.cast("string"))
     train = spark.range(300).select("id", level(F.col("id") % 3).alias("c")).unionByName(
         spark.createDataFrame([(1000, "rare")], "id bigint, c string"))
@@ -142,3 +140,29 @@ def test_folds_and_bags(spark):
     assert len(h) == 4 and all(60 < r["count"] < 145 for r in h)
     again = S.holdout(df.repartition(7), "id", 0.2, 2).filter("holdout").count()
     assert again == S.holdout(df, "id", 0.2, 2).filter("holdout").count()
+
+
+def test_density_with_a_bandwidth_far_below_the_range(spark):
+    """One far value must not blur the others."""
+    v = np.append(np.linspace(0, 1, 999), 100_000.0)
+    df = spark.createDataFrame([(float(x),) for x in v], "v double")
+    rows = {r["g"]: r for r in kernel_density(df, "v", 200, 0.2).collect()}
+    x = np.array([rows[g]["x"] for g in range(200)])
+    exact = np.exp(-0.5 * ((x[:, None] - v) / 0.2) ** 2).mean(axis=1) / (0.2 * math.sqrt(2 * math.pi))
+    assert np.allclose([rows[g]["density"] for g in range(200)], exact, rtol=1e-9, atol=1e-15) and rows[0]["density"] > 0.49
+
+
+def test_encoding_reads_a_large_column_once(spark, tmp_path):
+    """Three large columns: one scan of the table in the plan, one join each."""
+    from broadloom.operators.lookup import Levels
+
+    spark.range(3000).select("id", *[F.concat(F.lit("v"), F.pmod(F.xxhash64("id", F.lit(i)), F.lit(900)).cast("string")).alias(f"c{i}")
+                                     for i in range(3)]).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    cols = ["c0", "c1", "c2"]
+    levels = Levels(df, cols, "id", max_rows=5).number()
+    out = df
+    for c in cols:
+        out = levels.attach(out, c, **{f"{c}_code": "code", f"{c}_freq": "n"})
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 3 and out.count() == 3000

@@ -33,7 +33,7 @@ def test_gram_routes_agree(data, monkeypatch):
         monkeypatch.setattr(G, "SQL_FEATURES", route)
         h = G.gram(df, COLS, "y", "fold")
         for k in range(5):
-            n, s, m = h.folds[k]
+            n, s, m = h.sums(only=k)
             part = z[np.arange(len(z)) % 5 == k]
             assert n == len(part) and np.allclose(s, part.sum(0)) and np.allclose(m, part.T @ part)
     assert np.allclose(g.correlation(), np.corrcoef(z.T))
@@ -229,3 +229,66 @@ def test_metric_edges(spark):
     assert tuple(early_stop(rounds, "m", 1, maximize=True).first()) == (0, 1, 0, 5.0)
     log = spark.createDataFrame([(c, c, v) for c, vs in enumerate([(.5, .7), (.6, .64), (.1, .1)]) for v in vs], "c int, size int, m double")
     assert one_se_choice(log, "c", "m", "size").first()["c"] == 0
+
+
+def test_row_sums_scores_and_leverage_at_400_columns(spark, tmp_path):
+    from broadloom.functions.columns import linear_score, row_sum
+    from broadloom.operators.gram import gram
+    from broadloom.operators.linear import press
+
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(900, 400))
+    names = [f"c{i}" for i in range(400)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(y=x[:, 0] + rng.normal(size=900)))
+    df.write.parquet(str(tmp_path / "wide"))
+    df = spark.read.parquet(str(tmp_path / "wide"))
+    got = df.select(row_sum(names).alias("s"), linear_score(names, np.arange(400.0), 2.0).alias("l"), "c0").toPandas().sort_values("c0")
+    order = np.argsort(x[:, 0])
+    assert np.allclose(got["s"], x.sum(1)[order]) and np.allclose(got["l"], (2 + x @ np.arange(400.0))[order])
+    out = press(df, gram(df, names, "y"), "y").select("c0", "leverage").toPandas().sort_values("c0")
+    z = np.c_[np.ones(900), x]
+    assert np.allclose(out["leverage"], np.einsum("ij,ij->i", z @ np.linalg.inv(z.T @ z), z)[order])
+
+
+def test_moments_of_large_values_with_a_small_spread(spark):
+    from pyspark.sql import functions as F
+
+    from broadloom.operators.gram import gram
+    from broadloom.operators.linear import from_gram, ols_solve
+
+    df = spark.range(7).select((F.col("id") + 1e9).alias("x"), (F.col("id") + 1e9).alias("x2"), (F.col("id") * 1.0).alias("y"))
+    g = gram(df, ["x"], "y")
+    model = from_gram(g, ols_solve)
+    assert np.isclose(model.coef[0], 1.0) and np.isclose(g.moments().sxx[0, 0], 28.0)
+    assert np.isclose(gram(df, ["x", "x2"]).correlation()[0, 1], 1.0)
+    assert np.isclose(g.sse(0, model.coef, model.intercept), 0.0, atol=1e-6)
+
+
+def test_penalty_path_meets_its_optimality_conditions(spark):
+    import time
+
+    from broadloom.operators.gram import Gram
+    from broadloom.operators.linear import enet_solve, lasso_cv
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2000, 400)) @ (np.eye(400) + 0.05 * rng.normal(size=(400, 400)))
+    y = x[:, :20] @ rng.normal(size=20) + rng.normal(size=2000)
+    z = np.c_[x, y]
+    g = Gram([f"c{i}" for i in range(400)] + ["y"], {k: (400.0, z[k::5].sum(0), z[k::5].T @ z[k::5]) for k in range(5)})
+    start = time.time()
+    lasso_cv(g)
+    assert time.time() - start < 60
+    m, alpha = g.moments(), 0.05
+    w = enet_solve(m, alpha, 0.5)
+    slope = (m.sxy - m.sxx @ w) / m.n - 0.025 * w
+    assert np.allclose(slope[w != 0], 0.025 * np.sign(w[w != 0]), atol=1e-6) and np.all(np.abs(slope[w == 0]) <= 0.025 + 1e-6)
+
+
+def test_null_and_ragged_arrays_are_left_out(spark):
+    from broadloom.operators.gram import gram_array
+
+    df = spark.createDataFrame([([1.0, 2.0],), (None,), ([3.0],), ([1.0, None],), ([2.0, 5.0],)], "v array<double>")
+    n, s, g = gram_array(df, "v", 2).sums()
+    assert n == 2 and np.allclose(s, [3, 7]) and np.allclose(g, [[5, 12], [12, 29]])

@@ -96,3 +96,19 @@ def test_group_index_with_a_hot_group(spark, size):
     for rows in groups.values():
         rows.sort()
         assert [r[2] for r in rows] == list(range(len(rows))) and {r[3] for r in rows} == {len(rows)}
+
+
+@pytest.mark.parametrize("rows_per_bucket", [1_000_000, 7])
+def test_keys_beyond_double_precision_and_of_other_types(spark, rows_per_bucket):
+    from pyspark.sql import functions as F
+
+    from broadloom.operators.ordering import contiguous_folds, ordered_index, rank_slice
+
+    base = spark.range(40).select((F.col("id") + F.lit(2 ** 60)).alias("big"), F.format_string("k%05d", "id").alias("text"),
+                                  F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("day"))
+    for key in ("big", "text", "day"):
+        folds = [r["fold"] for r in contiguous_folds(base, key, 5, rows_per_bucket=rows_per_bucket).orderBy(key).collect()]
+        assert folds == [i // 8 for i in range(40)]
+        every = [r[key] for r in base.orderBy(key).collect()]
+        assert [r[key] for r in rank_slice(base, key, 3, 9, rows_per_bucket).orderBy(key).collect()] == every[3:9]
+        assert [r["idx"] for r in ordered_index(base, key, rows_per_bucket=rows_per_bucket).orderBy(key).collect()] == list(range(40))
