@@ -190,16 +190,18 @@ def kde_by_model(spark, sf):
     return out.select("model", "g", F.round("x", 3).alias("x"), F.round(F.col("density") * 1e6, 6).alias("density"))
 
 
-LONG_ITEMS = "items AS (" + _union(FLAGS, "SELECT ID, '{c}' AS item FROM wide WHERE {c} = 1") + ")"
+# Rows with the same flags are one pattern with a count: at most 256 of them, whatever the table.
+LONG_ITEMS = f"pat AS MATERIALIZED (SELECT row_number() OVER () AS ID, * FROM (SELECT {', '.join(FLAGS)}, count(*) AS w FROM wide GROUP BY ALL)),\n" \
+    "items AS MATERIALIZED (" + _union(FLAGS, "SELECT ID, '{c}' AS item, w FROM pat WHERE {c} = 1") + ")"
 SUPPORT_SHARE = 0.2
 SETS = LONG_ITEMS + """,
-total AS (SELECT count(*) AS t FROM wide),
-one AS (SELECT item, count(*) AS n FROM items GROUP BY item),
-sets AS (
-  SELECT a.item || ',' || b.item AS items, 2 AS size, count(*) AS freq FROM items a JOIN items b ON a.ID = b.ID AND a.item < b.item GROUP BY 1
-  UNION ALL SELECT a.item || ',' || b.item || ',' || c.item, 3, count(*) FROM items a JOIN items b ON a.ID = b.ID AND a.item < b.item
+total AS (SELECT sum(w)::BIGINT AS t FROM pat),
+one AS MATERIALIZED (SELECT item, sum(w)::BIGINT AS n FROM items GROUP BY item),
+sets AS MATERIALIZED (
+  SELECT a.item || ',' || b.item AS items, 2 AS size, sum(a.w)::BIGINT AS freq FROM items a JOIN items b ON a.ID = b.ID AND a.item < b.item GROUP BY 1
+  UNION ALL SELECT a.item || ',' || b.item || ',' || c.item, 3, sum(a.w)::BIGINT FROM items a JOIN items b ON a.ID = b.ID AND a.item < b.item
     JOIN items c ON c.ID = b.ID AND b.item < c.item GROUP BY 1
-  UNION ALL SELECT a.item || ',' || b.item || ',' || c.item || ',' || d.item, 4, count(*) FROM items a JOIN items b ON a.ID = b.ID AND a.item < b.item
+  UNION ALL SELECT a.item || ',' || b.item || ',' || c.item || ',' || d.item, 4, sum(a.w)::BIGINT FROM items a JOIN items b ON a.ID = b.ID AND a.item < b.item
     JOIN items c ON c.ID = b.ID AND b.item < c.item JOIN items d ON d.ID = c.ID AND c.item < d.item GROUP BY 1)"""
 FREQUENT = f"freq >= {SUPPORT_SHARE} * (SELECT t FROM total)"
 
