@@ -221,10 +221,35 @@ def _fit(name):
     return run
 
 
-for _name, _ids in [("bayes_ridge", "REG-8"), ("enet", "REG-4"), ("enet_cv", "REG-4"), ("lasso", "REG-3"), ("lasso_cv", "REG-3"),
-                    ("lasso_lars", "REG-6"), ("lasso_lars_cv", "REG-6"), ("lasso_lars_ic", "REG-6"), ("omp", "REG-7"),
-                    ("omp_cv", "REG-7"), ("ridge_cv", "REG-2")]:
-    query(_ids)(_fit(_name))
+def descent_sql(l1: float, l2: float, sweeps: int = 600) -> str:
+    """Cyclic coordinate descent on the covariances, one coordinate per step of a recursive query."""
+    p = len(X)
+    q = ", ".join("[" + ", ".join(f"covar_pop({a}, {b})" for b in X) + "]" for a in X)
+    c = ", ".join(f"covar_pop({a}, y_lin)" for a in X)
+    rho = "(c[j] - list_dot_product(q[j], w) + q[j][j] * w[j])"
+    walk = f"""walk AS (SELECT 0 AS t, 1 AS j, [{", ".join(["0::DOUBLE"] * p)}] AS w
+        UNION ALL SELECT t + 1, j % {p} + 1, w[1:j - 1] || [sign({rho}) * greatest(abs({rho}) - {l1}::DOUBLE, 0) / (q[j][j] + {l2}::DOUBLE)] || w[j + 1:]
+        FROM walk, cov WHERE t < {p * sweeps})"""
+    names = "[" + ", ".join(f"'{x}'" for x in X) + "]"
+    means = ", ".join(f"avg({x})" for x in X)
+    return with_wide(f"""SELECT term, round(coef, 6) AS coef FROM (SELECT unnest({names}) AS term, unnest(w) AS coef FROM last
+        UNION ALL SELECT '(intercept)', my - list_dot_product(w, mx) FROM last, cov)""",
+        f"cov AS MATERIALIZED (SELECT [{q}] AS q, [{c}] AS c, [{means}] AS mx, avg(y_lin) AS my FROM wide)", walk,
+        f"last AS (SELECT w FROM walk WHERE t = {p * sweeps})").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+#: One atom of the pursuit: the column most correlated with the target, fitted alone.
+ONE_ATOM = with_wide("""SELECT term, round(coef, 6) AS coef FROM (SELECT c AS term, CASE WHEN c = (SELECT arg_max(c, abs(sxy) / sqrt(sxx)) FROM one)
+    THEN sxy / sxx ELSE 0 END AS coef FROM one UNION ALL SELECT '(intercept)', my - sxy / sxx * mx FROM one
+    WHERE c = (SELECT arg_max(c, abs(sxy) / sqrt(sxx)) FROM one))""",
+    "one AS MATERIALIZED (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS c, covar_pop({c}, y_lin) AS sxy, var_pop({c}) AS sxx, avg({c}) AS mx, avg(y_lin) AS my FROM wide" for c in X) + ")")
+
+for _name, _ids, _sql in [("bayes_ridge", "REG-8", None), ("enet", "REG-4", descent_sql(0.5, 0.5)), ("enet_cv", "REG-4", None),
+                          ("lasso", "REG-3", descent_sql(0.1, 0.0)), ("lasso_cv", "REG-3", None), ("lasso_lars", "REG-6", descent_sql(0.01, 0.0)),
+                          ("lasso_lars_cv", "REG-6", None), ("lasso_lars_ic", "REG-6", None), ("omp", "REG-7", ONE_ATOM),
+                          ("omp_cv", "REG-7", None), ("ridge_cv", "REG-2", None)]:
+    query(_ids, _sql)(_fit(_name))
 query("REG-10", elimination_sql(RAW, "0.6::DOUBLE", intercept=False))(_fit("kernel_ridge"))
 query("REG-2", elimination_sql(CENTRED, "1"))(_fit("ridge"))
 
@@ -260,7 +285,21 @@ def glm_pvalues(spark, sf):
     return rounded(L.glm_terms(planted(spark, sf), X, "y_lin", 0.05), "term", digits=4)
 
 
-@query("ENC-6 REG-1")
+def formula_sql() -> str:
+    """Dummies of all levels but one, eliminated like any columns; which level is left out does not matter to the fit."""
+    cols = [f"(X0 = '{v}')::INTEGER" for v in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD")] + [
+        f"(X2 = '{v}')::INTEGER" for v in ("F", "O")] + ["X14", "X22", "y_lin"]
+    p = len(cols) - 1
+    ctes = ["s0 AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, covar_pop({cols[i]}, {cols[j]}) AS v FROM wide"
+                                                       for i in range(p) for j in range(p + 1)) + ")"]
+    for k in range(p):
+        ctes.append(f"""s{k + 1} AS MATERIALIZED (SELECT t.i, t.j, CASE WHEN t.i = {k} THEN t.v / p.v ELSE t.v - c.v * r.v / p.v END AS v
+            FROM s{k} t JOIN s{k} c ON c.i = t.i AND c.j = {k} JOIN s{k} r ON r.i = {k} AND r.j = t.j JOIN s{k} p ON p.i = {k} AND p.j = {k})""")
+    explained = f"(SELECT sum(a.v * b.v) FROM s{p} a JOIN s0 b ON a.i = b.i AND a.j = {p} AND b.j = {p})"
+    return with_wide(f"SELECT n, round(e / s, 6) AS r2, round(sqrt(s - e), 6) AS rmse FROM (SELECT count(*) AS n, var_pop(y_lin) AS s, {explained} AS e FROM wide)", *ctes)
+
+
+@query("ENC-6 REG-1", formula_sql())
 def formula_fit(spark, sf):
     """Formula with factors: levels expand to dummies, then one linear fit."""
     df = wide(spark, sf, "ID", "X0", "X2", "X14", "X22", "y_lin")
