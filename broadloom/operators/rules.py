@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, functions as F
 
@@ -36,6 +38,38 @@ def itemsets(model, low: int = 2, high: int = 4) -> DataFrame:
     return sized.select(F.array_sort("items").alias("items"), "size", "freq")
 
 
+def frequent_sets(df: DataFrame, flags, key: str, least: int, max_items: int = 4) -> DataFrame:
+    """(items sorted, size, freq) of the sets of one to ``max_items`` items that at least ``least`` rows hold.
+
+    Level by level: a row's frequent sets of one level are extended by its later frequent items, so nothing longer than
+    asked is ever counted and no set is built on an infrequent one. Rows with the same items are one, with a weight.
+    """
+    baskets = transactions(df, flags, key).filter(F.size("items") > 0).groupBy(F.array_sort("items").alias("items")).agg(
+        F.count(F.lit(1)).alias("w"))
+    grown = baskets.select("w", "items", F.array().cast("array<string>").alias("set"))
+    levels = []
+    for size in range(1, max_items + 1):
+        last = F.element_at("set", -1)
+        later = F.col("items") if size == 1 else F.filter("items", lambda i: i > last)
+        longer = grown.select("w", "items", F.explode(later).alias("i"), "set").select("w", "items", F.concat("set", F.array("i")).alias("set"))
+        kept = durable(longer.groupBy("set").agg(F.sum("w").alias("freq")).filter(F.col("freq") >= least))
+        levels.append(kept.select(F.col("set").alias("items"), F.lit(size).alias("size"), "freq"))
+        grown = durable(longer.join(kept.select("set"), "set", "left_semi").select("w", "items", "set"))
+    return reduce(DataFrame.unionByName, levels)
+
+
+def rules_of(sets: DataFrame, n: int, min_confidence: float = 0.8) -> DataFrame:
+    """Single-consequent rules of frequent sets (which hold all their subsets), strongest lift first."""
+    whole = sets.filter("size > 1").select("items", "freq", F.explode("items").alias("rhs"))
+    whole = whole.withColumn("lhs", F.array_remove("items", F.col("rhs")))
+    left = sets.select(F.col("items").alias("lhs"), F.col("freq").alias("n_lhs"))
+    right = sets.filter("size = 1").select(F.element_at("items", 1).alias("rhs"), F.col("freq").alias("n_rhs"))
+    confidence = F.col("freq") / F.col("n_lhs")
+    return whole.join(left, "lhs").join(right, "rhs").filter(confidence >= min_confidence).select(
+        F.array_join("lhs", ",").alias("lhs"), "rhs", confidence.alias("confidence"), (confidence / (F.col("n_rhs") / F.lit(n))).alias("lift"),
+        (F.col("freq") / F.lit(n)).alias("support")).orderBy(F.desc("lift"), "lhs", "rhs")
+
+
 def itemset_lift(df: DataFrame, flags, sets: DataFrame) -> DataFrame:
     """Support of a set over the product of its items' supports. The per-item table has one entry per flag
     column, so it travels as a literal map."""

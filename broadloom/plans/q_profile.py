@@ -193,7 +193,7 @@ def kde_by_model(spark, sf):
 # Rows with the same flags are one pattern with a count: at most 256 of them, whatever the table.
 LONG_ITEMS = f"pat AS MATERIALIZED (SELECT row_number() OVER () AS ID, * FROM (SELECT {', '.join(FLAGS)}, count(*) AS w FROM wide GROUP BY ALL)),\n" \
     "items AS MATERIALIZED (" + _union(FLAGS, "SELECT ID, '{c}' AS item, w FROM pat WHERE {c} = 1") + ")"
-SUPPORT_SHARE = 0.2
+LEAST_SETS, LEAST_RULES = 500, 100  # rows that must hold a set
 SETS = LONG_ITEMS + """,
 total AS (SELECT sum(w)::BIGINT AS t FROM pat),
 one AS MATERIALIZED (SELECT item, sum(w)::BIGINT AS n FROM items GROUP BY item),
@@ -203,13 +203,13 @@ sets AS MATERIALIZED (
     JOIN items c ON c.ID = b.ID AND b.item < c.item GROUP BY 1
   UNION ALL SELECT a.item || ',' || b.item || ',' || c.item || ',' || d.item, 4, sum(a.w)::BIGINT FROM items a JOIN items b ON a.ID = b.ID AND a.item < b.item
     JOIN items c ON c.ID = b.ID AND b.item < c.item JOIN items d ON d.ID = c.ID AND c.item < d.item GROUP BY 1)"""
-FREQUENT = f"freq >= {SUPPORT_SHARE} * (SELECT t FROM total)"
+FREQUENT = f"freq >= {LEAST_SETS}"
 
 
 @query("RUL-1 ENC-13", with_wide(f"SELECT items, CAST(size AS INTEGER) AS size, freq FROM sets WHERE {FREQUENT}", SETS))
 def itemsets(spark, sf):
-    model = U.growth(wide(spark, sf, "ID", *FLAGS), FLAGS, "ID", SUPPORT_SHARE)
-    return U.itemsets(model).withColumn("items", F.array_join("items", ","))
+    sets = U.frequent_sets(wide(spark, sf, "ID", *FLAGS), FLAGS, "ID", LEAST_SETS)
+    return sets.filter("size > 1").withColumn("items", F.array_join("items", ","))
 
 
 @query("RUL-2 ORD-2", with_wide(f"""SELECT items, freq, round(freq / t::DOUBLE, 6) AS support, round(freq / t::DOUBLE /
@@ -217,7 +217,7 @@ def itemsets(spark, sf):
     FROM sets, total WHERE {FREQUENT} ORDER BY lift DESC, items LIMIT 10""", SETS))
 def itemset_lift(spark, sf):
     df = wide(spark, sf, "ID", *FLAGS)
-    out = U.itemset_lift(df, FLAGS, U.itemsets(U.growth(df, FLAGS, "ID", SUPPORT_SHARE)))
+    out = U.itemset_lift(df, FLAGS, U.frequent_sets(df, FLAGS, "ID", LEAST_SETS).filter("size > 1"))
     return out.select(F.array_join("items", ",").alias("items"), "freq", F.round("support", 6).alias("support"),
                       F.round("lift", 6).alias("lift")).orderBy(F.desc("lift"), "items").limit(10)
 
@@ -226,11 +226,12 @@ def itemset_lift(spark, sf):
     round(freq / nl::DOUBLE / (n / t::DOUBLE), 6) AS lift, round(freq / t::DOUBLE, 6) AS support FROM (
       SELECT s.freq, o.item AS rhs, o.n,
         array_to_string(list_filter(string_split(s.items, ','), lambda i: i <> o.item), ',') AS lhs
-      FROM sets s JOIN one o ON list_contains(string_split(s.items, ','), o.item) WHERE {FREQUENT}) r
+      FROM sets s JOIN one o ON list_contains(string_split(s.items, ','), o.item) WHERE freq >= {LEAST_RULES}) r
     JOIN (SELECT items, freq AS nl FROM sets UNION ALL SELECT item, n FROM one) l ON l.items = r.lhs, total
     WHERE freq / nl::DOUBLE >= 0.8""", SETS))
 def rules(spark, sf):
-    out = U.rules(U.growth(wide(spark, sf, "ID", *FLAGS), FLAGS, "ID", SUPPORT_SHARE))
+    df = wide(spark, sf, "ID", *FLAGS)
+    out = U.rules_of(U.frequent_sets(df, FLAGS, "ID", LEAST_RULES), df.count())
     return out.select("lhs", "rhs", *[F.round(c, 6).alias(c) for c in ("confidence", "lift", "support")])
 
 

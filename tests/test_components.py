@@ -166,3 +166,13 @@ def test_encoding_reads_a_large_column_once(spark, tmp_path):
         out = levels.attach(out, c, **{f"{c}_code": "code", f"{c}_freq": "n"})
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 3 and out.count() == 3000
+
+
+def test_frequent_sets_agree_with_pattern_growth(spark):
+    from broadloom.operators import rules as U
+
+    flags = ["a", "b", "c", "d", "e"]
+    df = spark.range(400).select("id", *[(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(i + 2)) == 0).cast("int").alias(c) for i, c in enumerate(flags)])
+    want = {tuple(r["items"]): r["freq"] for r in U.itemsets(U.growth(df, flags, "id", 8 / 400), 1, 3).collect()}
+    got = {tuple(r["items"]): r["freq"] for r in U.frequent_sets(df, flags, "id", 8, 3).collect()}
+    assert got == want
