@@ -725,7 +725,7 @@ def stack_stump(spark, sf):
     return chain.fit(a).transform(b).select("ID", F.round("prediction", 3).alias("pred"))
 
 
-@query("ENS-5 SRH-3 UDF-6", with_wide("""SELECT ID, round(mb + mc * ((SELECT avg(a) FROM f) + (SELECT avg(b) FROM f) * X22), 4) AS pred FROM wide,
+@query("ENS-5", with_wide("""SELECT ID, round(mb + mc * ((SELECT avg(a) FROM f) + (SELECT avg(b) FROM f) * X22), 4) AS pred FROM wide,
     (SELECT regr_slope(y, o) AS mc, regr_intercept(y, o) AS mb FROM (SELECT y_lin AS y, a + b * X22 AS o FROM wide JOIN f ON ID // 2 % 5 = k WHERE tc = 1))
     WHERE tc = 0""", FOLD_LINE))
 def super_learner_line(spark, sf):

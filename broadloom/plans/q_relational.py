@@ -28,7 +28,7 @@ def dup_rows(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({"avg_y": F.round("avg_y", 4), "sd_y": F.round("sd_y", 4)}).orderBy(F.desc("n"), "hash")
 
 
-@query("JN-2 JN-3 FLT-3 EVL-6",
+@query("EVL-6",
        f"SELECT g.hash, l_extendedprice AS y, n, round(a, 4) AS avg_y, round(s, 4) AS sd_y "
        f"FROM lineitem JOIN ({DUP_GROUPS}) g ON g.hash = {DUP_HASH}")
 def dup_rows_joined(spark, sf):
@@ -127,7 +127,7 @@ def tag_union_split(spark, sf):
     return both.filter("tc = 1").unionByName(both.filter("tc = 0"))
 
 
-@query("SRC-5", """SELECT o.k AS o_custkey, c_acctbal FROM (SELECT DISTINCT o_custkey AS k FROM orders) o
+@query("SRC-5 JN-2", """SELECT o.k AS o_custkey, c_acctbal FROM (SELECT DISTINCT o_custkey AS k FROM orders) o
     LEFT JOIN customer ON c_custkey = o.k""")
 def key_skeleton(spark, sf):
     skeleton = R.key_skeleton(table(spark, sf, "orders"), "o_custkey")
@@ -194,7 +194,7 @@ def anti_sample(spark, sf):
     return orders.join(hash_sample(orders.select("o_orderkey"), "o_orderkey", 400, 11), "o_orderkey", "left_anti")
 
 
-@query("SMP-3", f"SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN {SAMPLE_SQL}")
+@query("SMP-3 JN-3 FLT-3", f"SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN {SAMPLE_SQL}")
 def fixed_size_sample(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     return orders.join(hash_sample(orders.select("o_orderkey"), "o_orderkey", 400, 11), "o_orderkey", "left_semi")
