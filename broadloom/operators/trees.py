@@ -218,7 +218,7 @@ class IsolationModel:
 
 
 def isolation_forest(df: DataFrame, cols, key: str, trees: int = 100, sample: int = 256, seed: int = 0) -> IsolationModel:
-    """Each tree is grown from about ``sample`` rows picked by hash, so a group handed to Python is small
+    """Each tree is grown from ``sample`` rows (the method's own size, a parameter) picked by hash, so a group handed to Python is small
     whatever the table size; the grown forest is a few thousand nodes."""
     data = df.select(key, *cols).na.drop()
     n = data.count()
@@ -226,12 +226,9 @@ def isolation_forest(df: DataFrame, cols, key: str, trees: int = 100, sample: in
     frac = min(1.0, (sample + 6 * math.sqrt(sample)) / max(n, 1))
     span = 1 << 40
     h = lambda t: F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(span))
-    if trees * frac <= 1:      # large table: one hash decides whether a row is drawn at all, another for which tree
-        picked = data.filter(h(F.lit(-1)) < F.lit(int(trees * frac * span))) \
-                     .withColumn("__t", F.pmod(h(F.lit(-2)), F.lit(trees)).cast("int"))
-    else:
-        picked = data.withColumn("__t", F.explode(F.filter(
-            F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: h(t) < F.lit(int(frac * span)))))
+    # Every tree draws by its own hash of the key, whatever the size of the table.
+    picked = data.withColumn("__t", F.explode(F.filter(
+        F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: h(t) < F.lit(int(frac * span)))))
     picked = picked.withColumn("__h", h(F.col("__t")))
     names = list(cols)
 
@@ -241,12 +238,12 @@ def isolation_forest(df: DataFrame, cols, key: str, trees: int = 100, sample: in
         rng = np.random.default_rng([seed, t])
         limit = max(1, math.ceil(math.log2(max(psi, 2))))
         f, th, l, r, d = _grow(part[names].to_numpy(float), rng, limit)
-        return pd.DataFrame({"t": [t], "f": [f], "th": [th], "l": [l], "r": [r], "d": [d]})
+        return pd.DataFrame({"t": [t], "m": [len(part)], "f": [f], "th": [th], "l": [l], "r": [r], "d": [d]})
 
     grown = picked.groupBy("__t").applyInPandas(
-        build, "t int, f array<int>, th array<double>, l array<int>, r array<int>, d array<double>")
+        build, "t int, m int, f array<int>, th array<double>, l array<int>, r array<int>, d array<double>")
     rows = sorted(grown.collect(), key=lambda r: r["t"])
-    return IsolationModel([(r["f"], r["th"], r["l"], r["r"], r["d"]) for r in rows], names, psi)
+    return IsolationModel([(r["f"], r["th"], r["l"], r["r"], r["d"]) for r in rows], names, max((r["m"] for r in rows), default=psi))
 
 
 def outlier_flags(model: IsolationModel, df: DataFrame, contamination: float = 0.1) -> DataFrame:
