@@ -58,7 +58,7 @@ def mark_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     found = item_windows(items, item_id, item_text, window)
     keep = [c for c in docs.columns if c not in ADDED]
     key = [F.col(doc_id).alias("k_id"), F.xxhash64(text).alias("k_text")]
-    counted = docs.select(*[F.col(f"`{c}`") for c in keep], *key, F.size(_split(F.col(text))).cast("bigint").alias("n_words"))
+    counted = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), *key, F.size(_split(F.col(text))).cast("bigint").alias("n_words"))
     tokens = docs.select(*key, words_of(F.col(text)).alias("words"))
 
     # Rarity of the items' words over the whole corpus, added up inside each task first.
@@ -103,6 +103,6 @@ def _judge(counted: DataFrame, hits: DataFrame, keep: list[str], share: int) ->
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")
     ids = F.coalesce("h_items", F.array().cast("array<string>"))
     return counted.join(hits, F.col("k_id").eqNullSafe(F.col("h_id")) & (F.col("k_text") == F.col("h_text")), "left").select(
-        *[F.col(f"`{c}`") for c in keep], "n_words", n_hit.alias("n_hit"), F.size(ids).cast("bigint").alias("n_items"),
+        *[F.col(f"row.`{c}`") for c in keep], "n_words", n_hit.alias("n_hit"), F.size(ids).cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort(ids)), 256).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"))

@@ -25,8 +25,8 @@ from broadloom.session import durable
 BASE = np.uint64(0x2545F4914F6CDD1D)
 SLOT_BITS = 22
 LONG = 96
-WORDS_AT_ONCE = 40_000
-COUNTED_AT_ONCE = 200_000
+WORDS_AT_ONCE = 20_000
+COUNTED_AT_ONCE = 150_000
 LN10 = float(np.log(10.0))
 
 

@@ -107,7 +107,7 @@ def reshard(docs: DataFrame, old: Column, old_shards: int, new_shards: int, path
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("bigint")
     h = F.xxhash64(F.col(doc_id), F.col(text))
-    placed = docs.select(*keep, old.cast("int").alias("_old"), F.pmod(h, F.lit(blocks)).cast("int").alias("_block"),
+    placed = docs.select(F.struct(*keep).alias("_row"), old.cast("int").alias("_old"), F.pmod(h, F.lit(blocks)).cast("int").alias("_block"),
                          F.pmod(F.xxhash64(h, F.lit(1)), F.lit(1 << 20)).cast("int").alias("_h"))
     weighed = placed.groupBy("_old", "_block").agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("n")).toArrow().to_pylist()
     supply = [0] * old_shards
@@ -132,10 +132,10 @@ def reshard(docs: DataFrame, old: Column, old_shards: int, new_shards: int, path
     dealt = placed.join(to, ["_old", "_block"]).withColumn("_chunk", (F.col("_h") % F.col("_chunks")).cast("int")).drop("_chunks")
     chunks = dealt.groupBy("shard", "_chunk").agg(F.count(F.lit(1)).alias("c"))
     chunks = chunks.select("shard", "_chunk", (F.sum("c").over(W.partitionBy("shard").orderBy("_chunk")) - F.col("c")).alias("_first"))
-    within = F.row_number().over(W.partitionBy("shard", "_chunk").orderBy(doc_id, "_h", text)) - 1
+    within = F.row_number().over(W.partitionBy("shard", "_chunk").orderBy(F.col("_row")[doc_id], "_h", F.col("_row")[text])) - 1
     numbered = dealt.withColumn("_n", within).join(F.broadcast(chunks) if sum(counts) // rows_per_file < 100_000 else chunks,
                                                    ["shard", "_chunk"]).withColumn("slot", (F.col("_first") + F.col("_n")).cast("bigint"))
-    final = numbered.select(*keep, "shard", "slot")
+    final = numbered.select("_row.*", "shard", "slot")
     changed = F.col("shard").isin(rewritten) if rewritten else F.lit(False)
     final.filter(changed).write.partitionBy("shard").parquet(path)
     if not rewritten:

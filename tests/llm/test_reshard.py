@@ -25,7 +25,7 @@ def test_plan_moves_the_least():
 def test_plan_with_costs_against_all_assignments():
     price = {(0, 0): 0, (0, 1): 5, (0, 2): 1, (1, 0): 2, (1, 1): 0, (1, 2): 4}
     plan = transfer_plan([2, 3], [1, 1, 3], lambda i, j: price[i, j])
-    assert sum(f * price[k] for k, f in plan.items()) == 1 * 0 + 1 * 1 + 1 * 0 + 2 * 4
+    assert sum(f * price[k] for k, f in plan.items()) == 2 * 1 + 1 * 2 + 1 * 0 + 1 * 4
     with pytest.raises(ValueError):
         transfer_plan([5], [4])
 
