@@ -107,9 +107,9 @@ def reshard(docs: DataFrame, old: Column, old_shards: int, new_shards: int, path
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("bigint")
     h = F.xxhash64(F.col(doc_id), F.col(text))
-    placed = docs.select(F.struct(*keep).alias("_row"), old.cast("int").alias("_old"), F.pmod(h, F.lit(blocks)).cast("int").alias("_block"),
+    placed = docs.select(F.struct(*keep).alias("_row"), size.alias("_size"), old.cast("int").alias("_old"), F.pmod(h, F.lit(blocks)).cast("int").alias("_block"),
                          F.pmod(F.xxhash64(h, F.lit(1)), F.lit(1 << 20)).cast("int").alias("_h"))
-    weighed = placed.groupBy("_old", "_block").agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("n")).toArrow().to_pylist()
+    weighed = placed.groupBy("_old", "_block").agg(F.sum("_size").alias("bytes"), F.count(F.lit(1)).alias("n")).toArrow().to_pylist()
     supply = [0] * old_shards
     for b in weighed:
         supply[b["_old"]] += b["bytes"]
