@@ -54,6 +54,10 @@ class Gram:
     def without_fold(self, fold: int) -> "Gram":
         return Gram(self.names, {k: v for k, v in self.folds.items() if k != fold}, self.shift)
 
+    def take_folds(self, numbers: dict[int, int]) -> "Gram":
+        """The folds ``numbers[new]`` under the numbers ``new``; folds without rows are left out."""
+        return Gram(self.names, {new: self.folds[old] for new, old in numbers.items() if old in self.folds}, self.shift)
+
     def _sums(self, without: int | None = None, only: int | None = None):
         parts = [v for k, v in self.folds.items() if (only is None or k == only) and k != without]
         if not parts:

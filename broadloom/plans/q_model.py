@@ -638,9 +638,12 @@ def grid_search(spark, sf):
 @query("SRH-2 SMP-6")
 def cv_one_se(spark, sf):
     """Ridge penalties on repeated target-stratified folds; the strongest penalty within one standard error wins."""
-    df = S.stratified_folds(durable(planted(spark, sf).drop("fold")), "ID", "y_lin", 5, 3, 17)
-    cells = G.gram(df.withColumn("cell", F.expr("fold_1 * 25 + fold_2 * 5 + fold_3")), X, "y_lin", "cell")
-    grams = {t: cells.merge(lambda c, t=t: c // 5 ** (3 - t) % 5) for t in (1, 2, 3)}
+    k, times = 5, 10
+    df = S.stratified_folds(durable(planted(spark, sf).drop("fold")), "ID", "y_lin", k, times, 17)
+    # One pass: each row counts in one cell of every repetition, k x times cells in all.
+    cell = F.explode(F.array(*[F.lit((t - 1) * k) + F.col(f"fold_{t}") for t in range(1, times + 1)]))
+    cells = G.gram(df.select(*X, "y_lin", cell.alias("cell")), X, "y_lin", "cell")
+    grams = {t: cells.take_folds({f: (t - 1) * k + f for f in range(k)}) for t in range(1, times + 1)}
     alphas = [0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0]
     rows = H.resampled_trials(grams, alphas, lambda a: lambda m: L.ridge_solve(m, a))
     log = spark.createDataFrame(rows, "config int, alpha double, rep int, fold int, r2 double")
