@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 
-import numpy as np
-
-PIECES_KEPT = 250_000
+PIECES_KEPT = 400_000
 #: The pre-tokenisation pattern of this family of vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space other than the blank and the line feed, in UTF-8.
@@ -27,6 +27,13 @@ def _byte_of_symbol() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    out = array("H", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Encoder(dict):
     """Bytes of little-endian unsigned 16-bit ids; as a dict: of a piece with a blank before it."""
 
@@ -44,11 +51,22 @@ class Encoder(dict):
             raise ValueError("ids above 65535 do not fit")
         self.special = [t.encode() for t in special]
         self.fast = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        # A word of letters needs no cutting by the pattern first.
+        self.word = getattr(self.fast, "_encode_single_piece", self.fast.encode_ordinary)
+        self.before: dict[str, bytes] = {}
+        self.stops = {c: pack_ids(self.fast.encode_ordinary(c)) for c in ".,"}
 
     def __missing__(self, piece):
-        if len(self) >= PIECES_KEPT:
+        if len(self) >= PIECES_KEPT:  # the pieces of late stay at hand, those of before go
+            self.before = dict(self)
             self.clear()
-        ids = self[piece] = np.array(self.fast.encode_ordinary(" " + piece), "<u2").tobytes()
+        ids = self.before.get(piece)
+        if ids is None:
+            if piece[-1:] in self.stops and piece[-2:-1].isalpha():  # a letter before it: a piece of its own
+                ids = self[piece[:-1]] + self.stops[piece[-1]]
+            else:
+                ids = pack_ids((self.word if piece.isalpha() else self.fast.encode_ordinary)(" " + piece))
+        self[piece] = ids
         return ids
 
     def encode(self, text: bytes) -> bytes:
@@ -57,6 +75,6 @@ class Encoder(dict):
         if (b"  " in text or b" \n" in text or b"\n " in text or text[:1] == b" " or text[-1:] == b" " or b"\xc2\x85" in text
                 or b"\xc2\xa0" in text or (len(text.translate(None, RARE_BYTES)) < len(text) and OTHER_SPACE.search(text))
                 or any(s in text for s in self.special)):
-            return np.array(self.whole.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u2").tobytes()
+            return pack_ids(self.whole.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
         first, *rest = text.decode("utf-8", "replace").split(" ")
-        return np.array(self.fast.encode_ordinary(first), "<u2").tobytes() + b"".join(map(self.__getitem__, rest))
+        return pack_ids(self.fast.encode_ordinary(first)) + b"".join(map(self.__getitem__, rest))
