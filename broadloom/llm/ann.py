@@ -151,7 +151,7 @@ def _visit(sent, ratio, least, beam, batches):
                                   names=["list", "rid", "v"])
 
 
-def build_index(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", neighbours: int = 20, per_list: int = 128,
+def build_index(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", neighbours: int = 20, per_list: int = 512,
                 most_lists: int = 8_192, sample_per_list: int = 24, border: float = 1.08, copies: int = 3) -> Index:
     """Every usable vector, in the lists near it.
 
@@ -222,6 +222,9 @@ def search(index: Index, wanted: Column, ratio: float = 1.13, least_lists: int =
         "side", F.lit(1)).select(cols)
     found = left.union(right).groupBy("list", "i", "j").applyInPandas(_best(index.neighbours), "q bigint, rid bigint, score double")
     found = found.groupBy("q", "rid").agg(F.max("score").alias("score"))
+    # Only what can still matter meets the entries: the best, and all that tie with the last of them.
+    found = found.withColumn("k", F.rank().over(W.partitionBy("q").orderBy(F.desc("score")))).filter(
+        F.col("k") <= index.neighbours + 1).drop("k")
     named = found.join(index.entries.select("rid", "first", "ids"), "rid")
     close = named.withColumn("k", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "first", "rid"))).filter(
         F.col("k") <= index.neighbours + 1).select("q", F.explode("ids").alias("vec_id"), "score")
