@@ -2,8 +2,10 @@
 
 Vectors get one more coordinate that makes all equally long, so that the largest inner product is the smallest
 distance. Centroids are fitted on a bounded sample with a penalty on large clusters; an in-memory graph over them finds
-the nearest ones. A vector near the border of clusters stands in all of theirs, a query visits the lists whose distance
-is within a ratio of its nearest one. Lists are cut into parts of bounded size, so no list grows beyond a task.
+the nearest ones. A vector near the border of clusters stands in all of theirs. A query first meets the lists nearest to
+it; the last score it has then decides which further lists can matter: those whose centroid's product plus the query's
+length times the list's radius reaches it. Only these are compared, where they lie, with each vector in its nearest list
+alone. Lists are cut into parts of bounded size, so no list grows beyond a task.
 Equal vectors are one entry with their smallest ids.
 """
 
@@ -22,6 +24,8 @@ from broadloom.session import durable
 
 LINKS, LONG_LINKS, BEAM = 16, 4, 48
 PART_VECTORS, PART_QUERIES = 1024, 512
+#: Of the queries that tasks hold at a time, and of the scores made at a time.
+HELD_BYTES, BLOCK_QUERIES = 32 << 20, 4096
 
 
 class CentroidGraph:
@@ -104,7 +108,9 @@ def fit_centroids(sample: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -
 class Index:
     entries: DataFrame  # rid, v, ids: distinct vectors with their smallest ids
     members: DataFrame  # vec_id, rid: every id that takes part
-    postings: DataFrame  # list, part, rid, v
+    postings: DataFrame  # list, rid, v: lists near the border too
+    nearest: DataFrame  # list, rid, v: each entry once, in order of the lists
+    radius: np.ndarray  # of the entries that are nearest to each centroid; -inf without any
     centroids: np.ndarray
     longest: float
     neighbours: int
@@ -133,19 +139,21 @@ def _assign(sent, ratio, copies, batches):
             keep = (ids >= 0) & (far <= ratio * far[:, :1] + 1e-9) & (np.arange(ids.shape[1]) < copies)
             row, col = np.nonzero(keep)
             taken = pa.array(row)
-            yield pa.record_batch([pa.array(ids[row, col], pa.int32()), batch.column("rid").take(taken), batch.column("v").take(taken)],
-                                  names=["list", "rid", "v"])
+            v = _matrix(batch.column("v"), batch.num_rows)[row]
+            off = np.sqrt(((v - centroids[ids[row, col], :-1]) ** 2).sum(1))
+            yield pa.record_batch([pa.array(ids[row, col], pa.int32()), batch.column("rid").take(taken), batch.column("v").take(taken),
+                                   pa.array(col == 0), pa.array(off)], names=["list", "rid", "v", "near", "off"])
 
 
-def _visit(sent, ratio, least, beam, batches):
-    """The lists each query visits: those within ``ratio`` of its nearest, ``least`` at least, the whole beam at most."""
+def _visit(sent, least, batches):
+    """The ``least`` lists nearest to each query."""
     centroids, _ = sent.value
     graph = CentroidGraph(centroids)
     for batch in slices(batches, 1024):
         if batch.num_rows:
             v = _matrix(batch.column("v"), batch.num_rows)
-            ids, far = graph.nearest(np.c_[v, np.zeros(len(v))], beam)
-            row, col = np.nonzero((ids >= 0) & ((far <= ratio * far[:, :1] + 1e-9) | (np.arange(ids.shape[1]) < least)))
+            ids, _ = graph.nearest(np.c_[v, np.zeros(len(v))], max(least, BEAM))
+            row, col = np.nonzero((ids >= 0) & (np.arange(ids.shape[1]) < least))
             taken = pa.array(row)
             yield pa.record_batch([pa.array(ids[row, col], pa.int32()), batch.column("rid").take(taken), batch.column("v").take(taken)],
                                   names=["list", "rid", "v"])
@@ -179,9 +187,15 @@ def build_index(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embed
     sample = _matrix(picked.column("v").combine_chunks(), picked.num_rows) if picked.num_rows else np.zeros((1, max(dim, 1)))
     centroids = fit_centroids(_lifted(sample, longest), min(lists, len(sample)))
     sent = vectors.sparkSession.sparkContext.broadcast((centroids, longest))
-    postings = durable(entries.select(F.col("a").alias("rid"), "v").mapInArrow(partial(_assign, sent, border, copies), "list int, rid bigint, v array<double>"))
+    postings = durable(entries.select(F.col("a").alias("rid"), "v").mapInArrow(
+        partial(_assign, sent, border, copies), "list int, rid bigint, v array<double>, near boolean, off double"))
+    radius = np.full(len(centroids), -np.inf)
+    for r in postings.filter("near").groupBy("list").agg(F.max("off").alias("off")).collect():  # at most most_lists rows
+        radius[r["list"]] = r["off"]
+    postings, near = postings.select("list", "rid", "v"), postings.filter("near").select("list", "rid", "v")
+    near = durable(near.repartitionByRange("list", "rid").sortWithinPartitions("list"))
     return Index(entries.withColumnRenamed("rid", "first").withColumnRenamed("a", "rid"), members.withColumnRenamed("a", "rid"), postings,
-                 centroids, longest, neighbours)
+                 near, radius, centroids, longest, neighbours)
 
 
 def _best(neighbours):
@@ -198,11 +212,58 @@ def _best(neighbours):
     return score
 
 
-def search(index: Index, wanted: Column, ratio: float = 1.13, least_lists: int = 16, beam: int = 128) -> DataFrame:
-    """(query_id, rank, vec_id, score): the nearest found of each id that meets ``wanted`` (on vec_id), without itself.
-
-    A query visits the lists within ``ratio`` of its nearest one, ``least_lists`` at least (a query that lies on a
-    centroid has no ratio to go by) and ``beam`` at most.
+def _beyond(neighbours, sent, asked, batches):
+    """(q, rid, score) of entries in lists that can hold a score of at least the query's floor, where they reach it."""
+    centroids, radius = sent.value
+    rids, v, floor = asked.value
+    length = np.sqrt((v * v).sum(1))
+    for batch in slices(batches, PART_VECTORS):
+        lists = batch.column("list").to_numpy()
+        ends = np.flatnonzero(np.diff(lists)) + 1
+        x, ids = _matrix(batch.column("v"), batch.num_rows), batch.column("rid").to_numpy()
+        for a, b in zip([0, *ends], [*ends, len(lists)]):
+            if a == b:
+                continue
+            able = np.flatnonzero(v @ centroids[lists[a], :-1] + length * radius[lists[a]] * (1 + 1e-9) >= floor)
+            for i in range(0, len(able), BLOCK_QUERIES):
+                few = able[i:i + BLOCK_QUERIES]
+                s = v[few] @ x[a:b].T
+                k = min(neighbours + 1, s.shape[1])
+                last = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                row, col = np.nonzero(s >= np.maximum(floor[few], last)[:, None])
+                yield pa.record_batch([pa.array(rids[few[row]], pa.int64()), pa.array(ids[a:b][col], pa.int64()), pa.array(s[row, col])],
+                                      names=["q", "rid", "score"])
+
+
+def _further(index: Index, queries: DataFrame, found: DataFrame) -> DataFrame:
+    """What lists beyond the first can add to ``found``.
+
+    As many queries as fit HELD_BYTES travel to the vectors at a time; neither they nor the vectors are shuffled.
+    """
+    sc = queries.sparkSession.sparkContext
+    last = found.withColumn("k", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score")))).filter(
+        F.col("k") == index.neighbours + 1).select(F.col("q").alias("rid"), F.col("score").alias("floor"))
+    # A hair below the floor: sums may be rounded another way.
+    floored = durable(queries.join(last, "rid", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))) - 1e-12 * index.longest ** 2))
+    rounds = max(1, -(-floored.count() * 8 * index.centroids.shape[1] // HELD_BYTES))
+    sent = sc.broadcast((index.centroids.astype(np.float64), index.radius))
+    out = found
+    for i in range(rounds):
+        got = floored.filter(F.pmod(F.xxhash64("rid"), F.lit(rounds)) == i).toArrow().combine_chunks()
+        if got.num_rows:
+            v = _matrix(got.column("v").combine_chunks(), got.num_rows)
+            asked = sc.broadcast((got.column("rid").to_numpy(), v, got.column("floor").to_numpy()))
+            out = out.union(durable(index.nearest.mapInArrow(partial(_beyond, index.neighbours, sent, asked), "q bigint, rid bigint, score double")))
+            asked.destroy()
+    return out
+
+
+def search(index: Index, wanted: Column, least_lists: int = 16) -> DataFrame:
+    """(query_id, rank, vec_id, score): the nearest of each id that meets ``wanted`` (on vec_id), without itself.
+
+    A query visits the ``least_lists`` nearest lists, then every list that its last score so far does not rule out. So
+    what is found does not depend on the number of lists, only the work does: where vectors do not cluster, most lists
+    are compared.
 
     Ties go to the smaller id. Lists meet queries in parts of at most about a thousand vectors and 512 queries, whatever
     the length of a list or the queries that visit it; a part hands on as many entries per query as can still matter.
@@ -211,7 +272,7 @@ def search(index: Index, wanted: Column, ratio: float = 1.13, least_lists: int =
     asked = durable(index.members.filter(wanted).select(F.col("vec_id").alias("query_id"), "rid").distinct())
     queries = index.entries.join(asked.select("rid").distinct(), "rid", "left_semi").select("rid", "v")
     sent = spark.sparkContext.broadcast((index.centroids, index.longest))
-    visits = durable(queries.mapInArrow(partial(_visit, sent, ratio, least_lists, beam), "list int, rid bigint, v array<double>"))
+    visits = durable(queries.mapInArrow(partial(_visit, sent, least_lists), "list int, rid bigint, v array<double>"))
     sizes = index.postings.groupBy("list").agg(F.count(F.lit(1)).alias("p")).join(visits.groupBy("list").agg(F.count(F.lit(1)).alias("q")), "list")
     sizes = sizes.select("list", F.ceil(F.col("p") / PART_VECTORS).cast("int").alias("ps"), F.ceil(F.col("q") / PART_QUERIES).cast("int").alias("qs"))
     h = F.xxhash64("rid", "list")
@@ -221,7 +282,8 @@ def search(index: Index, wanted: Column, ratio: float = 1.13, least_lists: int =
     right = index.postings.join(sizes, "list").withColumn("j", F.pmod(h, "ps").cast("int")).withColumn("i", F.explode(F.expr("sequence(0, qs - 1)"))).withColumn(
         "side", F.lit(1)).select(cols)
     found = left.union(right).groupBy("list", "i", "j").applyInPandas(_best(index.neighbours), "q bigint, rid bigint, score double")
-    found = found.groupBy("q", "rid").agg(F.max("score").alias("score"))
+    found = durable(found.groupBy("q", "rid").agg(F.max("score").alias("score")))
+    found = _further(index, queries, found).groupBy("q", "rid").agg(F.max("score").alias("score"))
     # Only what can still matter meets the entries: the best, and all that tie with the last of them.
     found = found.withColumn("k", F.rank().over(W.partitionBy("q").orderBy(F.desc("score")))).filter(
         F.col("k") <= index.neighbours + 1).drop("k")

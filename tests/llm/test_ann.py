@@ -42,3 +42,14 @@ def test_few_rows_and_none(spark):
     got = [tuple(r) for r in ann.search(ann.build_index(df), F.col("vec_id") == 0).orderBy("rank").collect()]
     assert got == [(0, 1, 1, 0.5), (0, 2, 2, 0.5)]
     assert ann.search(ann.build_index(df.limit(0)), F.lit(True)).collect() == []
+
+
+def test_lists_beyond_the_first_are_found(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(6000, 8)))]  # no clusters, 375 lists
+    index = ann.build_index(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), per_list=16)
+    assert len(index.centroids) == 375
+    got = {}
+    for r in ann.search(index, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert got == {q: {i for _, i in v} for q, v in plain(rows, lambda i: i % 20 == 0).items()}
