@@ -1,14 +1,17 @@
 """Lexical retrieval packing: documents that share words are laid into the same training sequence.
 
-Documents are cut into whole windows, which are sequences of their own, and a tail. Tails go to shards of about a
-thousand, sorted by their leading term, so that a shard holds tails on the same matter and copies lie together. Each
-shard is a BM25 inverted index over its tails: a seed's unused neighbours, best first, fill its window; the last
-one is cut to fit, and what is left of it stays in the index. So only the last sequence of a shard is not full.
+Documents are cut into whole windows, which are sequences of their own, and a tail. In how many documents each term
+stands is counted over the whole corpus. Tails go to shards of about a thousand, sorted by the two terms of greatest
+tf-idf in their documents, so that a shard holds tails on the same matter and copies lie together. Each shard is an
+inverted index over the terms of its whole documents, with BM25 by the corpus's counts: a seed's unused neighbours, best
+first, fill its window; the last one is cut to fit, and what is left of it stays in the index. So only the last sequence
+of a shard is not full.
 """
 
 from __future__ import annotations
 
 import zlib
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -21,6 +24,7 @@ from broadloom.llm.common import slices, worker_state
 from broadloom.session import durable
 
 K1, B = 1.2, 0.75
+TERMS = 1 << 16
 STRIDE = 0x9E3779B97F4A7C15
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -29,14 +33,22 @@ def crc_of(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def _leading_term(ids: np.ndarray) -> int:
-    """The id of greatest count times log of the id: ids grow as tokens get rarer, so this stands in for tf-idf."""
-    if not len(ids):
-        return -1
+def _terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids and their counts."""
     s = np.sort(ids, kind="stable")  # a radix sort for 16-bit numbers
     first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-    term, n = s[first], np.diff(np.append(first, len(s)))
-    return int(term[np.argmax(n * np.log1p(term.astype(np.float64)))])
+    return s[first], np.diff(np.append(first, len(s)))
+
+
+def _idf(df: np.ndarray, n: int) -> np.ndarray:
+    return np.log1p((n - df + 0.5) / (df + 0.5))
+
+
+def _leading_terms(term: np.ndarray, n: np.ndarray, df: np.ndarray, idf: np.ndarray) -> tuple[int, int]:
+    """The two ids of greatest tf-idf, tf by its logarithm, among those that other documents have too; -1 without any."""
+    weight = np.where(df[term] > 1, (1 + np.log(n)) * idf[term], -1.0)
+    best = [int(term[k]) for k in np.argsort(-weight, kind="stable")[:2] if weight[k] >= 0]
+    return (*best, -1, -1)[:2]
 
 
 def _sketch(ids: np.ndarray) -> int:
@@ -50,32 +62,75 @@ def _sketch(ids: np.ndarray) -> int:
 def _encode(path: str, end: int, window: int, with_ids: bool, batches):
     encoder = worker_state("bpe:" + path, lambda: Encoder(path))
     for batch in slices(batches):
-        out = {"total": [], "crcs": [], "ids": [], "term": [], "sketch": []}
+        out = {"total": [], "crcs": [], "ids": [], "terms": [], "counts": [], "sketch": []}
         for text in batch.column("text").to_pylist():
             ids = np.frombuffer(encoder.encode(text or b"") + np.array([end], "<u2").tobytes(), "<u2")
             whole = len(ids) // window * window
             out["total"].append(len(ids))
             out["crcs"].append([crc_of(ids[i:i + window]) for i in range(0, whole, window)])
             out["ids"].append(ids.tobytes() if with_ids else ids[whole:].tobytes())
-            out["term"].append(_leading_term(ids))
+            term, n = _terms(ids)
+            out["terms"].append(term.tobytes())
+            out["counts"].append(n.astype("<u4").tobytes())
             out["sketch"].append(_sketch(ids))
         yield pa.record_batch([batch.column("doc_id"), pa.array(out["total"], pa.int64()), pa.array(out["crcs"], pa.list_(pa.int64())),
-                               pa.array(out["ids"], pa.binary()), pa.array(out["term"], pa.int32()), pa.array(out["sketch"], pa.int64())],
-                              names=["doc_id", "total", "crcs", "ids", "term", "sketch"])
+                               pa.array(out["ids"], pa.binary()), pa.array(out["terms"], pa.binary()), pa.array(out["counts"], pa.binary()),
+                               pa.array(out["sketch"], pa.int64())], names=["doc_id", "total", "crcs", "ids", "terms", "counts", "sketch"])
+
+
+def _count_terms(batches):
+    """(term, documents) of a task's documents; under -1 the documents, under -2 their ids."""
+    df, docs, total = np.zeros(TERMS, np.int64), 0, 0
+    for batch in slices(batches):
+        for terms in batch.column("terms").to_pylist():
+            df[np.frombuffer(terms, "<u2")] += 1
+        docs += batch.num_rows
+        total += sum(batch.column("total").to_pylist())
+    term = np.flatnonzero(df)
+    yield pa.record_batch([pa.array([*term.tolist(), -1, -2], pa.int32()), pa.array([*df[term].tolist(), docs, total], pa.int64())], names=["term", "n"])
+
+
+def _lead(sent, batches):
+    df, idf, _ = sent.value
+    for batch in slices(batches):
+        lead = [_leading_terms(np.frombuffer(t, "<u2"), np.frombuffer(n, "<u4"), df, idf)
+                for t, n in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist())]
+        yield pa.record_batch([*batch.columns, pa.array([x[0] for x in lead], pa.int32()), pa.array([x[1] for x in lead], pa.int32())],
+                              names=[*batch.schema.names, "term", "next"])
+
+
+@dataclass
+class Corpus:
+    """The terms of the tails' whole documents, and what the corpus says of terms and lengths."""
+    terms: list[np.ndarray]
+    counts: list[np.ndarray]
+    lengths: np.ndarray
+    idf: np.ndarray
+    mean: float
 
 
 class Index:
-    """BM25 postings of a shard's tails, in one array sorted by term; terms of a single tail find nothing and are left out."""
+    """BM25 postings of a shard's tails, in one array sorted by term; terms of a single tail find nothing and are left out.
+
+    With a corpus, the terms are those of the whole documents, weighed by its counts; else the tails are all there is.
+    """
 
-    def __init__(self, tails: list[np.ndarray]):
+    def __init__(self, tails: list[np.ndarray], corpus: Corpus | None = None):
         self.n = len(tails)
-        lengths = np.array([max(1, len(t)) for t in tails], float)
-        key, tf = np.unique(np.concatenate([t.astype(np.int64) * self.n + i for i, t in enumerate(tails)]), return_counts=True)
+        if corpus:
+            lengths, mean = np.maximum(corpus.lengths, 1), corpus.mean
+            key = np.concatenate([t.astype(np.int64) * self.n + i for i, t in enumerate(corpus.terms)])
+            order = np.argsort(key)
+            key, tf = key[order], np.concatenate(corpus.counts)[order].astype(np.int64)
+        else:
+            lengths = np.array([max(1, len(t)) for t in tails], float)
+            mean = lengths.mean()
+            key, tf = np.unique(np.concatenate([t.astype(np.int64) * self.n + i for i, t in enumerate(tails)]), return_counts=True)
         term, doc = np.divmod(key, self.n)
         self.terms, first, df = np.unique(term, return_index=True, return_counts=True)
-        idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
+        idf = corpus.idf[self.terms] if corpus else _idf(df, self.n)
         self.doc = doc
-        self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / lengths.mean()))
+        self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean))
         self.first, self.df = first, np.where(df > 1, df, 0)
         order = np.argsort(doc, kind="stable")
         self.of_doc = np.split(np.repeat(np.arange(len(df)), df)[order], np.cumsum(np.bincount(doc, minlength=self.n))[:-1])
@@ -88,14 +143,14 @@ class Index:
         return np.bincount(self.doc[at], self.weight[at], self.n)
 
 
-def fill_windows(tails: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]]]:
+def fill_windows(tails: list[np.ndarray], window: int, corpus: Corpus | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of (tail, start in the tail, length): each tail's ids exactly once, all sequences full but the last."""
     left = np.array([len(t) for t in tails], np.int64)
     done = np.zeros(len(tails), np.int64)
     out = []
     if not left.sum():
         return out
-    index = Index(tails)
+    index = Index(tails, corpus)
     for seed in np.argsort(-left, kind="stable").tolist():
         while left[seed]:
             take = int(min(left[seed], window))
@@ -119,7 +174,7 @@ def fill_windows(tails: list[np.ndarray], window: int) -> list[list[tuple[int, i
     return out
 
 
-def _pack(window: int, with_ids: bool, batches):
+def _pack(window: int, with_ids: bool, sent, batches):
     """One shard: the rows of one partition, about ``shard_docs`` of them, each at most one window of ids."""
     shard = TaskContext.get().partitionId() << 32
     docs = [r for b in batches for r in b.to_pylist()]
@@ -133,7 +188,10 @@ def _pack(window: int, with_ids: bool, batches):
         for i, crc in enumerate(d["crcs"]):
             rows.append((d["doc_id"], i * window, window, crc, d["total"], number, 0, ids[i * window:(i + 1) * window]))
             number += 1
-    for sequence in fill_windows(tails, window):
+    _, idf, mean = sent.value
+    corpus = Corpus([np.frombuffer(d["terms"], "<u2") for d in docs], [np.frombuffer(d["counts"], "<u4") for d in docs],
+                    np.array([d["total"] for d in docs], float), idf, mean)
+    for sequence in fill_windows(tails, window, corpus):
         offset = 0
         for k, start, length in sequence:
             ids = tails[k][start:start + length]
@@ -159,12 +217,18 @@ def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
     unique, with gaps; offsets in a sequence run on from 0. ``tokenizer`` is the path of a byte-level BPE file with ids
     below 65536, present on every executor.
 
-    Texts are read once and not moved; what is shuffled is two bytes for each id of a tail. Shards are ranges of
-    (leading term, sketch, doc_id), so a very common term or a large group of copies spreads over several.
+    Texts are read once and not moved; what is shuffled is two bytes for each id of a tail and six for each distinct id
+    of a document. Shards are ranges of (leading term, second term, sketch, doc_id), so a very common term or a large
+    group of copies spreads over several; a seed fills its window from its own shard.
     """
     base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     encoded = durable(base.mapInArrow(partial(_encode, tokenizer, end, window, with_ids),
-                                      "doc_id bigint, total bigint, crcs array<bigint>, ids binary, term int, sketch bigint"))
-    shards = max(1, -(-encoded.count() // shard_docs))
-    return encoded.repartitionByRange(shards, "term", "sketch", "doc_id").mapInArrow(
-        partial(_pack, window, with_ids), PIECE + (", ids array<int>" if with_ids else ""))
+                                      kinds := "doc_id bigint, total bigint, crcs array<bigint>, ids binary, terms binary, counts binary, sketch bigint"))
+    found = encoded.select("terms", "total").mapInArrow(_count_terms, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    n = {r["term"]: r["n"] for r in found}  # at most TERMS rows
+    count, total, df = n.pop(-1, 0), n.pop(-2, 0), np.zeros(TERMS, np.int64)
+    df[list(n)] = list(n.values())
+    sent = docs.sparkSession.sparkContext.broadcast((df, _idf(df, count), total / max(1, count)))
+    shards = max(1, -(-count // shard_docs))
+    return encoded.mapInArrow(partial(_lead, sent), kinds + ", term int, next int").repartitionByRange(
+        shards, "term", "next", "sketch", "doc_id").mapInArrow(partial(_pack, window, with_ids, sent), PIECE + (", ids array<int>" if with_ids else ""))

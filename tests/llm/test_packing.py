@@ -84,3 +84,27 @@ def test_neighbours_that_share_rare_words_come_first():
     n, mean = 4, np.mean([5, 4, 4, 4])
     weight = lambda df, length: np.log1p((n - df + .5) / (df + .5)) * 2.2 / (1 + 1.2 * (.25 + .75 * length / mean))
     assert scores[2] == pytest.approx(weight(4, 4) + 2 * weight(2, 4))
+
+
+def test_documents_on_one_matter_share_a_shard(spark):
+    rng, topics = random.Random(6), ["river", "music", "engine", "garden", "planet", "court", "bread", "winter"]
+    docs = []
+    for i in range(160):
+        w = ["the"] * 40 + [topics[i % 8]] * 6 + [f"w{rng.randrange(300)}" for _ in range(20)]
+        rng.shuffle(w)
+        docs.append((i, " " + " ".join(w)))
+    rows = packing.pack_documents(spark.createDataFrame(docs, "doc_id bigint, text string"), PATH, shard_docs=20).collect()
+    shards = defaultdict(lambda: defaultdict(set))
+    for r in rows:
+        shards[r.doc_id % 8][r.sequence_id >> 32].add(r.doc_id)
+    assert sum(max(map(len, s.values())) for s in shards.values()) >= 0.7 * len(docs)
+
+
+def test_scores_go_by_the_corpus_and_whole_documents():
+    tails = [np.array([1, 2]), np.array([1, 8]), np.array([2, 9])]
+    idf = packing._idf(np.arange(10), 10)
+    corpus = packing.Corpus([np.array([1, 2, 5]), np.array([1, 5, 8]), np.array([2, 9])], [np.array([1, 1, 3]), np.array([1, 2, 1]), np.array([1, 1])],
+                            np.array([5., 4., 2.]), idf, 3.0)
+    weight = lambda term, tf, length: idf[term] * tf * 2.2 / (tf + 1.2 * (.25 + .75 * length / 3))
+    scores = packing.Index(tails, corpus).scores(0)
+    assert scores[1] == pytest.approx(weight(1, 1, 4) + weight(5, 2, 4)) and scores[2] == pytest.approx(weight(2, 1, 2))
