@@ -23,19 +23,23 @@ footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu
 summary table tbody td tfoot th thead tr ul button noscript object""".split())
 VOID = frozenset("hr br img input meta link area base col embed source track wbr frame".split())
 #: Their content is no markup: it ends at the first matching end tag.
-RAW = frozenset("script style title textarea template iframe xmp noembed noframes svg math canvas".split())
+RAW = frozenset("script style title textarea template iframe xmp noembed noframes svg canvas".split())
 #: An opening tag closes an open element of these kinds that is the innermost of its kind's container.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
           "th": ("td", "th"), "option": ("option",)}
 ENDS_P = BLOCK - {"p", "button", "object", "noscript", "option", "optgroup", "select"}
 
-AGAINST, FOR, HINT = -9.0, 4.0, 2.0
+#: SOFT: a class that only mentions such a part, as has-sidebar does; an article or long text outweighs it.
+AGAINST, SOFT, FOR, HINT = -9.0, -1.5, 4.0, 2.0
+#: Their class, id and role words say nothing against their text.
+ABOVE_WORDS = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 TAG_AGAINST = frozenset("nav header footer aside form fieldset menu dialog select button noscript object search".split())
 TAG_FOR = frozenset("article main".split())
 WORD_AGAINST = re.compile(r"""(?:^|[\s_-])(?:ads?|adv|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|
 overlay|sidebar|menu\w*|nav|navbar|navigation|breadcrumbs?|pagination|pager|header|masthead|footer|comments?|commentlist|disqus|
 repl(?:y|ies)|respond|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|login|search\w*|form|widget\w*|toolbar|
 contentinfo|complementary|skip)(?=$|[\s_-])""".replace("\n", ""), re.I)
+PARTS = re.compile(r"[_-]+")
 WORD_FOR = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main|body|text)(?=$|[\s_-])", re.I)
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))""", re.I)
@@ -44,11 +48,41 @@ ATTRIBUTE = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*+)"|'([^']*
 SIBLING, STEP, SAME_PARENT = 1.2, 0.5, 0.6
 
 
+def _against(words: str) -> float:
+    """AGAINST if all parts of a class, id or role are such words (cookie-notice), SOFT if some are (has-sidebar)."""
+    if not WORD_AGAINST.search(words):
+        return 0.0
+    whole = any(all(WORD_AGAINST.fullmatch(part) for part in PARTS.split(word) if part) for word in words.split() if word.strip("_-"))
+    return AGAINST if whole else SOFT
+
+
+def _evidence(elements: list, sizes: list[int]) -> list[tuple[float, float]]:
+    """(best for, worst against) of each element and all around it.
+
+    Words, and a form, count for nothing on an element that is not in an article and holds most of the text of all
+    articles, or, without any, three quarters of the page's: it is a wrapper.
+    """
+    held, inside = list(sizes), [False] * len(elements)
+    for i, (parent, *_) in enumerate(elements):
+        inside[i] = i > 0 and (inside[parent] or elements[i][1] in TAG_FOR)
+    told = [size if inside[i] else 0 for i, size in enumerate(sizes)]
+    for i in range(len(elements) - 1, 0, -1):
+        held[elements[i][0]] += held[i]
+        told[elements[i][0]] += told[i]
+    out = [(0.0, 0.0)]
+    for i, (parent, tag, plus, minus) in enumerate(elements[1:], 1):
+        wraps = not inside[i] and (tag == "form" or tag not in TAG_AGAINST) and (
+            2 * told[i] > told[0] if told[0] else 4 * held[i] > 3 * held[0])
+        out.append((max(out[parent][0], plus), min(out[parent][1], 0.0 if wraps else minus)))
+    return out
+
+
 def blocks_of(page: str) -> list[tuple[str, float, int, int]]:
     """(text, preference for content, parent element, depth) of each non-empty block, in page order."""
     out, pieces, linked, in_link = [], [], 0, False
-    stack = [("", 0.0, 0.0, 0)]  # tag, best evidence for, worst against, number
-    made, pos, size = 0, 0, len(page)
+    stack = [("", 0)]  # tag, number
+    elements, sizes = [(0, "", 0.0, 0.0)], [0]  # parent, tag, own evidence for and against; own text
+    pos, size = 0, len(page)
 
     def text(s: str) -> None:
         nonlocal linked
@@ -63,8 +97,9 @@ def blocks_of(page: str) -> list[tuple[str, float, int, int]]:
             t = " ".join(html.unescape("".join(pieces)).split())
             if t:
                 share = min(1.0, linked / max(1, sum(map(len, pieces))))
-                _, plus, minus, number = stack[-1]
-                d = plus + minus - 3.0 * share + min(2.0, len(t) / 80) - 0.7 + (0.5 if t[-1] in ".!?:;…。\"'”»" else 0.0)
+                number = stack[-1][1]
+                sizes[number] += len(t)
+                d = -3.0 * share + min(2.0, len(t) / 80) - 0.7 + (0.5 if t[-1] in ".!?:;…。\"'”»" else 0.0)
                 out.append((t, d, number, len(stack)))
             pieces.clear()
         linked = 0
@@ -115,18 +150,20 @@ def blocks_of(page: str) -> list[tuple[str, float, int, int]]:
                 if names[k] not in ("p", "li", "dt", "dd", "td", "th", "option"):
                     break
             if tag not in VOID:
-                _, plus, minus, _ = stack[-1]
+                plus = minus = 0.0
                 words = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(attributes)) if attributes else ""
-                if tag in TAG_AGAINST or (words and WORD_AGAINST.search(words)):
+                if tag in TAG_AGAINST:
                     minus = AGAINST
-                elif tag in TAG_FOR:
-                    plus = FOR
-                elif words and WORD_FOR.search(words):
-                    plus = max(plus, HINT)
-                made += 1
-                stack.append((tag, plus, minus, made))
+                elif words and tag not in ABOVE_WORDS:
+                    minus = _against(words)
+                if minus > AGAINST:
+                    plus = FOR if tag in TAG_FOR else HINT if words and WORD_FOR.search(words) else 0.0
+                elements.append((stack[-1][1], tag, plus, minus))
+                sizes.append(0)
+                stack.append((tag, len(elements) - 1))
     flush()
-    return out
+    evidence = _evidence(elements, sizes)
+    return [(t, d + sum(evidence[number]), number, depth) for t, d, number, depth in out]
 
 
 def smoothness(blocks) -> list[tuple[int, int, float]]:

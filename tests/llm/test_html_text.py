@@ -50,3 +50,16 @@ def test_rows(spark):
     rows = sorted(map(tuple, out.collect()), key=repr)
     assert [r[:2] + r[3:] for r in rows] == [(1, "u", len(main_text(PAGE)))] * 2 + [(2, "v", 249999), (None, None, 0)]
     assert html_text.extract_main_text(df.limit(0)).collect() == []
+
+
+def test_wrappers_that_mention_a_part_keep_their_article():
+    line = "A long paragraph of plain text, that goes on. " * 4
+    body = f"<h1>Title</h1><p>{line}</p><section id='related-work'><h2 id='search'>Search</h2><p>{line}</p></section>"
+    want = "\n".join(["Title", line.strip(), "Search", line.strip()])
+    for page in (f"<body class='has-sidebar'><article>{body}</article></body>", f"<div class='content-sidebar-wrap'><article>{body}</article></div>",
+                 f"<article class='post category-social tag-search'>{body}</article>", f"<form><main>{body}</main></form>",
+                 f"<div class='search'><article>{body}</article></div><div class='related'><p>Other news.</p></div>"):
+        assert main_text(page) == want, page
+    assert main_text(f"<form><p>{line}</p></form>") == line.strip()
+    assert main_text("<article><p>Let <math><mi>x</mi></math> be.</p></article>") == "Let x be."
+    assert main_text(f"<article><p>{line}</p></article><div class='site-footer'><p>Nobody</p></div>") == line.strip()
