@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, with production parameters over whole tables."""
+"""Registered queries of the operators, with production parameters over whole tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from broadloom.llm import ann, decontaminate, html_text, lattice_lm, near_dup, packing, reshard, toxicity, url_filter, warc
+from broadloom.llm import ann, decontaminate, html_text, lattice_lm, near_dup, packing, prefix_trie, reshard, simplex_clusters, token_file, toxicity, url_filter, warc
 from broadloom.llm.common import crc_mod, table
 from broadloom.session import new_path
 from broadloom.llm.registry import TEXT_QUERIES, text_query  # noqa: F401
@@ -120,3 +120,55 @@ def op2_warc(spark, sf):
 def op4_ann(spark, sf):
     index = ann.build_index(table(spark, sf, "embeddings").select("vec_id", "embedding"))
     return ann.search(index, F.col("vec_id") % 20 == 0)
+
+
+def _cluster_sql(dim=64, k=40, rounds=5):
+    """Long form: one row per vector and component; each round is two tables."""
+    out = [f"""v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS a FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = {dim}),
+x AS MATERIALIZED (SELECT r, unnest(a) AS y, unnest(range(1, {dim + 1})) AS p FROM v),
+s AS (SELECT a, row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR), a) - 1 AS c FROM v WHERE vec_id IS NOT NULL ORDER BY 2 LIMIT {k}),
+c0 AS MATERIALIZED (SELECT c, unnest(a) AS m, unnest(range(1, {dim + 1})) AS p FROM s)"""]
+    for i in range(rounds + 1):
+        out.append(f"""a{i} AS MATERIALIZED (SELECT r, d::BIGINT AS d, c FROM (SELECT r, c, sum((y - m) * (y - m)) AS d FROM x JOIN c{i} USING (p) GROUP BY r, c)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)""")
+        if i < rounds:
+            out.append(f"""c{i + 1} AS MATERIALIZED (SELECT c, p, coalesce((t - ((t % n) + n) % n) // n, m)::BIGINT AS m FROM c{i} LEFT JOIN
+  (SELECT c, p, sum(y)::HUGEINT AS t, count(*)::HUGEINT AS n FROM x JOIN a{i} USING (r) GROUP BY c, p) USING (c, p))""")
+    last = rounds
+    return f"""WITH {",".join(out)},
+h AS (SELECT c, sha256(string_agg(m::VARCHAR, ',' ORDER BY p)) AS centroid_sha256 FROM c{last} GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256 FROM a{last} JOIN v USING (r) JOIN h USING (c)"""
+
+
+@text_query(_cluster_sql())
+def op11_simplex_clusters(spark, sf):
+    return simplex_clusters.cluster_vectors(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+
+
+@text_query()
+def op12_token_file(spark, sf):
+    files = token_file.write_token_files(table(spark, sf, "documents").select("doc_id", "text"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return files.read().select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@text_query("""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos,
+                  {'r': coalesce(role, ''), 't': coalesce(text, '')} AS said FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list(said ORDER BY pos) AS own FROM t GROUP BY c),
+h AS (SELECT c, own, (xor(list_reduce(list_transform(string_split(c::VARCHAR, ''), lambda k: ascii(k)::BIGINT),
+        lambda a, k: list_reduce(list_transform(range(8), lambda z: z::BIGINT), lambda b, z: xor(b >> 1, (b & 1) * 3988292384::BIGINT), xor(a, k)), 4294967295::BIGINT),
+        4294967295::BIGINT) % 9)::BIGINT AS h FROM o),
+s AS (SELECT h.c, list_concat(coalesce(b.own[1:h], []), h.own[h + 1:]) AS q FROM h LEFT JOIN o b ON b.c = h.c - h.c % 5),
+m AS (SELECT c, d, q[1:d] AS k, d = len(q) AS ended FROM (SELECT c, q, unnest(range(0, len(q) + 1)) AS d FROM s)),
+n AS (SELECT k, d, min(c) AS c, count(*) AS n, coalesce(strlen(k[d].t), 0) AS b, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ended) AS e FROM m GROUP BY k, d),
+p AS (SELECT n.*, u.c AS pc FROM n LEFT JOIN n u ON u.d = n.d - 1 AND u.k = n.k[1:n.d - 1]),
+ch AS (SELECT k[1:d - 1] AS k, d - 1 AS d, count(*) AS ch FROM n WHERE d > 0 GROUP BY ALL),
+f AS (SELECT p.*, coalesce(ch, 0) AS ch FROM p LEFT JOIN ch USING (k, d)),
+up AS (SELECT k[1:a] AS k, a AS d, sum((ch = 0)::INT) AS leaves, sum((n - 1) * b) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM f) GROUP BY ALL)
+SELECT c::BIGINT AS conv_id, d::BIGINT AS depth, pc::BIGINT AS parent_conv_id, n::BIGINT AS n_convs, ch::BIGINT AS n_children, leaves::BIGINT AS n_leaves,
+       saved::BIGINT AS saved_tokens, sha256(coalesce(e, '')) AS ends_sha256 FROM f JOIN up USING (k, d)
+""")
+def op13_prefix_trie(spark, sf):
+    return prefix_trie.prefix_trie(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"))
