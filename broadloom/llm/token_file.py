@@ -18,8 +18,10 @@ import hashlib
 import os
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from dataclasses import dataclass
 from functools import partial
 
@@ -27,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from broadloom.llm.bpe import _byte_of_symbol as byte_of_symbol
 from broadloom.llm.common import slices, worker_state
 from broadloom.session import durable, new_path
 
@@ -35,10 +38,10 @@ HEADER, FOOTER = "<8sB32s", "<QQI8s"
 HEADER_SIZE, FOOTER_SIZE = struct.calcsize(HEADER), struct.calcsize(FOOTER)
 #: A file is closed beyond so many bytes of frames or documents (24 bytes each are held until then).
 FILE_BYTES, FILE_DOCS = 128 << 20, 1 << 20
-WORDS_KEPT = 300_000
-#: A letter run of Latin before a full stop or comma is a piece of its own in this family of vocabularies.
-LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
-BLANKS = str.maketrans("\n", " ")
+WORDS_KEPT = 400_000
+#: A run of such letters is one piece for this family of vocabularies, also before a full stop or comma, and is its own
+#: normal form but for the case.
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 class WordEncoder(dict):
@@ -50,6 +53,10 @@ class WordEncoder(dict):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core already
         self.tokenizer = Tokenizer.from_file(path)
+        # Letters go straight to the merges: lower case, each byte as the character that stands for it.
+        self.merges, symbol = self.tokenizer.model, {b: c for c, b in byte_of_symbol().items()}
+        self.letters = {chr(c): "".join(symbol[b] for b in chr(c).lower().encode()) for c in range(256) if LATIN.fullmatch(chr(c))}
+        self.letters = str.maketrans(self.letters)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4")
         self.before: dict[str, bytes] = {}
 
@@ -59,15 +66,23 @@ class WordEncoder(dict):
             self.clear()
         ids = self.before.get(word)
         if ids is None:
-            if word[-1:] in (".", ",") and LATIN.fullmatch(word, 0, len(word) - 1):
+            if LATIN.fullmatch(word):
+                ids = self._bytes([t.id for t in self.merges.tokenize(word.translate(self.letters))])
+            elif word[-1:] in (".", ",") and LATIN.fullmatch(word, 0, len(word) - 1):
                 ids = self[word[:-1]] + self[word[-1]]
             else:
-                ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+                ids = self._bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
         self[word] = ids
         return ids
 
+    def _bytes(self, ids: list[int]) -> bytes:
+        out = array("H" if self.kind.itemsize == 2 else "I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
     def encode(self, text: str | None, end: int) -> bytes:
-        words = (text or "").translate(BLANKS).split(" ")
+        words = (text or "").replace("\n", " ").split(" ")
         return b"".join(map(self.__getitem__, words)) + self.kind.type(end).tobytes()
 
 
@@ -184,7 +199,7 @@ class TokenFiles:
         if wanted is not None:
             inside = [F.lit(i).between(F.coalesce("first_doc", F.lit(-(1 << 63))), F.col("last_doc")) for i in wanted]
             files = files.filter(F.array_contains(F.array(*inside), True) if inside else F.lit(False))
-        spread = files.select("file", "start").repartition("file")
+        spread = files.select("file", "start").repartition(max(1, files.count()))  # a task each, however short the list
         return spread.mapInArrow(partial(_read, self.folder, wanted), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
 
 

@@ -23,7 +23,8 @@ def plain(docs):
 
 def test_words_are_encoded_like_whole_texts():
     encoder, whole = token_file.WordEncoder(PATH), Tokenizer.from_file(PATH)
-    for text in HARD:
+    every = " ".join(f"{chr(c)} a{chr(c)}. {chr(c)}B{chr(c)}," for c in range(0x2B0))
+    for text in [*HARD, every, "the's x't. ÀÉÎÕÜß ÿŸ", "word<|endoftext|>. A\u0301."]:
         got = np.frombuffer(encoder.encode(text, 2), "<u2").tolist()
         assert got == whole.encode(text or "", add_special_tokens=False).ids + [2], text
 
