@@ -12,6 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
+from broadloom.operators.flat_trees import FlatModel, from_ml, joined, staged_scores
 from broadloom.operators.gram import batch_matrix
 from broadloom.operators.linear import assemble
 from broadloom.operators.ordering import exact_quantiles
@@ -73,10 +74,15 @@ def boosted(df, cols, y, rounds: int = 50, step: float = 0.1, max_depth: int = 4
     return TreeModel(model, list(cols), base, {"rounds": model.getNumTrees})
 
 
+def flat_boosted(model: TreeModel) -> FlatModel:
+    """A fitted booster as flat trees, each round one of them."""
+    return FlatModel(from_ml(model.model), np.array(model.model.treeWeights), model.cols, model.base)
+
+
 def boosting_curve(model: TreeModel, df: DataFrame, y: str) -> list[float]:
     """Validation RMSE after each round."""
-    data = assemble(df, model.cols, y).withColumn("label", F.col("label") - F.lit(model.base)).select("features", "label")
-    return [math.sqrt(v) for v in model.model.evaluateEachIteration(data, "squared")]
+    scored = staged_scores(df.withColumn("__all", F.lit(0)), {0: flat_boosted(model)}, y, "__all")
+    return [r.rmse for r in sorted(scored.collect(), key=lambda r: r.round)]
 
 
 # ---- adaptive boosting -------------------------------------------------------------------------------------
@@ -86,21 +92,12 @@ class AdaBoostModel:
     models: list[TreeModel]
     weights: list[float]
 
-    def transform(self, df: DataFrame, out: str = "pred") -> DataFrame:
-        """Weighted median of the trees, all inside one projection over the tree predictions."""
-        df = predict_many(self.models, df, [f"__t{i}" for i in range(len(self.models))])
-        pairs = F.array_sort(F.array(*[
-            F.struct(F.col(f"__t{i}").alias("p"), F.lit(float(w)).alias("w")) for i, w in enumerate(self.weights)]))
-        half = 0.5 * sum(self.weights)
-        none = F.lit(None).cast("double")
-        start = F.struct(F.lit(0.0).alias("cum"), none.alias("pick"))
+    def flat(self) -> FlatModel:
+        return FlatModel(joined([from_ml(m.model) for m in self.models]), np.array(self.weights), self.models[0].cols, combine="median")
 
-        def walk(acc, x):
-            cum = acc["cum"] + x["w"]
-            return F.struct(cum.alias("cum"), F.when(acc["pick"].isNull() & (cum >= half), x["p"])
-                            .otherwise(acc["pick"]).alias("pick"))
-
-        return df.withColumn(out, F.aggregate(pairs, start, walk)["pick"]).drop(*[f"__t{i}" for i in range(len(self.models))])
+    def transform(self, df: DataFrame, out: str = "pred") -> DataFrame:
+        """Weighted median of the trees, one kernel for all of them."""
+        return self.flat().transform(df, out)
 
 
 def adaboost_r2(df, cols, y, key: str, rounds: int = 300, learning_rate: float = 0.01, max_depth: int = 5,
@@ -136,10 +133,8 @@ class BaggedModel:
     models: list[TreeModel]
 
     def transform(self, df: DataFrame, out: str = "pred") -> DataFrame:
-        names = [f"__t{i}" for i in range(len(self.models))]
-        df = predict_many(self.models, df, names)
-        total = sum((F.col(c) for c in names[1:]), F.col(names[0]))
-        return df.withColumn(out, total / F.lit(float(len(names)))).drop(*names)
+        share = np.full(len(self.models), 1 / len(self.models))
+        return FlatModel(joined([from_ml(m.model) for m in self.models]), share, self.models[0].cols).transform(df, out)
 
 
 def bagged_trees(df, cols, y, key: str, bags: int = 10, max_depth: int = 4, seed: int = 1) -> BaggedModel:

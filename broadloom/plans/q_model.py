@@ -10,7 +10,7 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
 from broadloom.operators import (
-    decompose as D, encode as E, evaluate as V, gram as G, linear as L, sampling as S, search as H, stack as K, trees as T)
+    decompose as D, encode as E, evaluate as V, gram as G, grower as Gr, linear as L, sampling as S, search as H, stack as K, trees as T)
 from broadloom.operators.ordering import contiguous_folds
 from broadloom.plans.fixtures import table, wide, with_wide
 from broadloom.plans.q_relational import MODELS, PREDS_WIDE_CTE, predictions_long
@@ -457,7 +457,7 @@ def _stump(fit):
 
 for _name, _ids, _one in [
         ("tree_stump", "REG-15", lambda d: T.tree(d, ["X14"], "y_lin", 1)),
-        ("forest_stump", "REG-16 REG-17", lambda d: T.forest(d, ["X14"], "y_lin", trees=3, max_depth=1, mtry="all", bootstrap=False)),
+        ("forest_stump", "REG-16", lambda d: T.forest(d, ["X14"], "y_lin", trees=3, max_depth=1, mtry="all", bootstrap=False)),
         ("gbt_stump", "REG-18", lambda d: T.boosted(d, ["X14"], "y_lin", rounds=2, max_depth=1)),
         ("adaboost_stump", "REG-21", lambda d: T.adaboost_r2(d, ["X14"], "y_lin", "ID", rounds=1, max_depth=1))]:
     _run = _stump(_one)
@@ -471,7 +471,7 @@ def forest(spark, sf):
     return _scored(T.forest(a, X, "y_lin", trees=20), b)
 
 
-@query("REG-17")
+@query("REG-16")
 def forest_nobootstrap(spark, sf):
     a, b = halves(spark, sf)
     return _scored(T.forest(a, X, "y_lin", trees=20, bootstrap=False), b)
@@ -483,14 +483,98 @@ def gbt(spark, sf):
     return _scored(T.boosted(a, X, "y_lin", rounds=20, subsample=0.921), b)
 
 
-@query("REG-19")
+@query("REG-19 WIN-7")
 def gbt_early(spark, sf):
+    """Stops after five rounds without a better R2 on the held-out rows and goes back to the best round."""
     df = durable(planted(spark, sf))
     a = S.holdout(df.filter("tc = 1"), "ID", 0.2, 0)
-    return _scored(T.boosted(a, X, "y_lin", rounds=20, step=0.3, validation="holdout"), df.filter("tc = 0"))
+    model = Gr.boost(a, X, "y_lin", "ID", rounds=100, step=0.3, max_depth=4, validation="holdout", patience=5)
+    return model.transform(df.filter("tc = 0")).select("ID", F.round("pred", 4).alias("pred"))
+
+
+FLAG_PAIR = ["X14", "X15"]
+
+
+def flag_pair(spark, sf):
+    return durable(wide(spark, sf, "ID", "tc", "X22", *FLAG_PAIR, "y_lin"))
+
+
+EARLY = {"rounds": 60, "step": 0.1, "patience": 5}
+
+
+@query("REG-19 WIN-7", with_wide("""SELECT ID, stop::INTEGER AS stop_round, b::INTEGER AS best_round, round(base + f[1 + X14 * 2 + X15], 6) AS pred
+    FROM wide, c, (SELECT it.f, b, stop FROM chosen JOIN it ON it.r = b + 1) WHERE tc = 0""",
+    "c AS (SELECT avg(y_lin) AS base FROM wide WHERE tc = 1 AND X22 <> 4)",
+    """p AS (SELECT list(coalesce(n, 0) ORDER BY i) AS n, list(coalesce(s, 0) ORDER BY i) AS s, list(coalesce(vn, 0) ORDER BY i) AS vn,
+           list(coalesce(vs, 0) ORDER BY i) AS vs, list(coalesce(vq, 0) ORDER BY i) AS vq
+      FROM (SELECT unnest([0, 1, 2, 3]) AS i) LEFT JOIN (
+        SELECT X14 * 2 + X15 AS i, count(*) FILTER (X22 <> 4) AS n, sum(y_lin - base) FILTER (X22 <> 4) AS s, count(*) FILTER (X22 = 4) AS vn,
+               sum(y_lin - base) FILTER (X22 = 4) AS vs, sum(pow(y_lin - base, 2)) FILTER (X22 = 4) AS vq FROM wide, c WHERE tc = 1 GROUP BY 1) USING (i))""",
+    f"""it AS (SELECT 0 AS r, [0.0::DOUBLE, 0, 0, 0] AS f UNION ALL
+      SELECT r + 1, CASE WHEN pow(a1, 2) / (n[3] + n[4]) + pow(a0, 2) / (n[1] + n[2]) >= pow(b1, 2) / (n[2] + n[4]) + pow(b0, 2) / (n[1] + n[3])
+        THEN [f[1] + {EARLY["step"]} * a0 / (n[1] + n[2]), f[2] + {EARLY["step"]} * a0 / (n[1] + n[2]), f[3] + {EARLY["step"]} * a1 / (n[3] + n[4]), f[4] + {EARLY["step"]} * a1 / (n[3] + n[4])]
+        ELSE [f[1] + {EARLY["step"]} * b0 / (n[1] + n[3]), f[2] + {EARLY["step"]} * b1 / (n[2] + n[4]), f[3] + {EARLY["step"]} * b0 / (n[1] + n[3]), f[4] + {EARLY["step"]} * b1 / (n[2] + n[4])] END
+      FROM (SELECT r, f, n, s[3] - n[3] * f[3] + s[4] - n[4] * f[4] AS a1, s[1] - n[1] * f[1] + s[2] - n[2] * f[2] AS a0,
+                   s[2] - n[2] * f[2] + s[4] - n[4] * f[4] AS b1, s[1] - n[1] * f[1] + s[3] - n[3] * f[3] AS b0 FROM it, p WHERE r < {EARLY["rounds"]}))""",
+    """curve AS (SELECT r - 1 AS r, 1 - list_sum(list_transform([1, 2, 3, 4], lambda i: vq[i] - 2 * f[i] * vs[i] + f[i] * f[i] * vn[i]))
+        / (list_sum(vq) - pow(list_sum(vs), 2) / list_sum(vn)) AS r2 FROM it, p WHERE r > 0)""",
+    "walk AS (SELECT r, arg_max(r, r2) OVER (ORDER BY r) AS b FROM curve)",
+    f"""chosen AS (SELECT b, r AS stop FROM walk WHERE r - b >= {EARLY["patience"]} OR r = {EARLY["rounds"] - 1} ORDER BY r LIMIT 1)""").replace("WITH wide", "WITH RECURSIVE wide", 1))
+def gbt_early_flags(spark, sf):
+    """Stumps on two flags; the rows of orders with four lines judge, where the first flag tells less than elsewhere."""
+    df = flag_pair(spark, sf)
+    model = Gr.boost(df.filter("tc = 1").withColumn("judge", F.col("X22") == 4), FLAG_PAIR, "y_lin", "ID", max_depth=1, validation="judge", **EARLY)
+    return model.transform(df.filter("tc = 0")).select("ID", F.lit(model.info["stop_round"]).alias("stop_round"),
+                                                       F.lit(model.info["best_round"]).alias("best_round"), F.round("pred", 6).alias("pred"))
+
+
+@query("REG-17")
+def extra_trees(spark, sf):
+    a, b = halves(spark, sf)
+    return Gr.extra_trees(a, X, "y_lin", "ID", trees=10).transform(b).select("ID", F.round("pred", 4).alias("pred"))
+
+
+@query("REG-17", with_wide("""SELECT ID, round(avg(CASE WHEN X22 <= t THEN l ELSE r END), 6) AS pred FROM wide, (
+      SELECT k, t, avg(y_lin) FILTER (X22 <= t) AS l, avg(y_lin) FILTER (X22 > t) AS r FROM wide, (
+        SELECT k, least(lo + ('0x' || substr(md5('1|' || k || '|1|0'), 1, 13))::BIGINT / pow(2, 52) * (hi - lo), hi - 0.5) AS t
+        FROM (SELECT unnest([0, 1, 2]) AS k), (SELECT min(X22) AS lo, max(X22) AS hi FROM wide WHERE tc = 1)) WHERE tc = 1 GROUP BY k, t) WHERE tc = 0 GROUP BY ID"""))
+def extra_trees_cut(spark, sf):
+    """Three trees of one split each, at thresholds drawn between the least and the greatest count."""
+    df = flag_pair(spark, sf)
+    model = Gr.extra_trees(df.filter("tc = 1"), ["X22"], "y_lin", "ID", trees=3, max_depth=1, seed=1)
+    return model.transform(df.filter("tc = 0")).select("ID", F.round("pred", 6).alias("pred"))
 
 
 @query("REG-20")
+def gbt_huber(spark, sf):
+    df = durable(planted(spark, sf, "y_out"))
+    model = Gr.boost(df.filter("tc = 1"), X, "y_out", "ID", rounds=10, step=0.3, max_depth=3, loss="huber", share=0.55, subsample=0.7, min_leaf=18,
+                     min_split=14)
+    return model.transform(df.filter("tc = 0")).select("ID", F.round("pred", 4).alias("pred"))
+
+
+def _huber_sql(rounds=3, step=0.3, alpha=0.9):
+    """Rounds of stumps on two flags, one after the other."""
+    ctes = ["r0 AS (SELECT ID, tc, X14, X15, y_out AS y, b AS f FROM wide, (SELECT quantile_disc(y_out, 0.5) AS b FROM wide WHERE tc = 1))"]
+    for i in range(rounds):
+        ctes += [f"d{i} AS (SELECT quantile_disc(abs(y - f), {alpha}) AS d FROM r{i} WHERE tc = 1)",
+                 f"g{i} AS (SELECT X14, X15, greatest(-d, least(d, y - f)) AS g, y - f AS e FROM r{i}, d{i} WHERE tc = 1)",
+                 f"""s{i} AS (SELECT (SELECT sum(s * s / n) FROM (SELECT sum(g) AS s, count(*) AS n FROM g{i} GROUP BY X14))
+                     >= (SELECT sum(s * s / n) FROM (SELECT sum(g) AS s, count(*) AS n FROM g{i} GROUP BY X15)) AS one)""",
+                 f"m{i} AS (SELECT CASE WHEN one THEN X14 ELSE X15 END AS k, quantile_disc(e, 0.5) AS m FROM g{i}, s{i} GROUP BY 1)",
+                 f"v{i} AS (SELECT k, any_value(m) + avg(greatest(-d, least(d, e - m))) AS v FROM g{i}, s{i}, d{i}, m{i} WHERE k = CASE WHEN one THEN X14 ELSE X15 END GROUP BY k)",
+                 f"r{i + 1} AS (SELECT ID, tc, X14, X15, y, f + {step} * v AS f FROM r{i}, s{i} JOIN v{i} ON k = CASE WHEN one THEN X14 ELSE X15 END)"]
+    return with_wide(f"SELECT ID, round(f, 6) AS pred FROM r{rounds} WHERE tc = 0", *ctes)
+
+
+@query("REG-20", _huber_sql())
+def gbt_huber_stumps(spark, sf):
+    df = durable(wide(spark, sf, "ID", "tc", *FLAG_PAIR, "y_out"))
+    model = Gr.boost(df.filter("tc = 1"), FLAG_PAIR, "y_out", "ID", rounds=3, step=0.3, max_depth=1, loss="huber")
+    return model.transform(df.filter("tc = 0")).select("ID", F.round("pred", 6).alias("pred"))
+
+
+@query("REG-18")
 def gbt_abs(spark, sf):
     a, b = halves(spark, sf)
     return _scored(T.boosted(a, X, "y_lin", rounds=10, step=0.3, loss="absolute"), b)
