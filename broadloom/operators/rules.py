@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
-from pyspark.ml.fpm import FPGrowth
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from broadloom.operators.gram import gram
@@ -27,34 +28,97 @@ def item_frequency(df: DataFrame, flags, top: int = 50) -> DataFrame:
     return item_counts(df, flags).orderBy(F.desc("n"), "item").limit(top)
 
 
-def growth(df: DataFrame, flags, key: str, min_support: float, min_confidence: float = 0.8):
-    return FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(
-        transactions(df, flags, key).select("items"))
-
-
-def itemsets(model, low: int = 2, high: int = 4) -> DataFrame:
-    """(items as sorted text, size, freq) for sets of ``low`` to ``high`` items."""
-    sized = model.freqItemsets.withColumn("size", F.size("items")).filter(F.col("size").between(low, high))
-    return sized.select(F.array_sort("items").alias("items"), "size", "freq")
+#: Patterns of a bitmap block, and counts that a pass keeps per task.
+BLOCK_PATTERNS, PASS_CELLS = 8192, 1 << 22
+
+
+def _blocks(items: int, batches):
+    """(bits, w): one bitmap per item over up to BLOCK_PATTERNS patterns, and the patterns' weights."""
+    held, weights = [], []
+
+    def block():
+        grid = np.frombuffer("".join(held).encode(), np.uint8).reshape(-1, items) - ord("0")
+        return pa.record_batch([pa.array([np.packbits(grid.T, axis=1).tobytes()], pa.binary()), pa.array([np.array(weights, "<i8").tobytes()], pa.binary())],
+                               names=["bits", "w"])
+
+    for batch in batches:
+        for pattern, w in zip(batch.column("pattern").to_pylist(), batch.column("w").to_pylist()):
+            held.append(pattern)
+            weights.append(w)
+            if len(held) == BLOCK_PATTERNS:
+                yield block()
+                held, weights = [], []
+    if held:
+        yield block()
+
+
+def _supports(sent, items: int, batches):
+    """(set, freq) of parent, a, b for every pair of items that extend the same parent: the bitmaps of the parent's items
+    intersected, then one weighted product for all pairs of a block."""
+    groups = sent.value
+    sums = [np.zeros((len(last), len(last))) for _, last in groups]
+    for batch in batches:
+        for bits, w in zip(batch.column("bits").to_pylist(), batch.column("w").to_pylist()):
+            weights = np.frombuffer(w, "<i8").astype(float)
+            grid = np.unpackbits(np.frombuffer(bits, np.uint8).reshape(items, -1), axis=1, count=len(weights)).astype(bool)
+            for total, (parent, last) in zip(sums, groups):
+                there = np.flatnonzero(grid[list(parent)].all(axis=0)) if len(parent) else np.arange(len(weights))
+                if len(there):
+                    held = grid[np.ix_(last, there)].astype(float)
+                    total += (held * weights[there]) @ held.T
+    for total, (parent, last) in zip(sums, groups):
+        i, j = np.nonzero(np.triu(total, 1))
+        if len(i):
+            sets = np.c_[np.repeat([list(parent)], len(i), 0), np.asarray(last)[i], np.asarray(last)[j]].astype(np.int32)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(i) + 1, dtype=np.int32) * sets.shape[1]), pa.array(sets.ravel()))
+            yield pa.record_batch([flat, pa.array(total[i, j])], names=["set", "freq"])
+
+
+def _in_chunks(groups):
+    """Parents with their extensions, so many at a time that PASS_CELLS counts hold them (or one alone)."""
+    chunk, cells = [], 0
+    for parent, last in groups:
+        if chunk and cells + len(last) ** 2 > PASS_CELLS:
+            yield chunk
+            chunk, cells = [], 0
+        chunk.append((parent, last))
+        cells += len(last) ** 2
+    if chunk:
+        yield chunk
 
 
 def frequent_sets(df: DataFrame, flags, key: str, least: int, max_items: int = 4) -> DataFrame:
     """(items sorted, size, freq) of the sets of one to ``max_items`` items that at least ``least`` rows hold.
 
-    Level by level: a row's frequent sets of one level are extended by its later frequent items, so nothing longer than
-    asked is ever counted and no set is built on an infrequent one. Rows with the same items are one, with a weight.
+    Flags that are rarer drop out in one aggregate. Rows with the same remaining flags are one pattern with a weight;
+    tasks turn their patterns into blocks of vertical bitmaps, written once. Each level then pairs the frequent sets
+    that share all but their last item: the parent's bitmaps intersected, one matrix product per block for all pairs.
+    Parents travel to the blocks in chunks of bounded size, so neither the table nor a level of sets has to fit the
+    driver; counts are added on the executors. ``key`` plays no part: every row counts once.
     """
-    baskets = transactions(df, flags, key).filter(F.size("items") > 0).groupBy(F.array_sort("items").alias("items")).agg(
-        F.count(F.lit(1)).alias("w"))
-    grown = baskets.select("w", "items", F.array().cast("array<string>").alias("set"))
-    levels = []
-    for size in range(1, max_items + 1):
-        last = F.element_at("set", -1)
-        later = F.col("items") if size == 1 else F.filter("items", lambda i: i > last)
-        longer = grown.select("w", "items", F.explode(later).alias("i"), "set").select("w", "items", F.concat("set", F.array("i")).alias("set"))
-        kept = durable(longer.groupBy("set").agg(F.sum("w").alias("freq")).filter(F.col("freq") >= least))
-        levels.append(kept.select(F.col("set").alias("items"), F.lit(size).alias("size"), "freq"))
-        grown = durable(longer.join(kept.select("set"), "set", "left_semi").select("w", "items", "set"))
+    spark = df.sparkSession
+    counts = {r["item"]: r["n"] or 0 for r in item_counts(df, flags).collect()}  # one number per flag
+    names = sorted(c for c in flags if counts[c] >= least)
+    first = spark.createDataFrame([([c], 1, counts[c]) for c in names], "items array<string>, size int, freq bigint")
+    if len(names) < 2 or max_items < 2:
+        return first
+    pattern = F.concat(*[F.when(F.col(c) == 1, "1").otherwise("0") for c in names])
+    patterns = df.groupBy(pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("w"))
+    blocks = durable(patterns.mapInArrow(partial(_blocks, len(names)), "bits binary, w binary"))
+    label = F.array(*[F.lit(c) for c in names])
+    levels, groups = [first], [((), list(range(len(names))))]
+    for size in range(2, max_items + 1):
+        parts = []
+        for chunk in _in_chunks(groups):
+            sent = spark.sparkContext.broadcast(chunk)
+            counted = blocks.mapInArrow(partial(_supports, sent, len(names)), "set array<int>, freq double")
+            parts.append(durable(counted.groupBy("set").agg(F.sum("freq").cast("bigint").alias("freq")).filter(F.col("freq") >= least)))
+        if not parts:
+            break
+        level = reduce(DataFrame.unionByName, parts)
+        levels.append(level.select(F.transform("set", lambda i: F.element_at(label, i + 1)).alias("items"), F.lit(size).alias("size"), "freq"))
+        parents = level.groupBy(F.slice("set", 1, size - 1).alias("p")).agg(F.array_sort(F.collect_list(F.element_at("set", -1))).alias("last"))
+        groups = ((tuple(r.p), list(r["last"])) for r in parents.filter(F.size("last") > 1).toLocalIterator())
     return reduce(DataFrame.unionByName, levels)
 
 
@@ -81,13 +145,6 @@ def itemset_lift(df: DataFrame, flags, sets: DataFrame) -> DataFrame:
                              "lift": F.try_divide(F.col("freq") / F.lit(n), product)})
 
 
-def rules(model, max_items: int = 4) -> DataFrame:
-    """Single-consequent rules of at most ``max_items`` items, strongest lift first."""
-    r = model.associationRules.filter(F.size("antecedent") < max_items)
-    return r.select(F.array_join(F.array_sort("antecedent"), ",").alias("lhs"), F.element_at("consequent", 1).alias("rhs"),
-                    "confidence", "lift", "support").orderBy(F.desc("lift"), "lhs", "rhs")
-
-
 def pair_counts(df: DataFrame, flags) -> DataFrame:
     """(a, b, n11, n1, n2, n) for every flag pair, read off one cross-product pass."""
     n, s, g = gram(df, list(flags)).sums()

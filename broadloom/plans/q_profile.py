@@ -222,13 +222,17 @@ def itemset_lift(spark, sf):
                       F.round("lift", 6).alias("lift")).orderBy(F.desc("lift"), "items").limit(10)
 
 
-@query("RUL-3", with_wide(f"""SELECT lhs, rhs, round(freq / nl::DOUBLE, 6) AS confidence,
-    round(freq / nl::DOUBLE / (n / t::DOUBLE), 6) AS lift, round(freq / t::DOUBLE, 6) AS support FROM (
-      SELECT s.freq, o.item AS rhs, o.n,
-        array_to_string(list_filter(string_split(s.items, ','), lambda i: i <> o.item), ',') AS lhs
-      FROM sets s JOIN one o ON list_contains(string_split(s.items, ','), o.item) WHERE freq >= {LEAST_RULES}) r
-    JOIN (SELECT items, freq AS nl FROM sets UNION ALL SELECT item, n FROM one) l ON l.items = r.lhs, total
-    WHERE freq / nl::DOUBLE >= 0.8""", SETS))
+NAMED = ["a", "b", "c", "d"]
+# Each set once for every item it has, that item as the consequent.
+RULES = SETS.replace("AS items, 2 AS size", "AS items, a.item AS a, b.item AS b, NULL AS c, NULL AS d, 2 AS size", 1) \
+    .replace("c.item, 3,", "c.item, a.item, b.item, c.item, NULL, 3,", 1).replace("d.item, 4,", "d.item, a.item, b.item, c.item, d.item, 4,", 1) \
+    .replace("GROUP BY 1", "GROUP BY ALL") + ",\nr AS (" + " UNION ALL ".join(
+        f"SELECT {rhs} AS rhs, concat_ws(',', {', '.join(x for x in NAMED if x != rhs)}) AS lhs, freq FROM sets WHERE {rhs} IS NOT NULL AND freq >= {LEAST_RULES}" for rhs in NAMED) + "),\n" \
+    "l AS (SELECT items AS lhs, freq AS nl FROM sets UNION ALL SELECT item, n FROM one)"
+
+
+@query("RUL-3", with_wide("""SELECT lhs, rhs, round(freq / nl::DOUBLE, 6) AS confidence, round(freq / nl::DOUBLE / (n / t::DOUBLE), 6) AS lift,
+    round(freq / t::DOUBLE, 6) AS support FROM r JOIN l USING (lhs) JOIN one ON item = rhs, total WHERE freq / nl::DOUBLE >= 0.8""", RULES))
 def rules(spark, sf):
     df = wide(spark, sf, "ID", *FLAGS)
     out = U.rules_of(U.frequent_sets(df, FLAGS, "ID", LEAST_RULES), df.count())

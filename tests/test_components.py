@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import functions as F
 
 from broadloom.operators import decompose as D, rules as U, sampling as S
@@ -75,12 +76,19 @@ def test_nmf_is_nonnegative_and_improves(data):
     assert np.sum((np.abs(x) - w @ fitted.h) ** 2) < 0.2 * np.sum(np.abs(x) ** 2)
 
 
+def pattern_growth(df, flags, min_support, low=2, high=4):
+    """(items sorted, size, freq) by Spark ML."""
+    fit = FPGrowth(itemsCol="items", minSupport=min_support).fit(U.transactions(df, flags, "id").select("items"))
+    sized = fit.freqItemsets.withColumn("size", F.size("items")).filter(F.col("size").between(low, high))
+    return sized.select(F.array_sort("items").alias("items"), "size", "freq")
+
+
 def test_itemsets_against_brute_force(spark):
     flags = ["a", "b", "c", "d"]
     rows = [(i, int(i % 2 == 0), int(i % 3 == 0), int(i % 4 < 3), int(i % 7 == 0)) for i in range(500)]
     df = spark.createDataFrame(rows, "id int, a int, b int, c int, d int")
     got = {r["items"] if isinstance(r["items"], str) else ",".join(r["items"]): r
-           for r in U.itemset_lift(df, flags, U.itemsets(U.growth(df, flags, "id", 0.05))).collect()}
+           for r in U.itemset_lift(df, flags, pattern_growth(df, flags, 0.05)).collect()}
     m = np.array([r[1:] for r in rows])
     for size in (2, 3, 4):
         for c in itertools.combinations(range(4), size):
@@ -168,11 +176,28 @@ def test_encoding_reads_a_large_column_once(spark, tmp_path):
     assert plan.count("Join") == 3 and out.count() == 3000
 
 
-def test_frequent_sets_agree_with_pattern_growth(spark):
-    from broadloom.operators import rules as U
-
-    flags = ["a", "b", "c", "d", "e"]
+@pytest.mark.parametrize("block, cells", [(8192, 1 << 22), (16, 4)])
+def test_frequent_sets_agree_with_pattern_growth(spark, monkeypatch, block, cells):
+    monkeypatch.setattr(U, "BLOCK_PATTERNS", block)
+    monkeypatch.setattr(U, "PASS_CELLS", cells)
+    flags = ["e", "b", "c", "d", "a"]
     df = spark.range(400).select("id", *[(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(i + 2)) == 0).cast("int").alias(c) for i, c in enumerate(flags)])
-    want = {tuple(r["items"]): r["freq"] for r in U.itemsets(U.growth(df, flags, "id", 8 / 400), 1, 3).collect()}
-    got = {tuple(r["items"]): r["freq"] for r in U.frequent_sets(df, flags, "id", 8, 3).collect()}
-    assert got == want
+    for high in (1, 3, 4):
+        want = {tuple(r["items"]): r["freq"] for r in pattern_growth(df, flags, 8 / 400, 1, high).collect()}
+        got = {tuple(r["items"]): r["freq"] for r in U.frequent_sets(df, flags, "id", 8, high).collect()}
+        assert got == want
+
+
+def test_frequent_sets_of_many_flags_nulls_and_none(spark):
+    rng = np.random.default_rng(1)
+    m = rng.random((3000, 370)) < np.r_[np.full(30, 0.4), np.full(340, 0.02)]
+    names = [f"f{i}" for i in range(370)]
+    rows = [tuple(int(v) if v or i % 7 else None for v in r) for i, r in enumerate(m)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} int" for c in names))
+    got = {tuple(r["items"]): r["freq"] for r in U.frequent_sets(df, names, "f0", 100, 4).collect()}
+    pick = {c: m[:, i] for i, c in enumerate(names)}
+    assert all(n == np.logical_and.reduce([pick[c] for c in s]).sum() >= 100 for s, n in got.items())
+    often = [c for c in names if pick[c].sum() >= 100]
+    for k in (1, 2, 3):
+        assert sum(len(s) == k for s in got) == sum(np.logical_and.reduce([pick[c] for c in s]).sum() >= 100 for s in itertools.combinations(often, k))
+    assert U.frequent_sets(df.limit(0), names, "f0", 1, 4).collect() == []
