@@ -8,9 +8,11 @@ while no task ever sees more than about ``rows_per_bucket`` distinct values.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
@@ -22,11 +24,13 @@ SAMPLE_PER_BUCKET = 64
 SAMPLE_VALUES = 2_000_000
 
 
+TEXT = (T.StringType, T.BinaryType)
+SAMPLE_TEXTS_PER_BUCKET = 16
+
+
 def place(c: Column, kind: T.DataType) -> Column:
     """A double that never falls while the value rises: fit to cut ranges, not to tell values apart. Exact work is done
     on the values themselves, inside a range."""
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
     if isinstance(kind, T.DateType):
         return F.unix_date(c).cast("double")
     return c.cast("double")
@@ -50,7 +54,13 @@ def _bounds(df: DataFrame, cols: list[str], rows_per_bucket: int):
     counts = {c: n_row[f"n_{i}"] for i, c in enumerate(cols)}
     buckets = {c: _bucket_count(counts[c], rows_per_bucket) for c in cols}
     bounds: dict[str, list[float]] = {c: [] for c in cols}
-    todo = [c for c in cols if buckets[c] > 1]
+    for c in [c for c in cols if buckets[c] > 1 and isinstance(_kind(df, c), TEXT)]:
+        # Texts are cut at texts: keys with a long common beginning are told apart like any others.
+        thin = max(1, counts[c] // (SAMPLE_TEXTS_PER_BUCKET * buckets[c]))
+        v = sorted(df.select(F.col(c).cast("binary").alias("v")).filter("v is not null").filter(
+            F.pmod(F.xxhash64("v"), F.lit(thin)) == 0).distinct().toArrow().column("v").to_pylist())
+        bounds[c] = sorted({v[i] for i in np.linspace(0, len(v), buckets[c] + 1)[1:-1].astype(int)}) if v else []
+    todo = [c for c in cols if buckets[c] > 1 and not isinstance(_kind(df, c), TEXT)]
     if todo:
         picks = []
         for c in todo:
@@ -70,10 +80,20 @@ def _bounds(df: DataFrame, cols: list[str], rows_per_bucket: int):
     return counts, bounds
 
 
-def with_bucket(df: DataFrame, bounds: dict[str, list[float]], suffix: str = "__b") -> DataFrame:
-    """Bucket number of each column: how many of its bounds are at or below the value."""
-    cut = [c for c in bounds if bounds[c]]
+def _text_bucket(bounds: list[bytes]):
+    @F.arrow_udf("int")
+    def bucket(v: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else bisect_right(bounds, x) for x in v.to_pylist()], pa.int32())
+    return bucket
+
+
+def with_bucket(df: DataFrame, bounds: dict[str, list], suffix: str = "__b") -> DataFrame:
+    """Bucket number of each column: how many of its bounds are at or below the value; -1 for NULL, the last for NaN.
+    A column without bounds has one bucket for all."""
     out = df.withColumns({c + suffix: F.lit(0) for c in bounds if not bounds[c]})
+    texts = [c for c in bounds if bounds[c] and isinstance(_kind(df, c), TEXT)]
+    out = out.withColumns({c + suffix: F.coalesce(_text_bucket(bounds[c])(F.col(c).cast("binary")), F.lit(-1)) for c in texts})
+    cut = [c for c in bounds if bounds[c] and c not in texts]
     if cut:
         tmp = {c: f"{c}__d" for c in cut}
         out = out.withColumns({tmp[c]: place(F.col(c), _kind(df, c)) for c in cut})
@@ -81,10 +101,18 @@ def with_bucket(df: DataFrame, bounds: dict[str, list[float]], suffix: str = "__
             splitsArray=[[-math.inf, *bounds[c], math.inf] for c in cut],
             inputCols=[tmp[c] for c in cut], outputCols=[c + suffix for c in cut], handleInvalid="keep",
         ).transform(out)
-        out = out.withColumns({c + suffix: F.col(c + suffix).cast("int") for c in cut}).drop(*tmp.values())
+        out = out.withColumns({c + suffix: F.when(F.col(c).isNull(), -1).otherwise(
+            F.least(F.col(c + suffix).cast("int"), F.lit(len(bounds[c])))) for c in cut}).drop(*tmp.values())
     return out
 
 
+def _spread_nulls(df: DataFrame, out: DataFrame, key: str, b: str, rows_per_bucket: int) -> tuple[DataFrame, int]:
+    """Rows with a NULL key in buckets -1, -2, ... of bounded size, dealt by a hash of the row; how many there are."""
+    parts = _bucket_count(df.filter(F.col(key).isNull()).count(), rows_per_bucket)
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))])
+    return out.withColumn(b, F.when(F.col(key).isNull(), (-1 - F.pmod(row, F.lit(parts))).cast("int")).otherwise(F.col(b))), parts
+
+
 def order_statistics(df: DataFrame, ranks: dict[str, list], rows_per_bucket: int = ROWS_PER_BUCKET):
     """Exact values at 0-based ranks of ordered columns, NULLs left out. Columns of one type keep it; of several types,
     all are compared as doubles.
@@ -197,15 +225,16 @@ def rank_slice(df: DataFrame, key: str, first: int, last: int,
 
 def ordered_index(df: DataFrame, key: str, name: str = "idx",
                   rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """0-based global position by a unique key."""
+    """0-based global position by a unique key. Rows with a NULL key come first, in any order, however many buckets."""
     _, bounds = _bounds(df.select(key), [key], rows_per_bucket)
     b = key + "__b"
     out = with_bucket(df, bounds)
     if not bounds[key]:
         return out.withColumn(name, F.row_number().over(W.partitionBy(b).orderBy(key)).cast("bigint") - 1).drop(b)
+    out, nulls = _spread_nulls(df, out, key, b, rows_per_bucket)
     sizes = {r[b]: r["count"] for r in out.groupBy(b).count().collect()}
     rows, acc = [], 0
-    for i in range(len(bounds[key]) + 1):
+    for i in range(-nulls, len(bounds[key]) + 1):
         rows.append((i, acc))
         acc += sizes.get(i, 0)
     offsets = df.sparkSession.createDataFrame(rows, f"{b} int, __o bigint")
@@ -215,10 +244,12 @@ def ordered_index(df: DataFrame, key: str, name: str = "idx",
 
 
 def running(df: DataFrame, key: str, value: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Running count, sum, mean and maximum of ``value`` in key order."""
+    """Running count, sum, mean and maximum of ``value`` in key order; rows with a NULL key come first, in any order."""
     _, bounds = _bounds(df.select(key), [key], rows_per_bucket)
     b = key + "__b"
-    out = with_bucket(df, bounds)
+    out, nulls = with_bucket(df, bounds), 0
+    if bounds[key]:
+        out, nulls = _spread_nulls(df, out, key, b, rows_per_bucket)
     w = W.partitionBy(b).orderBy(key).rowsBetween(W.unboundedPreceding, 0)
     out = out.withColumns({
         "run_n": F.count(value).over(w), "run_sum": F.sum(value).over(w), "run_max": F.max(value).over(w)})
@@ -226,7 +257,7 @@ def running(df: DataFrame, key: str, value: str, rows_per_bucket: int = ROWS_PER
         parts = {r[b]: r for r in out.groupBy(b).agg(
             F.count(value).alias("n"), F.sum(value).alias("s"), F.max(value).alias("m")).collect()}
         before, n, s, m = [], 0, 0.0, None
-        for i in range(len(bounds[key]) + 1):
+        for i in range(-nulls, len(bounds[key]) + 1):
             before.append((i, n, s, m))
             if i in parts and parts[i]["n"]:
                 n, s = n + parts[i]["n"], s + parts[i]["s"]

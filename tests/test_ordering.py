@@ -112,3 +112,35 @@ def test_keys_beyond_double_precision_and_of_other_types(spark, rows_per_bucket)
         every = [r[key] for r in base.orderBy(key).collect()]
         assert [r[key] for r in rank_slice(base, key, 3, 9, rows_per_bucket).orderBy(key).collect()] == every[3:9]
         assert [r["idx"] for r in ordered_index(base, key, rows_per_bucket=rows_per_bucket).orderBy(key).collect()] == list(range(40))
+
+
+@pytest.mark.parametrize("size", [10**6, 100, 4])
+def test_null_keys_stay_and_come_first(spark, size):
+    rows = [(None if i % 100 == 3 else i, float(i % 7)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k bigint, v double").repartition(3)
+    got = sorted((r.idx, r.k) for r in O.ordered_index(df, "k", rows_per_bucket=size).collect())
+    assert got == list(enumerate([None] * 10 + [k for k, _ in rows if k is not None]))
+    run = O.running(df, "k", "v", rows_per_bucket=size).collect()
+    assert len(run) == 1000 and max(r.run_n for r in run) == 1000
+    first = sum(v for k, v in rows if k is None)
+    for r in run:
+        if r.k is not None:
+            assert abs(r.run_sum - first - sum(v for k, v in rows if k is not None and k <= r.k)) < 1e-9
+
+
+def test_nan_keys_come_last(spark):
+    df = spark.createDataFrame([(float("nan") if i == 5 else float(i), i) for i in range(200)], "k double, i int")
+    for size in (10**6, 10):
+        assert {r.idx for r in O.ordered_index(df, "k", rows_per_bucket=size).filter("i = 5").collect()} == {199}
+
+
+@pytest.mark.parametrize("size", [10**6, 100])
+def test_keys_with_a_long_common_beginning(spark, size):
+    keys = [f"https://www.example.org/{'é' if i % 5 == 0 else 'a'}/{i:05d}" for i in range(2000)]
+    df = spark.createDataFrame([(k,) for k in keys], "k string").repartition(4)
+    order = sorted(keys, key=lambda k: k.encode())
+    assert [r.k for r in O.ordered_index(df, "k", rows_per_bucket=size).orderBy("idx").collect()] == order
+    _, bounds = O._bounds(df, ["k"], 100)
+    sizes = [r["count"] for r in O.with_bucket(df, bounds).groupBy("k__b").count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 500
+    assert O.order_statistics(df, {"k": [0, 999]}, size)[0]["k"] == {0: order[0], 999: order[999]}
