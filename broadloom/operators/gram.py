@@ -7,6 +7,7 @@ this one distributed aggregate. Its result is p x p per fold and bounded by ``MA
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -103,25 +104,56 @@ def _pack(q: int):
     return np.triu_indices(q)
 
 
-SHIFT_ROWS = 1_000
+#: Merged blocks of at most so many columns go to the driver from all FAN tasks, wider ones are merged once more.
+NARROW, FAN = 128, 32
 
 
-def midst(rows: DataFrame, width: int) -> np.ndarray:
-    """Means of a few rows' array ``x``: any value amid the data will do."""
-    few = rows.select("x").limit(SHIFT_ROWS).toArrow().column("x").combine_chunks()
-    m = batch_matrix(few, width).mean(axis=0) if len(few) else np.zeros(width)
-    return np.where(np.isfinite(m), m, 0.0)
+def around(names: list[str], blocks: dict[int, tuple[float, np.ndarray, np.ndarray]]) -> Gram:
+    """From count, means and centred products per fold: sums around the mean of all."""
+    total = sum(n for n, _, _ in blocks.values())
+    shift = sum(n * m for n, m, _ in blocks.values()) / total if total else np.zeros(len(names))
+    return Gram(names, {k: (n, n * (m - shift), c + n * np.outer(m - shift, m - shift)) for k, (n, m, c) in blocks.items()}, shift)
 
 
-def gram_frame(df: DataFrame, cols: list[str], fold: str | None = None, shift=None) -> DataFrame:
-    """(fold, i, j, value) for i <= j, plus (fold, -1, j, sum) and (fold, -1, -1, n), all through SQL sums of the columns
-    less ``shift``; rows with a NULL are left out."""
+def _merged(a, b):
+    """Two blocks of (count, means, centred products) as one."""
+    if a is None:
+        return b
+    n, off = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + off * (b[0] / n), a[2] + b[2] + np.outer(off, off) * (a[0] * b[0] / n)
+
+
+def _merge_blocks(width: int, batches):
+    out = {}
+    for batch in batches:
+        for fold, v in zip(batch.column("fold").to_pylist(), batch.column("packed").to_pylist()):
+            out[fold] = _merged(out.get(fold), _unpacked(v, width))
+    if out:
+        yield _packed(out, width)
+
+
+def _packed(blocks: dict, width: int) -> pa.RecordBatch:
+    iu = _pack(width)
+    rows = [np.concatenate([[n], m, c[iu]]) for n, m, c in blocks.values()]
+    return pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array(rows, pa.list_(pa.float64()))], ["fold", "packed"])
+
+
+def _unpacked(v, width: int):
+    v = np.asarray(v, float)
+    c = np.zeros((width, width))
+    c[_pack(width)] = v[1 + width:]
+    return float(v[0]), v[1:1 + width].copy(), c + np.triu(c, 1).T
+
+
+def gram_frame(df: DataFrame, cols: list[str], fold: str | None = None, centred: bool = False) -> DataFrame:
+    """(fold, i, j, value): products for i <= j, sums at (-1, j), the count at (-1, -1), all through SQL aggregates;
+    ``centred`` gives products around the means, and means. Rows with a NULL are left out."""
     f = F.col(fold).cast("int") if fold else F.lit(0)
-    shift = np.zeros(len(cols)) if shift is None else shift
-    x = [F.col(c).cast("double") - F.lit(float(m)) for c, m in zip(cols, shift)]
-    cells = [(-1, -1, F.sum(F.lit(1.0)))]
-    cells += [(-1, j, F.sum(x[j])) for j in range(len(x))]
-    cells += [(i, j, F.sum(x[i] * x[j])) for i in range(len(x)) for j in range(i, len(x))]
+    x = [F.col(c).cast("double") for c in cols]
+    n = F.sum(F.lit(1.0))
+    cells = [(-1, -1, n)]
+    cells += [(-1, j, F.avg(x[j]) if centred else F.sum(x[j])) for j in range(len(x))]
+    cells += [(i, j, F.covar_pop(x[i], x[j]) * n if centred else F.sum(x[i] * x[j])) for i in range(len(x)) for j in range(i, len(x))]
     flat = df.na.drop(subset=cols).groupBy(f.alias("fold")).agg(*[v.alias(f"v{k}") for k, (_, _, v) in enumerate(cells)])
     return flat.select("fold", F.explode(F.array(*[
         F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"v{k}").alias("value"))
@@ -137,57 +169,54 @@ def gram(df: DataFrame, cols: list[str], y: str | None = None, fold: str | None
         raise ValueError(f"{len(names)} columns: a p x p matrix of that size does not belong on one machine")
     if len(names) <= SQL_FEATURES:
         q = len(names)
-        shift = midst(clean.select(array), q)
-        folds: dict[int, tuple] = {}
-        for r in gram_frame(df, names, fold, shift).collect():
-            n, s, g = folds.setdefault(r["fold"], [0.0, np.zeros(q), np.zeros((q, q))])
+        folds: dict[int, list] = {}
+        for r in gram_frame(df, names, fold, centred=True).collect():
+            block = folds.setdefault(r["fold"], [0.0, np.zeros(q), np.zeros((q, q))])
             if r["j"] < 0:
-                folds[r["fold"]][0] = r["value"]
+                block[0] = r["value"]
             elif r["i"] < 0:
-                s[r["j"]] = r["value"]
+                block[1][r["j"]] = r["value"]
             else:
-                g[r["i"], r["j"]] = g[r["j"], r["i"]] = r["value"]
-        return Gram(names, {k: tuple(v) for k, v in folds.items()}, shift)
+                block[2][r["i"], r["j"]] = block[2][r["j"], r["i"]] = r["value"]
+        return around(names, {k: tuple(v) for k, v in folds.items()})
     return gram_array(clean.select(array, *([F.col(fold).cast("int").alias("fold")] if fold else [])),
                       "x", len(names), "fold" if fold else None, names)
 
 
 def gram_array(df: DataFrame, features: str, width: int, fold: str | None = None,
                names: list[str] | None = None) -> Gram:
-    """Cross products of one array column: a matrix product per Arrow batch, one row per task and fold,
-    added up on the JVM side in two steps. NULL arrays, arrays of another width and those that hold a NULL are left out."""
-    iu = _pack(width)
+    """Cross products of one array column: a matrix product per Arrow batch, one block of count, means and centred
+    products per task and fold, blocks merged pair by pair on the executors. Centred blocks lose nothing where a spread
+    is small beside the values, and need no look at the data beforehand. NULL arrays, arrays of another width and those
+    that hold a NULL are left out."""
     f = F.col(fold).cast("int") if fold else F.lit(0)
     data = df.select(f.alias("fold"), F.col(features).cast("array<double>").alias("x")).filter(
         F.col("x").isNotNull() & (F.size("x") == width) & F.forall("x", lambda v: v.isNotNull()))
-    shift = midst(data, width)
 
-    def partial(batches):
-        acc: dict[int, list] = {}
+    def blocks(batches):
+        acc: dict[int, tuple] = {}
         for b in batches:
             if b.num_rows == 0:
                 continue
-            x = batch_matrix(b.column("x"), width) - shift
+            x = batch_matrix(b.column("x"), width)
             fo = b.column("fold").to_numpy(zero_copy_only=False)
             for k in np.unique(fo):
                 z = x[fo == k]
-                a = acc.setdefault(int(k), [0.0, np.zeros(width), np.zeros((width, width))])
-                a[0] += len(z)
-                a[1] += z.sum(axis=0)
-                a[2] += z.T @ z
+                m = z.mean(axis=0)
+                z = z - m
+                acc[int(k)] = _merged(acc.get(int(k)), (float(len(z)), m, z.T @ z))
         if acc:
-            rows = [np.concatenate([[n], s, g[iu]]) for n, s, g in acc.values()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(acc), pa.int32()), pa.array(rows, pa.list_(pa.float64()))], ["fold", "packed"])
-
-    out = {}
-    for r in sum_packed(data.mapInArrow(partial, "fold int, packed array<double>"), ["fold"]).collect():
-        v = np.asarray(r["packed"].toArray())
-        g = np.zeros((width, width))
-        g[iu] = v[1 + width:]
-        g = g + g.T - np.diag(np.diag(g))
-        out[r["fold"]] = (float(v[0]), v[1:1 + width].copy(), g)
-    return Gram(names or [f"x{i}" for i in range(width)], out, shift)
+            yield _packed(acc, width)
+
+    schema = "fold int, packed array<double>"
+    parts = data.mapInArrow(blocks, schema).withColumn("__s", F.spark_partition_id() % FAN)
+    parts = parts.repartition("fold", "__s").select("fold", "packed").mapInArrow(partial(_merge_blocks, width), schema)
+    if width > NARROW:
+        parts = parts.repartition("fold").mapInArrow(partial(_merge_blocks, width), schema)
+    found: dict[int, tuple] = {}
+    for r in parts.collect():
+        found[r["fold"]] = _merged(found.get(r["fold"]), _unpacked(r["packed"], width))
+    return around(names or [f"x{i}" for i in range(width)], found)
 
 
 def sum_packed(parts: DataFrame, by: list[str], fan: int = 32) -> DataFrame:
