@@ -52,6 +52,16 @@ def _blocks(items: int, batches):
         yield block()
 
 
+def _singles(items: int, batches):
+    """(item, n) of single items."""
+    total = np.zeros(items)
+    for batch in batches:
+        for bits, w in zip(batch.column("bits").to_pylist(), batch.column("w").to_pylist()):
+            weights = np.frombuffer(w, "<i8").astype(float)
+            total += np.unpackbits(np.frombuffer(bits, np.uint8).reshape(items, -1), axis=1, count=len(weights)) @ weights
+    yield pa.record_batch([pa.array(np.arange(items, dtype=np.int32)), pa.array(total)], names=["item", "n"])
+
+
 def _supports(sent, items: int, batches):
     """(set, freq) of parent, a, b for every pair of items that extend the same parent: the bitmaps of the parent's items
     intersected, then one weighted product for all pairs of a block."""
@@ -90,23 +100,24 @@ def _in_chunks(groups):
 def frequent_sets(df: DataFrame, flags, key: str, least: int, max_items: int = 4) -> DataFrame:
     """(items sorted, size, freq) of the sets of one to ``max_items`` items that at least ``least`` rows hold.
 
-    Flags that are rarer drop out in one aggregate. Rows with the same remaining flags are one pattern with a weight;
-    tasks turn their patterns into blocks of vertical bitmaps, written once. Each level then pairs the frequent sets
+    Rows with the same flags are one pattern with a weight; tasks turn their patterns into blocks of vertical bitmaps,
+    written once, so the table itself is read once. Each level then pairs the frequent sets
     that share all but their last item: the parent's bitmaps intersected, one matrix product per block for all pairs.
     Parents travel to the blocks in chunks of bounded size, so neither the table nor a level of sets has to fit the
     driver; counts are added on the executors. ``key`` plays no part: every row counts once.
     """
     spark = df.sparkSession
-    counts = {r["item"]: r["n"] or 0 for r in item_counts(df, flags).collect()}  # one number per flag
-    names = sorted(c for c in flags if counts[c] >= least)
-    first = spark.createDataFrame([([c], 1, counts[c]) for c in names], "items array<string>, size int, freq bigint")
-    if len(names) < 2 or max_items < 2:
-        return first
+    names = sorted(flags)
     pattern = F.concat(*[F.when(F.col(c) == 1, "1").otherwise("0") for c in names])
     patterns = df.groupBy(pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("w"))
     blocks = durable(patterns.mapInArrow(partial(_blocks, len(names)), "bits binary, w binary"))
+    singles = blocks.mapInArrow(partial(_singles, len(names)), "item int, n double").groupBy("item").agg(F.sum("n").alias("n"))
+    often = {r["item"]: int(r["n"]) for r in singles.filter(F.col("n") >= least).collect()}  # one number per flag
+    first = spark.createDataFrame([([names[i]], 1, n) for i, n in sorted(often.items())], "items array<string>, size int, freq bigint")
+    if len(often) < 2 or max_items < 2:
+        return first
     label = F.array(*[F.lit(c) for c in names])
-    levels, groups = [first], [((), list(range(len(names))))]
+    levels, groups = [first], [((), sorted(often))]
     for size in range(2, max_items + 1):
         parts = []
         for chunk in _in_chunks(groups):
