@@ -7,19 +7,20 @@ one aggregate, the rest is p x p.
 
 from __future__ import annotations
 
+import math
 import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from broadloom.functions.columns import linear_score
-from broadloom.operators.gram import Gram, Moments, batch_matrix, gram, sum_batches
-from broadloom.operators.ordering import exact_quantiles, hash_sample
+from broadloom.functions.columns import HASH_SPAN, hash52, linear_score
+from broadloom.operators.gram import Gram, Moments, batch_matrix, gram, gram_array, sum_batches
+from broadloom.operators.ordering import exact_quantiles
+from broadloom.session import durable
 
 RIDGE_GRID = (0.1, 1.0, 10.0)
 
@@ -408,50 +409,81 @@ def glm_terms(df: DataFrame, cols: list[str], y: str, max_p: float = 0.05) -> Da
     return out.filter(F.col("p_value") <= max_p)
 
 
-def ransac(df: DataFrame, cols: list[str], y: str, key: str, trials: int = 100, seed: int = 0,
-           threshold: float | None = None) -> Linear:
-    """Robust fit: minimal samples by hash, one pass counting the inliers of all candidates, refit on the
-    inliers of the best. The threshold defaults to the median absolute deviation of the target."""
-    need = len(cols) + 1
-    data = df.select(key, y, *cols).na.drop().persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _ransac(data, cols, y, key, trials, need, seed, threshold)
-    finally:
-        data.unpersist()
+def _independent_rows(x: np.ndarray, need: int) -> list[int]:
+    """The first rows, in order, each of which the ones before do not span; fewer than ``need`` if there are no more."""
+    taken, axes = [], np.zeros((0, x.shape[1]))
+    for i, row in enumerate(x):
+        left = row - axes.T @ (axes @ row)
+        left = left - axes.T @ (axes @ left)
+        size = np.linalg.norm(left)
+        if size > 1e-9 * max(np.linalg.norm(row), 1.0):
+            taken.append(i)
+            axes = np.vstack([axes, left / size])
+            if len(taken) == need:
+                break
+    return taken
+
 
+def ransac(df: DataFrame, cols: list[str], y: str, key: str, trials: int = 100, seed: int = 0, threshold: float | None = None,
+           confidence: float = 0.99, at_once: int = 32) -> Linear:
+    """Robust fit: candidates through minimal samples, inliers counted for all in one pass, refit on those of the best.
 
-def _ransac(data: DataFrame, cols: list[str], y: str, key: str, trials: int, need: int, seed: int, threshold) -> Linear:
+    Trial t draws from the t-th slice of the keys' hashes, about three times the rows it needs, and takes the first that
+    determine a model; samples are fitted in the tasks that hold them, and only coefficients reach the driver. After
+    ``at_once`` trials the share of inliers tells how many are enough to have met a sample without outliers at the
+    ``confidence``; further ones are drawn only as far as that asks, ``trials`` at most. Ties go to the earlier trial. The
+    threshold defaults to the median absolute deviation of the target. Rows with a NULL are left out.
+    """
+    need = len(cols) + 1
+    data = durable(df.select(key, F.col(y).cast("double").alias("__y"), F.array(*[F.col(c).cast("double") for c in cols]).alias("__x")).filter(
+        F.col("__y").isNotNull() & F.forall("__x", lambda v: v.isNotNull())))
+    n = data.count()
     if threshold is None:
-        med = exact_quantiles(data, {y: [0.5]})[y][0.5]
-        dev = data.select(F.abs(F.col(y) - F.lit(med)).alias("d"))
+        med = exact_quantiles(data, {"__y": [0.5]})["__y"][0.5]
+        dev = data.select(F.abs(F.col("__y") - F.lit(med)).alias("d"))
         threshold = exact_quantiles(dev, {"d": [0.5]})["d"][0.5]
-    rows = hash_sample(data, key, trials * need * 2, seed).toPandas().sort_values(key)
-    rows = rows.sample(frac=1.0, random_state=seed)
-    models = []
-    size = need * 2
-    for t in range(0, len(rows) - need + 1, size):
-        part = rows.iloc[t:t + size]
-        x = np.column_stack([part[cols].to_numpy(float), np.ones(len(part))])
-        for take in (slice(0, need), slice(need, size)):
-            xs, ys = x[take], part[y].to_numpy(float)[take]
-            if len(xs) == need and np.linalg.matrix_rank(xs) == need:
-                b = np.linalg.solve(xs, ys)
-                models.append((b[:-1], float(b[-1])))
-                break
-    if not models:
+    width = max(1, int(min(3 * need / max(n, 1), 1 / trials) * HASH_SPAN))
+    best, done, wanted = (-1.0, None), 0, min(trials, at_once)
+    while done < wanted:
+        found = _candidates(data, key, seed, width, done, wanted, need)
+        if found:
+            slopes, bases = np.array([w[:-1] for w in found]).T, np.array([w[-1] for w in found])
+
+            def hits(b, slopes=slopes, bases=bases):
+                e = b.column("__y").to_numpy(zero_copy_only=False)[:, None] - batch_matrix(b.column("__x"), len(cols)) @ slopes - bases
+                return (np.abs(e) <= threshold).sum(axis=0).astype(float)
+
+            counts = sum_batches(data, hits, ["__x", "__y"])
+            at = int(np.argmax(counts))
+            if counts[at] > best[0]:
+                best = (float(counts[at]), found[at])
+        done = wanted
+        clean = min(max(best[0], 0.0) / max(n, 1), 1.0) ** need
+        enough = 1 if clean >= 1 else trials if clean <= 0 else math.ceil(math.log(1 - confidence) / math.log1p(-clean))
+        wanted = min(trials, max(done, enough))
+    if best[1] is None:
         raise ValueError("no sample of rows determines a model")
-    slopes = np.array([w for w, _ in models]).T
-    bases = np.array([b for _, b in models])
-
-    def hits(b):
-        x = batch_matrix(b.column("x"), len(cols))
-        e = b.column("y").to_numpy(zero_copy_only=False)[:, None] - x @ slopes - bases
-        return (np.abs(e) <= threshold).sum(axis=0).astype(float)
-
-    pairs = data.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("x"), F.col(y).cast("double").alias("y"))
-    counts = sum_batches(pairs, hits, ["x", "y"])
-    best = int(np.argmax(counts))
-    inliers = data.filter(F.abs(F.col(y) - linear_score(cols, *models[best])) <= F.lit(float(threshold)))
-    out = from_gram(gram(inliers, cols, y), ols_solve)
-    out.info = {"threshold": float(threshold), "inliers": int(counts[best])}
+    w, b = best[1][:-1], float(best[1][-1])
+    line = F.aggregate(F.zip_with("__x", F.array(*[F.lit(float(v)) for v in w]), lambda a, c: a * c), F.lit(b), lambda s, v: s + v)
+    inliers = data.filter(F.abs(F.col("__y") - line) <= F.lit(float(threshold)))
+    out = from_gram(gram_array(inliers.select(F.concat("__x", F.array("__y")).alias("x")), "x", need, names=[*cols, y]), ols_solve)
+    out.info = {"threshold": float(threshold), "inliers": int(best[0]), "trials": done}
     return out
+
+
+def _candidates(data: DataFrame, key: str, seed: int, width: int, first: int, last: int, need: int) -> list[np.ndarray]:
+    """Coefficients and intercept of the trials from ``first`` to ``last`` whose sample determines a model, in order."""
+    drawn = data.withColumn("__h", hash52(key, seed=seed)).filter(F.col("__h").between(first * width, last * width - 1))
+    drawn = drawn.withColumn("__t", F.expr(f"cast(__h div {width} as int)"))
+    rank = F.row_number().over(W.partitionBy("__t").orderBy("__h", "__y"))
+    drawn = drawn.withColumn("__k", rank).filter(F.col("__k") <= 12 * need).select("__t", "__k", "__x", "__y")
+
+    def fit(pdf):
+        pdf = pdf.sort_values("__k")
+        x = np.c_[np.stack(pdf["__x"].to_list()), np.ones(len(pdf))]
+        rows = _independent_rows(x, need)
+        w = np.linalg.solve(x[rows], pdf["__y"].to_numpy()[rows]).tolist() if len(rows) == need else []
+        return pdf.__class__({"t": [int(pdf["__t"].iloc[0])], "w": [w]})
+
+    got = drawn.groupBy("__t").applyInPandas(fit, "t int, w array<double>").filter(F.size("w") > 0).collect()
+    return [np.array(r.w) for r in sorted(got, key=lambda r: r.t)]

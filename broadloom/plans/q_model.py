@@ -270,6 +270,22 @@ def ransac(spark, sf):
     return rounded(L.ransac(planted(spark, sf, "y_out"), X, "y_out", "ID").table(spark), "term", digits=3)
 
 
+RANSAC_TRIALS, RANSAC_WITHIN = 8, 12.3456
+
+
+@query("REG-9", with_wide(f"""SELECT unnest(['(intercept)', 'X22']) AS term, round(unnest([regr_intercept(y, x), regr_slope(y, x)]), 6) AS coef
+    FROM h, best WHERE abs(y - sl * x - ic) <= {RANSAC_WITHIN}""",
+    "h AS (SELECT X22::DOUBLE AS x, y_out AS y, ('0x' || substr(md5(ID || '|0'), 1, 13))::BIGINT AS h FROM wide)",
+    f"""s AS (SELECT h // w AS t, x, y, row_number() OVER (PARTITION BY h // w ORDER BY h, y) AS k
+      FROM h, (SELECT floor(least(6::DOUBLE / count(*), 1::DOUBLE / {RANSAC_TRIALS}) * 4503599627370496)::BIGINT AS w FROM h) WHERE h // w < {RANSAC_TRIALS})""",
+    """m AS (SELECT t, (y2 - y1) / (x2 - x1) AS sl, y1 - x1 * (y2 - y1) / (x2 - x1) AS ic FROM (
+      SELECT t, x1, y1, arg_min(x, k) AS x2, arg_min(y, k) AS y2 FROM s JOIN (SELECT t, x AS x1, y AS y1 FROM s WHERE k = 1) USING (t) WHERE x <> x1 GROUP BY ALL))""",
+    f"best AS (SELECT sl, ic FROM m, h GROUP BY t, sl, ic ORDER BY count(*) FILTER (abs(y - sl * x - ic) <= {RANSAC_WITHIN}) DESC, t LIMIT 1)"))
+def ransac_line(spark, sf):
+    df = wide(spark, sf, "ID", "X22", "y_out")
+    return rounded(L.ransac(df, ["X22"], "y_out", "ID", trials=RANSAC_TRIALS, threshold=RANSAC_WITHIN).table(spark), "term")
+
+
 @query("REG-11")
 def pls_choice(spark, sf):
     return rounded(L.pls_cv(G.gram(planted(spark, sf), X, "y_lin", "fold")).table(spark), "term")

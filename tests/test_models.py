@@ -121,6 +121,19 @@ def test_robust_fits(data):
     assert np.allclose(L.ml_linear(bad, COLS, "y", loss="huber", max_iter=200, tol=1e-8).coef, truth, atol=0.15)
     r = L.ransac(bad, COLS, "y", "id", trials=60, threshold=2.0)
     assert np.allclose(r.coef, truth, atol=0.1) and r.info["inliers"] >= 500
+    assert r.info["trials"] <= 60
+    again = L.ransac(bad.repartition(7), COLS, "y", "id", trials=60, threshold=2.0)
+    assert np.allclose(r.coef, again.coef) and r.info == again.info
+
+
+def test_ransac_draws_as_many_trials_as_the_inliers_ask_for(spark):
+    rows = [(i, float(i % 50), 3.0 * (i % 50) + 1 if i % 5 < 2 else float((i * 7919) % 997)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id int, a double, y double")
+    r = L.ransac(df, ["a"], "y", "id", trials=100, threshold=0.5, at_once=4)
+    assert abs(r.coef[0] - 3) < 1e-6 and 4 < r.info["trials"] < 100
+    same = df.withColumn("a", F.lit(1.0))
+    with pytest.raises(ValueError):
+        L.ransac(same, ["a"], "y", "id", trials=10)
 
 
 def test_glm_keeps_real_terms(data):
