@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
-from broadloom.operators import linear as L, trees as T
+from broadloom.operators import grower as Gr, linear as L, trees as T
+from broadloom.operators.evaluate import fold_report
 from broadloom.operators.gram import Gram, gram
-from broadloom.session import side_by_side
+from broadloom.session import durable, side_by_side
 
 # Learners read off the fold sums of one pass: name -> (gram of the training folds) -> linear model.
 GRAM_LEARNERS = {
@@ -41,6 +41,9 @@ ROW_LEARNERS = {
     "tree": lambda d, c, y, k: T.tree(d, c, y),
     "forest": lambda d, c, y, k: T.forest(d, c, y, trees=20, max_depth=6),
     "gbt": lambda d, c, y, k: T.boosted(d, c, y, rounds=20),
+    "extra_trees": lambda d, c, y, k: Gr.extra_trees(d, c, y, k, trees=10),
+    "bagging": lambda d, c, y, k: T.bagged_trees(d, c, y, k, bags=10),
+    "adaboost": lambda d, c, y, k: T.adaboost_r2(d, c, y, k, rounds=8, learning_rate=0.1),
 }
 
 
@@ -143,12 +146,8 @@ def fit_registry(train: DataFrame, cols, y: str, key: str, k: int, learners, fol
     cols = list(cols)
     g = gram(train, cols, y, fold) if any(n in GRAM_LEARNERS for n in learners) else None
     rows = [n for n in learners if n not in GRAM_LEARNERS]
-    source = train.persist(StorageLevel.MEMORY_AND_DISK) if rows else train
-    try:
-        return {n: fit_folds(source, cols, y, key, k, n, fold, g) for n in learners}
-    finally:
-        if rows:
-            source.unpersist()
+    source = durable(train.select(key, fold, y, *cols)) if rows else train  # read again by every fit
+    return {n: fit_folds(source, cols, y, key, k, n, fold, g) for n in learners}
 
 
 class PredictionFeature(Estimator):
@@ -205,3 +204,93 @@ def super_learner(train: DataFrame, test: DataFrame, cols, y: str, key: str, k:
     else:
         model = ROW_LEARNERS[meta](level1, names, "y", key)
     return model.transform(level1, "pred"), model.transform(level1_test, "pred"), model
+
+
+# ---- two layers -----------------------------------------------------------------------------------------------
+
+def _all_predictions(df: DataFrame, models: list, out: str = "__all") -> DataFrame:
+    """One array of the models' predictions; linear ones are one matrix product."""
+    if all(isinstance(m, L.Linear) for m in models):
+        return L.score_many(df, models, out)
+    names = [f"__m{i}" for i in range(len(models))]
+    for n, m in zip(names, models):
+        df = m.transform(df, n)
+    return df.withColumn(out, F.array(*names)).drop(*names)
+
+
+def _fit_pairs(train: DataFrame, y: str, key: str, k: int, bases: dict, fold: str) -> dict:
+    """Base models by (base, folds left out), one or two of them. Linear ones come from the fold sums of one pass."""
+    out = [(f,) for f in range(k)] + [(f, j) for f in range(k) for j in range(f + 1, k)]
+    sums = {n: cols for n, (learner, cols) in bases.items() if learner in GRAM_LEARNERS}
+    every = sorted({c for cols in sums.values() for c in cols})
+    g = gram(train, every, y, fold) if sums else None
+    fitted, jobs = {}, []
+    for n, (learner, cols) in bases.items():
+        for left in out:
+            if learner in GRAM_LEARNERS:
+                part = g.pick(list(cols), y)
+                fitted[n, left] = GRAM_LEARNERS[learner](part.take_folds({f: f for f in range(k) if f not in left}))
+            else:
+                jobs.append(((n, left), lambda learner=learner, cols=cols, left=left: ROW_LEARNERS[learner](
+                    train.filter(~F.col(fold).isin(list(left))), list(cols), y, key)))
+    fitted.update(zip([j[0] for j in jobs], side_by_side([j[1] for j in jobs])))
+    return fitted
+
+
+def nested_registry(train: DataFrame, test: DataFrame, y: str, key: str, k: int, bases: dict, metas: list[str], fold: str = "fold"):
+    """Layer-2 learners out of fold on the predictions of layer-1 learners, neither of which has seen the row.
+
+    ``bases`` maps a name to (learner, columns). For outer fold f the layer-2 training rows get the predictions of base
+    models that left out f and the row's own fold, the held-out rows those of models that left out f: all these models come
+    from one pass of fold sums (learners that look at rows are refitted) and score in one scan. The layer-2 models of
+    all linear learners come from one more pass over the written matrix. A test row gets the mean over the outer folds.
+
+    Returns (out-of-fold predictions: key, fold, y, model, pred; test predictions: key, model, pred; scores per model).
+    """
+    fitted = _fit_pairs(train, y, key, k, bases, fold)
+    wanted = list(fitted)
+    place = {name: i + 1 for i, name in enumerate(wanted)}
+    names = [f"base_{n}" for n in bases]
+
+    def features(outer, own):
+        """A row's base predictions for an outer fold; ``own`` is its fold, None for test rows."""
+        out = []
+        for n in bases:
+            at = [place[n, tuple(sorted({outer, j}))] for j in range(k)]
+            spot = F.lit(place[n, (outer,)]) if own is None else F.element_at(F.array(*[F.lit(a) for a in at]), own + 1)
+            out.append(F.element_at("__all", spot).alias(f"base_{n}"))
+        return out
+
+    own = F.col(fold).cast("int")
+    rows = [F.struct(F.lit(f).alias("outer"), *features(f, own)) for f in range(k)]
+    matrix = _all_predictions(train, [fitted[w] for w in wanted]).select(
+        key, own.alias("fold"), F.col(y).cast("double").alias("y"), F.explode(F.array(*rows)).alias("r")).select(key, "fold", "y", "r.*")
+    matrix = durable(matrix)
+    learn, held = matrix.filter("outer <> fold"), matrix.filter("outer = fold")
+    rows = [F.struct(F.lit(f).alias("outer"), *features(f, None)) for f in range(k)]
+    probe = _all_predictions(test, [fitted[w] for w in wanted]).select(key, F.explode(F.array(*rows)).alias("r")).select(key, "r.*")
+
+    models = {}
+    linear = [m for m in metas if m in GRAM_LEARNERS]
+    if linear:
+        g = gram(learn.withColumn("cell", F.col("outer") * k + F.col("fold")), names, "y", "cell")
+        for m in linear:
+            models[m] = [GRAM_LEARNERS[m](g.take_folds({j: f * k + j for j in range(k) if j != f})) for f in range(k)]
+    for m in (m for m in metas if m not in GRAM_LEARNERS):
+        models[m] = side_by_side([lambda f=f, m=m: ROW_LEARNERS[m](learn.filter(F.col("outer") == f), names, "y", key) for f in range(k)])
+
+    def scored(df, keep):
+        parts = []
+        if linear:
+            every = [x for m in linear for x in models[m]]
+            one = _all_predictions(df, every)
+            picks = [F.struct(F.lit(m).alias("model"), F.element_at("__all", F.col("outer") + 1 + i * k).alias("pred")) for i, m in enumerate(linear)]
+            parts.append(one.select(*keep, F.explode(F.array(*picks)).alias("p")).select(*keep, "p.*"))
+        for m in metas:
+            if m not in GRAM_LEARNERS:
+                parts += [models[m][f].transform(df.filter(F.col("outer") == f), "pred").select(*keep, F.lit(m).alias("model"), "pred") for f in range(k)]
+        return reduce(DataFrame.unionByName, parts)
+
+    oof = scored(held, [key, "fold", "y"])
+    preds = scored(probe, [key]).groupBy(key, "model").agg(F.avg("pred").alias("pred"))
+    return oof, preds, fold_report(oof, "y", "pred", "fold", ("model",))

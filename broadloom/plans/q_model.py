@@ -672,6 +672,37 @@ def super_learner(spark, sf):
     return test.select("ID", F.round("pred", 3).alias("pred"))
 
 
+NESTED_SQL = with_wide("""SELECT ID, model, round(avg(my + wa * (ia + sa * X22 - ma) + wb * (ib + sb * X14 - mb)), 4) AS pred
+    FROM wide, w JOIN base ON base.f = w.f AND base.j = w.f WHERE tc = 0 GROUP BY ID, model""",
+    "ks AS (SELECT unnest([0, 1, 2]) AS k)",
+    """base AS (SELECT f.k AS f, j.k AS j, regr_slope(y_lin, X22) AS sa, regr_intercept(y_lin, X22) AS ia, regr_slope(y_lin, X14) AS sb, regr_intercept(y_lin, X14) AS ib
+      FROM wide, ks f, ks j WHERE tc = 1 AND ID // 2 % 3 <> f.k AND ID // 2 % 3 <> j.k GROUP BY ALL)""",
+    "z AS (SELECT f, j, y_lin AS y, ia + sa * X22 AS a, ib + sb * X14 AS b FROM wide JOIN base ON j = ID // 2 % 3 WHERE tc = 1 AND f <> j)",
+    """m AS (SELECT f, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) * count(*) AS aa, var_pop(b) * count(*) AS bb, covar_pop(a, b) * count(*) AS ab,
+      covar_pop(a, y) * count(*) AS ay, covar_pop(b, y) * count(*) AS byy FROM z GROUP BY f)""",
+    """w AS (SELECT f, model, ma, mb, my, ((bb + l) * ay - ab * byy) / ((aa + l) * (bb + l) - ab * ab) AS wa, ((aa + l) * byy - ab * ay) / ((aa + l) * (bb + l) - ab * ab) AS wb
+      FROM m, (SELECT unnest(['ols', 'ridge']) AS model, unnest([0.0::DOUBLE, 1]) AS l))""")
+
+
+@query("ENS-5 SRH-3 UDF-6", NESTED_SQL)
+def nested_lines(spark, sf):
+    """Two lines as layer 1, two linear learners on their out-of-fold predictions as layer 2."""
+    df = wide(spark, sf, "ID", "tc", "X14", "X22", "y_lin").withColumn("fold", F.expr("cast(ID div 2 % 3 as int)"))
+    bases = {"lines": ("ols", ["X22"]), "flag": ("ols", ["X14"])}
+    _, preds, _ = K.nested_registry(df.filter("tc = 1"), df.filter("tc = 0"), "y_lin", "ID", 3, bases, ["ols", "ridge"])
+    return preds.select("ID", "model", F.round("pred", 4).alias("pred"))
+
+
+@query("ENS-5 SRH-3 UDF-6 REG-17 REG-22")
+def nested_layers(spark, sf):
+    """Linear learners and boosting below; extra trees, bagging and ridge over their predictions."""
+    a, b = halves(spark, sf)
+    a = a.withColumn("fold", F.expr("cast(ID div 2 % 3 as int)"))
+    bases = {n: (n, X) for n in ("ridge_cv", "lasso_cv", "omp")}
+    _, preds, _ = K.nested_registry(a, b, "y_lin", "ID", 3, bases, ["ridge", "extra_trees", "bagging"])
+    return preds.select("ID", "model", F.round("pred", 3).alias("pred"))
+
+
 GATED_SQL = with_wide("""SELECT model, p.ID, round(p.pred, 6) AS pred FROM (
       SELECT 'line_X22' AS model, ID, a + b * X22 AS pred FROM wide JOIN f1 ON ID // 2 % 5 = k WHERE tc = 1
       UNION ALL SELECT 'line_X16', ID, a + b * X16 FROM wide JOIN f2 ON ID // 2 % 5 = k WHERE tc = 1) p

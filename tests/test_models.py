@@ -305,3 +305,39 @@ def test_null_and_ragged_arrays_are_left_out(spark):
     df = spark.createDataFrame([([1.0, 2.0],), (None,), ([3.0],), ([1.0, None],), ([2.0, 5.0],)], "v array<double>")
     n, s, g = gram_array(df, "v", 2).sums()
     assert n == 2 and np.allclose(s, [3, 7]) and np.allclose(g, [[5, 12], [12, 29]])
+
+
+def test_nested_layers_see_no_row_twice(spark):
+    rng = np.random.default_rng(8)
+    n, k = 300, 3
+    x = rng.normal(size=(n, 3))
+    y = x @ [1.0, -2.0, 0.5] + x[:, 0] * x[:, 1] + 0.3 * rng.normal(size=n)
+    fold = np.arange(n) % k
+    rows = [(int(i), *map(float, x[i]), float(y[i]), int(fold[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, y double, fold int").repartition(3)
+    bases = {"one": ("ols", ["a"]), "two": ("ols", ["b", "c"])}
+    train, test = df.filter("id < 240"), df.filter("id >= 240")
+    oof, preds, scores = K.nested_registry(train, test, "y", "id", k, bases, ["ols", "tree"])
+
+    def fit(z, t):
+        w = np.linalg.lstsq(np.c_[z, np.ones(len(z))], t, rcond=None)[0]
+        return lambda q: np.c_[q, np.ones(len(q))] @ w
+
+    m = np.arange(n) < 240
+    want, probe = np.zeros(n), np.zeros(60)
+    for f in range(k):
+        z = np.zeros((n, 2))
+        for at, cols in enumerate(([0], [1, 2])):
+            for j in range(k):
+                part = m & (fold != f) & (fold != j)
+                z[fold == j, at] = fit(x[part][:, cols], y[part])(x[fold == j][:, cols])
+        top = fit(z[m & (fold != f)], y[m & (fold != f)])
+        want[fold == f] = top(z[fold == f])
+        alone = m & (fold != f)
+        q = np.c_[fit(x[alone][:, [0]], y[alone])(x[240:][:, [0]]), fit(x[alone][:, [1, 2]], y[alone])(x[240:][:, [1, 2]])]
+        probe += top(q) / k
+    got = {r.id: r.pred for r in oof.filter("model = 'ols'").collect()}
+    assert len(got) == 240 and np.allclose([got[i] for i in range(240)], want[:240])
+    got = {r.id: r.pred for r in preds.filter("model = 'ols'").collect()}
+    assert np.allclose([got[i] for i in range(240, 300)], probe)
+    assert {r.model: r.n for r in scores.collect()} == {"ols": 240, "tree": 240} and preds.count() == 120
