@@ -85,7 +85,7 @@ def one_hot(df: DataFrame, column: str) -> DataFrame:
     """One 0/1 column per level, in sorted order."""
     levels = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.lit(1).alias("__1")).limit(MAX_DUMMIES + 1).collect()
     if len(levels) > MAX_DUMMIES:
-        raise ValueError(f"{column} has more than {MAX_DUMMIES} levels: use one_hot_vector")
+        raise ValueError(f"{column} has more than {MAX_DUMMIES} levels: use one_hot_vector, or sparse_gram to fit on them")
     return df.withColumns({f"{column}_{r[0]}": is_value(column, r[0]) for r in sorted(levels)})
 
 

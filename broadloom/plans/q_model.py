@@ -10,7 +10,7 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
 from broadloom.operators import (
-    decompose as D, encode as E, evaluate as V, gram as G, grower as Gr, linear as L, sampling as S, search as H, stack as K, trees as T)
+    decompose as D, encode as E, evaluate as V, gram as G, grower as Gr, linear as L, sampling as S, search as H, sparse as Sp, stack as K, trees as T)
 from broadloom.operators.ordering import contiguous_folds
 from broadloom.plans.fixtures import table, wide, with_wide
 from broadloom.plans.q_relational import MODELS, PREDS_WIDE_CTE, predictions_long
@@ -621,6 +621,16 @@ def importances(spark, sf):
     return rounded(T.forest(a, X, "y_lin", trees=20).importances(spark), "feature").orderBy(F.desc("importance"), "feature")
 
 
+@query("ENC-6 LA-1 REG-2", """WITH g AS (SELECT o_custkey::VARCHAR AS level, count(*)::DOUBLE AS n, sum(o_totalprice / 1000) AS s FROM orders GROUP BY 1),
+b AS (SELECT sum(s / (n + 1)) / sum(n / (n + 1)) AS b0 FROM g)
+SELECT level, round((s - n * b0) / (n + 1), 4) AS coef FROM g, b""")
+def sparse_ridge(spark, sf):
+    """A dummy per customer, a penalty on each and none on the intercept."""
+    df = table(spark, sf, "orders").select("o_orderkey", "o_custkey", (F.col("o_totalprice") / 1000).alias("y"))
+    model = Sp.sparse_ridge(Sp.sparse_gram(df, [], ["o_custkey"], "y", "o_orderkey"), 1.0)
+    return model.levels.frame.select("level", F.round("coef", 4).alias("coef"))
+
+
 # ---- stacking --------------------------------------------------------------------------------------------------
 
 @query("ENS-3 JN-6 PRJ-4", with_wide("""SELECT ID, round(line_X22, 4) AS "line_X22", round(mean_X0, 4) AS "mean_X0", round(mean_X1, 4) AS "mean_X1" FROM preds""", PREDS_WIDE_CTE))
