@@ -10,7 +10,7 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
 from broadloom.operators import (
-    decompose as D, encode as E, evaluate as V, gram as G, grower as Gr, linear as L, sampling as S, search as H, sparse as Sp, stack as K, trees as T)
+    decompose as D, encode as E, evaluate as V, gram as G, grower as Gr, linear as L, rangefinder as RF, sampling as S, search as H, sparse as Sp, stack as K, trees as T)
 from broadloom.operators.ordering import contiguous_folds
 from broadloom.plans.fixtures import table, wide, with_wide
 from broadloom.plans.q_relational import MODELS, PREDS_WIDE_CTE, predictions_long
@@ -411,6 +411,20 @@ def svd_two(spark, sf):
     return rounded(_components(D.truncated_svd(df.filter("tc = 1"), "x", 2), df, 2, ("ID",)), "ID")
 
 
+@query("LA-2", two_components_sql("(SELECT avg(X14) AS ma, avg(X22) AS mb, var_pop(X14) AS a, var_pop(X22) AS d, covar_pop(X14, X22) AS b FROM wide WHERE tc = 1)",
+                                  "(X14 - ma)", "(X22 - mb)"))
+def pca_wide_two(spark, sf):
+    df = two_columns(spark, sf)
+    return rounded(_components(RF.leading(df.filter("tc = 1"), "x", 2, 2), df, 2, ("ID",)), "ID")
+
+
+@query("LA-4", two_components_sql("(SELECT sum(X14 * X14)::DOUBLE AS a, sum(X22 * X22)::DOUBLE AS d, sum(X14 * X22)::DOUBLE AS b FROM wide WHERE tc = 1)",
+                                  "X14", "X22"))
+def svd_wide_two(spark, sf):
+    df = two_columns(spark, sf)
+    return rounded(_components(RF.leading(df.filter("tc = 1"), "x", 2, 2, centre=False), df, 2, ("ID",)), "ID")
+
+
 @query("LA-3", with_wide("""SELECT ID, round(abs((X14 - ma) / sa + (X22 - mb) / sb) / sqrt(2), 6) AS size_1, keep FROM wide,
     (SELECT avg(X14) AS ma, avg(X22) AS mb, stddev_samp(X14) AS sa, stddev_samp(X22) AS sb,
      CASE WHEN sqrt((1 - corr(X14, X22)) / (1 + corr(X14, X22))) > 0.25 THEN 2 ELSE 1 END AS keep FROM wide WHERE tc = 1)"""))
