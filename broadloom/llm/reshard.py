@@ -13,6 +13,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from broadloom.session import durable
+
 BLOCKS = 4096
 MOST_BLOCKS = 1 << 21
 
@@ -89,15 +91,43 @@ class Resharded:
     path: str
 
 
+def _weights(placed: DataFrame) -> list[dict]:
+    return placed.groupBy("_old", "_block").agg(F.sum("_size").alias("bytes"), F.count(F.lit(1)).alias("n")).toArrow().to_pylist()
+
+
+def _split_heavy(placed: DataFrame, weighed: list[dict], shard: int, blocks: int) -> tuple[DataFrame, list[dict]]:
+    """Rows and weights with the blocks above a 128th of a shard cut into parts of about a 512th."""
+    heavy = [b for b in weighed if b["n"] > 1 and b["bytes"] > max(1, shard // 128)]
+    if not heavy:
+        return placed, weighed
+    parts = [(b["_old"], b["_block"], min(b["n"], -(-b["bytes"] // max(1, shard // 512)))) for b in heavy]
+    marked, first = [], blocks
+    for old, block, k in parts:
+        marked.append((old, block, first, k))
+        first += k
+    # At most 128 rows for each new shard.
+    marks = F.broadcast(placed.sparkSession.createDataFrame(marked, "_old int, _block int, _first int, _parts int"))
+    # The number of a row is written down, since it may differ when the rows are read again.
+    hot = placed.join(marks, ["_old", "_block"]).withColumn("_n", F.xxhash64(F.monotonically_increasing_id()))
+    hot = durable(hot.select("_row", "_size", "_old", (F.col("_first") + F.pmod("_n", "_parts")).cast("int").alias("_block"),
+                             F.pmod(F.xxhash64("_n", F.lit(1)), F.lit(1 << 20)).cast("int").alias("_h")))
+    gone = {(b["_old"], b["_block"]) for b in heavy}
+    light = placed.join(marks, ["_old", "_block"], "left_anti")
+    return light.unionByName(hot), [b for b in weighed if (b["_old"], b["_block"]) not in gone] + _weights(hot)
+
+
 def reshard(docs: DataFrame, old: Column, old_shards: int, new_shards: int, path: str, doc_id: str = "doc_id", text: str = "text",
             rows_per_file: int = 4096, blocks: int = BLOCKS) -> Resharded:
     """Deal ``docs`` from shards ``old`` (0 to old_shards - 1) to ``new_shards`` of near equal bytes, and write those that change.
 
     A document weighs its UTF-8 bytes (NULL: none) plus 8. The result has all columns of ``docs``, shard and slot
-    (gapless from 0, by file chunk and id); columns already called so are replaced. Rows that repeat id and text share a
-    block; a NULL id is an id. An empty table writes nothing. The difference between two shards is at most a few blocks,
+    (gapless from 0, by file chunk and id); columns already called so are replaced. A NULL id is an id. Rows that repeat id
+    and text share a block until it is heavy. An empty table writes nothing. The difference between two shards is at most a few blocks,
     that is, about a thousandth of the largest old shard, or a document.
 
+    Blocks above a 128th of a new shard, which only long documents or rows that repeat make, are written with a number of
+    the row and dealt anew by it, in parts of a 512th of a shard.
+
     The driver sees old_shards x ``blocks`` sizes. Texts move once, to the file chunk they are written to; chunks follow
     a hash, so neither a hot source nor a hot old shard gathers in one task.
     """
@@ -109,7 +139,8 @@ def reshard(docs: DataFrame, old: Column, old_shards: int, new_shards: int, path
     h = F.xxhash64(F.col(doc_id), F.col(text))
     placed = docs.select(F.struct(*keep).alias("_row"), size.alias("_size"), old.cast("int").alias("_old"), F.pmod(h, F.lit(blocks)).cast("int").alias("_block"),
                          F.pmod(F.xxhash64(h, F.lit(1)), F.lit(1 << 20)).cast("int").alias("_h"))
-    weighed = placed.groupBy("_old", "_block").agg(F.sum("_size").alias("bytes"), F.count(F.lit(1)).alias("n")).toArrow().to_pylist()
+    weighed = _weights(placed)
+    placed, weighed = _split_heavy(placed, weighed, sum(b["bytes"] for b in weighed) // new_shards, blocks)
     supply = [0] * old_shards
     for b in weighed:
         supply[b["_old"]] += b["bytes"]

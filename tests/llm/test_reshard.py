@@ -57,3 +57,18 @@ def test_nothing_to_do_and_empty(spark):
     out = reshard(df, F.pmod("doc_id", F.lit(2)), 2, 2, new_path(spark, "t"))
     assert out.rewritten == [] and sorted((r.doc_id % 2, r.shard) for r in out.rows.collect()) == [(0, 0)] * 4 + [(1, 1)] * 4
     assert reshard(df.limit(0), F.lit(0), 2, 2, new_path(spark, "t")).rows.collect() == []
+
+
+def test_rows_that_repeat_are_spread(spark):
+    rng = random.Random(4)
+    rows = [(i, "x" * rng.randrange(20, 60)) for i in range(12000)] + [(77, "the same row again and again")] * 6000 + [(None, None)] * 500
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    out = reshard(df, F.pmod(F.xxhash64("doc_id"), F.lit(3)), 3, 4, new_path(spark, "t"), rows_per_file=500)
+    got = out.rows.collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+    size, slots = Counter(), defaultdict(list)
+    for r in got:
+        size[r.shard] += len(r.text or "") + 8
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(size.values()) <= 1.01 * min(size.values())
