@@ -22,8 +22,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The model learns from labelled rows of ``docs``; without any, the score is the bias of an even start and nothing goes
     unless that reaches the threshold. An empty table stays empty.
     """
-    scored = toxicity.score_toxicity(docs, queries.toxicity_model(spark, docs, sf_dir), name="_toxicity")
-    return scored.filter(F.col("_toxicity") < queries.TOXIC_FROM).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = "_toxicity"
+    while name in docs.columns:
+        name += "_"
+    scored = toxicity.score_toxicity(docs, queries.toxicity_model(spark, docs, sf_dir), name=name)
+    return scored.filter(F.col(f"`{name}`") < queries.TOXIC_FROM).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
