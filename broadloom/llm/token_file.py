@@ -39,9 +39,11 @@ HEADER_SIZE, FOOTER_SIZE = struct.calcsize(HEADER), struct.calcsize(FOOTER)
 #: A file is closed beyond so many bytes of frames or documents (24 bytes each are held until then).
 FILE_BYTES, FILE_DOCS = 128 << 20, 1 << 20
 WORDS_KEPT = 400_000
-#: A run of such letters is one piece for this family of vocabularies, also before a full stop or comma, and is its own
-#: normal form but for the case.
+#: A run of such letters is one piece for this family of vocabularies, and is its own normal form but for the case; so is
+#: a run of ASCII marks, apostrophes (endings) and angle brackets (special tokens) left aside.
 LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+RUN = re.compile(LATIN.pattern + r"""|[!"#$%&()*+,\-./:;=?@\[\\\]^_`{|}~]+""")
+RUNS = re.compile(f"(?:{RUN.pattern})+")
 
 
 class WordEncoder(dict):
@@ -68,8 +70,8 @@ class WordEncoder(dict):
         if ids is None:
             if LATIN.fullmatch(word):
                 ids = self._bytes([t.id for t in self.merges.tokenize(word.translate(self.letters))])
-            elif word[-1:] in (".", ",") and LATIN.fullmatch(word, 0, len(word) - 1):
-                ids = self[word[:-1]] + self[word[-1]]
+            elif RUNS.fullmatch(word) and len(runs := RUN.findall(word)) > 1:
+                ids = b"".join(map(self.__getitem__, runs))
             else:
                 ids = self._bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
         self[word] = ids

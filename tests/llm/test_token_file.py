@@ -24,7 +24,8 @@ def plain(docs):
 def test_words_are_encoded_like_whole_texts():
     encoder, whole = token_file.WordEncoder(PATH), Tokenizer.from_file(PATH)
     every = " ".join(f"{chr(c)} a{chr(c)}. {chr(c)}B{chr(c)}," for c in range(0x2B0))
-    for text in [*HARD, every, "the's x't. ÀÉÎÕÜß ÿŸ", "word<|endoftext|>. A\u0301."]:
+    for text in [*HARD, every, "the's x't. ÀÉÎÕÜß ÿŸ", "word<|endoftext|>. A\u0301.", 'say("a-b",c)...x!? it\'s "q\'s" <b>x</b> a|b [é] --ü--', "".join(map(chr, range(33, 127))),
+                 " ".join(f"{chr(a)}{chr(b)}x{chr(b)}{chr(a)}" for a in range(33, 127) for b in range(33, 127, 7))]:
         got = np.frombuffer(encoder.encode(text, 2), "<u2").tolist()
         assert got == whole.encode(text or "", add_special_tokens=False).ids + [2], text
 
