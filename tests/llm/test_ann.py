@@ -47,9 +47,24 @@ def test_few_rows_and_none(spark):
 def test_lists_beyond_the_first_are_found(spark):
     rng = np.random.default_rng(2)
     rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(6000, 8)))]  # no clusters, 375 lists
-    index = ann.build_index(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), per_list=16)
+    index = ann.build_index(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), per_list=16, recall=1.0)
     assert len(index.centroids) == 375
     got = {}
     for r in ann.search(index, F.col("vec_id") % 20 == 0).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     assert got == {q: {i for _, i in v} for q, v in plain(rows, lambda i: i % 20 == 0).items()}
+
+
+def test_ratio_prunes_lists_and_keeps_the_recall(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 8))
+    rows = [(i, (centres[rng.integers(0, 40)] * rng.uniform(0.5, 1.5) + 0.3 * rng.normal(size=8)).tolist()) for i in range(8000)]
+    index = ann.build_index(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), per_list=100)
+    sizes = [r["count"] for r in index.postings.groupBy("list").count().collect()]
+    assert len(sizes) > 70 and max(sizes) <= 2.5 * sum(sizes) / len(sizes)
+    assert 1 < index.ratio < 3 and index.beam < len(index.centroids)
+    got = {}
+    for r in ann.search(index, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = plain(rows, lambda i: i % 20 == 0)
+    assert sum(len(got[q] & {i for _, i in v}) for q, v in want.items()) >= 0.9 * 20 * len(want)
