@@ -8,10 +8,11 @@
    size. Pairs pass bounds on size, then the estimate from the signatures, then the exact test on full sets.
    Some bands go first; the others pair only what those have not already connected.
 4. Buckets that still hold several components are compared exhaustively: members outside the largest component,
-   in blocks of bounded size, against all members in chunks of bounded size, with the intersection sizes of a
-   block and a chunk from one matrix product. Only links that connect something new come out. So no link is lost
-   to the shortcut of step 3.
-5. Components by alternating large-star and small-star.
+   in blocks of bounded size, against all members in chunks of bounded size, by their signatures; what those leave
+   is confirmed on full sets. Buckets of one largest component go together where that is no more comparisons than
+   one by one: a document that shares many bands then travels once. Only links that connect something new come out.
+   So no link is lost to the shortcut of step 3.
+5. Components by alternating large-star and small-star, once over documents; links found later join components.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ BANDS = HASHES // ROWS
 FIRST_BANDS = 6
 #: Signatures that agree in fewer places belong to pairs more than six standard deviations below similarity 0.75.
 LEAST_AGREEMENT = 66
-BLOCK, CHUNK = 64, 256
+#: Documents of a block and of a chunk, and shingles of either.
+BLOCK, CHUNK, BLOCK_SHINGLES = 2048, 4096, 1 << 19
 WORDS_KEPT = 150_000
 MULTIPLIERS = np.random.default_rng(20_240_517).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SEED_BY_LENGTH, STEP, SPREAD = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFF51AFD7ED558CCD)
@@ -103,34 +105,33 @@ def _block_links(percent: int):
     """Links between the block (side 0) and the chunk (side 1) of a group that join different components."""
     def compare(pdf):
         left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        found_u, found_v = [], []
+        found_u, found_v, comp = [], [], {}
+
+        def root(x):
+            while comp.setdefault(x, x) != x:
+                comp[x] = comp[comp[x]]
+                x = comp[x]
+            return x
+
         if len(left) and len(right):
-            sets = [np.asarray(s) for s in [*left.shingles, *right.shingles]]
-            sizes = np.array([len(s) for s in sets])
-            values, place = np.unique(np.concatenate(sets), return_inverse=True)
-            owner = np.repeat(np.arange(len(sets)), sizes)
-            m = len(left)
-            common = np.zeros((m, len(sets) - m), np.float32)
-            for lo in range(0, len(values), 4096):  # bounded slices of the shingle space
-                here = (place >= lo) & (place < lo + 4096)
-                grid = np.zeros((len(sets), min(4096, len(values) - lo)), np.float32)
-                grid[owner[here], place[here] - lo] = 1
-                common += grid[:m] @ grid[m:].T
-            union = sizes[:m, None] + sizes[None, m:] - common
-            comp = {}
-
-            def root(x):
-                while comp.setdefault(x, x) != x:
-                    x = comp[x]
-                return x
-
-            ids_l, ids_r, c_l, c_r = (x.tolist() for x in (left.id, right.id, left.component, right.component))
-            for i, j in np.argwhere(100 * common >= percent * union).tolist():
-                a, b = root(c_l[i]), root(c_r[j])
-                if a != b:
-                    comp[a] = b
-                    found_u.append(ids_l[i])
-                    found_v.append(ids_r[j])
+            sig_l, sig_r = np.stack(left.sig.to_list()), np.ascontiguousarray(np.stack(right.sig.to_list()).T)
+            sets_l, sets_r = left.shingles.to_list(), right.shingles.to_list()
+            ids_l, ids_r, c_l, c_r = (x.to_numpy() for x in (left.id, right.id, left.component, right.component))
+            n_l, n_r = (np.array([len(x) for x in sets]) for sets in (sets_l, sets_r))
+            for i in range(len(sets_l)):
+                near = np.flatnonzero((c_r != c_l[i]) & (100 * np.minimum(n_l[i], n_r) >= percent * np.maximum(n_l[i], n_r)))
+                alike = np.zeros(len(near), np.int16)
+                for h in range(HASHES):
+                    alike += sig_r[h, near] == sig_l[i, h]
+                near = near[alike >= LEAST_AGREEMENT]
+                for j in near.tolist():
+                    a, b = root(int(c_l[i])), root(int(c_r[j]))
+                    if a != b:
+                        common = len(np.intersect1d(sets_l[i], sets_r[j], assume_unique=True))
+                        if 100 * common >= percent * (n_l[i] + n_r[j] - common):
+                            comp[a] = b
+                            found_u.append(ids_l[i])
+                            found_v.append(ids_r[j])
         return pdf.__class__({"u": np.array(found_u, np.int64), "v": np.array(found_v, np.int64)})
     return compare
 
@@ -157,9 +158,17 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         100 * shared >= percent * (F.size("set_u") + F.size("set_v") - shared)).select("u", "v")
 
 
-def _labelled(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    parts = connected_components(links).withColumnRenamed("node", "id")
-    return buckets.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+def _labelled(buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    return buckets.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """``parts`` (node, component) after more links: only components, as nodes of a small graph, are joined."""
+    u, v = (parts.select(F.col("node").alias(x), F.col("component").alias("c" + x)) for x in "uv")
+    met = links.join(u, "u", "left").join(v, "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+    into = durable(connected_components(met).select("node", F.col("component").alias("into")))
+    moved = parts.join(into.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    return durable(moved.union(into.join(parts.select("node"), "node", "left_anti").select("node", F.col("into").alias("component"))))
 
 
 def group_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -194,14 +203,14 @@ def group_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     sets = durable(texts.mapInArrow(_sets, "id bigint, d1 bigint, d2 bigint, shingles array<bigint>").join(
         source, ["id", "d1", "d2"]).select("id", "shingles", "sig").dropDuplicates(["id"]))
 
-    links = durable(_confirm(_pairs(buckets, F.col("band") < FIRST_BANDS, percent), sets, percent))
-    labelled = durable(_labelled(buckets, links))
-    more = _confirm(_pairs(labelled, F.lit(True), percent), sets, percent)
-    links = durable(links.union(more))
-    links = links.union(_rest(durable(_labelled(buckets, links)), sets, percent))
+    parts = durable(connected_components(durable(_confirm(_pairs(buckets, F.col("band") < FIRST_BANDS, percent), sets, percent))))
+    more = _confirm(_pairs(durable(_labelled(buckets, parts)), F.lit(True), percent), sets, percent)
+    parts = _joined(parts, durable(more))
+    parts = _joined(parts, durable(_rest(durable(_labelled(buckets, parts)), sets, percent)))
 
-    parts = connected_components(links.union(copies))
-    out = profiles.select("id", "n", "d1", "d2").join(parts, F.col("id") == F.col("node"), "left")
+    # A class's smallest id speaks for its copies; parts know only those.
+    spoken = copies.join(parts, F.col("v") == F.col("node"), "left").select(F.col("u").alias("node"), F.coalesce("component", "v").alias("component"))
+    out = profiles.select("id", "n", "d1", "d2").join(parts.union(spoken), F.col("id") == F.col("node"), "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").cast(docs.schema[doc_id].dataType).alias("doc_id"), F.col("n").alias("n_shingles"),
                       component.cast(docs.schema[doc_id].dataType).alias("component_id"),
@@ -213,21 +222,34 @@ def _rest(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     per = labelled.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("c"))
     open_ = per.groupBy("band", "key").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("m"), F.max(
         F.struct("c", "component")).alias("top")).filter("parts > 1 and m > 2").select("band", "key", F.col("top.component").alias("top"))
-    members = labelled.join(open_, ["band", "key"])
+    members = durable(labelled.join(open_, ["band", "key"]).select(
+        "band", "key", "id", "n", "component", "top", (F.col("component") != F.col("top")).cast("long").alias("out")))
+    # Either way compares all that meet in a bucket; the cheaper one is taken.
+    apart = members.groupBy("band", "key", "top").agg((F.sum("out") * F.count(F.lit(1))).cast("double").alias("c")).groupBy("top").agg(
+        F.sum("c").alias("apart"))
+    once = members.groupBy("top", "id").agg(F.max("n").alias("n"), F.max("component").alias("component"), F.max("out").alias("out"))
+    whole = once.groupBy("top").agg((F.sum("out") * F.count(F.lit(1))).cast("double").alias("whole")).join(apart, "top").filter(
+        "whole <= apart").select("top")
+    whole = durable(whole)
+    cols = ["band", "key", "id", "n", "component", "top"]
+    together = once.join(whole, "top", "left_semi").select(F.lit(-1).alias("band"), F.col("top").alias("key"), *cols[2:])
+    members = members.join(whole, "top", "left_anti").select(*cols)
     # The same members may share many bands: one bucket of each kind is enough.
     print_ = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(
         F.xxhash64("id", F.lit(1))).alias("y"))
     one = print_.groupBy("m", "x", "y").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key")
-    members = members.join(one, ["band", "key"], "left_semi").select("band", "key", "id", "component", "top")
+    members = durable(members.join(one, ["band", "key"], "left_semi").select(*cols).union(together))
 
     blocks = lambda share: F.greatest(F.lit(1), F.ceil(F.col(share)))
+    left = F.col("component") != F.col("top")
     sizes = members.groupBy("band", "key").agg(
-        (F.sum((F.col("component") != F.col("top")).cast("int")) / BLOCK).alias("left"), (F.count(F.lit(1)) / CHUNK).alias("right"))
+        F.greatest(F.sum(left.cast("int")) / BLOCK, F.sum(F.when(left, F.col("n"))) / BLOCK_SHINGLES).alias("left"),
+        F.greatest(F.count(F.lit(1)) / CHUNK, F.sum("n") / BLOCK_SHINGLES).alias("right"))
     sizes = sizes.select("band", "key", blocks("left").cast("int").alias("l"), blocks("right").cast("int").alias("r"))
     m = members.join(sizes, ["band", "key"]).withColumn("h", F.xxhash64("id", "band"))
     side0 = m.filter("component <> top").withColumn("i", F.pmod("h", "l")).withColumn("j", F.explode(F.expr("sequence(0, r - 1)")))
     side1 = m.withColumn("j", F.pmod("h", "r")).withColumn("i", F.explode(F.expr("sequence(0, l - 1)")))
     cols = ["band", "key", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "id", "component"]
     both = side0.select(*cols, F.lit(0).alias("side")).union(side1.select(*cols, F.lit(1).alias("side")))
-    return both.join(sets.select("id", "shingles"), "id").groupBy("band", "key", "i", "j").applyInPandas(
+    return both.join(sets, "id").groupBy("band", "key", "i", "j").applyInPandas(
         _block_links(percent), "u bigint, v bigint")
