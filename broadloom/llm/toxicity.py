@@ -2,8 +2,10 @@
 
 A document is the set of its distinct lower-cased words, hashed into a fixed number of buckets. The score is
 ``sigmoid(b + sum w_i + sum_{i<j} <v_i, v_j>)``: weights add up as in a linear model, and factors let two terms
-count together more than apart. It is trained on the driver on a bounded number of labelled documents (a
+count together more than apart. It is trained in one task on a bounded number of labelled documents (a
 parameter); every document is then scored whole where it lies.
+
+Terms take part that tell the labels apart, alone or in a pair with one of the terms nearest to doing so.
 """
 
 from __future__ import annotations
@@ -50,8 +52,9 @@ class FactorizationMachine:
     """Second-order machine on binary features; dense arrays over the buckets, float32."""
 
     def __init__(self, rank: int = 4, epochs: int = 40, rate: float = 0.2, l2: float = 1e-5, batch: int = 64,
-                 least_docs: int = 2, seed: int = 7):
+                 least_docs: int = 2, seed: int = 7, suspects: int = 4096, max_pairs: int = 8_000_000):
         self.rank, self.epochs, self.rate, self.l2, self.batch, self.least, self.seed = rank, epochs, rate, l2, batch, least_docs, seed
+        self.suspects, self.max_pairs = suspects, max_pairs
 
     def fit(self, rows: list[np.ndarray], y: np.ndarray) -> "FactorizationMachine":
         rng = np.random.default_rng(self.seed)
@@ -86,7 +89,55 @@ class FactorizationMachine:
         a, c = bad[tried], seen[tried].astype(np.float64)
         cells = ((a, c * p / n), (c - a, c * (n - p) / n), (p - a, (n - c) * p / n), (n - p - c + a, (n - c) * (n - p) / n))
         g = sum(2 * np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)), 0) for o, e in cells)
-        return tried[g >= 2 * np.log(max(len(tried), 2))]
+        alone = tried[g >= 2 * np.log(max(len(tried), 2))]
+        return np.union1d(alone, self._in_pairs(rows, y, seen, bad, tried[np.argsort(-g, kind="stable")[:self.suspects]]))
+
+    def _in_pairs(self, rows, y, seen, bad, suspects):
+        """Terms of pairs, one of them among ``suspects``, that go with label 1 more than the stronger term alone does.
+
+        Pairs are gathered from documents of label 1 until ``max_pairs`` of them are held; those met five times are
+        counted in all documents. A pair passes beyond what the best of as many pairs would reach by chance.
+        """
+        fit, suspect, gathered = seen >= self.least, np.zeros(BUCKETS, bool), []
+        suspect[suspects] = True
+
+        def pairs(r):
+            r = r[fit[r]].astype(np.int64)
+            a = r[suspect[r]]
+            low, high = np.minimum(a[:, None], r), np.maximum(a[:, None], r)
+            once = (a[:, None] != r) & ~(suspect[r] & (r < a[:, None]))
+            return low[once] * BUCKETS + high[once]
+
+        room = self.max_pairs
+        for r, label in zip(rows, y):
+            if label and int(fit[r].sum()) * int(suspect[r].sum()) <= room:
+                gathered.append(pairs(r))
+                room -= len(gathered[-1])
+        if not gathered:
+            return suspects[:0]
+        keys, met = np.unique(np.concatenate(gathered), return_counts=True)
+        gathered.clear()
+        keys = keys[met >= 5]
+        n, k = np.zeros(len(keys)), np.zeros(len(keys))
+        a, b = keys // BUCKETS, keys % BUCKETS
+        partners = np.zeros(BUCKETS, bool)
+        partners[a] = partners[b] = True
+        for r, label in zip(rows, y):
+            r = r[partners[r]].astype(np.int64)
+            few = r[suspect[r]]
+            for i in range(0, len(few), 64):  # a long document at a time would be too many
+                x = few[i:i + 64, None]
+                once = (x != r) & ~(suspect[r] & (r < x))
+                pair = np.minimum(x, r)[once] * BUCKETS + np.maximum(x, r)[once]
+                at = np.minimum(np.searchsorted(keys, pair), max(len(keys) - 1, 0))
+                hit = at[keys[at] == pair] if len(keys) else at[:0]
+                n[hit] += 1
+                k[hit] += label
+        p = np.maximum(np.maximum(bad[a] / seen[a], bad[b] / seen[b]), max(float(y.mean()), 1e-6))
+        p, n = np.minimum(p, 1 - 1e-6), np.maximum(n, 1)
+        g = 2 * (k * np.log(np.maximum(k, 1e-9) / (n * p)) + (n - k) * np.log(np.maximum(n - k, 1e-9) / (n * (1 - p))))
+        telling = (k > n * p) & (g >= 2 * np.log(max(int(met.size), 2)))
+        return np.union1d(a[telling], b[telling])
 
     def _step(self, rows, y, bias, w, v, gw, gv):
         sizes = np.array([len(r) for r in rows])
@@ -102,7 +153,7 @@ class FactorizationMachine:
         gw[used] += dw * dw
         gv[used] += dv * dv
         w[used] -= self.rate * dw / np.sqrt(gw[used])
-        v[used] -= self.rate * 0.3 * dv / np.sqrt(gv[used])
+        v[used] -= self.rate * dv / np.sqrt(gv[used])
         return bias - self.rate * 0.1 * err.mean()
 
     def _raw(self, idx, doc, n, bias, w, v):
@@ -123,7 +174,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None
                  label: str = "toxic", max_docs: int = 40_000, max_terms: int = 12_000_000, **params) -> FactorizationMachine:
     """Train on at most ``max_docs`` labelled documents (those of smallest hash of the id), taken whole.
 
-    ``learn`` is a condition on the labels' rows. ``max_terms`` bounds what the driver gathers: about 50 MB of
+    ``learn`` is a condition on the labels' rows. ``max_terms`` bounds what the fitting task gathers: about 50 MB of
     bucket numbers; the document that would exceed it and all after it (in hash order) are left out. NULL labels
     and ids are skipped. Without labels of both kinds the score is the share of label 1.
     """
@@ -140,9 +191,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None
     total = np.cumsum(sizes.column("n").to_numpy())
     if len(total) and total[-1] > max_terms:
         texts = texts.filter(F.col("h") < int(sizes.column("h").to_numpy()[np.searchsorted(total, max_terms, "right")]))
-    got = texts.limit(max_docs).toArrow().sort_by([("h", "ascending"), ("terms", "ascending")])
-    rows = [np.frombuffer(t, np.int32) for t in got.column("terms").to_pylist()]
-    return FactorizationMachine(**params).fit(rows, got.column("label").to_numpy().astype(np.float32))
+
+    def fit(pdf):
+        pdf = pdf.sort_values(["h", "terms"])
+        m = FactorizationMachine(**params).fit([np.frombuffer(t, np.int32) for t in pdf.terms], pdf.label.to_numpy().astype(np.float32))
+        return pdf.__class__({"bias": [m.bias], "place": [m.place.tobytes()], "w": [m.w.tobytes()], "v": [m.v.tobytes()]})
+
+    # One group of a bounded sample: its memory is a task's, not the driver's.
+    learnt = durable(texts.limit(max_docs).groupBy(F.lit(0)).applyInPandas(fit, "bias double, place binary, w binary, v binary")).first()
+    model = FactorizationMachine(**params)
+    if learnt is None:
+        return model.fit([], np.empty(0, np.float32))
+    model.bias, model.place = learnt["bias"], np.frombuffer(bytes(learnt["place"]), np.int32)
+    model.w = np.frombuffer(bytes(learnt["w"]), np.float32)
+    model.v = np.frombuffer(bytes(learnt["v"]), np.float32).reshape(-1, model.rank)
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: FactorizationMachine, text: str = "text", name: str = "toxicity") -> DataFrame:

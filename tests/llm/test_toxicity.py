@@ -64,3 +64,16 @@ def test_sample_bounds_hold(spark):
     finally:
         toxicity.FactorizationMachine = original
     assert seen[0][0] == 50 and seen[1][1] <= 500
+
+
+def test_rare_words_that_tell_only_together():
+    for insult, group, base in ((0.02, 0.3, 0.1), (0.02, 0.1, 0.2), (0.05, 0.05, 0.3)):
+        rng, rows, labels = np.random.default_rng(1), [], []
+        for _ in range(8000):
+            a, b = rng.random() < insult, rng.random() < group
+            words = [f"w{j}" for j in rng.zipf(1.3, 30) % 3000] + ["insult"] * a + ["group"] * b
+            rows.append(toxicity.terms(" ".join(words).encode()))
+            labels.append(float(a and b or rng.random() < base))
+        model = toxicity.FactorizationMachine().fit(rows, np.array(labels, np.float32))
+        both, one, other = model.score([toxicity.terms(t) for t in (b"insult group", b"insult", b"group")])
+        assert both > 0.6 and one < base + 0.15 and other < base + 0.15
