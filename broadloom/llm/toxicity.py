@@ -58,6 +58,7 @@ class FactorizationMachine:
 
     def fit(self, rows: list[np.ndarray], y: np.ndarray) -> "FactorizationMachine":
         rng = np.random.default_rng(self.seed)
+        self.learnt_from = len(rows), sum(map(len, rows))  # documents, terms
         seen = np.zeros(BUCKETS, np.int32)
         for r in rows:
             seen[r] += 1
@@ -195,14 +196,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None
     def fit(pdf):
         pdf = pdf.sort_values(["h", "terms"])
         m = FactorizationMachine(**params).fit([np.frombuffer(t, np.int32) for t in pdf.terms], pdf.label.to_numpy().astype(np.float32))
-        return pdf.__class__({"bias": [m.bias], "place": [m.place.tobytes()], "w": [m.w.tobytes()], "v": [m.v.tobytes()]})
+        return pdf.__class__({"docs": [m.learnt_from[0]], "terms": [m.learnt_from[1]], "bias": [m.bias], "place": [m.place.tobytes()], "w": [m.w.tobytes()], "v": [m.v.tobytes()]})
 
     # One group of a bounded sample: its memory is a task's, not the driver's.
-    learnt = durable(texts.limit(max_docs).groupBy(F.lit(0)).applyInPandas(fit, "bias double, place binary, w binary, v binary")).first()
+    learnt = durable(texts.limit(max_docs).groupBy().applyInPandas(
+        fit, "docs long, terms long, bias double, place binary, w binary, v binary")).first()
     model = FactorizationMachine(**params)
     if learnt is None:
         return model.fit([], np.empty(0, np.float32))
     model.bias, model.place = learnt["bias"], np.frombuffer(bytes(learnt["place"]), np.int32)
+    model.learnt_from = learnt["docs"], learnt["terms"]
     model.w = np.frombuffer(bytes(learnt["w"]), np.float32)
     model.v = np.frombuffer(bytes(learnt["v"]), np.float32).reshape(-1, model.rank)
     return model
