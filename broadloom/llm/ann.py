@@ -314,7 +314,7 @@ def search(index: Index, wanted: Column) -> DataFrame:
     asked = durable(index.members.filter(wanted).select(F.col("vec_id").alias("query_id"), "rid").distinct())
     queries = durable(index.entries.join(asked.select("rid").distinct(), "rid", "left_semi").select("rid", "v"))
     found = _waves(index, queries, index.ratio, index.beam)
-    if index.beam < len(index.centroids):
+    if index.ratio < float("inf"):
         # Small lists can leave a query with too few entries: it reads all lists then.
         full = found.groupBy("q").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > index.neighbours).select(F.col("q").alias("rid"))
         short = durable(queries.join(full, "rid", "left_anti"))
