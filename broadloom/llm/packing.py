@@ -44,11 +44,19 @@ def _idf(df: np.ndarray, n: int) -> np.ndarray:
     return np.log1p((n - df + 0.5) / (df + 0.5))
 
 
-def _leading_terms(term: np.ndarray, n: np.ndarray, df: np.ndarray, idf: np.ndarray) -> tuple[int, int]:
-    """The two ids of greatest tf-idf, tf by its logarithm, among those that other documents have too; -1 without any."""
+def _leading_terms(term: np.ndarray, n: np.ndarray, start: np.ndarray, df: np.ndarray, idf: np.ndarray) -> list[np.ndarray]:
+    """The two ids of greatest tf-idf of each document, tf by its logarithm, among those that other documents have too.
+
+    Documents begin at ``start`` and have an id at least; ties go to the smaller id; -1 where there is none.
+    """
     weight = np.where(df[term] > 1, (1 + np.log(n)) * idf[term], -1.0)
-    best = [int(term[k]) for k in np.argsort(-weight, kind="stable")[:2] if weight[k] >= 0]
-    return (*best, -1, -1)[:2]
+    sizes, out = np.diff(start, append=len(term)), []
+    for _ in range(2):
+        best = np.maximum.reduceat(weight, start)
+        first = np.minimum.reduceat(np.where(weight == np.repeat(best, sizes), np.arange(len(term)), len(term)), start)
+        out.append(np.where(best >= 0, term[first].astype(np.int32), -1))
+        weight[first] = -1.0
+    return out
 
 
 def _sketch(ids: np.ndarray) -> int:
@@ -59,12 +67,27 @@ def _sketch(ids: np.ndarray) -> int:
     return int((h ^ (h >> np.uint64(29))).min() >> np.uint64(1))
 
 
+def _texts(batches, rows: int = 8192, size: int = 8 << 20):
+    """(ids, texts) of up to ``rows`` rows and, beyond the first, ``size`` bytes."""
+    ids, texts, held = [], [], 0
+    for batch in slices(batches):
+        for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            if texts and (len(texts) == rows or held + len(text or b"") > size):
+                yield ids, texts
+                ids, texts, held = [], [], 0
+            ids.append(i)
+            texts.append(text)
+            held += len(text or b"")
+    if texts:
+        yield ids, texts
+
+
 def _encode(path: str, end: int, window: int, with_ids: bool, batches):
     encoder = worker_state("bpe:" + path, lambda: Encoder(path))
-    for batch in slices(batches):
+    for doc_ids, texts in _texts(batches):
+        every, stop = encoder.encode(texts, end)
         out = {"total": [], "crcs": [], "ids": [], "terms": [], "counts": [], "sketch": []}
-        for text in batch.column("text").to_pylist():
-            ids = np.frombuffer(encoder.encode(text or b"") + np.array([end], "<u2").tobytes(), "<u2")
+        for ids in np.split(every, stop[:-1]):
             whole = len(ids) // window * window
             out["total"].append(len(ids))
             out["crcs"].append([crc_of(ids[i:i + window]) for i in range(0, whole, window)])
@@ -73,7 +96,7 @@ def _encode(path: str, end: int, window: int, with_ids: bool, batches):
             out["terms"].append(term.tobytes())
             out["counts"].append(n.astype("<u4").tobytes())
             out["sketch"].append(_sketch(ids))
-        yield pa.record_batch([batch.column("doc_id"), pa.array(out["total"], pa.int64()), pa.array(out["crcs"], pa.list_(pa.int64())),
+        yield pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(out["total"], pa.int64()), pa.array(out["crcs"], pa.list_(pa.int64())),
                                pa.array(out["ids"], pa.binary()), pa.array(out["terms"], pa.binary()), pa.array(out["counts"], pa.binary()),
                                pa.array(out["sketch"], pa.int64())], names=["doc_id", "total", "crcs", "ids", "terms", "counts", "sketch"])
 
@@ -93,10 +116,10 @@ def _count_terms(batches):
 def _lead(sent, batches):
     df, idf, _ = sent.value
     for batch in slices(batches):
-        lead = [_leading_terms(np.frombuffer(t, "<u2"), np.frombuffer(n, "<u4"), df, idf)
-                for t, n in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist())]
-        yield pa.record_batch([*batch.columns, pa.array([x[0] for x in lead], pa.int32()), pa.array([x[1] for x in lead], pa.int32())],
-                              names=[*batch.schema.names, "term", "next"])
+        terms = batch.column("terms").to_pylist()
+        start = np.cumsum([0, *(len(t) // 2 for t in terms[:-1])])
+        lead = _leading_terms(np.frombuffer(b"".join(terms), "<u2"), np.frombuffer(b"".join(batch.column("counts").to_pylist()), "<u4"), start, df, idf)
+        yield pa.record_batch([*batch.columns, *(pa.array(x, pa.int32()) for x in lead)], names=[*batch.schema.names, "term", "next"])
 
 
 @dataclass
@@ -142,6 +165,15 @@ class Index:
         at = np.arange(n.sum()) + np.repeat(self.first[t] - np.cumsum(n) + n, n)
         return np.bincount(self.doc[at], self.weight[at], self.n)
 
+    def keep(self, tails: np.ndarray) -> None:
+        """Only postings of these tails (a mask) stay: scores of the others are 0 from now on."""
+        stays = tails[self.doc]
+        before = np.concatenate(([0], np.cumsum(stays)))
+        after = np.append(self.first[1:], len(stays))
+        n = before[after] - before[self.first]
+        self.first, self.df = before[self.first], np.where(n > 0, n, 0)
+        self.doc, self.weight = self.doc[stays], self.weight[stays]
+
 
 def fill_windows(tails: list[np.ndarray], window: int, corpus: Corpus | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of (tail, start in the tail, length): each tail's ids exactly once, all sequences full but the last."""
@@ -151,6 +183,7 @@ def fill_windows(tails: list[np.ndarray], window: int, corpus: Corpus | None = N
     if not left.sum():
         return out
     index = Index(tails, corpus)
+    indexed = len(tails)
     for seed in np.argsort(-left, kind="stable").tolist():
         while left[seed]:
             take = int(min(left[seed], window))
@@ -158,8 +191,11 @@ def fill_windows(tails: list[np.ndarray], window: int, corpus: Corpus | None = N
             done[seed] += take
             left[seed] -= take
             if room and left.any():
-                order = np.argsort(-index.scores(seed), kind="stable")
-                order = order[left[order] > 0]
+                order = np.flatnonzero(left)
+                if 4 * len(order) < 3 * indexed:  # postings of used tails go
+                    index.keep(left > 0)
+                    indexed = len(order)
+                order = order[np.argsort(-index.scores(seed)[order], kind="stable")]
                 while room and len(order):
                     fits = np.flatnonzero(left[order] <= room)
                     at = fits[0] if len(fits) else 0
@@ -175,27 +211,29 @@ def fill_windows(tails: list[np.ndarray], window: int, corpus: Corpus | None = N
 
 
 def _pack(window: int, with_ids: bool, sent, batches):
-    """One shard: the rows of one partition, about ``shard_docs`` of them, each at most one window of ids."""
-    shard = TaskContext.get().partitionId() << 32
-    docs = [r for b in batches for r in b.to_pylist()]
-    rows, number = [], shard
-    tails, wholes = [], []
-    for d in docs:
-        ids = np.frombuffer(d["ids"], "<u2")
-        whole = len(d["crcs"]) * window
+    """One shard: the rows of one partition, about ``shard_docs`` of them, with a tail each or, ``with_ids``, all their ids."""
+    number = TaskContext.get().partitionId() << 32
+    held = list(batches)
+    if not sum(b.num_rows for b in held):
+        return
+    held = pa.Table.from_batches(held)
+    doc_ids, totals, crcs, packed, terms, counts = (held.column(c).to_pylist() for c in ["doc_id", "total", "crcs", "ids", "terms", "counts"])
+    rows, tails, wholes = [], [], []
+    for doc, total, known, ids in zip(doc_ids, totals, crcs, packed):
+        ids = np.frombuffer(ids, "<u2")
+        whole = len(known) * window
         wholes.append(whole)
         tails.append(ids[whole:] if with_ids else ids)
-        for i, crc in enumerate(d["crcs"]):
-            rows.append((d["doc_id"], i * window, window, crc, d["total"], number, 0, ids[i * window:(i + 1) * window]))
+        for i, crc in enumerate(known):
+            rows.append((doc, i * window, window, crc, total, number, 0, ids[i * window:(i + 1) * window]))
             number += 1
     _, idf, mean = sent.value
-    corpus = Corpus([np.frombuffer(d["terms"], "<u2") for d in docs], [np.frombuffer(d["counts"], "<u4") for d in docs],
-                    np.array([d["total"] for d in docs], float), idf, mean)
+    corpus = Corpus([np.frombuffer(t, "<u2") for t in terms], [np.frombuffer(n, "<u4") for n in counts], np.array(totals, float), idf, mean)
     for sequence in fill_windows(tails, window, corpus):
         offset = 0
         for k, start, length in sequence:
             ids = tails[k][start:start + length]
-            rows.append((docs[k]["doc_id"], wholes[k] + start, length, crc_of(ids), docs[k]["total"], number, offset, ids))
+            rows.append((doc_ids[k], wholes[k] + start, length, crc_of(ids), totals[k], number, offset, ids))
             offset += length
         number += 1
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

@@ -19,12 +19,16 @@ def tokenizer():
     return Tokenizer.from_file(PATH)
 
 
-def test_remembered_pieces_give_the_tokenizer_s_ids(tokenizer):
+def test_distinct_pieces_give_the_tokenizer_s_ids(tokenizer):
     encoder, rng = bpe.Encoder(PATH), random.Random(4)
     alphabet = ["word", "Wörd", "x1", "'s", "don't", ".", ",", " ", "  ", "\n", "\t", "漢", " ", "é", "12", "!?", "\r\n", "🙂"]
     texts = [t or "" for t in TEXTS] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(3000)]
-    for t in texts:
-        assert np.frombuffer(encoder.encode(t.encode()), "<u2").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+    for few in (texts, texts[:1], texts[2:3], [" "], []):
+        ids, stop = encoder.encode([t.encode() for t in few], 7)
+        assert len(stop) == len(few) and len(ids) == (stop[-1] if few else 0)
+        for t, got in zip(few, np.split(ids, stop[:-1])):
+            assert got.tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 7], repr(t)
+    assert encoder.encode([None, b"\xff a"], 7)[0].tolist() == [7, *tokenizer.encode("\ufffd a", add_special_tokens=False).ids, 7]
 
 
 def verify(rows, docs, tokenizer):
