@@ -1,6 +1,8 @@
 """Trees grown level by level from histograms of binned columns.
 
-Columns are cut into bins once and written beside target and key. A level of all trees under way is one pass: tasks
+Columns are cut into bins once and written beside target and key; where only sums over rows matter (squared loss, every
+row in every tree), rows with the same bins are one row with their number, so that passes do not grow with the table but
+with the bins that occur together. A level of all trees under way is one pass: tasks
 add up the gradient and the count of their rows per (node, column, bin), the cells are added on the executors, and the
 driver reads the splits off them, so its work depends on nodes, columns and bins but not on rows. On top of it: extra
 trees (one random threshold per node and column) and gradient boosting with squared or Huber loss that can stop on the
@@ -65,20 +67,46 @@ def find_bins(df: DataFrame, cols, most: int = 64) -> Bins:
     return Bins(list(cols), [np.unique(np.array(v or [0.0], float)) for v in values])
 
 
-def binned(df: DataFrame, bins: Bins, y: str, key: str, group=None) -> DataFrame:
+def binned(df: DataFrame, bins: Bins, y: str, key: str, group=None, alike: bool = False) -> DataFrame:
     """(h, y, grp, f, bins): hashed key, target, 0 for rows to learn from and 1 for validation, score so far, a byte per
-    column. NULL and NaN fall into the last bin; rows without a target are left out."""
+    column. NULL and NaN fall into the last bin; rows without a target are left out.
+
+    ``alike``: rows of a group with equal bins are one, ``y`` the mean of their targets, ``w`` their number and ``q`` the
+    squares around that mean."""
     cuts, width = bins.cuts, len(bins.cols)
 
     @F.arrow_udf("binary")
     def to_bins(x: pa.Array) -> pa.Array:
         x = batch_matrix(x, width)
         out = np.stack([np.searchsorted(c, x[:, j]) for j, c in enumerate(cuts)], 1).astype(np.uint8)
-        return pa.array([r.tobytes() for r in out], pa.binary())
+        ends = np.arange(0, out.size + 1, width, dtype=np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(out), [None, pa.py_buffer(ends), pa.py_buffer(out.tobytes())])
 
     group = F.lit(0) if group is None else F.coalesce(group.cast("int"), F.lit(0))
-    return durable(df.filter(F.col(y).isNotNull()).select(
-        F.xxhash64(key).alias("h"), F.col(y).cast("double").alias("y"), group.alias("grp"), F.lit(0.0).alias("f"), to_bins(_features(bins.cols)).alias("bins")))
+    rows = df.filter(F.col(y).isNotNull()).select(
+        F.xxhash64(key).alias("h"), F.col(y).cast("double").alias("y"), group.alias("grp"), F.lit(0.0).alias("f"), to_bins(_features(bins.cols)).alias("bins"))
+    if alike:
+        n = F.count(F.lit(1)).cast("double")
+        rows = rows.groupBy("grp", "bins").agg(F.avg("y").alias("y"), n.alias("w"), (F.var_pop("y") * n).alias("q")).withColumn("f", F.lit(0.0))
+    return durable(rows)
+
+
+def _bytes(column, rows: int) -> np.ndarray:
+    """(rows, columns) of the bins, a view of Arrow's buffer."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + rows + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0]:ends[-1]].reshape(rows, -1)
+
+
+def _places(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with equal bins as one: the first of each, and which of these every row is."""
+    sizes = b.max(axis=0).astype(np.int64) + 1
+    if np.log2(sizes.astype(float)).sum() >= 62:
+        return np.arange(len(b)), np.arange(len(b))
+    code = np.zeros(len(b), np.int64)
+    for j, size in enumerate(sizes):
+        code = code * size + b[:, j]
+    _, first, place = np.unique(code, return_index=True, return_inverse=True)
+    return first, place
 
 
 def _uniform(h: np.ndarray, seed: int) -> np.ndarray:
@@ -99,15 +127,24 @@ class _State:
     clip: float = np.inf  # of the gradient: the joint of Huber's loss
 
     def rows(self, batch):
-        """(bins, learning rows' mask, residuals, targets)"""
-        b = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-        y, f = batch.column("y").to_numpy(), batch.column("f").to_numpy().copy()
+        """(different bins, which of them each row has, learning rows' mask, residuals, targets)"""
+        b = _bytes(batch.column("bins"), batch.num_rows)
+        first, place = _places(b)
+        b = b[first]
+        y, f = batch.column("y").to_numpy(), batch.column("f").to_numpy()
         for trees, step in self.done:
-            f += step * trees.value[trees.leaves(b)].sum(1)
+            f = f + (step * trees.value[trees.leaves(b)].sum(1))[place]
         learn = batch.column("grp").to_numpy() == 0
         if self.subsample < 1:
             learn = learn & (_uniform(batch.column("h").to_numpy(), self.seed) < self.subsample)
-        return b, learn, y - self.base - f, y
+        return b, place, learn, y - self.base - f, y
+
+
+def _numbers(batch):
+    """(number of rows, squares around their mean) of each row; (1, 0) unless rows alike are one."""
+    if "w" not in batch.schema.names:
+        return np.ones(batch.num_rows), np.zeros(batch.num_rows)
+    return batch.column("w").to_numpy(), batch.column("q").to_numpy()
 
 
 def _histograms(sent, batches):
@@ -119,19 +156,21 @@ def _histograms(sent, batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        b, learn, r, y = state.rows(batch)
+        b, place, learn, r, y = state.rows(batch)
+        w, q = _numbers(batch)
         if judged:
             held = batch.column("grp").to_numpy() == 1
-            off = y[held] - state.base
-            score += (held.sum(), off.sum(), (off * off).sum(), (r[held] ** 2).sum())
-        b, r = b[learn], np.clip(r[learn], -state.clip, state.clip)
+            off, many = y[held] - state.base, w[held]
+            score += (many.sum(), (many * off).sum(), (many * off * off + q[held]).sum(), (many * r[held] ** 2 + q[held]).sum())
+        r, place, w = w[learn] * np.clip(r[learn], -state.clip, state.clip), place[learn], w[learn]
+        rs, ws = np.bincount(place, r, len(b)), np.bincount(place, w, len(b))
         where = slot[growing.leaves(b)]
         for t in range(where.shape[1]):
-            mine = np.flatnonzero(where[:, t] >= 0)
+            mine = np.flatnonzero((where[:, t] >= 0) & (ws > 0))
             for j in range(b.shape[1]):
                 cell = where[mine, t] * int(starts[j + 1] - starts[j]) + b[mine, j]
-                g[j] += np.bincount(cell, r[mine], len(g[j]))
-                n[j] += np.bincount(cell, minlength=len(n[j]))
+                g[j] += np.bincount(cell, rs[mine], len(g[j]))
+                n[j] += np.bincount(cell, ws[mine], len(n[j]))
     cells, gs, ns = [], [], []
     for j in range(len(g)):
         width = int(starts[j + 1] - starts[j])
@@ -268,8 +307,8 @@ def extra_trees(df: DataFrame, cols, y: str, key: str, trees: int = 10, max_dept
     fewer than ``min_split`` rows. ``max_depth`` bounds what the driver holds.
     """
     found = find_bins(df.filter(F.col(y).isNotNull()), cols, bins)
-    rows = binned(df, found, y, key)
-    base = rows.agg(F.avg("y")).first()[0] or 0.0
+    rows = binned(df, found, y, key, alike=True)
+    base = rows.agg(F.try_divide(F.sum(F.col("w") * F.col("y")), F.sum("w"))).first()[0] or 0.0
     growth = _Growth(found, trees, max_depth, min_leaf, min_split, seed, True, share)
     _grow(rows, growth, _State([], base, 1.0, seed))
     return FlatModel(found.raw(growth.flat()), np.full(trees, 1 / trees), list(cols), base, info={"gain": growth.gain})
@@ -281,9 +320,8 @@ def _advance(sent, batches):
     state = sent.value
     for batch in batches:
         if batch.num_rows:
-            _, _, r, y = state.rows(batch)
-            yield pa.record_batch([batch.column("h"), batch.column("y"), batch.column("grp"), pa.array(y - state.base - r), batch.column("bins")],
-                                  names=["h", "y", "grp", "f", "bins"])
+            *_, r, y = state.rows(batch)
+            yield batch.set_column(batch.schema.get_field_index("f"), "f", pa.array(y - state.base - r))
 
 
 def _residuals(sent, batches):
@@ -291,8 +329,8 @@ def _residuals(sent, batches):
     state, trees = sent.value
     for batch in batches:
         if batch.num_rows:
-            b, learn, r, _ = state.rows(batch)
-            yield pa.record_batch([pa.array(trees.leaves(b[learn])[:, 0].astype(np.int32)), pa.array(r[learn])], names=["leaf", "r"])
+            b, place, learn, r, _ = state.rows(batch)
+            yield pa.record_batch([pa.array(trees.leaves(b)[place[learn], 0].astype(np.int32)), pa.array(r[learn])], names=["leaf", "r"])
 
 
 def _huber_leaves(rows, growth, state, sent_state) -> None:
@@ -318,14 +356,17 @@ def boost(df: DataFrame, cols, y: str, key: str, rounds: int = 100, step: float
 
     ``huber``: gradients are clipped at the ``alpha`` quantile of the absolute residuals of the round, leaves take their
     median plus the clipped mean beyond it; quantiles are mergeable sketches, exact up to 100 000 rows a leaf.
+    With squared loss and without ``subsample`` rows with equal bins are one row with their number.
     ``subsample`` rows by hash of key and round, ``share`` columns per node. A round is ``max_depth`` passes, three more
     for ``huber``; every ``rewrite_every`` rounds the scores so far are written, so that a pass walks few trees.
     """
     held = F.col(validation) if validation else None
     learning = df.filter(F.col(y).isNotNull() & (~F.coalesce(held, F.lit(False)) if validation else F.lit(True)))
     found = find_bins(learning, cols, bins)
-    rows = binned(df, found, y, key, held)
-    centre = F.percentile_approx("y", 0.5, 100_000) if loss == "huber" else F.avg("y")
+    alike = loss == "squared" and subsample >= 1
+    rows = binned(df, found, y, key, held, alike)
+    mean = F.try_divide(F.sum(F.col("w") * F.col("y")), F.sum("w")) if alike else F.avg("y")
+    centre = F.percentile_approx("y", 0.5, 100_000) if loss == "huber" else mean
     base = rows.filter("grp = 0").agg(centre).first()[0] or 0.0
     sc, kept, gain, done, curve = rows.sparkSession.sparkContext, [], np.zeros(len(found.cols)), [], []
     best, stop = -1, rounds - 1
@@ -358,7 +399,7 @@ def boost(df: DataFrame, cols, y: str, key: str, rounds: int = 100, step: float
         gain += growth.gain
         done = [*done, (kept[-1], step)]
         if len(done) >= rewrite_every and r + 1 < rounds:
-            rows = durable(rows.mapInArrow(partial(_advance, sc.broadcast(_State(done, base, 1.0, 0))), "h bigint, y double, grp int, f double, bins binary"))
+            rows = durable(rows.mapInArrow(partial(_advance, sc.broadcast(_State(done, base, 1.0, 0))), rows.schema))
             done = []
     size = best + 1 if validation and best >= 0 else len(kept)
     info = {"curve": curve, "best_round": best, "stop_round": stop, "rounds": size, "gain": gain}

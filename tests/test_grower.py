@@ -120,3 +120,14 @@ def test_nulls_few_rows_and_constants(spark):
         assert len(fit(odd).transform(odd).collect()) == 4
         none = odd.filter("id > 9")
         assert fit(none).transform(odd).filter("pred = 0").count() == 4
+
+
+def test_rows_with_equal_bins_are_one_row(df, rows):
+    many = df.select("a", "b", "y", "id", (F.col("fold") == 0).alias("judge")).unionByName(
+        df.select("a", "b", "y", (F.col("id") + 900).alias("id"), (F.col("fold") == 0).alias("judge")))
+    bins = G.find_bins(many, ["a", "b"])
+    alike = G.binned(many, bins, "y", "id", F.col("judge"), alike=True)
+    assert alike.count() == 20 and alike.agg(F.sum("w")).first()[0] == 1800  # 10 pairs of values, learning and judging
+    one, two = (G.boost(d, ["a", "b"], "y", "id", rounds=6, step=0.5, max_depth=2, validation="judge", min_leaf=m)
+                for d, m in ((many.filter("id < 900"), 1), (many, 2)))
+    assert np.allclose(one.info["curve"], two.info["curve"]) and np.allclose(one.trees.value, two.trees.value)
