@@ -102,9 +102,11 @@ class AdaBoostModel:
 
 def adaboost_r2(df, cols, y, key: str, rounds: int = 300, learning_rate: float = 0.01, max_depth: int = 5,
                 seed: int = 1337, cut_every: int = 5) -> AdaBoostModel:
-    """AdaBoost.R2 with linear loss and weighted tree fits. Table and row weights are
+    """AdaBoost.R2 with linear loss and weighted tree fits. Rows equal in columns and target have the same weight in every
+    round: they are one row with their number as first weight. Table and row weights are
     written to the scratch folder at the start and every few rounds, which keeps the plan short."""
-    work = durable(assemble(df, cols, y).select(key, "label", "features").withColumn("w", F.lit(1.0)))
+    alike = df.groupBy(*cols, y).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    work = durable(assemble(alike, cols, y).select("label", "features", "w"))
     models, weights = [], []
     for r in range(rounds):
         fitted = DecisionTreeRegressor(maxDepth=max_depth, seed=seed + r, weightCol="w", predictionCol="__p").fit(work)

@@ -131,3 +131,13 @@ def test_rows_with_equal_bins_are_one_row(df, rows):
     one, two = (G.boost(d, ["a", "b"], "y", "id", rounds=6, step=0.5, max_depth=2, validation="judge", min_leaf=m)
                 for d, m in ((many.filter("id < 900"), 1), (many, 2)))
     assert np.allclose(one.info["curve"], two.info["curve"]) and np.allclose(one.trees.value, two.trees.value)
+
+
+def test_adaboost_reads_rows_that_repeat_once(df, monkeypatch):
+    twice, seen = df.select("id", *COLS, "y").unionByName(df.select("id", *COLS, "y")), []
+    kept = T.durable
+    monkeypatch.setattr(T, "durable", lambda d: seen.append(kept(d)) or seen[-1])
+    got = T.adaboost_r2(twice, COLS, "y", "id", rounds=2, learning_rate=1.0)
+    assert seen[0].count() == 900 and seen[0].agg(F.sum("w")).first()[0] == 1800
+    want = T.adaboost_r2(df, COLS, "y", "id", rounds=2, learning_rate=1.0)
+    assert np.allclose(got.weights, want.weights)
