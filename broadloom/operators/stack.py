@@ -267,8 +267,6 @@ def nested_registry(train: DataFrame, test: DataFrame, y: str, key: str, k: int,
         key, own.alias("fold"), F.col(y).cast("double").alias("y"), F.explode(F.array(*rows)).alias("r")).select(key, "fold", "y", "r.*")
     matrix = durable(matrix)
     learn, held = matrix.filter("outer <> fold"), matrix.filter("outer = fold")
-    rows = [F.struct(F.lit(f).alias("outer"), *features(f, None)) for f in range(k)]
-    probe = _all_predictions(test, [fitted[w] for w in wanted]).select(key, F.explode(F.array(*rows)).alias("r")).select(key, "r.*")
 
     models = {}
     linear = [m for m in metas if m in GRAM_LEARNERS]
@@ -292,5 +290,20 @@ def nested_registry(train: DataFrame, test: DataFrame, y: str, key: str, k: int,
         return reduce(DataFrame.unionByName, parts)
 
     oof = scored(held, [key, "fold", "y"])
-    preds = scored(probe, [key]).groupBy(key, "model").agg(F.avg("pred").alias("pred"))
+    # A test row keeps its scores of all outer folds beside each other: rows are neither multiplied nor read once per model.
+    probe = _all_predictions(test, [fitted[w] for w in wanted]).select(key, *[F.struct(*features(f, None)).alias(f"__r{f}") for f in range(k)])
+    for f in range(k):
+        probe = probe.select(*[c for c in probe.columns if c not in names], f"__r{f}.*")
+        if linear:
+            probe = _all_predictions(probe, [models[m][f] for m in linear], f"__l{f}")
+        for i, m in enumerate(metas):
+            if m not in GRAM_LEARNERS:
+                probe = models[m][f].transform(probe, f"__p{i}_{f}")
+    score = lambda i, m, f: F.element_at(f"__l{f}", linear.index(m) + 1) if m in linear else F.col(f"__p{i}_{f}")
+    probe = probe.select(key, *[F.array(*[score(i, m, f) for f in range(k)]).alias(f"__p{i}") for i, m in enumerate(metas)])
+    there = [F.filter(f"__p{i}", lambda p: p.isNotNull()) for i in range(len(metas))]
+    sums = [F.aggregate(t, F.lit(0.0), lambda a, p: a + p) for t in there]
+    probe = probe.groupBy(key).agg(*[F.sum(s).alias(f"s{i}") for i, s in enumerate(sums)], *[F.sum(F.size(t)).alias(f"n{i}") for i, t in enumerate(there)])
+    preds = probe.select(key, F.explode(F.array(*[
+        F.struct(F.lit(m).alias("model"), F.try_divide(f"s{i}", f"n{i}").alias("pred")) for i, m in enumerate(metas)])).alias("p")).select(key, "p.*")
     return oof, preds, fold_report(oof, "y", "pred", "fold", ("model",))

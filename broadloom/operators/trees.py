@@ -139,13 +139,31 @@ class BaggedModel:
         return FlatModel(joined([from_ml(m.model) for m in self.models]), share, self.models[0].cols).transform(df, out)
 
 
-def bagged_trees(df, cols, y, key: str, bags: int = 10, max_depth: int = 4, seed: int = 1) -> BaggedModel:
-    """Trees on Poisson bootstrap weights that depend on the key only."""
-    def bag(b):
-        weighted = with_poisson_weight(df, key, b, seed).filter("w > 0")
-        return tree(weighted, cols, y, max_depth, weight="w", seed=seed + b)
+def bag_sums(df, cols, y, key: str, bags: int, seed: int) -> DataFrame:
+    """__x0, __x1, ... (the columns), and per bag __w<b>, __s<b>: weight and weighted target of the rows equal in
+    columns, by Poisson bootstrap weights that depend on the key only. Splits and leaves ask for no more, so all bags take
+    one pass over the rows and fits read what this leaves of them."""
+    target = F.coalesce(F.col(y).cast("double"), F.lit(float("nan")))  # a missing target stays an error of the fit
+    data = df.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__x{i}") for i, c in enumerate(cols)], target.alias("__y"))
+    for b in range(bags):
+        data = with_poisson_weight(data, "__key", b, seed, f"__w{b}")
+    in_bag = lambda b: F.when(F.col(f"__w{b}") > 0, F.col(f"__w{b}") * F.col("__y"))
+    return durable(data.groupBy(*[f"__x{i}" for i in range(len(cols))]).agg(
+        *[F.sum(f"__w{b}").alias(f"__w{b}") for b in range(bags)], *[F.sum(in_bag(b)).alias(f"__s{b}") for b in range(bags)]))
+
+
+def one_bag(sums: DataFrame, cols, b: int) -> DataFrame:
+    """The columns under their names, the mean target ``__y`` and the weight ``w`` of a bag."""
+    return sums.filter(F.col(f"__w{b}") > 0).select(
+        *[F.col(f"__x{i}").alias(c) for i, c in enumerate(cols)], (F.col(f"__s{b}") / F.col(f"__w{b}")).alias("__y"), F.col(f"__w{b}").alias("w"))
 
-    return BaggedModel(side_by_side([lambda b=b: bag(b) for b in range(bags)]))
+
+def bagged_trees(df, cols, y, key: str, bags: int = 10, max_depth: int = 4, seed: int = 1) -> BaggedModel:
+    """Trees on Poisson bootstrap weights that depend on the key only, grown from one pass over the rows."""
+    cols = list(cols)
+    sums = bag_sums(df, cols, y, key, bags, seed)
+    return BaggedModel(side_by_side([
+        lambda b=b: tree(one_bag(sums, cols, b), cols, "__y", max_depth, weight="w", seed=seed + b) for b in range(bags)]))
 
 
 # ---- isolation forest ---------------------------------------------------------------------------------------

@@ -133,6 +133,17 @@ def test_rows_with_equal_bins_are_one_row(df, rows):
     assert np.allclose(one.info["curve"], two.info["curve"]) and np.allclose(one.trees.value, two.trees.value)
 
 
+def test_bags_read_rows_that_repeat_once(df):
+    twice = df.select("id", "a", "b", "y").unionByName(df.select("id", "a", "b", "y"))
+    sums = T.bag_sums(twice, ["a", "b"], "y", "id", 2, 1)
+    assert sums.count() == 10
+    weighted = T.with_poisson_weight(twice, "id", 1, 1).filter("w > 0")
+    want = T.tree(weighted, ["a", "b"], "y", 3, weight="w", seed=2)
+    got = T.bagged_trees(twice, ["a", "b"], "y", "id", bags=2, max_depth=3).models[1]
+    both = got.transform(want.transform(df, "want"), "got")
+    assert both.agg(F.max(F.abs(F.col("want") - F.col("got")))).first()[0] < 1e-9
+
+
 def test_adaboost_reads_rows_that_repeat_once(df, monkeypatch):
     twice, seen = df.select("id", *COLS, "y").unionByName(df.select("id", *COLS, "y")), []
     kept = T.durable
