@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 MAX_FEATURES = 5_000
 SQL_FEATURES = 5           # up to here plain SQL sums stay inside generated code
@@ -161,13 +161,14 @@ def gram_frame(df: DataFrame, cols: list[str], fold: str | None = None, centred:
 
 
 def gram(df: DataFrame, cols: list[str], y: str | None = None, fold: str | None = None) -> Gram:
-    """Cross products of scalar columns, per fold; rows with a NULL in one of them are left out."""
+    """Cross products of scalar columns, per fold; rows with a NULL in one of them are left out. ``fold`` may be an array:
+    a row counts in each of its folds."""
     names = list(cols) + ([y] if y else [])
     clean = df.na.drop(subset=names)
     array = F.array(*[F.col(c).cast("double") for c in names]).alias("x")
     if len(names) > MAX_FEATURES:
         raise ValueError(f"{len(names)} columns: a p x p matrix of that size does not belong on one machine")
-    if len(names) <= SQL_FEATURES:
+    if len(names) <= SQL_FEATURES and not (fold and isinstance(df.schema[fold].dataType, T.ArrayType)):
         q = len(names)
         folds: dict[int, list] = {}
         for r in gram_frame(df, names, fold, centred=True).collect():
@@ -179,7 +180,7 @@ def gram(df: DataFrame, cols: list[str], y: str | None = None, fold: str | None
             else:
                 block[2][r["i"], r["j"]] = block[2][r["j"], r["i"]] = r["value"]
         return around(names, {k: tuple(v) for k, v in folds.items()})
-    return gram_array(clean.select(array, *([F.col(fold).cast("int").alias("fold")] if fold else [])),
+    return gram_array(clean.select(array, *([F.col(fold).alias("fold")] if fold else [])),
                       "x", len(names), "fold" if fold else None, names)
 
 
@@ -188,8 +189,9 @@ def gram_array(df: DataFrame, features: str, width: int, fold: str | None = None
     """Cross products of one array column: a matrix product per Arrow batch, one block of count, means and centred
     products per task and fold, blocks merged pair by pair on the executors. Centred blocks lose nothing where a spread
     is small beside the values, and need no look at the data beforehand. NULL arrays, arrays of another width and those
-    that hold a NULL are left out."""
-    f = F.col(fold).cast("int") if fold else F.lit(0)
+    that hold a NULL are left out. ``fold`` may be an array of one length: a row counts in each of its folds."""
+    several = bool(fold) and isinstance(df.schema[fold].dataType, T.ArrayType)
+    f = F.col(fold).cast("array<int>" if several else "int") if fold else F.lit(0)
     data = df.select(f.alias("fold"), F.col(features).cast("array<double>").alias("x")).filter(
         F.col("x").isNotNull() & (F.size("x") == width) & F.forall("x", lambda v: v.isNotNull()))
 
@@ -199,12 +201,14 @@ def gram_array(df: DataFrame, features: str, width: int, fold: str | None = None
             if b.num_rows == 0:
                 continue
             x = batch_matrix(b.column("x"), width)
-            fo = b.column("fold").to_numpy(zero_copy_only=False)
-            for k in np.unique(fo):
-                z = x[fo == k]
-                m = z.mean(axis=0)
-                z = z - m
-                acc[int(k)] = _merged(acc.get(int(k)), (float(len(z)), m, z.T @ z))
+            fo = b.column("fold")
+            fo = fo.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1).T if several else [fo.to_numpy(zero_copy_only=False)]
+            for mine in fo:
+                for k in np.unique(mine):
+                    z = x[mine == k]
+                    m = z.mean(axis=0)
+                    z = z - m
+                    acc[int(k)] = _merged(acc.get(int(k)), (float(len(z)), m, z.T @ z))
         if acc:
             yield _packed(acc, width)
 

@@ -307,6 +307,15 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: int, rows_per_bucket: int
     return smallest(hashed, "__h", key, n, rows_per_bucket).drop("__h")
 
 
+LEAST_SLICES = 16
+
+
+def spread_by(df: DataFrame, key: str, n: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """``df`` of ``n`` rows dealt by key over so many tasks that none has many more than ``rows_per_bucket``; small tables stay as they are."""
+    parts = _bucket_count(n, rows_per_bucket)
+    return df.repartition(parts, key) if parts > LEAST_SLICES else df
+
+
 def group_index(df: DataFrame, group: str, key: str, seed, name: str = "idx",
                 rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """0-based position inside each group in the order of a seeded hash of the key, plus the group size.
@@ -314,10 +323,12 @@ def group_index(df: DataFrame, group: str, key: str, seed, name: str = "idx",
     Hash order is uniform, so each group falls into equal hash slices and one group holding a third of the
     table still spreads over many windows.
     """
-    parts = max(16, _bucket_count(df.select(key).count(), rows_per_bucket))
+    parts = max(LEAST_SLICES, _bucket_count(df.select(key).count(), rows_per_bucket))
     step = HASH_SPAN // parts
     out = df.withColumn("__h", hash52(key, seed=seed)) \
             .withColumn("__s", F.expr(f"cast(__h div {step} as int)"))
+    if parts > LEAST_SLICES:  # the rows that a task sorts do not grow with the table, whatever the session's shuffles
+        out = out.repartition(parts, group, "__s")
     sizes = out.groupBy(group, "__s").agg(F.count(F.lit(1)).alias("__c"))
     w = W.partitionBy(group).orderBy("__s")
     sizes = sizes.withColumn("__o", F.sum("__c").over(w) - F.col("__c")) \

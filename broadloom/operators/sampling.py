@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from broadloom.functions.columns import HASH_SPAN, balanced_sum, hash52, hash_fraction_below
 from broadloom.operators.lookup import lookup_join
-from broadloom.operators.ordering import exact_quantiles, group_index, hash_sample, ordered_index
+from broadloom.operators.ordering import exact_quantiles, group_index, hash_sample, ordered_index, spread_by
 from broadloom.session import durable
 
 
@@ -71,12 +71,13 @@ def stratified_folds(df: DataFrame, key: str, y: str, k: int, times: int, seed:
     """Repeated folds balanced over target bins: columns ``fold_1`` .. ``fold_<times>``.
 
     All repetitions are ranked together on a narrow (key, bin, repetition) table, so their number adds rows
-    but no further shuffles.
+    but no further shuffles; the tasks of these grow in number with the rows, not in size.
     """
     binned = target_bins(df, y, bins)
     long = durable(binned.select(key, "bin", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("rep")))
     long = group_index(long.withColumn("__rep_bin", F.struct("rep", "bin")), "__rep_bin", key, F.lit(seed) + F.col("rep"), "__i")
     fold = (F.col("__i") % k).cast("int")
+    long = spread_by(long.select(key, "rep", "__i"), key, binned.count() * times)
     wide = long.groupBy(key).agg(*[F.max(F.when(F.col("rep") == t, fold)).alias(f"fold_{t}") for t in range(1, times + 1)])
     return binned.join(wide, key)
 

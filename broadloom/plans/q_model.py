@@ -796,7 +796,7 @@ def cv_one_se(spark, sf):
     k, times = 5, 10
     df = S.stratified_folds(durable(planted(spark, sf).drop("fold")), "ID", "y_lin", k, times, 17)
     # One pass: each row counts in one cell of every repetition, k x times cells in all.
-    cell = F.explode(F.array(*[F.lit((t - 1) * k) + F.col(f"fold_{t}") for t in range(1, times + 1)]))
+    cell = F.array(*[F.lit((t - 1) * k) + F.col(f"fold_{t}") for t in range(1, times + 1)])
     cells = G.gram(df.select(*X, "y_lin", cell.alias("cell")), X, "y_lin", "cell")
     grams = {t: cells.take_folds({f: (t - 1) * k + f for f in range(k)}) for t in range(1, times + 1)}
     alphas = [0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0]

@@ -341,3 +341,23 @@ def test_nested_layers_see_no_row_twice(spark):
     got = {r.id: r.pred for r in preds.filter("model = 'ols'").collect()}
     assert np.allclose([got[i] for i in range(240, 300)], probe)
     assert {r.model: r.n for r in scores.collect()} == {"ols": 240, "tree": 240} and preds.count() == 120
+
+
+def test_rows_count_in_every_fold_of_an_array(data):
+    df, *_ = data
+    both = df.withColumn("cells", F.array("fold", (F.col("id") % 2 + 5).cast("int")))
+    got = G.gram(both, COLS, "y", "cells")
+    for name, cells in (("fold", range(5)), ("half", (5, 6))):
+        want = G.gram(df.withColumn("half", (F.col("id") % 2 + 5).cast("int")), COLS, "y", name)
+        for c in cells:
+            assert all(np.allclose(a, b) for a, b in zip(got.sums(only=c), want.sums(only=c)))
+
+
+def test_group_index_does_not_depend_on_slices(data, monkeypatch):
+    from broadloom.operators import ordering as O
+    df, *_ = data
+    for least in (16, 3):  # by the session's shuffles, and dealt over as many tasks as slices
+        monkeypatch.setattr(O, "LEAST_SLICES", least)
+        got = O.group_index(df.select("id", "fold"), "fold", "id", 7, rows_per_bucket=100)
+        assert sorted((r.fold, r.idx) for r in got.collect()) == [(f, i) for f in range(5) for i in range(120)]
+        assert least == 16 or O.spread_by(df, "id", 600, 100).rdd.getNumPartitions() == 6
