@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from broadloom.operators import grower as Gr, linear as L, trees as T
 from broadloom.operators.evaluate import fold_report
-from broadloom.operators.gram import Gram, gram
+from broadloom.operators.gram import Gram, batch_matrix, gram
 from broadloom.session import durable, side_by_side
 
 # Learners read off the fold sums of one pass: name -> (gram of the training folds) -> linear model.
@@ -109,9 +111,54 @@ def fold_scores(scored: DataFrame, y: str = "y", fold: str = "fold", by: str = "
     long = scored.select(by, F.col(y).cast("double").alias("__y"), F.col(fold).alias("__f"),
                          F.posexplode("preds").alias("__m", "__p"))
     e = F.col("__y") - F.col("__p")
-    cells = long.groupBy(by, "__f", "__m").agg(
-        F.count(e).alias("n"), F.sum(e * e).alias("sse"), F.avg("__y").alias("a"), F.var_pop("__y").alias("v"))
-
+    return _cell_scores(long.groupBy(by, "__f", "__m").agg(
+        F.count(e).alias("n"), F.sum(e * e).alias("sse"), F.avg("__y").alias("a"), F.var_pop("__y").alias("v")), by)
+
+
+def _cells(matrix, base, names, k, shift, batches):
+    """(model, __f, __m, n, sse, ny, s, q) of a task: every linear model on every fold, one product per batch."""
+    acc: dict = {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        y, fold = batch.column("y"), batch.column("fold").to_numpy(zero_copy_only=False)
+        there, y = ~np.asarray(y.is_null()), y.to_numpy(zero_copy_only=False)
+        z = batch_matrix(batch.column("x"), len(matrix)) @ matrix + base
+        ok, e = there[:, None] & ~np.isnan(z), y[:, None] - z
+        for f in np.unique(fold):
+            mine = fold == f
+            off = y[mine & there] - shift
+            sums = acc.setdefault(int(f), [np.zeros(len(base)), np.zeros(len(base)), np.zeros(3)])
+            sums[0] += ok[mine].sum(0)
+            sums[1] += np.where(ok[mine], e[mine] ** 2, 0.0).sum(0)
+            sums[2] += (len(off), off.sum(), (off * off).sum())
+    for f, (n, sse, own) in acc.items():
+        wide = len(base)
+        yield pa.record_batch([pa.array(np.repeat(names, k)), pa.array(np.full(wide, f, np.int32)), pa.array(np.tile(np.arange(k, dtype=np.int32), len(names))),
+                               pa.array(n), pa.array(sse), *[pa.array(np.full(wide, v)) for v in own]], names=["model", "__f", "__m", "n", "sse", "ny", "s", "q"])
+
+
+def linear_scores(df: DataFrame, fitted: dict, y: str, fold: str, shift: float = 0.0) -> DataFrame:
+    """``fold_scores`` of linear fold models from one pass over the rows, none of which is repeated per model and fold.
+    ``shift``: a value amid the target."""
+    models = [m for ms in fitted.values() for m in ms]
+    cols = sorted({n for m in models for n in m.names})
+    maps = [dict(zip(m.names, m.coef)) for m in models]
+    matrix = np.array([[b.get(n, 0.0) for b in maps] for n in cols], float).reshape(len(cols), len(models))
+    base = np.array([m.intercept for m in models], float)
+    rows = df.filter(F.col(fold).isNotNull()).select(F.array(*[F.col(c).cast("double") for c in cols]).cast("array<double>").alias("x"),
+                                                     F.col(y).cast("double").alias("y"), F.col(fold).cast("int").alias("fold"))
+    k = len(next(iter(fitted.values())))
+    parts = rows.mapInArrow(partial(_cells, matrix, base, list(fitted), k, shift),
+                            "model string, __f int, __m int, n double, sse double, ny double, s double, q double")
+    sums = parts.groupBy("model", "__f", "__m").agg(*[F.sum(c).alias(c) for c in ("n", "sse", "ny", "s", "q")])
+    mean = F.try_divide("s", "ny")
+    return _cell_scores(sums.select("model", "__f", "__m", F.col("n").cast("bigint").alias("n"), F.when(F.col("n") > 0, F.col("sse")).alias("sse"), (mean + F.lit(shift)).alias("a"),
+                                    (F.try_divide("q", "ny") - mean * mean).alias("v")), "model")
+
+
+def _cell_scores(cells: DataFrame, by: str) -> DataFrame:
+    """The report from count, squared error, mean and variance of the target per (learner, fold, fold model)."""
     def r2(cond):
         n = F.sum(F.when(cond, F.col("n")))
         mean = F.sum(F.when(cond, F.col("n") * F.col("a"))) / n
@@ -138,6 +185,10 @@ def run_registry(train: DataFrame, test: DataFrame, cols, y: str, key: str, k: i
     """
     fitted = fit_registry(train, cols, y, key, k, learners, fold)
     scored = score_all(train, fitted, [key, fold, F.col(y).alias("y")], fold)
+    if all(isinstance(m, L.Linear) for ms in fitted.values() for m in ms):
+        shift = train.agg(F.avg(F.col(y).cast("double"))).first()[0] or 0.0
+        mean = score_all(test, {n: [L.mean_model(ms)] for n, ms in fitted.items()}, [key])
+        return scored.drop("preds"), mean.select(key, "model", F.col("mean_pred").alias("pred")), linear_scores(train, fitted, y, fold, shift)
     test_scored = score_all(test, fitted, [key]).select(key, "model", F.col("mean_pred").alias("pred"))
     return scored.drop("preds"), test_scored, fold_scores(scored, "y", fold)
 

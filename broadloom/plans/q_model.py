@@ -757,8 +757,9 @@ def gated_predictions(spark, sf):
     """The whole layer-1 job: encode over train and test, prune, fold, fit every linear learner out of fold from one
     pass, keep the test predictions of the models that pass the gate."""
     names = ["X0", "X1", "X2", "X5"]
-    df = wide(spark, sf, "ID", "tc", *names, *X, "X18", "y_lin")
+    df = durable(wide(spark, sf, "ID", "tc", *names, *X, "X18", "y_lin"))
     df, feats = E.prepare(df, names, [*X, "X18"], "ID", F.col("tc") == 1)
+    df = durable(df)  # read for the fold cuts, the cross products, the scores and the test rows
     train = contiguous_folds(df.filter("tc = 1"), "ID", 5)
     test = df.filter("tc = 0")
     _, preds, metrics = K.run_registry(train, test, feats, "y_lin", "ID", 5, list(K.GRAM_LEARNERS))

@@ -353,6 +353,16 @@ def test_rows_count_in_every_fold_of_an_array(data):
             assert all(np.allclose(a, b) for a, b in zip(got.sums(only=c), want.sums(only=c)))
 
 
+def test_linear_scores_equal_those_of_repeated_rows(data):
+    df, _, _, g = data
+    odd = df.withColumn("y", F.when(F.col("id") % 7 > 0, F.col("y"))).withColumn("x0", F.when(F.col("id") % 11 > 0, F.col("x0")))
+    fitted = {n: [L.from_gram(g.without_fold(f), s) for f in range(5)] for n, s in (("a", L.ols_solve), ("b", lambda m: L.ridge_solve(m, 9.0)))}
+    want = {r.model: r for r in K.fold_scores(K.score_all(odd, fitted, ["fold", "y"], "fold")).collect()}
+    got = {r.model: r for r in K.linear_scores(odd, fitted, "y", "fold", 3.0).collect()}
+    for m in "ab":
+        assert got[m].n == want[m].n and np.allclose(list(got[m])[1:], list(want[m])[1:])
+
+
 def test_group_index_does_not_depend_on_slices(data, monkeypatch):
     from broadloom.operators import ordering as O
     df, *_ = data
