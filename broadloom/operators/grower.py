@@ -27,6 +27,8 @@ from broadloom.session import durable
 MOST_CELLS = 1 << 21
 #: So many tasks hand their cells to the driver at once; more are added up on the executors first.
 FEW_TASKS = 4
+#: Rows that are handed to Python as one where passes need single rows: moving them costs more than the work on them.
+BLOCK = 64
 #: Gains closer than this, relatively, are ties: the first column and bin wins.
 TIE = 1e-12
 
@@ -56,14 +58,11 @@ def find_bins(df: DataFrame, cols, most: int = 64) -> Bins:
     """A bin per value for columns of about ``most`` values or fewer, else bins of equally many rows: two aggregates."""
     at = [i / most for i in range(most + 1)]
     real = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols]
-    counted = df.agg(*[F.approx_count_distinct(c).alias(f"n{i}") for i, c in enumerate(real)],
-                     *[F.percentile_approx(c, at, 10_000).alias(f"b{i}") for i, c in enumerate(real)]).first()
-    values = [counted[f"b{i}"] for i in range(len(real))]
-    few = [i for i in range(len(real)) if counted[f"n{i}"] <= most]
-    if few:
-        sets = df.agg(*[F.collect_set(real[i]).alias(f"s{i}") for i in few]).first()  # about ``most`` values each
-        for i in few:
-            values[i] = sets[f"s{i}"]
+    counted = df.agg(*[F.approx_count_distinct(c).alias(f"n{i}") for i, c in enumerate(real)]).first()
+    # Sets of about ``most`` values each, quantiles of the other columns only.
+    got = df.agg(*[(F.collect_set(c) if counted[f"n{i}"] <= most else F.percentile_approx(c, at, 10_000)).alias(f"v{i}")
+                   for i, c in enumerate(real)]).first()
+    values = [got[f"v{i}"] for i in range(len(real))]
     return Bins(list(cols), [np.unique(np.array(v or [0.0], float)) for v in values])
 
 
@@ -72,7 +71,7 @@ def binned(df: DataFrame, bins: Bins, y: str, key: str, group=None, alike: bool
     column. NULL and NaN fall into the last bin; rows without a target are left out.
 
     ``alike``: rows of a group with equal bins are one, ``y`` the mean of their targets, ``w`` their number and ``q`` the
-    squares around that mean."""
+    squares around that mean. Else rows are packed, BLOCK of them in one."""
     cuts, width = bins.cuts, len(bins.cols)
 
     @F.arrow_udf("binary")
@@ -85,16 +84,42 @@ def binned(df: DataFrame, bins: Bins, y: str, key: str, group=None, alike: bool
     group = F.lit(0) if group is None else F.coalesce(group.cast("int"), F.lit(0))
     rows = df.filter(F.col(y).isNotNull()).select(
         F.xxhash64(key).alias("h"), F.col(y).cast("double").alias("y"), group.alias("grp"), F.lit(0.0).alias("f"), to_bins(_features(bins.cols)).alias("bins"))
-    if alike:
-        n = F.count(F.lit(1)).cast("double")
-        rows = rows.groupBy("grp", "bins").agg(F.avg("y").alias("y"), n.alias("w"), (F.var_pop("y") * n).alias("q")).withColumn("f", F.lit(0.0))
-    return durable(rows)
+    if not alike:
+        return durable(rows.mapInArrow(_packed, "h binary, y binary, grp binary, f binary, bins binary"))
+    n = F.count(F.lit(1)).cast("double")
+    return durable(rows.groupBy("grp", "bins").agg(F.avg("y").alias("y"), n.alias("w"), (F.var_pop("y") * n).alias("q")).withColumn("f", F.lit(0.0)))
 
 
-def _bytes(column, rows: int) -> np.ndarray:
-    """(rows, columns) of the bins, a view of Arrow's buffer."""
-    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + rows + 1]
-    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0]:ends[-1]].reshape(rows, -1)
+def _ends(column) -> np.ndarray:
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    return np.frombuffer(column.buffers()[1], wide)[column.offset:column.offset + len(column) + 1]
+
+
+def _raw(column) -> np.ndarray:
+    """All bytes of a binary column, a view of Arrow's buffer."""
+    ends = _ends(column)
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0]:ends[-1]]
+
+
+def _blocks(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values.tobytes())])
+
+
+def _packed(batches):
+    """Blocks of BLOCK rows as one, every column the bytes of its numbers."""
+    for batch in batches:
+        if batch.num_rows:
+            at = np.append(np.arange(0, batch.num_rows, BLOCK), batch.num_rows)
+            width = len(_raw(batch.column("bins"))) // batch.num_rows
+            out = [_blocks(batch.column(c).to_numpy(), at * size) for c, size in (("h", 8), ("y", 8), ("grp", 4), ("f", 8))]
+            yield pa.record_batch([*out, _blocks(_raw(batch.column("bins")), at * width)], names=["h", "y", "grp", "f", "bins"])
+
+
+def _column(batch, name: str, kind=np.float64) -> np.ndarray:
+    """A column's numbers, whether rows are packed or not."""
+    column = batch.column(name)
+    packed = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    return _raw(column).view(kind) if packed else column.to_numpy()
 
 
 def _places(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,22 +153,22 @@ class _State:
 
     def rows(self, batch):
         """(different bins, which of them each row has, learning rows' mask, residuals, targets)"""
-        b = _bytes(batch.column("bins"), batch.num_rows)
+        y, f = _column(batch, "y"), _column(batch, "f")
+        b = _raw(batch.column("bins")).reshape(len(y), -1)
         first, place = _places(b)
         b = b[first]
-        y, f = batch.column("y").to_numpy(), batch.column("f").to_numpy()
         for trees, step in self.done:
             f = f + (step * trees.value[trees.leaves(b)].sum(1))[place]
-        learn = batch.column("grp").to_numpy() == 0
+        learn = _column(batch, "grp", np.int32) == 0
         if self.subsample < 1:
-            learn = learn & (_uniform(batch.column("h").to_numpy(), self.seed) < self.subsample)
+            learn = learn & (_uniform(_column(batch, "h", np.int64), self.seed) < self.subsample)
         return b, place, learn, y - self.base - f, y
 
 
-def _numbers(batch):
+def _numbers(batch, rows: int):
     """(number of rows, squares around their mean) of each row; (1, 0) unless rows alike are one."""
     if "w" not in batch.schema.names:
-        return np.ones(batch.num_rows), np.zeros(batch.num_rows)
+        return np.ones(rows), np.zeros(rows)
     return batch.column("w").to_numpy(), batch.column("q").to_numpy()
 
 
@@ -157,9 +182,9 @@ def _histograms(sent, batches):
         if not batch.num_rows:
             continue
         b, place, learn, r, y = state.rows(batch)
-        w, q = _numbers(batch)
+        w, q = _numbers(batch, len(y))
         if judged:
-            held = batch.column("grp").to_numpy() == 1
+            held = _column(batch, "grp", np.int32) == 1
             off, many = y[held] - state.base, w[held]
             score += (many.sum(), (many * off).sum(), (many * off * off + q[held]).sum(), (many * r[held] ** 2 + q[held]).sum())
         r, place, w = w[learn] * np.clip(r[learn], -state.clip, state.clip), place[learn], w[learn]
@@ -308,7 +333,7 @@ def extra_trees(df: DataFrame, cols, y: str, key: str, trees: int = 10, max_dept
     """
     found = find_bins(df.filter(F.col(y).isNotNull()), cols, bins)
     rows = binned(df, found, y, key, alike=True)
-    base = rows.agg(F.try_divide(F.sum(F.col("w") * F.col("y")), F.sum("w"))).first()[0] or 0.0
+    base = df.agg(F.avg(F.col(y).cast("double"))).first()[0] or 0.0
     growth = _Growth(found, trees, max_depth, min_leaf, min_split, seed, True, share)
     _grow(rows, growth, _State([], base, 1.0, seed))
     return FlatModel(found.raw(growth.flat()), np.full(trees, 1 / trees), list(cols), base, info={"gain": growth.gain})
@@ -321,7 +346,9 @@ def _advance(sent, batches):
     for batch in batches:
         if batch.num_rows:
             *_, r, y = state.rows(batch)
-            yield batch.set_column(batch.schema.get_field_index("f"), "f", pa.array(y - state.base - r))
+            f = y - state.base - r
+            f = pa.array(f) if "w" in batch.schema.names else _blocks(f, _ends(batch.column("y")) - _ends(batch.column("y"))[0])
+            yield batch.set_column(batch.schema.get_field_index("f"), "f", f)
 
 
 def _residuals(sent, batches):
@@ -333,16 +360,30 @@ def _residuals(sent, batches):
             yield pa.record_batch([pa.array(trees.leaves(b)[place[learn], 0].astype(np.int32)), pa.array(r[learn])], names=["leaf", "r"])
 
 
+def _beyond(sent, batches):
+    """(leaf, d, n) of a task: residuals less their leaf's median, clipped at the joint and added up, and their number."""
+    state, trees, medians = sent.value
+    d, n = np.zeros(len(medians)), np.zeros(len(medians))
+    for batch in batches:
+        if batch.num_rows:
+            b, place, learn, r, _ = state.rows(batch)
+            leaf = trees.leaves(b)[place[learn], 0]
+            d += np.bincount(leaf, np.clip(r[learn] - medians[leaf], -state.clip, state.clip), len(d))
+            n += np.bincount(leaf, minlength=len(n))
+    yield pa.record_batch([pa.array(np.arange(len(d), dtype=np.int32)), pa.array(d), pa.array(n)], names=["leaf", "d", "n"])
+
+
 def _huber_leaves(rows, growth, state, sent_state) -> None:
     """Leaf values of Huber's loss: the leaf's median plus the mean of what is beyond it, clipped at the joint."""
     sent = sent_state(growth.flat())
     r = rows.mapInArrow(partial(_residuals, sent), "leaf int, r double")
-    medians = {x.leaf: x.m for x in r.groupBy("leaf").agg(F.percentile_approx("r", 0.5, 100_000).alias("m")).collect()}
-    table = rows.sparkSession.createDataFrame(list(medians.items()), "leaf int, m double")
-    off = F.col("r") - F.col("m")
-    means = r.join(F.broadcast(table), "leaf").groupBy("leaf").agg(F.avg(F.greatest(F.lit(-state.clip), F.least(F.lit(state.clip), off))).alias("d"))
-    for x in means.collect():  # one row per leaf
-        growth.value[x.leaf] = medians[x.leaf] + x.d
+    found = {x.leaf: x.m for x in r.groupBy("leaf").agg(F.percentile_approx("r", 0.5, 100_000).alias("m")).collect()}
+    medians = np.array([found.get(leaf, 0.0) for leaf in range(len(growth.feature))], float)
+    sent = rows.sparkSession.sparkContext.broadcast((state, growth.flat(), medians))
+    means = rows.mapInArrow(partial(_beyond, sent), "leaf int, d double, n double").groupBy("leaf").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    for x in means.collect():  # one row per node
+        if x.n:
+            growth.value[x.leaf] = medians[x.leaf] + x.d / x.n
 
 
 def boost(df: DataFrame, cols, y: str, key: str, rounds: int = 100, step: float = 0.1, max_depth: int = 3, loss: str = "squared",
@@ -363,11 +404,9 @@ def boost(df: DataFrame, cols, y: str, key: str, rounds: int = 100, step: float
     held = F.col(validation) if validation else None
     learning = df.filter(F.col(y).isNotNull() & (~F.coalesce(held, F.lit(False)) if validation else F.lit(True)))
     found = find_bins(learning, cols, bins)
-    alike = loss == "squared" and subsample >= 1
-    rows = binned(df, found, y, key, held, alike)
-    mean = F.try_divide(F.sum(F.col("w") * F.col("y")), F.sum("w")) if alike else F.avg("y")
-    centre = F.percentile_approx("y", 0.5, 100_000) if loss == "huber" else mean
-    base = rows.filter("grp = 0").agg(centre).first()[0] or 0.0
+    rows = binned(df, found, y, key, held, alike=loss == "squared" and subsample >= 1)
+    target = F.col(y).cast("double")
+    base = learning.agg(F.percentile_approx(target, 0.5, 100_000) if loss == "huber" else F.avg(target)).first()[0] or 0.0
     sc, kept, gain, done, curve = rows.sparkSession.sparkContext, [], np.zeros(len(found.cols)), [], []
     best, stop = -1, rounds - 1
 

@@ -133,6 +133,17 @@ def test_rows_with_equal_bins_are_one_row(df, rows):
     assert np.allclose(one.info["curve"], two.info["curve"]) and np.allclose(one.trees.value, two.trees.value)
 
 
+def test_packed_rows_keep_every_row(df):
+    bins = G.find_bins(df, COLS)
+    packed = G.binned(df, bins, "y", "id")
+    assert packed.count() < 900 / 20
+    state = G._State([], 0.0, 1.0, 0)
+    flat = G._Growth(bins, 1, 1, 1, 2, 1, False, 1.0).flat()
+    sent = packed.sparkSession.sparkContext.broadcast((state, flat))
+    got = sorted(r.r for r in packed.mapInArrow(G.partial(G._residuals, sent), "leaf int, r double").collect())
+    assert np.allclose(got, sorted(r.y for r in df.collect()))
+
+
 def test_bags_read_rows_that_repeat_once(df):
     twice = df.select("id", "a", "b", "y").unionByName(df.select("id", "a", "b", "y"))
     sums = T.bag_sums(twice, ["a", "b"], "y", "id", 2, 1)
