@@ -6,7 +6,6 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import RFormula
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
 from broadloom.operators import (
@@ -809,10 +808,8 @@ def cv_one_se(spark, sf):
 @query("SRH-2 UDF-1 REG-16")
 def tune_forest(spark, sf):
     df = durable(planted(spark, sf)).withColumn("fold", (F.col("ID") % 3).cast("int"))
-    est = RandomForestRegressor(numTrees=8, maxDepth=5, seed=1)
-    grid = ParamGridBuilder().addGrid(est.featureSubsetStrategy, ["2", "4", "all"]).build()
-    model = H.tuned(df, X, "y_lin", est, grid, "fold")
-    rows = [(m, float(v)) for m, v in zip(["2", "4", "all"], model.avgMetrics)]
+    mtry = ["2", "4", "all"]
+    rows = list(zip(mtry, H.tuned_forest(df, X, "y_lin", "ID", "fold", mtry)))
     return rounded(spark.createDataFrame(rows, "mtry string, r2 double"), "mtry", digits=3)
 
 
