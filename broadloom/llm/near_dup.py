@@ -73,23 +73,32 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each band of a signature."""
+    h = np.zeros(BANDS, np.uint64)
+    for part in sig.view(np.uint32).astype(np.uint64).reshape(BANDS, ROWS).T:
+        h = (h ^ part) * SPREAD + STEP
+        h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
 def _digest(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), "<i8").tolist())
 
 
 def _profiles(batches):
     for batch in slices(batches):
-        out = {"n": [], "d1": [], "d2": [], "sig": []}
+        out = {"n": [], "d1": [], "d2": [], "keys": []}
         for text in batch.column("text").to_pylist():
             s = shingle_set(text)
             d = _digest(s) if len(s) else (None, None)
             out["n"].append(len(s))
             out["d1"].append(d[0])
             out["d2"].append(d[1])
-            out["sig"].append(signature(s) if len(s) else None)
+            out["keys"].append(band_keys(signature(s)) if len(s) else None)
         yield pa.record_batch([batch.column("id"), pa.array(out["n"], pa.int64()), pa.array(out["d1"], pa.int64()),
-                               pa.array(out["d2"], pa.int64()), pa.array(out["sig"], pa.list_(pa.int32()))],
-                              names=["id", "n", "d1", "d2", "sig"])
+                               pa.array(out["d2"], pa.int64()), pa.array(out["keys"], pa.list_(pa.int64()))],
+                              names=["id", "n", "d1", "d2", "keys"])
 
 
 def _sets(batches):
@@ -97,8 +106,8 @@ def _sets(batches):
         sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
         marks = [_digest(s) for s in sets]
         yield pa.record_batch([batch.column("id"), pa.array([m[0] for m in marks], pa.int64()), pa.array(
-            [m[1] for m in marks], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-            names=["id", "d1", "d2", "shingles"])
+            [m[1] for m in marks], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(
+            [signature(s) if len(s) else None for s in sets], pa.list_(pa.int32()))], names=["id", "d1", "d2", "shingles", "sig"])
 
 
 def _block_links(percent: int):
@@ -181,27 +190,26 @@ def group_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     repeat an id share one result; should their texts differ, the one of smallest digest counts. Integer ids only.
 
     The texts are read twice and moved once, only those that share a bucket; what is kept per document until the
-    end is 600 bytes. Everything reused is written to the shared folder.
+    end is 300 bytes, and as much again of each class. Everything reused is written to the shared folder.
     """
     base = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("binary").alias("text"))
-    profiles = durable(base.mapInArrow(_profiles, "id bigint, n bigint, d1 bigint, d2 bigint, sig array<int>"))
+    profiles = durable(base.mapInArrow(_profiles, "id bigint, n bigint, d1 bigint, d2 bigint, keys array<bigint>"))
     real = profiles.filter("n > 0 and id is not null")
     one_text = real.groupBy("id").agg(F.min(F.struct("d1", "d2")).alias("d")).select("id", "d.d1", "d.d2")
     first = one_text.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
-    classes = durable(first.join(real.withColumnRenamed("id", "rep"), ["rep", "d1", "d2"]).dropDuplicates(["rep"]))
+    classes = durable(first.join(real.withColumnRenamed("id", "rep"), ["rep", "d1", "d2"]).dropDuplicates(
+        ["rep", "d1", "d2"]))  # by the join's columns, so that the rows move once; each rep has one digest
     copies = one_text.join(first, ["d1", "d2"]).filter("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
 
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(
-        b.alias("band"), F.xxhash64(F.slice("sig", b * ROWS + 1, F.lit(ROWS))).alias("key")))).alias("b")
-    rows = classes.select(F.col("rep").alias("id"), "n", band).select("b.band", "b.key", "id", "n").distinct()
+    rows = classes.select(F.col("rep").alias("id"), "n", F.posexplode("keys").alias("band", "key")).select("band", "key", "id", "n")
     several = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     buckets = durable(rows.join(several, ["band", "key"]))
 
     wanted = buckets.select("id").distinct()
     texts = base.join(durable(wanted), "id", "left_semi")
-    source = classes.select(F.col("rep").alias("id"), "d1", "d2", "sig")
-    sets = durable(texts.mapInArrow(_sets, "id bigint, d1 bigint, d2 bigint, shingles array<bigint>").join(
-        source, ["id", "d1", "d2"]).select("id", "shingles", "sig").dropDuplicates(["id"]))
+    source = classes.select(F.col("rep").alias("id"), "d1", "d2")
+    sets = durable(texts.mapInArrow(_sets, "id bigint, d1 bigint, d2 bigint, shingles array<bigint>, sig array<int>").join(
+        source, ["id", "d1", "d2"]).dropDuplicates(["id", "d1", "d2"]).select("id", "shingles", "sig"))
 
     parts = durable(connected_components(durable(_confirm(_pairs(buckets, F.col("band") < FIRST_BANDS, percent), sets, percent))))
     more = _confirm(_pairs(durable(_labelled(buckets, parts)), F.lit(True), percent), sets, percent)

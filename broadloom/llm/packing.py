@@ -86,19 +86,23 @@ def _encode(path: str, end: int, window: int, with_ids: bool, batches):
     encoder = worker_state("bpe:" + path, lambda: Encoder(path))
     for doc_ids, texts in _texts(batches):
         every, stop = encoder.encode(texts, end)
-        out = {"total": [], "crcs": [], "ids": [], "terms": [], "counts": [], "sketch": []}
+        out = {"total": [], "crcs": [], "ids": [], "terms": [], "counts": [], "sketch": [], "whole": []}
         for ids in np.split(every, stop[:-1]):
             whole = len(ids) // window * window
             out["total"].append(len(ids))
             out["crcs"].append([crc_of(ids[i:i + window]) for i in range(0, whole, window)])
-            out["ids"].append(ids.tobytes() if with_ids else ids[whole:].tobytes())
+            out["ids"].append(ids[whole:].tobytes())
+            out["whole"].append(ids[:whole].tobytes() if with_ids else None)
             term, n = _terms(ids)
             out["terms"].append(term.tobytes())
             out["counts"].append(n.astype("<u4").tobytes())
             out["sketch"].append(_sketch(ids))
-        yield pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(out["total"], pa.int64()), pa.array(out["crcs"], pa.list_(pa.int64())),
-                               pa.array(out["ids"], pa.binary()), pa.array(out["terms"], pa.binary()), pa.array(out["counts"], pa.binary()),
-                               pa.array(out["sketch"], pa.int64())], names=["doc_id", "total", "crcs", "ids", "terms", "counts", "sketch"])
+        columns = [pa.array(doc_ids, pa.int64()), pa.array(out["total"], pa.int64()), pa.array(out["crcs"], pa.list_(pa.int64())),
+                   pa.array(out["ids"], pa.binary()), pa.array(out["terms"], pa.binary()), pa.array(out["counts"], pa.binary()),
+                   pa.array(out["sketch"], pa.int64())]
+        if with_ids:
+            columns.append(pa.array(out["whole"], pa.binary()))
+        yield pa.record_batch(columns, names=["doc_id", "total", "crcs", "ids", "terms", "counts", "sketch", "whole"][:len(columns)])
 
 
 def _count_terms(batches):
@@ -210,8 +214,34 @@ def fill_windows(tails: list[np.ndarray], window: int, corpus: Corpus | None = N
     return out
 
 
+def _pieces(rows: list[tuple], with_ids: bool):
+    """Record batches of pieces; the last item of a row is its ids."""
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    for i in range(0, len(rows), 1024):
+        *columns, ids = zip(*rows[i:i + 1024])
+        columns = [pa.array(c, pa.int64()) for c in columns]
+        if with_ids:
+            ends = np.cumsum([0, *map(len, ids)])
+            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32))))
+        yield pa.record_batch(columns, names=names + ["ids"] * with_ids)
+
+
+def _windows(window: int, batches):
+    """Whole windows with their ids, where they lie. Their sequences have a number of 2^31 or more in the partition."""
+    number = (TaskContext.get().partitionId() << 32) + (1 << 31)
+    for batch in slices(batches):
+        rows = []
+        for doc, total, known, whole in zip(*(batch.column(c).to_pylist() for c in ["doc_id", "total", "crcs", "whole"])):
+            ids = np.frombuffer(whole, "<u2")
+            for i, crc in enumerate(known):
+                rows.append((doc, i * window, window, crc, total, number, 0, ids[i * window:(i + 1) * window]))
+                number += 1
+        yield from _pieces(rows, True)
+
+
 def _pack(window: int, with_ids: bool, sent, batches):
-    """One shard: the rows of one partition, about ``shard_docs`` of them, with a tail each or, ``with_ids``, all their ids."""
+    """One shard: the rows of one partition, about ``shard_docs`` of them, with a tail each. ``with_ids``, the whole windows
+    are not given here: their ids stay behind."""
     number = TaskContext.get().partitionId() << 32
     held = list(batches)
     if not sum(b.num_rows for b in held):
@@ -220,12 +250,10 @@ def _pack(window: int, with_ids: bool, sent, batches):
     doc_ids, totals, crcs, packed, terms, counts = (held.column(c).to_pylist() for c in ["doc_id", "total", "crcs", "ids", "terms", "counts"])
     rows, tails, wholes = [], [], []
     for doc, total, known, ids in zip(doc_ids, totals, crcs, packed):
-        ids = np.frombuffer(ids, "<u2")
-        whole = len(known) * window
-        wholes.append(whole)
-        tails.append(ids[whole:] if with_ids else ids)
-        for i, crc in enumerate(known):
-            rows.append((doc, i * window, window, crc, total, number, 0, ids[i * window:(i + 1) * window]))
+        tails.append(np.frombuffer(ids, "<u2"))
+        wholes.append(len(known) * window)
+        for i, crc in enumerate(known if not with_ids else ()):
+            rows.append((doc, i * window, window, crc, total, number, 0, ()))
             number += 1
     _, idf, mean = sent.value
     corpus = Corpus([np.frombuffer(t, "<u2") for t in terms], [np.frombuffer(n, "<u4") for n in counts], np.array(totals, float), idf, mean)
@@ -236,14 +264,7 @@ def _pack(window: int, with_ids: bool, sent, batches):
             rows.append((doc_ids[k], wholes[k] + start, length, crc_of(ids), totals[k], number, offset, ids))
             offset += length
         number += 1
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    for i in range(0, len(rows), 1024):
-        *columns, ids = zip(*rows[i:i + 1024])
-        columns = [pa.array(c, pa.int64()) for c in columns]
-        if with_ids:
-            ends = np.cumsum([0, *map(len, ids)])
-            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32))))
-        yield pa.record_batch(columns, names=names + ["ids"] * with_ids)
+    yield from _pieces(rows, with_ids)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", window: int = 1024, end: int = 0,
@@ -256,17 +277,22 @@ def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
     below 65536, present on every executor.
 
     Texts are read once and not moved; what is shuffled is two bytes for each id of a tail and six for each distinct id
-    of a document. Shards are ranges of (leading term, second term, sketch, doc_id), so a very common term or a large
+    of a document; the ids of whole windows stay where they were read. Shards are ranges of (leading term, second term, sketch, doc_id), so a very common term or a large
     group of copies spreads over several; a seed fills its window from its own shard.
     """
     base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    encoded = durable(base.mapInArrow(partial(_encode, tokenizer, end, window, with_ids),
-                                      kinds := "doc_id bigint, total bigint, crcs array<bigint>, ids binary, terms binary, counts binary, sketch bigint"))
+    kinds = "doc_id bigint, total bigint, crcs array<bigint>, ids binary, terms binary, counts binary, sketch bigint"
+    both = durable(base.mapInArrow(partial(_encode, tokenizer, end, window, with_ids), kinds + ", whole binary" * with_ids))
+    encoded = both.drop("whole")
     found = encoded.select("terms", "total").mapInArrow(_count_terms, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
     n = {r["term"]: r["n"] for r in found}  # at most TERMS rows
     count, total, df = n.pop(-1, 0), n.pop(-2, 0), np.zeros(TERMS, np.int64)
     df[list(n)] = list(n.values())
     sent = docs.sparkSession.sparkContext.broadcast((df, _idf(df, count), total / max(1, count)))
     shards = max(1, -(-count // shard_docs))
-    return encoded.mapInArrow(partial(_lead, sent), kinds + ", term int, next int").repartitionByRange(
-        shards, "term", "next", "sketch", "doc_id").mapInArrow(partial(_pack, window, with_ids, sent), PIECE + (", ids array<int>" if with_ids else ""))
+    kinds_out = PIECE + ", ids array<int>" * with_ids
+    packed = encoded.mapInArrow(partial(_lead, sent), kinds + ", term int, next int").repartitionByRange(
+        shards, "term", "next", "sketch", "doc_id").mapInArrow(partial(_pack, window, with_ids, sent), kinds_out)
+    if not with_ids:
+        return packed
+    return packed.union(both.filter("size(crcs) > 0").select("doc_id", "total", "crcs", "whole").mapInArrow(partial(_windows, window), kinds_out))

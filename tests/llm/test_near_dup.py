@@ -50,3 +50,14 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert run(spark, []) == []
     got = run(spark, [(3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (1, "a b c d e f"), (None, None)])
     assert got == sorted([(3, 2, 1, False), (3, 2, 1, False), (None, 2, None, True), (1, 2, 1, True), (None, 0, None, True)], key=repr)
+
+
+def test_signatures_stay_with_the_sets(spark, monkeypatch):
+    """Tables that hold every document have its bands' hashes, not its signature, and the sets of few documents have theirs."""
+    written, durable = [], near_dup.durable
+    monkeypatch.setattr(near_dup, "durable", lambda df: written.append(durable(df)) or written[-1])
+    rng = random.Random(4)
+    rows = [(i, " ".join(words(rng, 40))) for i in range(60)] + [(100, "a b c d e f g h"), (101, "a b c d e f g h"), (102, "a b c d e f g h i")]
+    check(spark, rows)
+    assert [w.count() for w in written if "sig" in w.columns] == [2]
+    assert [len(r["keys"]) for r in written[0].collect()] == [near_dup.BANDS] * len(rows)

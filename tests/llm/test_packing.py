@@ -112,3 +112,15 @@ def test_scores_go_by_the_corpus_and_whole_documents():
     weight = lambda term, tf, length: idf[term] * tf * 2.2 / (tf + 1.2 * (.25 + .75 * length / 3))
     scores = packing.Index(tails, corpus).scores(0)
     assert scores[1] == pytest.approx(weight(1, 1, 4) + weight(5, 2, 4)) and scores[2] == pytest.approx(weight(2, 1, 2))
+
+
+def test_ids_of_whole_windows_are_not_moved(spark, tokenizer, monkeypatch):
+    rng, moved, frame = random.Random(8), [], type(spark.range(1))
+    repartition = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda df, *by: moved.append(df) or repartition(df, *by))
+    docs = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", f"w{rng.randrange(99)}"]) for _ in range(rng.choice([10, 900, 5000])))) for i in range(40)]
+    rows = packing.pack_documents(spark.createDataFrame(docs, "doc_id bigint, text string"), PATH, shard_docs=7, with_ids=True).collect()
+    verify(rows, docs, tokenizer)
+    assert any(r.doc_tokens > 4096 for r in rows)
+    table, = moved
+    assert "whole" not in table.columns and max(len(r.ids) for r in table.select("ids").collect()) < 2 * 1024  # two bytes an id
