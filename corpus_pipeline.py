@@ -34,9 +34,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     are nobody's copies, and rows with a NULL id stay all."""
     groups = durable(near_dup.group_near_duplicates(docs))
     ids = groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
-    ids = durable(ids.filter("kept"))
-    out = docs.join(ids.select("doc_id"), "doc_id", "left_semi")
-    if not ids.filter("n > 1").isEmpty():
+    # Those that go are far fewer than those that stay: a short list seldom makes the texts move.
+    few = durable(ids.filter("not kept or n > 1"))
+    out = docs.filter("doc_id is not null").join(few.filter("not kept").select("doc_id"), "doc_id", "left_anti")
+    if not few.filter("kept").isEmpty():
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.filter("doc_id is null"))
 

@@ -31,3 +31,12 @@ def test_edge_rows_pass_through(spark, sf):
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
     assert {r.doc_id for r in docs.collect()} == {None, 10 ** 9, 10 ** 9 + 1, 10 ** 9 + 2}
+
+
+def test_only_ids_that_go_or_repeat_are_listed(spark, monkeypatch):
+    written, durable = [], corpus_pipeline.durable
+    monkeypatch.setattr(corpus_pipeline, "durable", lambda df: written.append(durable(df)) or written[-1])
+    rows = [(i, f"u{i} v{i} w{i} x{i} y{i} z{i}") for i in range(20)] + [(30, "a b c d e f"), (31, "a b c d e f"), (5, "u5 v5 w5 x5 y5 z5"), (None, "a b c d e f")]
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), None)
+    assert sorted((r.doc_id for r in out.collect()), key=str) == sorted([*range(20), 30, None], key=str)
+    assert sorted((r.doc_id, r.n, r.kept) for r in written[-1].collect()) == [(5, 2, True), (31, 1, False)]
