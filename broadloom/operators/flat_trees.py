@@ -50,6 +50,18 @@ class FlatTrees:
         for i in range(0, len(x), step):
             yield slice(i, min(i + step, len(x))), self.value[self.leaves(x[i:i + step])]
 
+    def alike(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that lie on the same side of every threshold as one: the first of each, and which of these every row is."""
+        code, span = np.zeros(len(x), np.int64), 0.0
+        for f in np.unique(self.feature[self.feature >= 0]):
+            cuts = np.unique(self.threshold[self.feature == f])
+            span += np.log2(len(cuts) + 1)
+            if span >= 62:
+                return np.arange(len(x)), np.arange(len(x))
+            code = code * (len(cuts) + 1) + np.searchsorted(cuts, x[:, f])
+        _, first, place = np.unique(code, return_index=True, return_inverse=True)
+        return first, place
+
     def first(self, trees: int) -> "FlatTrees":
         return replace(self, roots=self.roots[:trees])
 
@@ -116,9 +128,12 @@ class FlatModel:
         def score(x: pa.Array) -> pa.Array:
             trees, weights, base, combine = sent.value
             x = batch_matrix(x, width)
+            if combine == "median":  # a row's result is one of the trees' values: rows alike are looked up once
+                first, place = trees.alike(x)
+                return pa.array(base + np.concatenate([weighted_median(v, weights) for _, v in trees.values(x[first])] or [np.zeros(0)])[place])
             result = np.full(len(x), base)
             for rows, v in trees.values(x):
-                result[rows] += v @ weights if combine == "sum" else weighted_median(v, weights)
+                result[rows] += v @ weights
             return pa.array(result)
 
         return df.withColumn(out, score(_features(self.cols)))

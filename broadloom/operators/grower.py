@@ -5,15 +5,17 @@ row in every tree), rows with the same bins are one row with their number, so th
 with the bins that occur together. A level of all trees under way is one pass: tasks
 add up the gradient and the count of their rows per (node, column, bin), the cells are added on the executors, and the
 driver reads the splits off them, so its work depends on nodes, columns and bins but not on rows. On top of it: extra
-trees (one random threshold per node and column) and gradient boosting with squared or Huber loss that can stop on the
-R2 of validation rows and go back to its best round.
+trees (one random threshold per node and column), gradient boosting with squared or Huber loss that can stop on the
+R2 of validation rows and go back to its best round, and adaptive boosting.
 """
 
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
-from functools import partial
+import math
+from dataclasses import dataclass, replace
+from functools import partial, reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -66,12 +68,8 @@ def find_bins(df: DataFrame, cols, most: int = 64) -> Bins:
     return Bins(list(cols), [np.unique(np.array(v or [0.0], float)) for v in values])
 
 
-def binned(df: DataFrame, bins: Bins, y: str, key: str, group=None, alike: bool = False) -> DataFrame:
-    """(h, y, grp, f, bins): hashed key, target, 0 for rows to learn from and 1 for validation, score so far, a byte per
-    column. NULL and NaN fall into the last bin; rows without a target are left out.
-
-    ``alike``: rows of a group with equal bins are one, ``y`` the mean of their targets, ``w`` their number and ``q`` the
-    squares around that mean. Else rows are packed, BLOCK of them in one."""
+def _to_bins(bins: Bins):
+    """Column with a row's bins, a byte each."""
     cuts, width = bins.cuts, len(bins.cols)
 
     @F.arrow_udf("binary")
@@ -81,9 +79,18 @@ def binned(df: DataFrame, bins: Bins, y: str, key: str, group=None, alike: bool
         ends = np.arange(0, out.size + 1, width, dtype=np.int32)
         return pa.Array.from_buffers(pa.binary(), len(out), [None, pa.py_buffer(ends), pa.py_buffer(out.tobytes())])
 
+    return to_bins(_features(bins.cols)).alias("bins")
+
+
+def binned(df: DataFrame, bins: Bins, y: str, key: str, group=None, alike: bool = False) -> DataFrame:
+    """(h, y, grp, f, bins): hashed key, target, 0 for rows to learn from and 1 for validation, score so far, a byte per
+    column. NULL and NaN fall into the last bin; rows without a target are left out.
+
+    ``alike``: rows of a group with equal bins are one, ``y`` the mean of their targets, ``w`` their number and ``q`` the
+    squares around that mean. Else rows are packed, BLOCK of them in one."""
     group = F.lit(0) if group is None else F.coalesce(group.cast("int"), F.lit(0))
     rows = df.filter(F.col(y).isNotNull()).select(
-        F.xxhash64(key).alias("h"), F.col(y).cast("double").alias("y"), group.alias("grp"), F.lit(0.0).alias("f"), to_bins(_features(bins.cols)).alias("bins"))
+        F.xxhash64(key).alias("h"), F.col(y).cast("double").alias("y"), group.alias("grp"), F.lit(0.0).alias("f"), _to_bins(bins))
     if not alike:
         return durable(rows.mapInArrow(_packed, "h binary, y binary, grp binary, f binary, bins binary"))
     n = F.count(F.lit(1)).cast("double")
@@ -105,14 +112,14 @@ def _blocks(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values.tobytes())])
 
 
-def _packed(batches):
+def _packed(batches, sizes=(("h", 8), ("y", 8), ("grp", 4), ("f", 8))):
     """Blocks of BLOCK rows as one, every column the bytes of its numbers."""
     for batch in batches:
         if batch.num_rows:
             at = np.append(np.arange(0, batch.num_rows, BLOCK), batch.num_rows)
             width = len(_raw(batch.column("bins"))) // batch.num_rows
-            out = [_blocks(batch.column(c).to_numpy(), at * size) for c, size in (("h", 8), ("y", 8), ("grp", 4), ("f", 8))]
-            yield pa.record_batch([*out, _blocks(_raw(batch.column("bins")), at * width)], names=["h", "y", "grp", "f", "bins"])
+            out = [_blocks(batch.column(c).to_numpy(), at * size) for c, size in sizes]
+            yield pa.record_batch([*out, _blocks(_raw(batch.column("bins")), at * width)], names=[*(c for c, _ in sizes), "bins"])
 
 
 def _column(batch, name: str, kind=np.float64) -> np.ndarray:
@@ -164,6 +171,9 @@ class _State:
             learn = learn & (_uniform(_column(batch, "h", np.int64), self.seed) < self.subsample)
         return b, place, learn, y - self.base - f, y
 
+    def numbers(self, batch, b, place, y):
+        return _numbers(batch, len(y))
+
 
 def _numbers(batch, rows: int):
     """(number of rows, squares around their mean) of each row; (1, 0) unless rows alike are one."""
@@ -182,7 +192,7 @@ def _histograms(sent, batches):
         if not batch.num_rows:
             continue
         b, place, learn, r, y = state.rows(batch)
-        w, q = _numbers(batch, len(y))
+        w, q = state.numbers(batch, b, place, y)
         if judged:
             held = _column(batch, "grp", np.int32) == 1
             off, many = y[held] - state.base, w[held]
@@ -293,6 +303,15 @@ class _Growth:
         return best
 
 
+def _added(rows: DataFrame, kernel, sent, alone: bool):
+    """Cell, g and n of a pass as arrays; added up on the executors unless its few tasks go to the driver ``alone``."""
+    cells = rows.mapInArrow(partial(kernel, sent), "cell bigint, g double, n double")
+    if not alone:
+        cells = cells.groupBy("cell").agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
+    got = cells.toArrow()
+    return tuple(got.column(c).to_numpy() for c in ("cell", "g", "n"))
+
+
 def _grow(rows: DataFrame, growth: _Growth, state: _State, judged: bool = False):
     """All levels; the validation sums of the first pass where ``judged``."""
     sc, starts = rows.sparkSession.sparkContext, growth.bins.starts
@@ -304,11 +323,7 @@ def _grow(rows: DataFrame, growth: _Growth, state: _State, judged: bool = False)
         slot = np.full(len(growth.feature), -1)
         slot[few] = np.arange(len(few))
         sent = sc.broadcast((state, growth.flat(), slot, starts, len(few), judged and sums is None))
-        cells = rows.mapInArrow(partial(_histograms, sent), "cell bigint, g double, n double")
-        if not alone:
-            cells = cells.groupBy("cell").agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
-        got = cells.toArrow()
-        cell, g, n = (got.column(c).to_numpy() for c in ("cell", "g", "n"))
+        cell, g, n = _added(rows, _histograms, sent, alone)
         if judged and sums is None:
             sums = np.bincount(-1 - cell[cell < 0], g[cell < 0], 4)
         there = cell >= 0
@@ -443,3 +458,232 @@ def boost(df: DataFrame, cols, y: str, key: str, rounds: int = 100, step: float
     size = best + 1 if validation and best >= 0 else len(kept)
     info = {"curve": curve, "best_round": best, "stop_round": stop, "rounds": size, "gain": gain}
     return FlatModel(found.raw(joined(kept[:size])), np.full(size, step), list(cols), base, info=info)
+
+
+# ---- adaptive boosting ----------------------------------------------------------------------------------------
+
+#: So many different rows (bins and target) are boosted in one task, where a round takes no pass.
+ROWS_IN_TASK = 1 << 22
+#: Of more, so many are a task of each pass.
+ROWS_A_PASS = 1 << 20
+#: Beyond, trees are grown on the driver from sums per combination of bins while there are no more of these.
+FEW_CELLS = 1 << 16
+
+
+class _Weighted(_Growth):
+    """One tree over rows that count by weights of any size: a side needs a row, however light."""
+
+    def __init__(self, bins: Bins, max_depth: int):
+        super().__init__(bins, 1, max_depth, 0, 0, 0, False, 1.0)
+        self.min_split = 0
+
+    def _best(self, at, columns, scale):
+        best = None
+        for j, (g, n) in enumerate(columns):
+            there = np.flatnonzero(n)
+            if len(there) < 2:
+                continue
+            g, n = g[there], n[there]
+            left, right = (np.cumsum(g)[:-1] ** 2 / np.cumsum(n)[:-1], np.cumsum(g[::-1])[-2::-1] ** 2 / np.cumsum(n[::-1])[-2::-1])
+            both = left + right
+            gains = both - g.sum() ** 2 / n.sum()
+            b = int(np.flatnonzero(gains >= gains.max() - TIE * both.max())[0])
+            if gains[b] > TIE * both[b] and (best is None or gains[b] > best[0] * (1 + TIE)):
+                best = (float(gains[b]), j, int(there[b]))
+        return best
+
+
+def _grow_cells(growth: _Growth, b: np.ndarray, g: np.ndarray, n: np.ndarray) -> FlatTrees:
+    """All levels from sums at hand, per combination of bins."""
+    starts, width = growth.bins.starts, b.shape[1]
+    slots = int(starts[-1])
+    while growth.open:
+        few = growth.open[:max(1, MOST_CELLS // slots)]
+        growth.open = growth.open[len(few):]
+        slot = np.full(len(growth.feature), -1)
+        slot[few] = np.arange(len(few))
+        where = slot[growth.flat().leaves(b)[:, 0]]
+        mine = np.flatnonzero((where >= 0) & (n > 0))
+        cell = (where[mine, None] * slots + starts[:-1] + b[mine]).ravel()
+        growth.take(few, *(np.bincount(cell, np.repeat(a[mine], width), len(few) * slots).reshape(len(few), slots) for a in (g, n)))
+    return growth.flat()
+
+
+@dataclass
+class _Reweighted(_State):
+    """Rounds of adaptive boosting since the weights were last written: (tree, greatest error, power of a right row's factor, scale)."""
+    past: tuple = ()
+
+    def numbers(self, batch, b, place, y):
+        w = _column(batch, "w")
+        if self.past:
+            trees = joined([t for t, *_ in self.past])
+            power = np.zeros(len(w))
+            for values, (_, top, p, scale) in zip(np.ascontiguousarray(trees.value[trees.leaves(b)].T), self.past):
+                power += p * (1 - np.abs(y - values[place]) / top) + math.log(scale)
+            w = w * np.exp(power)
+        return w, np.zeros(len(w))
+
+    def rows(self, batch):
+        y = _column(batch, "y")
+        b = _raw(batch.column("bins")).reshape(len(y), -1)
+        first, place = _places(b)
+        return b[first], place, np.ones(len(y), bool), y - self.base, y
+
+
+def _raised(tree: FlatTrees, base: float) -> FlatTrees:
+    return replace(tree, value=tree.value + base)
+
+
+def _errors(tree: FlatTrees, b, place, y) -> np.ndarray:
+    return np.abs(y - tree.value[tree.leaves(b)[:, 0]][place])
+
+
+def _cell_sums(sent, batches):
+    """(cell, g, n) of a task: weighted target and weight per combination of bins, numbered as in ``sent``."""
+    state, number = sent.value
+    g, n = np.zeros(len(number)), np.zeros(len(number))
+    for batch in batches:
+        if batch.num_rows:
+            b, place, _, r, y = state.rows(batch)
+            w, _ = state.numbers(batch, b, place, y)
+            at = np.array([number[x.tobytes()] for x in b])[place]
+            g += np.bincount(at, w * r, len(g))
+            n += np.bincount(at, w, len(n))
+    some = np.flatnonzero(n)
+    yield pa.record_batch([pa.array(some), pa.array(g[some]), pa.array(n[some])], names=["cell", "g", "n"])
+
+
+def _judged(sent, batches):
+    """(top, e, w) of a task: greatest error, weighted errors and weight."""
+    state, tree = sent.value
+    sums = np.zeros(3)
+    for batch in batches:
+        if batch.num_rows:
+            b, place, _, _, y = state.rows(batch)
+            e, (w, _) = _errors(tree, b, place, y), state.numbers(batch, b, place, y)
+            sums = np.array([max(sums[0], e.max()), sums[1] + w @ e, sums[2] + w.sum()])
+    yield pa.record_batch([pa.array([v]) for v in sums], names=["top", "e", "w"])
+
+
+def _reweigh(sent, batches):
+    state = sent.value
+    for batch in batches:
+        if batch.num_rows:
+            b, place, _, _, y = state.rows(batch)
+            w, ends = state.numbers(batch, b, place, y)[0], _ends(batch.column("y"))
+            yield batch.set_column(batch.schema.get_field_index("w"), "w", _blocks(w, ends - ends[0]))
+
+
+class _Here:
+    """All rows in this process."""
+
+    def __init__(self, bins: Bins, max_depth: int, base: float, total: float, batches):
+        read = [(_raw(x.column("bins")).reshape(x.num_rows, -1), _column(x, "y"), _column(x, "w")) for x in batches if x.num_rows]
+        b, self.y, self.w = (np.concatenate(a) for a in zip(*read))
+        first, self.place = _places(b)
+        self.b, self.bins, self.max_depth, self.base, self.total = b[first], bins, max_depth, base, total
+
+    def grow(self) -> FlatTrees:
+        g, n = (np.bincount(self.place, a, len(self.b)) for a in (self.w * (self.y - self.base), self.w))
+        return _raised(_grow_cells(_Weighted(self.bins, self.max_depth), self.b, g, n), self.base)
+
+    def judge(self, tree: FlatTrees):
+        self.e = _errors(tree, self.b, self.place, self.y)
+        return self.e.max(), self.w @ self.e, self.w.sum()
+
+    def advance(self, tree: FlatTrees, top: float, power: float, weight: float) -> None:
+        self.w = self.w * (self.total / weight) * np.exp(power * (1 - self.e / top))
+
+
+class _Spread:
+    """Rows in a table: a pass tells a tree's errors, another one (one per level where bins meet in too many combinations)
+    grows the next; rows are packed, their weights written every ``rewrite_every`` rounds."""
+
+    def __init__(self, rows: DataFrame, n: int, bins: Bins, max_depth: int, base: float, total: float, rewrite_every: int):
+        self.bins, self.max_depth, self.total, self.every = bins, max_depth, total, rewrite_every
+        self.state, self.sc = _Reweighted([], base, 1.0, 0), rows.sparkSession.sparkContext
+        tasks = max(self.sc.defaultParallelism, n // ROWS_A_PASS)
+        self.rows = durable(rows.repartition(tasks).mapInArrow(partial(_packed, sizes=(("y", 8), ("w", 8))), "y binary, w binary, bins binary"))
+        self.alone = tasks <= FEW_TASKS
+        met = rows.select("bins").distinct().limit(FEW_CELLS + 1).toArrow().column("bins").to_pylist()
+        self.cells = sorted(met) if len(met) <= FEW_CELLS else None
+
+    def grow(self) -> FlatTrees:
+        growth, base = _Weighted(self.bins, self.max_depth), self.state.base
+        if self.cells is None:
+            _grow(self.rows, growth, self.state)
+            return _raised(growth.flat(), base)
+        sent = self.sc.broadcast((self.state, {c: i for i, c in enumerate(self.cells)}))
+        cell, *sums = _added(self.rows, _cell_sums, sent, self.alone)
+        sent.unpersist()
+        b = np.frombuffer(b"".join(self.cells), np.uint8).reshape(len(self.cells), -1)
+        return _raised(_grow_cells(growth, b, *(np.bincount(cell, a, len(b)) for a in sums)), base)
+
+    def judge(self, tree: FlatTrees):
+        sent = self.sc.broadcast((self.state, tree))
+        got = self.rows.mapInArrow(partial(_judged, sent), "top double, e double, w double").toArrow()  # one row per task
+        sent.unpersist()
+        top, e, w = (got.column(c).to_numpy() for c in ("top", "e", "w"))
+        return top.max(), e.sum(), w.sum()
+
+    def advance(self, tree: FlatTrees, top: float, power: float, weight: float) -> None:
+        self.state = replace(self.state, past=(*self.state.past, (tree, top, power, self.total / weight)))
+        if len(self.state.past) >= self.every:
+            sent = self.sc.broadcast(self.state)
+            self.rows, self.state = durable(self.rows.mapInArrow(partial(_reweigh, sent), self.rows.schema)), replace(self.state, past=())
+            sent.unpersist()
+
+
+def _r2_rounds(table, rounds: int, rate: float) -> tuple[list[FlatTrees], list[float]]:
+    """Trees and their weights; stops at a tree without error, or before one that errs by half."""
+    trees, weights = [], []
+    for r in range(rounds):
+        tree = table.grow()
+        top, errors, weight = (float(v) for v in table.judge(tree))
+        loss = errors / top / weight if top else 0.0
+        if loss <= 0 or (loss >= 0.5 and not trees):
+            return [*trees, tree], [*weights, 1.0]
+        if loss >= 0.5:
+            break
+        power = rate * math.log(loss / (1 - loss))
+        trees.append(tree), weights.append(-power)
+        if r + 1 < rounds:
+            table.advance(tree, top, power, weight)
+    return trees, weights
+
+
+def _boost_here(sent, batches):
+    bins, max_depth, base, total, rounds, rate = sent.value
+    trees, weights = _r2_rounds(_Here(bins, max_depth, base, total, batches), rounds, rate)
+    ints = [pa.array([getattr(t, c) for t in trees], pa.list_(pa.int32())) for c in ("feature", "left", "right")]
+    reals = [pa.array([getattr(t, c) for t in trees], pa.list_(pa.float64())) for c in ("threshold", "value")]
+    yield pa.record_batch([pa.array(np.arange(len(trees), dtype=np.int32)), pa.array(weights), *ints, *reals],
+                          names=["round", "weight", "feature", "left", "right", "threshold", "value"])
+
+
+def boost_r2(rows: DataFrame, bins: Bins, rounds: int, rate: float, max_depth: int, rewrite_every: int) -> tuple[list[FlatTrees], list[float]]:
+    """Rounds of AdaBoost.R2 over written rows (bins, y, w): trees in the columns' numbers, and their weights."""
+    n, total, base = rows.agg(F.count(F.lit(1)), F.sum("w"), F.sum(F.col("w") * F.col("y")) / F.sum("w")).first()
+    if not n:
+        raise ValueError("no rows to learn from")
+    if n > ROWS_IN_TASK:
+        trees, weights = _r2_rounds(_Spread(rows, n, bins, max_depth, base, total, rewrite_every), rounds, rate)
+    else:
+        sent = rows.sparkSession.sparkContext.broadcast((bins, max_depth, base, total, rounds, rate))
+        got = rows.coalesce(1).mapInArrow(partial(_boost_here, sent), "round int, weight double, feature array<int>, left array<int>, "
+                                                                      "right array<int>, threshold array<double>, value array<double>").collect()
+        got = sorted(got, key=lambda r: r["round"])
+        ints = lambda a: np.array(a, np.int32)
+        trees = [FlatTrees(ints(r.feature), np.array(r.threshold, float), ints(r.left), ints(r.right), np.array(r.value, float), ints([0])) for r in got]
+        weights = [r.weight for r in got]
+    return [bins.raw(t) for t in trees], weights
+
+
+def counted(df: DataFrame, bins: Bins, y: str) -> DataFrame:
+    """(bins, y, w): rows with equal bins and target as one with their number. Rows without a number in a column are left
+    out, a missing target is an error."""
+    known = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    rows = df.filter(reduce(and_, [known(c).isNotNull() for c in bins.cols]))
+    target = F.coalesce(known(y), F.raise_error(F.lit(f"a row has no {y}")).cast("double"))
+    return rows.select(_to_bins(bins), target.alias("y")).groupBy("bins", "y").agg(F.count(F.lit(1)).cast("double").alias("w"))

@@ -12,6 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
+from broadloom.operators import grower
 from broadloom.operators.flat_trees import FlatModel, from_ml, joined, staged_scores
 from broadloom.operators.gram import batch_matrix
 from broadloom.operators.linear import assemble
@@ -89,11 +90,11 @@ def boosting_curve(model: TreeModel, df: DataFrame, y: str) -> list[float]:
 
 @dataclass
 class AdaBoostModel:
-    models: list[TreeModel]
+    models: list[FlatModel]
     weights: list[float]
 
     def flat(self) -> FlatModel:
-        return FlatModel(joined([from_ml(m.model) for m in self.models]), np.array(self.weights), self.models[0].cols, combine="median")
+        return FlatModel(joined([m.trees for m in self.models]), np.array(self.weights), self.models[0].cols, combine="median")
 
     def transform(self, df: DataFrame, out: str = "pred") -> DataFrame:
         """Weighted median of the trees, one kernel for all of them."""
@@ -101,33 +102,16 @@ class AdaBoostModel:
 
 
 def adaboost_r2(df, cols, y, key: str, rounds: int = 300, learning_rate: float = 0.01, max_depth: int = 5,
-                seed: int = 1337, cut_every: int = 5) -> AdaBoostModel:
-    """AdaBoost.R2 with linear loss and weighted tree fits. Rows equal in columns and target have the same weight in every
-    round: they are one row with their number as first weight. Table and row weights are
-    written to the scratch folder at the start and every few rounds, which keeps the plan short."""
-    alike = df.groupBy(*cols, y).agg(F.count(F.lit(1)).cast("double").alias("w"))
-    work = durable(assemble(alike, cols, y).select("label", "features", "w"))
-    models, weights = [], []
-    for r in range(rounds):
-        fitted = DecisionTreeRegressor(maxDepth=max_depth, seed=seed + r, weightCol="w", predictionCol="__p").fit(work)
-        m = TreeModel(fitted, list(cols))
-        scored = fitted.transform(work).withColumn("__e", F.abs(F.col("label") - F.col("__p")))
-        row = scored.agg(F.max("__e").alias("top"), F.sum(F.col("w") * F.col("__e")).alias("we"), F.sum("w").alias("w")).first()
-        if not row["top"]:
-            models.append(m), weights.append(1.0)
-            break
-        loss = row["we"] / row["top"] / row["w"]
-        if loss >= 0.5:
-            if not models:
-                models.append(m), weights.append(1.0)
-            break
-        beta = loss / (1 - loss)
-        models.append(m), weights.append(learning_rate * math.log(1 / beta))
-        factor = F.pow(F.lit(beta), (1 - F.col("__e") / F.lit(row["top"])) * F.lit(learning_rate))
-        work = scored.withColumn("w", F.col("w") * factor).drop("__p", "__e")
-        if (r + 1) % cut_every == 0 and r + 1 < rounds:
-            work = durable(work)
-    return AdaBoostModel(models, weights)
+                seed: int = 1337, cut_every: int = 25) -> AdaBoostModel:
+    """AdaBoost.R2 with linear loss and weighted tree fits, between at most 64 bins a column. Rows equal in bins and target
+    have the same weight in every round: they are one row with their number as first weight. Up to ROWS_IN_TASK of these
+    all rounds are one task; beyond, a round is two passes or, where bins meet in very many combinations, one per level and
+    one more, and the row weights are written to the scratch folder every ``cut_every`` rounds. Nothing is drawn: ``seed``
+    and ``key`` do not matter."""
+    cols = list(cols)
+    bins = grower.find_bins(df, cols)
+    trees, weights = grower.boost_r2(durable(grower.counted(df, bins, y)), bins, rounds, learning_rate, max_depth, cut_every)
+    return AdaBoostModel([FlatModel(t, np.ones(1), cols) for t in trees], weights)
 
 
 @dataclass

@@ -612,7 +612,7 @@ def gbt_abs(spark, sf):
 @query("REG-21")
 def adaboost_r2(spark, sf):
     a, b = halves(spark, sf)
-    return _scored(T.adaboost_r2(a, X, "y_lin", "ID", rounds=8, learning_rate=0.1), b)
+    return _scored(T.adaboost_r2(a, X, "y_lin", "ID", rounds=300, learning_rate=0.01), b)
 
 
 @query("REG-22 SMP-8")

@@ -163,3 +163,57 @@ def test_adaboost_reads_rows_that_repeat_once(df, monkeypatch):
     assert seen[0].count() == 900 and seen[0].agg(F.sum("w")).first()[0] == 1800
     want = T.adaboost_r2(df, COLS, "y", "id", rounds=2, learning_rate=1.0)
     assert np.allclose(got.weights, want.weights)
+
+
+def plain_weighted(x, y, w, depth):
+    """As plain_tree, rows counting by weight."""
+    if depth and len(y) > 1:
+        best = max(((sum((w[s] @ y[s]) ** 2 / w[s].sum() for s in (x[:, j] <= t, x[:, j] > t)), -j, -t)
+                    for j in range(x.shape[1]) for t in np.unique(x[:, j])[:-1]), default=None)
+        if best is not None and best[0] > (w @ y) ** 2 / w.sum() + 1e-9:
+            j, t = -best[1], -best[2]
+            s = x[:, j] <= t
+            return j, t, plain_weighted(x[s], y[s], w[s], depth - 1), plain_weighted(x[~s], y[~s], w[~s], depth - 1)
+    return float(w @ y / w.sum())
+
+
+@pytest.mark.parametrize("way", ["one task", "sums per combination of bins", "a pass per level"])
+def test_adaboost_equals_brute_force(df, rows, way, monkeypatch):
+    if way != "one task":
+        monkeypatch.setattr(G, "ROWS_IN_TASK", 0)
+        monkeypatch.setattr(G, "FEW_CELLS", 100 if way.startswith("sums") else 0)
+        monkeypatch.setattr(G, "FEW_TASKS", 0)
+    x, y = np.array([r[1:3] for r in rows], float), np.array([r[4] for r in rows])
+    model = T.adaboost_r2(df, ["a", "b"], "y", "id", rounds=7, learning_rate=0.5, max_depth=2, cut_every=3)
+    w, preds, weights = np.ones(900), [], []
+    for _ in range(7):
+        tree = plain_weighted(x, y, w, 2)
+        p = np.array([plain_score(tree, r) for r in x])
+        e = np.abs(y - p) / np.abs(y - p).max()
+        beta = (w @ e / w.sum()) / (1 - w @ e / w.sum())
+        preds.append(p), weights.append(-0.5 * np.log(beta))
+        w = w * beta ** ((1 - e) * 0.5)
+    assert np.allclose(model.weights, weights)
+    got = {r.id: r.pred for r in model.transform(df).collect()}
+    assert np.allclose([got[i] for i in range(900)], FT.weighted_median(np.stack(preds, 1), np.array(weights)))
+
+
+def test_adaboost_query_does_all_rounds(spark, df, monkeypatch):
+    from broadloom.plans import q_model as Q
+
+    seen, fit = [], T.adaboost_r2
+    flags = df.select(F.col("id").alias("ID"), F.col("y").alias("y_lin"), *[(F.col("id") * (i + 3) % 7 > F.col("b")).cast("int").alias(c) for i, c in enumerate(Q.X)])
+    monkeypatch.setattr(Q, "halves", lambda *_: (flags.filter("ID % 2 = 0"), flags.filter("ID % 2 = 1")))
+    monkeypatch.setattr(T, "adaboost_r2", lambda *a, **k: seen.append(fit(*a, **k)) or seen[-1])
+    assert Q.adaboost_r2(spark, "").first()["n"] == 450
+    assert len(seen[0].models) == 300 and max(seen[0].weights) < 0.05  # steps of .01 times the log odds
+
+
+def test_adaboost_edges(spark):
+    odd = spark.createDataFrame([(1, 0.0, 1.0), (2, 1.0, 5.0), (3, None, 9.0), (4, float("nan"), 9.0)], "id int, a double, y double")
+    model = T.adaboost_r2(odd, ["a"], "y", "id", rounds=5)
+    assert len(model.models) == 1 and model.weights == [1.0]  # no error is left; rows without the column take no part
+    assert [r.pred for r in model.transform(odd).orderBy("id").collect()] == [1.0, 5.0, 5.0, 5.0]
+    for bad in (odd.filter("id > 9"), odd.unionByName(spark.createDataFrame([(5, 0.0, None)], odd.schema))):
+        with pytest.raises(Exception):
+            T.adaboost_r2(bad, ["a"], "y", "id", rounds=1)
