@@ -218,6 +218,8 @@ def cv_curve(g: Gram, path) -> np.ndarray:
 
 
 def _choose(g: Gram, grid, path, label: str) -> Linear:
+    if len(g.folds) < 2:
+        warnings.warn(f"{len(g.folds)} folds: nothing to choose {label} by, the first one is taken", RuntimeWarning, stacklevel=3)
     mse = cv_curve(g, path)
     best = int(np.argmin(mse))
     m = g.moments()

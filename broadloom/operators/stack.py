@@ -33,6 +33,11 @@ GRAM_LEARNERS = {
     "kernel_ridge": lambda g: L.kernel_ridge_linear(g, 0.6),
 }
 
+# Those that choose a penalty or a size by the folds of their sums.
+CHOOSERS = {"enet_cv", "lasso_cv", "lasso_lars_cv", "omp_cv", "ridge_cv"}
+#: Folds that they choose by where the folds of the rows are left out two at a time.
+PARTS = 5
+
 # Learners that look at the rows: name -> (train, columns, target, key) -> model with transform(df, out).
 ROW_LEARNERS = {
     "huber": lambda d, c, y, k: L.ml_linear(d, c, y, loss="huber", max_iter=100, tol=1e-6),
@@ -261,26 +266,51 @@ def super_learner(train: DataFrame, test: DataFrame, cols, y: str, key: str, k:
 
 def _all_predictions(df: DataFrame, models: list, out: str = "__all") -> DataFrame:
     """One array of the models' predictions; linear ones are one matrix product."""
-    if all(isinstance(m, L.Linear) for m in models):
+    linear = [m for m in models if isinstance(m, L.Linear)]
+    if len(linear) == len(models):
         return L.score_many(df, models, out)
-    names = [f"__m{i}" for i in range(len(models))]
-    for n, m in zip(names, models):
-        df = m.transform(df, n)
-    return df.withColumn(out, F.array(*names)).drop(*names)
+    names, others = [f"__m{i}" for i in range(len(models))], [(i, m) for i, m in enumerate(models) if not isinstance(m, L.Linear)]
+    if linear:
+        df = L.score_many(df, linear, "__linear")
+    if all(isinstance(m, T.TreeModel) and m.cols == others[0][1].cols for _, m in others):
+        df = T.predict_many([m for _, m in others], df, [names[i] for i, _ in others])
+    else:
+        for i, m in others:
+            df = m.transform(df, names[i])
+    at = iter(range(1, len(linear) + 1))
+    each = [F.element_at("__linear", next(at)) if isinstance(m, L.Linear) else F.col(n) for n, m in zip(names, models)]
+    return df.withColumn(out, F.array(*each)).drop("__linear", *names)
+
+
+def part_of(cols):
+    """Number of a row's part, by a hash of its values: rows whose key is missing or repeats are spread as well."""
+    return F.pmod(F.xxhash64(*cols), F.lit(PARTS)).cast("int")
 
 
 def _fit_pairs(train: DataFrame, y: str, key: str, k: int, bases: dict, fold: str) -> dict:
-    """Base models by (base, folds left out), one or two of them. Linear ones come from the fold sums of one pass."""
+    """Base models by (base, folds left out), one or two of them. Linear ones come from the fold sums of one pass.
+
+    Learners that choose by folds choose by PARTS parts of the rows they learn from, whatever is left out: of the folds
+    themselves too few may be left to choose by, of three a single one."""
     out = [(f,) for f in range(k)] + [(f, j) for f in range(k) for j in range(f + 1, k)]
     sums = {n: cols for n, (learner, cols) in bases.items() if learner in GRAM_LEARNERS}
     every = sorted({c for cols in sums.values() for c in cols})
-    g = gram(train, every, y, fold) if sums else None
+    choosing = any(learner in CHOOSERS for learner, _ in bases.values())
+    g = gram(train.withColumn("__cell", F.col(fold) * PARTS + part_of([key, *every, y])) if choosing else train, every, y, "__cell" if choosing else fold) if sums else None
+
+    def kept(part, learner, left):
+        """Sums without the folds ``left``: by parts of the rows for those that choose, else by fold."""
+        if not choosing:
+            return part.take_folds({f: f for f in range(k) if f not in left})
+        part = part.take_folds({c: c for c in range(k * PARTS) if c // PARTS not in left})
+        return part.merge(lambda c: c % PARTS if learner in CHOOSERS else c // PARTS)
+
     fitted, jobs = {}, []
     for n, (learner, cols) in bases.items():
         for left in out:
             if learner in GRAM_LEARNERS:
                 part = g.pick(list(cols), y)
-                fitted[n, left] = GRAM_LEARNERS[learner](part.take_folds({f: f for f in range(k) if f not in left}))
+                fitted[n, left] = GRAM_LEARNERS[learner](kept(part, learner, left))
             else:
                 jobs.append(((n, left), lambda learner=learner, cols=cols, left=left: ROW_LEARNERS[learner](
                     train.filter(~F.col(fold).isin(list(left))), list(cols), y, key)))
@@ -293,7 +323,8 @@ def nested_registry(train: DataFrame, test: DataFrame, y: str, key: str, k: int,
 
     ``bases`` maps a name to (learner, columns). For outer fold f the layer-2 training rows get the predictions of base
     models that left out f and the row's own fold, the held-out rows those of models that left out f: all these models come
-    from one pass of fold sums (learners that look at rows are refitted) and score in one scan. The layer-2 models of
+    from one pass of fold sums (learners that look at rows are refitted) and score in one scan; each chooses its penalty or
+    size by parts of the rows it learns from. The layer-2 models of
     all linear learners come from one more pass over the written matrix. A test row gets the mean over the outer folds.
 
     Returns (out-of-fold predictions: key, fold, y, model, pred; test predictions: key, model, pred; scores per model).

@@ -721,7 +721,7 @@ def nested_layers(spark, sf):
     """Linear learners and boosting below; extra trees, bagging and ridge over their predictions."""
     a, b = halves(spark, sf)
     a = a.withColumn("fold", F.expr("cast(ID div 2 % 3 as int)"))
-    bases = {n: (n, X) for n in ("ridge_cv", "lasso_cv", "omp")}
+    bases = {n: (n, X) for n in ("ridge_cv", "lasso_cv", "omp", "gbt")}
     _, preds, _ = K.nested_registry(a, b, "y_lin", "ID", 3, bases, ["ridge", "extra_trees", "bagging"])
     return preds.select("ID", "model", F.round("pred", 3).alias("pred"))
 

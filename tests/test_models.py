@@ -343,6 +343,45 @@ def test_nested_layers_see_no_row_twice(spark):
     assert {r.model: r.n for r in scores.collect()} == {"ols": 240, "tree": 240} and preds.count() == 120
 
 
+def test_nested_layers_choose_penalties_by_folds(spark):
+    """With two of three folds left out a single one is left, too few to choose by."""
+    rng = np.random.default_rng(4)
+    n, k = 240, 3
+    x = rng.normal(size=(n, 4))
+    y = 0.2 * x[:, 0] + 2 * rng.normal(size=n)  # weak: the greatest ridge penalty is best, and not the greatest of the lasso
+    rows = [(int(i) if i % 3 else None, *map(float, x[i]), float(y[i]), int(i // 2 % k)) for i in range(n)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, d double, y double, fold int").repartition(3)
+    cols = list("abcd")
+    bases = {"ridge": ("ridge_cv", cols), "lasso": ("lasso_cv", cols), "plain": ("ols", cols)}
+    fitted = K._fit_pairs(df, "y", "id", k, bases, "fold")
+    got = df.select(*cols, "y", "fold", K.part_of(["id", *cols, "y"]).alias("p")).toPandas()
+    z, t, fold, part = got[cols].to_numpy(), got["y"].to_numpy(), got["fold"].to_numpy(), got["p"].to_numpy()
+
+    def solve(rows, a):
+        xc, yc = centred(z[rows], t[rows])
+        w = np.linalg.solve(xc.T @ xc + a * np.eye(4), xc.T @ yc)
+        return w, t[rows].mean() - z[rows].mean(0) @ w
+
+    assert len(fitted) == 18
+    for left in [(f,) for f in range(k)] + [(0, 1), (0, 2), (1, 2)]:
+        mine = ~np.isin(fold, left)
+        mse = []
+        for a in L.RIDGE_GRID:
+            errors = []
+            for p in range(K.PARTS):
+                w, b = solve(mine & (part != p), a)
+                errors.append(np.mean((t - z @ w - b)[mine & (part == p)] ** 2))
+            mse.append(np.mean(errors))
+        best = fitted["ridge", left]
+        assert best.info["alpha"] == L.RIDGE_GRID[int(np.argmin(mse))] and np.isclose(best.info["mse"], min(mse))
+        assert np.allclose(best.coef, solve(mine, best.info["alpha"])[0])
+        assert np.allclose(fitted["plain", left].coef, solve(mine, 0.0)[0])
+        assert np.isfinite(fitted["lasso", left].info["mse"])
+    assert {fitted["ridge", left].info["alpha"] for left in [(0, 1), (0, 2), (1, 2)]} != {L.RIDGE_GRID[0]}
+    with pytest.warns(RuntimeWarning, match="nothing to choose alpha by"):
+        L.ridge_cv(G.gram(df.filter("fold = 0"), cols, "y", "fold"))
+
+
 def test_rows_count_in_every_fold_of_an_array(data):
     df, *_ = data
     both = df.withColumn("cells", F.array("fold", (F.col("id") % 2 + 5).cast("int")))
@@ -371,3 +410,35 @@ def test_group_index_does_not_depend_on_slices(data, monkeypatch):
         got = O.group_index(df.select("id", "fold"), "fold", "id", 7, rows_per_bucket=100)
         assert sorted((r.fold, r.idx) for r in got.collect()) == [(f, i) for f in range(5) for i in range(120)]
         assert least == 16 or O.spread_by(df, "id", 600, 100).rdd.getNumPartitions() == 6
+
+
+def test_linear_and_other_bases_predict_side_by_side(data):
+    df, _, _, g = data
+    one, two = (L.from_gram(g, lambda m, a=a: L.ridge_solve(m, a)) for a in (1.0, 50.0))
+    boosted, bags = T.boosted(df, COLS, "y", rounds=2), T.bagged_trees(df, COLS, "y", "id", bags=2)
+    for models in ([one, boosted, two], [boosted, one, bags]):
+        got = K._all_predictions(df, models).drop("y")
+        for i, m in enumerate(models):
+            got = m.transform(got, f"p{i}")
+        assert all(np.allclose(r["__all"], [r[f"p{i}"] for i in range(3)]) for r in got.collect())
+
+
+def test_nested_layers_have_boosting_below(monkeypatch):
+    from broadloom.plans import q_model as Q
+
+    seen = {}
+
+    def stop(train, test, y, key, k, bases, metas):
+        seen.update(bases)
+        raise InterruptedError
+
+    class Rows:
+        def withColumn(self, *_):
+            return self
+
+    monkeypatch.setattr(Q, "halves", lambda *_: (Rows(), None))
+    monkeypatch.setattr(Q.F, "expr", lambda text: text)
+    monkeypatch.setattr(K, "nested_registry", stop)
+    with pytest.raises(InterruptedError):
+        Q.nested_layers(None, "")
+    assert [learner for learner, _ in seen.values()] == ["ridge_cv", "lasso_cv", "omp", "gbt"]
